@@ -54,7 +54,7 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 class WordHashes(dict):
     """64-bit hashes of words; a bounded cache, as words repeat."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 

@@ -21,30 +21,41 @@ from .components import connected_components
 
 #: log2 of the number of counters that order shingles by frequency; the table has this fixed size for any input.
 COUNT_BITS = 22
+#: Parts in which the counters of tasks are summed.
+PARTS = 256
 #: Bits of a token bitmap.
 BITMAP = 512
 #: Classes in a leaf of a signature tree; children of an inner node.
 LEAF, FANOUT = 32, 8
 #: Classes of one list that a task holds; longer lists are dealt out as pairs of tiles.
 TILE = 2048
+#: doc_ids that are broadcast at most (some 30 MB).
+MOST_BROADCAST = 1_000_000
 
 
 def _set_of(text: bytes | None, words: WordHashes, width: int) -> np.ndarray:
     return distinct(shingle_hashes(words.of(text.lower().split()), width)) if text else np.empty(0, np.uint64)
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    bits = np.zeros(BITMAP, np.uint8)
+    bits[(mixed(s) % np.uint64(BITMAP)).astype(np.int64)] = 1
+    return np.packbits(bits)
+
+
 def _prints(width: int, bits: int):
-    """Size and two fingerprints of each document's set, and at the end of a task how often each counter was met."""
+    """Size, two fingerprints and the bitmap of each document's set, and at the end of a task how often each counter was met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, mask = WordHashes(), np.zeros(1 << bits, np.uint32), np.uint64((1 << bits) - 1)
         for batch in batches:
-            n, f1, f2, held = [], [], [], []
+            n, f1, f2, maps, held = [], [], [], [], []
             for text in as_bytes(batch.column("text")):
                 s = _set_of(text, words, width)
                 n.append(len(s))
                 f1.append(s.sum(dtype=np.uint64) if len(s) else 0)
                 f2.append(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) if len(s) else 0)
+                maps.append(_bitmap(s).tobytes() if len(s) else None)
                 held.append(s & mask)
                 if sum(map(len, held)) > 500_000:
                     counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits).astype(np.uint32)
@@ -52,11 +63,11 @@ def _prints(width: int, bits: int):
             if held:
                 counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits).astype(np.uint32)
             none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), none.cast(pa.int32()), none.cast(pa.binary())], ["doc_id", "n", "f1", "f2", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array(maps, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], ["doc_id", "n", "f1", "f2", "bitmap", "part", "counts"])
         if counts.any():
-            parts = [x.tobytes() for x in counts.reshape(64, -1)]
-            none = pa.nulls(64).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(64), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "n", "f1", "f2", "part", "counts"])
+            parts = [x.tobytes() for x in counts.reshape(PARTS, -1)]
+            none = pa.nulls(PARTS).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "n", "f1", "f2", "bitmap", "part", "counts"])
 
     return run
 
@@ -74,47 +85,42 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(ranks, width: int, num: int, den: int):
-    """The shingles of which any partner of a document has at least one: its rarest, in one order for all."""
+    """The shingles of which any partner of a document has at least one: its rarest, in one order for all. Listed by the
+    first fingerprint of its set, so that copies are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, rank = WordHashes(), np.frombuffer(ranks.value, np.uint8)
         mask = np.uint64(len(rank) - 1)
         for batch in batches:
-            ids, tokens, docs, held = batch.column("doc_id").to_pylist(), [], [], 0
-            for doc, text in zip(ids, as_bytes(batch.column("text")), strict=True):
+            tokens, prints, held = [], [], 0
+            for text in as_bytes(batch.column("text")):
                 s = _set_of(text, words, width)
                 if not len(s):
                     continue
                 size = len(s) - -(-num * len(s) // den) + 1
                 key = (rank[(s & mask).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                 tokens.append(s[np.argsort(key, kind="stable")[:size]])
-                docs.append(np.full(size, doc, np.int64))
+                prints.append(np.full(size, s.sum(dtype=np.uint64)).view(np.int64))
                 held += size
                 if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(docs))], ["token", "doc"])
-                    tokens, docs, held = [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(prints))], ["token", "f1"])
+                    tokens, prints, held = [], [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(docs))], ["token", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(prints))], ["token", "f1"])
 
     return run
 
 
-def _bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP, np.uint8)
-    bits[(mixed(s) % np.uint64(BITMAP)).astype(np.int64)] = 1
-    return np.packbits(bits)
-
-
-def _described(width: int):
-    """Size, bitmap and set of each document."""
+def _sets(width: int):
+    """The set of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [_set_of(text, words, width) for text in as_bytes(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([_bitmap(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "n", "bitmap", "tokens"])
+                sets = [_set_of(text, words, width).tobytes() for text in as_bytes(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], ["doc", "tokens"])
 
     return run
 
@@ -198,11 +204,22 @@ def _forest(docs, n, maps, i, j, only_i, only_j, num, den):
 
 
 def _search(num: int, den: int, forest: bool):
-    """Candidate pairs of each list (token, lo, hi); forest: only enough of the likely ones to join the list."""
-    keys = ("token", "lo", "hi")
+    """Candidate pairs of each list; forest: only enough of the likely ones to join the list."""
+    keys = ("hub", "lo", "hi", "token")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size_kept, hub = [], 0, None
+
+        def flush() -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(kept, 1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
         for table in whole_groups(batches, keys):
+            # a pair that several lists of one hub hold is given out once
+            if kept and (table.column("hub")[0].as_py() != hub or size_kept > 1_000_000):
+                yield flush()
+                kept, size_kept = [], 0
+            hub = table.column("hub")[-1].as_py()
             at = starts_of(table, keys)
             size = np.diff(at)
             doc, comp, n, tile, lo, hi = (table.column(c).to_numpy().astype(np.int64) for c in ("doc", "comp", "n", "tile", "lo", "hi"))
@@ -227,22 +244,29 @@ def _search(num: int, den: int, forest: bool):
                 i, j = signature_tree_pairs(n[rows], maps[rows], num, den)
                 take(i + at[k], j + at[k], joined=True)
             if found:
-                pairs = np.unique(np.concatenate(found, 1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                kept.append(np.unique(np.concatenate(found, 1), axis=1))
+                size_kept += kept[-1].shape[1]
+        if kept:
+            yield flush()
 
     return run
 
 
 def _lists(entries: DataFrame, described: DataFrame, tiles_of_pairs: bool) -> DataFrame:
-    """The lists (token, doc, comp, members) with what the search needs, long ones dealt out in tiles."""
+    """The lists (token, doc, comp) that have several components, with what the search needs; long ones in tiles.
+
+    Lists with the same smallest member go to one task, as the same pairs tend to meet in many of them.
+    """
+    several = entries.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("members"), F.min("doc").alias("hub")).filter("least < most")
+    entries = entries.join(several.select("token", "members", "hub"), "token")
     k = F.ceil(F.col("members") / F.lit(TILE)).cast("int")
     dealt = entries.withColumn("tile", F.when(k > 1, F.pmod(F.xxhash64("doc"), k)).otherwise(0).cast("int"))
     if tiles_of_pairs:
         dealt = dealt.withColumn("other", F.explode(F.when(k > 1, F.sequence(F.lit(0), k - 1)).otherwise(F.array(F.lit(0))))).withColumn("lo", F.least("tile", "other")).withColumn("hi", F.greatest("tile", "other"))
     else:
         dealt = dealt.withColumn("lo", F.col("tile")).withColumn("hi", F.col("tile"))
-    full = dealt.join(described.select("doc", "n", "bitmap"), "doc")
-    return full.select("token", "lo", "hi", "tile", "doc", "comp", "n", "bitmap").repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+    full = dealt.join(described, "doc")
+    return full.select("hub", "lo", "hi", "token", "tile", "doc", "comp", "n", "bitmap").repartition("hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi", "token")
 
 
 def _compare(num: int, den: int):
@@ -260,11 +284,35 @@ def _compare(num: int, den: int):
     return run
 
 
-def _verified(pairs: DataFrame, described: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose sets really reach the similarity."""
-    x = described.select(F.col("doc").alias("a"), F.col("tokens").alias("x"))
-    y = described.select(F.col("doc").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(num, den), "a long, b long")
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with these doc_ids: the ids are broadcast if they are few enough, else both are shuffled."""
+    few = ids.count() <= MOST_BROADCAST
+    return docs.join(ids.hint("broadcast" if few else "shuffle_hash"), "doc_id", "left_semi")
+
+
+def linked(lists: DataFrame, described: DataFrame, sets_of, num: int, den: int) -> DataFrame:
+    """Links (a, b: long) that join all pairs of ``lists`` with similar sets, and no others.
+
+    ``lists`` (token, doc), ``described`` (doc, n, bitmap), both materialized; ``sets_of(ids)`` gives (doc, tokens) for
+    the column ``doc`` of ids. First a forest of likely links of one list in eight is verified. Then all lists that
+    still hold several components are searched, for pairs across components only. So what is verified is about as
+    many pairs as members for groups of near copies, while every pair of a list is linked, or refuted, or already
+    joined by links.
+    """
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("doc")).unionAll(pairs.select(F.col("b").alias("doc"))).distinct()
+        sets = materialize(sets_of(ids), "sets")
+        x = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x"))
+        y = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y"))
+        return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(num, den), "a long, b long"), "links")
+
+    sample = lists.filter("(token & 7) = 0").withColumn("comp", F.col("doc"))
+    first = verified(materialize(_lists(sample, described, False).mapInArrow(_search(num, den, True), "a long, b long").distinct(), "likely"))
+    early = connected_components(first)
+    known = materialize(lists.join(early.select(F.col("node").alias("doc"), "component"), "doc", "left").select("token", "doc", F.coalesce("component", "doc").alias("comp")), "known")
+    second = verified(materialize(_lists(known, described, True).mapInArrow(_search(num, den, False), "a long, b long").distinct(), "rest"))
+    return first.unionByName(second)
 
 
 def ngram_jaccard_components(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -279,38 +327,46 @@ def ngram_jaccard_components(documents: DataFrame, width: int = 4, num: int = 85
     """
     spark = documents.sparkSession
     docs = plain(documents, "doc_id", "text")
-    prints = materialize(docs.mapInArrow(_prints(width, COUNT_BITS), "doc_id long, n long, f1 long, f2 long, part int, counts binary"), "prints")
+    prints = materialize(docs.mapInArrow(_prints(width, COUNT_BITS), "doc_id long, n long, f1 long, f2 long, bitmap binary, part int, counts binary"), "prints")
     sets = prints.filter("part IS NULL").select("doc_id", "n", "f1", "f2")
     # a table of fixed size (2**COUNT_BITS bytes), whatever the input's
-    parts = prints.filter("part IS NOT NULL").select("part", "counts").repartition(64, "part").mapInArrow(_sum_counts, "part int, ranks binary").collect()
+    parts = prints.filter("part IS NOT NULL").select("part", "counts").repartition("part").mapInArrow(_sum_counts, "part int, ranks binary").collect()
     ranks = spark.sparkContext.broadcast(b"".join(r.ranks for r in sorted(parts, key=lambda r: r.part)) or bytes(1))
 
-    full = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
+    full = prints.filter("n > 0 AND doc_id IS NOT NULL")
+    classes = materialize(full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("bitmap").alias("bitmap")), "classes")
     copies = classes.filter("members > 1")
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    entries = materialize(docs.join(reps.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_prefixes(ranks, width, num, den), "token long, doc long"), "entries")
-    shared = entries.groupBy("token").agg(F.count("*").alias("members"), F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("token", "members")
-    lists = materialize(entries.join(shared, "token"), "lists")
-    listed = lists.select(F.col("doc").alias("doc_id")).distinct()
-    described = materialize(docs.join(listed.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_described(width), "doc long, n int, bitmap binary, tokens binary"), "described")
-
-    # one in eight lists, sparsely: enough links to see most components
-    sample = lists.filter("(token & 7) = 0").withColumn("comp", F.col("doc"))
-    likely = _lists(sample, described, False).mapInArrow(_search(num, den, True), "a long, b long").distinct()
-    first = materialize(_verified(likely, described, num, den), "links")
-    early = connected_components(first)
+    described = classes.select(F.col("rep").alias("doc"), F.col("n").cast("int").alias("n"), "bitmap")
+    entries = materialize(docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(ranks, width, num, den), "token long, f1 long"), "entries")
+    shared = entries.groupBy("token").agg(F.min("f1").alias("least"), F.max("f1").alias("most")).filter("least < most").select("token")
+    listed = entries.join(shared, "token").distinct()
+    lists = materialize(listed.join(classes.select("f1", "rep"), "f1").select("token", F.col("rep").alias("doc")), "lists")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return _only(docs, ids.select(F.col("doc").alias("doc_id"))).mapInArrow(_sets(width), "doc long, tokens binary")
 
-    # all lists that still hold more than one component, and only pairs across components
-    known = lists.join(early.select(F.col("node").alias("doc"), "component"), "doc", "left").select("token", "doc", F.coalesce("component", "doc").alias("comp"))
-    known = materialize(known, "known")
-    mixed_lists = known.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("members")).filter("least < most").select("token", "members")
-    rest = _lists(known.join(mixed_lists, "token"), described, True).mapInArrow(_search(num, den, False), "a long, b long").distinct()
-    second = _verified(rest, described, num, den)
+    links = linked(lists, described, sets_of, num, den)
 
-    member = sets.join(copies.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
+    member = sets.join(copies.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     member = materialize(member.select("doc_id", "n", "rep"), "members")
     # a doc_id on several rows ties their classes together
-    tied = member.filter("doc_id != rep").join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = connected_components(first.unionByName(second).unionByName(tied)).select(F.col("node").alias("rep"), "component")
+    tied = member.filter("doc_id != rep").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    final = connected_components(links.unionByName(tied)).select(F.col("node").alias("rep"), "component")
     return member.join(final, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+
+
+def keep_one_of_each_component(documents: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The rows of ``documents``, all columns, whose doc_id is the smallest of its component, one row for each doc_id.
+
+    Rows with a null doc_id or a wordless text stay as they are, but for repeats of a doc_id.
+    """
+    member = materialize(ngram_jaccard_components(documents, width, num, den).filter("doc_id IS NOT NULL"), "components")
+    gone = member.filter("doc_id != component_id").select("doc_id").distinct()
+    twice = member.groupBy("doc_id").count().filter("count > 1").select("doc_id").join(gone, "doc_id", "left_anti")
+    gone, twice = materialize(gone, "gone"), materialize(twice, "twice")
+
+    def few(ids: DataFrame) -> DataFrame:
+        return ids.hint("broadcast" if ids.count() <= MOST_BROADCAST else "shuffle_hash")
+
+    once = documents.join(few(gone.unionByName(twice)), "doc_id", "left_anti")
+    return once.unionByName(documents.join(few(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
