@@ -169,6 +169,40 @@ def calibrated_threshold(scored: DataFrame, false_rejects: float) -> float:
     return float(allowed[0] / BINS)
 
 
+def _keep(trees, limit: float):
+    """Rows of whole batches that the base rules and the forest keep; all columns pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            rows = np.array([rule_counts(x, hashes) for x in as_bytes(batch.column("text"))], np.int64).reshape(-1, len(COUNTS))
+            counts = dict(zip(COUNTS, rows.T, strict=True))
+            keep = (counts["n_words"] >= 10) & (100 * counts["n_repeat_words"] <= 20 * counts["n_words"])
+            if limit < 1:
+                keep &= anomaly_scores(features(counts), trees.value) < limit
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _fitted(counts: DataFrame, labels: DataFrame, false_rejects: float, seed: int):
+    known = plain(labels, "doc_id", "quality").filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    labelled = materialize(counts.filter(~base_failed()).join(known, "doc_id"), "labelled")
+    trees = counts.sparkSession.sparkContext.broadcast(grow_forest(labelled, seed))
+    scored = labelled.select("doc_id", *COUNTS, "quality").mapInArrow(_score(trees), SCHEMA + ", quality int, anomaly double")
+    return trees, calibrated_threshold(scored, false_rejects)
+
+
+SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
+
+
+def keep_good_documents(documents: DataFrame, labels: DataFrame, false_rejects: float = 0.005, seed: int = 17) -> DataFrame:
+    """The rows of ``documents``, all columns, that ``quality_rules`` keeps; no row is moved."""
+    counts = materialize(rule_statistics(documents), "rules")
+    trees, limit = _fitted(counts, labels, false_rejects, seed)
+    return documents.mapInArrow(_keep(trees, limit), documents.schema)
+
+
 def quality_rules(documents: DataFrame, labels: DataFrame, false_rejects: float = 0.005, seed: int = 17) -> DataFrame:
     """Judge every whole text of ``documents`` (doc_id, text) by fixed base rules and an isolation forest.
 
@@ -180,11 +214,6 @@ def quality_rules(documents: DataFrame, labels: DataFrame, false_rejects: float
     reject. An empty table gives an empty result.
     """
     counts = materialize(rule_statistics(documents), "rules")
-    known = plain(labels, "doc_id", "quality").filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    labelled = materialize(counts.filter(~base_failed()).join(known, "doc_id"), "labelled")
-    trees = documents.sparkSession.sparkContext.broadcast(grow_forest(labelled, seed))
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
-    scored = labelled.select("doc_id", *COUNTS, "quality").mapInArrow(_score(trees), schema + ", quality int, anomaly double")
-    limit = calibrated_threshold(scored, false_rejects)
-    judged = counts.mapInArrow(_score(trees), schema + ", anomaly double")
+    trees, limit = _fitted(counts, labels, false_rejects, seed)
+    judged = counts.mapInArrow(_score(trees), SCHEMA + ", anomaly double")
     return judged.select("doc_id", *COUNTS[:5], base_failed().alias("base_failed"), (~base_failed() & (F.col("anomaly") < limit if limit < 1 else F.lit(True))).alias("kept"), "anomaly")
