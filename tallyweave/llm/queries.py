@@ -10,6 +10,7 @@ from .common import materialize, new_path
 from .language_id import language_id
 from .mixing import mix_to_weights
 from .ngram_join import ngram_jaccard_components
+from .oracles import ORACLES  # noqa: F401
 from .packing import pack_sequences
 from .quality_rules import quality_rules
 from .substring_dedup import repeated_paragraphs
@@ -116,5 +117,3 @@ QUERIES = {
     "op10_topk": op10_topk,
     "pipeline": pipeline,
 }
-
-ORACLES: dict[str, str] = {}
