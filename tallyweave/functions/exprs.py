@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import vocab
 
@@ -39,7 +40,7 @@ def quote_hash(quote: Column) -> Column:
     return F.sha2(quote_form(quote), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd_fold(text: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks, in lower case; Spark has no such function."""
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not 0x300 <= ord(c) <= 0x36F).lower())
