@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import materialize
+from tallyweave.llm.common import materialize, small_batches
 from tallyweave.llm.mixing import mix_to_weights
 from tallyweave.llm.ngram_join import keep_one_of_each_component
 from tallyweave.llm.packing import pack_sequences
@@ -21,16 +21,19 @@ from tallyweave.llm.substring_dedup import remove_repeats
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the isolation forest keep."""
+    small_batches(spark)
     return keep_good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of five-word similarity of 0.8 or more: the one with the smallest doc_id."""
+    small_batches(spark)
     return keep_one_of_each_component(docs, width=5, num=80, den=100)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the paragraphs that stand elsewhere before."""
+    small_batches(spark)
     return remove_repeats(docs)
 
 
@@ -41,6 +44,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 ids, as in op6_packing."""
+    small_batches(spark)
     import public_tokenizers
 
     pieces = pack_sequences(docs, public_tokenizers.path("word_bpe_49k.json"))

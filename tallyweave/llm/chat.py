@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, plain
+from .common import materialize, plain, tidy
 
 #: The template of a turn: ``### role: text</turn>`` and a newline.
 OPEN, END = "### ", "</turn>\n"
@@ -89,6 +89,7 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1", text)
 
 
+@tidy
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     turn = pa.struct([("role", pa.string()), ("text", pa.string())])
     for batch in batches:

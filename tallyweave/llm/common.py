@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="tallyweave-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return folder.rstrip("/") if "://" in folder or folder.startswith("file:/") else "file://" + os.path.abspath(folder)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -33,7 +39,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more, so a long job holds few at a time."""
+    for df in tables:
+        with contextlib.suppress(OSError, pa.ArrowException):  # the folder's store may not let us; files then stay
+            fs, place = pa.fs.FileSystem.from_uri(df.written_to)
+            fs.delete_dir(place)
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts can be long: fewer rows in an Arrow batch keep Python workers and their buffers small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
 def plain(df: DataFrame, *columns: str) -> DataFrame:
@@ -54,7 +75,7 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 class WordHashes(dict):
     """64-bit hashes of words; a bounded cache, as words repeat."""
 
-    def __init__(self, most: int = 250_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
@@ -124,3 +145,19 @@ def starts_of(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
         v = table.column(k).to_numpy()
         change[1:] |= v[1:] != v[:-1]
     return np.append(np.flatnonzero(change), table.num_rows)
+
+
+def tidy(run):
+    """A task's generator that gives its freed memory back to the system at its end, as Spark keeps Python workers."""
+
+    @functools.wraps(run)
+    def with_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return with_release

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, plain
+from .common import materialize, plain, tidy
 
 #: First code points of ranges and the script that each begins (fixed values; letters outside of them are "other").
 SCRIPT_RANGES = (
@@ -172,7 +172,7 @@ def _gram_counts(bits: int):
             more = np.flatnonzero(scripts[lang])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + len(more)), pa.string()), pa.array(np.concatenate((at, -1 - more)).astype(np.int32)), pa.array(np.concatenate((have[at], scripts[lang][more])))], ["lang", "bucket", "n"])
 
-    return run
+    return tidy(run)
 
 
 def fit_languages(labelled: DataFrame, per_language: int = MOST_PER_LANGUAGE, seed: int = 5) -> LanguageModel:
@@ -237,7 +237,7 @@ def _label(model, penalty: float, most_words: int = 200_000):
                 kind = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("lang", pa.string())]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
 
-    return run
+    return tidy(run)
 
 
 def label_languages(documents: DataFrame, model: LanguageModel, penalty: float = 12.0) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, materialize, plain, shingle_hashes
+from .common import WordHashes, as_bytes, materialize, plain, shingle_hashes, tidy
 
 SYMBOLS = b"#*$%&|<>"
 #: Kinds of bytes: inside a code point, white space, symbol, A-Z, a-z, digit, other ASCII, first of a longer code point.
@@ -55,6 +55,7 @@ def rule_counts(text: bytes | None, hashes: WordHashes) -> tuple[int, ...]:
     return (len(words), chars, int(kinds[SYMBOL]), len(lines) - len(set(lines)), repeated_words(hashes.of(words)), len(lines), int(kinds[UPPER]), int(kinds[LOWER]), int(kinds[DIGIT]), int(kinds[MARK]), len(set(words)))
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
@@ -134,7 +135,7 @@ def _score(trees):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(anomaly_scores(features(_arrays(batch)), trees.value))], [*batch.schema.names, "anomaly"])
 
-    return run
+    return tidy(run)
 
 
 def base_failed() -> F.Column:
@@ -182,7 +183,7 @@ def _keep(trees, limit: float):
                 keep &= anomaly_scores(features(counts), trees.value) < limit
             yield batch.filter(pa.array(keep))
 
-    return run
+    return tidy(run)
 
 
 def _fitted(counts: DataFrame, labels: DataFrame, false_rejects: float, seed: int):

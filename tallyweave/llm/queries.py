@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chat_format, read_formatted, threads
-from .common import materialize, new_path
+from .common import materialize, new_path, small_batches
 from .language_id import language_id
 from .mixing import mix_to_weights
 from .ngram_join import ngram_jaccard_components
@@ -28,6 +28,7 @@ def mix_levels() -> dict[str, Column]:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

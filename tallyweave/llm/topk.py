@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, plain
+from .common import materialize, plain, tidy
 
 #: Rows of a tile of candidates and of a block of queries; lists that one merge takes.
 TILE, BLOCK, FAN_IN = 4096, 1024, 32
@@ -43,7 +43,7 @@ def _matrices(scale: int, rows: int, key: str):
         for size, group in list(held):
             yield matrix(size, group)
 
-    return run
+    return tidy(run)
 
 
 def best_of_tile(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,7 +85,7 @@ def _products(k: int):
                 queries, found, score = best_of_tile(q_ids, q, ids, x, k)
                 yield pa.RecordBatch.from_arrays([pa.array(queries), pa.array(np.full(len(queries), row["tile_no"])), pa.array(found), pa.array(score)], ["query_id", "lst", "vec_id", "score"])
 
-    return run
+    return tidy(run)
 
 
 def _merged(lists: DataFrame, k: int, *keys) -> DataFrame:
