@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, distinct, materialize, mixed, plain, shingle_hashes, starts_of, whole_groups
+from .common import WordHashes, as_bytes, discard, distinct, materialize, mixed, plain, shingle_hashes, starts_of, tidy, whole_groups
 from .components import connected_components
 
 #: log2 of the number of counters that order shingles by frequency; the table has this fixed size for any input.
@@ -69,9 +69,10 @@ def _prints(width: int, bits: int):
             none = pa.nulls(PARTS).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "n", "f1", "f2", "bitmap", "part", "counts"])
 
-    return run
+    return tidy(run)
 
 
+@tidy
 def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -108,7 +109,7 @@ def _prefixes(ranks, width: int, num: int, den: int):
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(prints))], ["token", "f1"])
 
-    return run
+    return tidy(run)
 
 
 def _sets(width: int):
@@ -122,7 +123,7 @@ def _sets(width: int):
                 sets = [_set_of(text, words, width).tobytes() for text in as_bytes(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], ["doc", "tokens"])
 
-    return run
+    return tidy(run)
 
 
 def signature_tree_pairs(n: np.ndarray, maps: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -249,16 +250,19 @@ def _search(num: int, den: int, forest: bool):
         if kept:
             yield flush()
 
-    return run
+    return tidy(run)
 
 
 def _lists(entries: DataFrame, described: DataFrame, tiles_of_pairs: bool) -> DataFrame:
     """The lists (token, doc, comp) that have several components, with what the search needs; long ones in tiles.
 
-    Lists with the same smallest member go to one task, as the same pairs tend to meet in many of them.
+    Lists with the same smallest member go to one task, as the same pairs tend to meet in many of them; a member of very
+    many long lists is spread over several.
     """
     several = entries.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("members"), F.min("doc").alias("hub")).filter("least < most")
-    entries = entries.join(several.select("token", "members", "hub"), "token")
+    spread = several.groupBy("hub").agg(F.ceil(F.sum("members") / F.lit(4 * TILE)).alias("shares"))
+    several = several.join(spread, "hub").withColumn("share", F.pmod("token", "shares"))
+    entries = entries.join(several.select("token", "members", "hub", "share"), "token")
     k = F.ceil(F.col("members") / F.lit(TILE)).cast("int")
     dealt = entries.withColumn("tile", F.when(k > 1, F.pmod(F.xxhash64("doc"), k)).otherwise(0).cast("int"))
     if tiles_of_pairs:
@@ -266,7 +270,7 @@ def _lists(entries: DataFrame, described: DataFrame, tiles_of_pairs: bool) -> Da
     else:
         dealt = dealt.withColumn("lo", F.col("tile")).withColumn("hi", F.col("tile"))
     full = dealt.join(described, "doc")
-    return full.select("hub", "lo", "hi", "token", "tile", "doc", "comp", "n", "bitmap").repartition("hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi", "token")
+    return full.select("hub", "share", "lo", "hi", "token", "tile", "doc", "comp", "n", "bitmap").repartition("hub", "share", "lo", "hi").sortWithinPartitions("hub", "lo", "hi", "token")
 
 
 def _compare(num: int, den: int):
@@ -281,7 +285,7 @@ def _compare(num: int, den: int):
                 keep.append(den * shared >= num * (len(both) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return tidy(run)
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -290,11 +294,11 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.hint("broadcast" if few else "shuffle_hash"), "doc_id", "left_semi")
 
 
-def linked(lists: DataFrame, described: DataFrame, sets_of, num: int, den: int) -> DataFrame:
-    """Links (a, b: long) that join all pairs of ``lists`` with similar sets, and no others.
+def linked(lists: DataFrame, described: DataFrame, sets_of, num: int, den: int, one_in: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Two tables of links (a, b: long), materialized, that join all pairs of ``lists`` with similar sets, and no others.
 
     ``lists`` (token, doc), ``described`` (doc, n, bitmap), both materialized; ``sets_of(ids)`` gives (doc, tokens) for
-    the column ``doc`` of ids. First a forest of likely links of one list in eight is verified. Then all lists that
+    the column ``doc`` of ids. First a forest of likely links of one list in ``one_in`` is verified. Then all lists that
     still hold several components are searched, for pairs across components only. So what is verified is about as
     many pairs as members for groups of near copies, while every pair of a list is linked, or refuted, or already
     joined by links.
@@ -305,14 +309,17 @@ def linked(lists: DataFrame, described: DataFrame, sets_of, num: int, den: int)
         sets = materialize(sets_of(ids), "sets")
         x = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x"))
         y = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y"))
-        return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(num, den), "a long, b long"), "links")
+        found = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(num, den), "a long, b long"), "links")
+        discard(sets, pairs)
+        return found
 
-    sample = lists.filter("(token & 7) = 0").withColumn("comp", F.col("doc"))
+    sample = lists.filter(F.pmod("token", F.lit(one_in)) == 0).withColumn("comp", F.col("doc"))
     first = verified(materialize(_lists(sample, described, False).mapInArrow(_search(num, den, True), "a long, b long").distinct(), "likely"))
     early = connected_components(first)
     known = materialize(lists.join(early.select(F.col("node").alias("doc"), "component"), "doc", "left").select("token", "doc", F.coalesce("component", "doc").alias("comp")), "known")
     second = verified(materialize(_lists(known, described, True).mapInArrow(_search(num, den, False), "a long, b long").distinct(), "rest"))
-    return first.unionByName(second)
+    discard(known)
+    return first, second
 
 
 def ngram_jaccard_components(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -346,12 +353,14 @@ def ngram_jaccard_components(documents: DataFrame, width: int = 4, num: int = 85
         return _only(docs, ids.select(F.col("doc").alias("doc_id"))).mapInArrow(_sets(width), "doc long, tokens binary")
 
     links = linked(lists, described, sets_of, num, den)
+    discard(entries, lists)
 
     member = sets.join(copies.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     member = materialize(member.select("doc_id", "n", "rep"), "members")
     # a doc_id on several rows ties their classes together
     tied = member.filter("doc_id != rep").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = connected_components(links.unionByName(tied)).select(F.col("node").alias("rep"), "component")
+    final = connected_components(links[0].unionByName(links[1]).unionByName(tied)).select(F.col("node").alias("rep"), "component")
+    discard(prints, classes, *links)
     return member.join(final, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
@@ -364,6 +373,7 @@ def keep_one_of_each_component(documents: DataFrame, width: int, num: int, den:
     gone = member.filter("doc_id != component_id").select("doc_id").distinct()
     twice = member.groupBy("doc_id").count().filter("count > 1").select("doc_id").join(gone, "doc_id", "left_anti")
     gone, twice = materialize(gone, "gone"), materialize(twice, "twice")
+    discard(member)
 
     def few(ids: DataFrame) -> DataFrame:
         return ids.hint("broadcast" if ids.count() <= MOST_BROADCAST else "shuffle_hash")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, distinct, materialize, mixed, plain, shingle_hashes
+from .common import WordHashes, as_bytes, discard, distinct, materialize, mixed, plain, shingle_hashes, tidy
 from .components import connected_components
 from .ngram_join import MOST_BROADCAST, _bitmap, linked
 
@@ -75,7 +75,7 @@ def _described(bands: int, rows: int, width: int):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
                     out = []
 
-    return run
+    return tidy(run)
 
 
 def _paragraph_sets(width: int):
@@ -92,7 +92,7 @@ def _paragraph_sets(width: int):
                         sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc", "tokens"])
 
-    return run
+    return tidy(run)
 
 
 def repeated_paragraphs(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100, recall: float = 0.99, hashes: int = 12) -> DataFrame:
@@ -120,15 +120,19 @@ def repeated_paragraphs(documents: DataFrame, width: int = 5, num: int = 80, den
         few = wanted.count() <= MOST_BROADCAST // 10
         return docs.join(wanted.hint("broadcast" if few else "shuffle_hash"), "doc_id").select("text", "numbers").mapInArrow(_paragraph_sets(width), "doc long, tokens binary").dropDuplicates(["doc"])
 
-    component = connected_components(linked(lists, described, sets_of, num, den)).select(F.col("node").alias("f1"), "component")
+    links = linked(lists, described, sets_of, num, den, one_in=1)
+    component = connected_components(links[0].unionByName(links[1])).select(F.col("node").alias("f1"), "component")
+    discard(lists, *links)
     member = classes.join(component, "f1", "left").select("f1", "at", "members", F.coalesce("component", "f1").alias("component"), F.col("component").isNotNull().alias("joined"))
     member = materialize(member.filter("joined OR members > 1"), "member")
     kept = member.groupBy("component").agg(F.min("at").alias("kept"), F.sum("members").alias("times")).filter("times > 1")
     chosen = materialize(member.join(kept, "component").select("f1", "component", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.paragraph").alias("kept_paragraph")), "chosen")
+    discard(classes, member)
     out = found.select("doc_id", "paragraph", "n_words", "f1").join(chosen, "f1").distinct()
     return out.withColumn("removed", (F.col("doc_id") != F.col("kept_doc_id")) | (F.col("paragraph") != F.col("kept_paragraph")))
 
 
+@tidy
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
