@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, plain
+from .common import materialize, plain, tidy
 
 #: Pages of a volume (by ranges of page_id), places of a volume in the tree, and children of a node.
 VOLUME, PLACES, FANOUT = 2048, 1 << 20, 16
@@ -65,6 +65,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         at = min(stop, len(data))
 
 
+@tidy
 def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["volume", "seq", "record_id", "offset", "length", "hash"]
     for batch in batches:
@@ -80,6 +81,7 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return _volumes(spark, folder).mapInArrow(_manifest, "volume long, seq long, record_id string, offset long, length long, hash string")
 
 
+@tidy
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for volume, content, ranges in zip(batch.column("volume").to_pylist(), batch.column("content"), batch.column("ranges").to_pylist(), strict=True):
@@ -125,7 +127,8 @@ def damaged_leaves(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
     for a, b in zip(ours[-2::-1], theirs[-2::-1], strict=True):
         own = [x.withColumn("parent", F.floor(F.col("node") / FANOUT)).join(suspects.withColumnRenamed("node", "parent"), "parent", "left_semi") for x in (a, b)]
         other = own[1].select("node", F.col("hash").alias("other"))
-        suspects = own[0].join(other, "node", "full").filter(~F.col("hash").eqNullSafe(F.col("other"))).select("node")
+        # each level is written, or the plan would hold all above it twice
+        suspects = materialize(own[0].join(other, "node", "full").filter(~F.col("hash").eqNullSafe(F.col("other"))).select("node"), "suspects")
     return suspects
 
 
