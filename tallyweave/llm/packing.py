@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, plain
-from .tokens import PieceEncoder
+from .common import materialize, plain, tidy
+from .tokens import encoder
 
 WINDOW, OPEN_WINDOWS = 4096, 32
 #: A gap below this is padded rather than filled with so short a piece.
@@ -84,10 +84,10 @@ class Packer:
 
 def _pack(path: str, end_id: int, window: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path)
+        pieces = encoder(path)
         packer = Packer(window, most, TaskContext.get().partitionId() << 32)
         for batch in batches:
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.all_ids(batch.column("text").to_pylist()), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), pieces.all_ids(batch.column("text").to_pylist()), strict=True):
                 packer.add(doc, np.append(ids, np.uint32(end_id)))
                 if len(packer.rows) >= 2000:
                     yield packer.batch()
@@ -95,7 +95,7 @@ def _pack(path: str, end_id: int, window: int, most: int):
         if packer.rows:
             yield packer.batch()
 
-    return run
+    return tidy(run)
 
 
 def _merge(window: int, level: int):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -9,8 +10,13 @@ import numpy as np
 
 #: White space other than space and newline, in the widest sense; texts that hold any are encoded as they are.
 ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f-\u2064\u3000\ufeff]")
-#: A word with the one space before it, or white space: no pre-token of either vocabulary crosses these bounds.
-PIECE = re.compile("(?: ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+)")
+#: Pieces between which no pre-token of either vocabulary reaches: plain words with the one space before them, marks
+#: that end a word, anything else up to white space, and white space.
+LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+PIECE = re.compile(f"(?: ?[{LETTER}]+(?=[ \n.,!?;:]|\\Z)|[.,!?;:]+(?=[ \n]|\\Z)| ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+)")
+#: The same for a vocabulary that drops white space.
+WORD_PIECE = re.compile(f"(?:[{LETTER}]+(?=[ \n.,!?;:]|\\Z)|[.,!?;:]+(?=[ \n]|\\Z)|[^ \n]+)")
+WIDE = re.compile("[^\x00-\xff]")
 #: Pieces longer than this are not kept.
 LONG_PIECE = 64
 
@@ -19,7 +25,7 @@ class PieceEncoder:
     """Ids of whole texts by a file of the ``tokenizers`` library, the same as if each text were encoded at once.
 
     Most words of a corpus repeat, so the ids of up to ``most`` pieces are remembered. The strings of special
-    tokens in a text are ordinary text.
+    tokens in a text are ordinary text. Where the vocabulary folds case and drops white space, so do the pieces.
     """
 
     def __init__(self, path: str, most: int = 500_000):
@@ -28,11 +34,23 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most = most
+        rules = json.loads(self.tokenizer.to_str())
+        steps = (rules.get("normalizer") or {}).get("normalizers", [])
+        self.folds = any(x["type"] == "Lowercase" for x in steps)
+        self.pattern = WORD_PIECE if self.folds and any(x["type"] == "Replace" for x in steps) else PIECE
         self.known: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, text: str) -> list[str] | None:
+        """Pieces of a text; null if it must be encoded as it is."""
+        if ODD_SPACE.search(text):
+            return None
+        if self.folds and not WIDE.search(text):
+            text = text.lower()
+        return self.pattern.findall(text)
+
     def all_ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text (null: none), a few texts at a time."""
         at = 0
@@ -42,7 +60,7 @@ class PieceEncoder:
                 size += len(texts[stop] or "")
                 stop += 1
             part, at = texts[at:stop], stop
-            pieces = [PIECE.findall(t) if t and not ODD_SPACE.search(t) else None for t in part]
+            pieces = [self._pieces(t) if t else None for t in part]
             known = self.known
             new = {x for p in pieces if p for x in p if x not in known}
             if len(known) + len(new) > self.most:
@@ -58,3 +76,14 @@ class PieceEncoder:
             for x in new:
                 if len(x) > LONG_PIECE:
                     del known[x]
+
+
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
+    """The encoder of a file: one for a Python worker, which keeps its pieces from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
