@@ -27,15 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, plain
-from .tokens import PieceEncoder
+from .common import new_path, plain, tidy
+from .tokens import encoder
 
 MAGIC = b"TWIDS1\n\0"
 #: Range coders of a block; ids of each in the segments of a block.
 LANES, SEGMENTS = 32, (8, 24, 96, 128, 256)
 BLOCK = LANES * sum(SEGMENTS)
 #: Blocks that advance together.
-TOGETHER = 96
+TOGETHER = 64
 #: Ids are below this; the top one stands for an id that order 0 has not met.
 IDS, ESCAPE = 1 << 16, (1 << 16) - 1
 #: log2 of the contexts that orders 2 and 1 tell apart, of order 0's total, and of the weights' total.
@@ -84,10 +84,10 @@ class Model:
 
     def weights(self, block, before, last):
         """Predictions of orders 2 and 1, and where their shares of the range end."""
-        a, b = self.slot(0, before, last), self.slot(1, before, last)
-        two, one = self.guess[0][block, a], self.guess[1][block, b]
-        at = self.sure[0][block, a].astype(np.int64) * CONFIDENCES + self.sure[1][block, b]
-        w2, w1 = self.w2[block, at], self.w1[block, at]
+        a, b = (block << CONTEXT_BITS[0]) + self.slot(0, before, last), (block << CONTEXT_BITS[1]) + self.slot(1, before, last)
+        two, one = self.guess[0].take(a), self.guess[1].take(b)
+        at = block * CONFIDENCES**2 + self.sure[0].take(a) * np.int64(CONFIDENCES) + self.sure[1].take(b)
+        w2, w1 = self.w2.take(at), self.w1.take(at)
         same = two == one
         return two, one, np.where(same, w2 + w1, w2), w2 + w1
 
@@ -215,10 +215,10 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
             w0 = (1 << WEIGHT_BITS) - end1
             rest = target - (end1 << ZERO_BITS)
             slot = np.clip(rest // w0, 0, (1 << ZERO_BITS) - 1)
-            token = model.slots[block, slot]
+            token = model.slots.take((block << ZERO_BITS) + slot)
             hit2, hit1 = target < end2 << ZERO_BITS, rest < 0
-            start = np.where(hit2, 0, np.where(hit1, end2 << ZERO_BITS, (end1 << ZERO_BITS) + model.cum[block, token] * w0))
-            width = np.where(hit2, end2 << ZERO_BITS, np.where(hit1, (end1 - end2) << ZERO_BITS, model.freq[block, token] * w0))
+            start = np.where(hit2, 0, np.where(hit1, end2 << ZERO_BITS, (end1 << ZERO_BITS) + model.cum.take(block * IDS + token) * w0))
+            width = np.where(hit2, end2 << ZERO_BITS, np.where(hit1, (end1 - end2) << ZERO_BITS, model.freq.take(block * IDS + token) * w0))
             token = np.where(hit2, two, np.where(hit1, one, token))
             lost = np.flatnonzero(~hit1 & ~hit2 & (token == ESCAPE))
             take(every, start.astype(np.uint64), width.astype(np.uint64), unit)
@@ -308,9 +308,9 @@ def read_file(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray] |
 
 def _store(folder: str, path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, docs, lengths, parts = PieceEncoder(path), [], [], []
+        pieces, docs, lengths, parts = encoder(path), [], [], []
         for batch in batches:
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.all_ids(batch.column("text").to_pylist()), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), pieces.all_ids(batch.column("text").to_pylist()), strict=True):
                 if len(ids) and ids.max() >= ESCAPE:
                     raise ValueError("ids of 65535 or more do not fit this format")
                 docs.append(doc)
@@ -328,7 +328,11 @@ def _store(folder: str, path: str, end_id: int):
         fs.move(half, f"{place}/part-{number:06d}.ids")
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([sum(lengths)], pa.int64())], ["file", "n_docs", "n_ids"])
 
-    return run
+    return tidy(run)
+
+
+MANIFEST = "file int, n_docs long, n_ids long"
+DOCUMENT = "file int, place long, doc_id long, local_start long, ids binary"
 
 
 def write_token_files(documents: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, files: int | None = None) -> str:
@@ -342,10 +346,11 @@ def write_token_files(documents: DataFrame, tokenizer: str, end_id: int = 2, fol
     folder = folder or new_path(spark, "token-files")
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = plain(documents, "doc_id", "text").repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    docs.mapInArrow(_store(folder, tokenizer, end_id), "file int, n_docs long, n_ids long").agg(F.sum("n_ids")).collect()
+    docs.mapInArrow(_store(f"{folder}/ids", tokenizer, end_id), MANIFEST).write.parquet(f"{folder}/manifest")
     return folder
 
 
+@tidy
 def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["file", "place", "doc_id", "local_start", "ids"]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -374,11 +379,14 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     ids are little-endian unsigned 32-bit. A block or table that its checksum doesn't fit raises an error.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.ids").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    rows = found.select("path", "content").mapInArrow(_load, "file int, place long, doc_id long, local_start long, ids binary")
-    # files are few: their sizes, from their heads, give each file's first place
-    sizes = found.select(F.substring_index("path", "part-", -1).substr(1, 6).cast("int").alias("file"), F.expr("conv(hex(reverse(substring(content, 17, 8))), 16, 10)").cast("long").alias("n_ids"))
+    # files are few: the numbers of their ids give each file's first place
+    sizes = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     bases = sizes.select("file", (F.sum("n_ids").over(Window.orderBy("file")) - F.col("n_ids")).alias("base"))
+    if sizes.isEmpty():
+        rows = spark.createDataFrame([], DOCUMENT)
+    else:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.ids").schema("path string, modificationTime timestamp, length long, content binary").load(f"{folder}/ids")
+        rows = found.select("path", "content").mapInArrow(_load, DOCUMENT)
     return rows.join(F.broadcast(bases), "file").select("file", "place", "doc_id", (F.col("base") + F.col("local_start")).alias("start"), (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
