@@ -13,7 +13,7 @@ from .ngram_join import ngram_jaccard_components
 from .oracles import ORACLES  # noqa: F401
 from .packing import pack_sequences
 from .quality_rules import quality_rules
-from .substring_dedup import repeated_paragraphs
+from .substring_dedup import repeated_paragraphs, repeated_passages
 from .token_files import token_files
 from .topk import exact_top_k
 from .warc import fixity_audit, warc_records, write_replica
@@ -56,7 +56,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(_table(spark, sf_dir, "documents")).select("doc_id", "paragraph", "n_words", "component", "kept_doc_id", "kept_paragraph", "removed")
+    """Repeated paragraphs, and repeated passages in any layout (those have word places instead of a paragraph)."""
+    docs = _table(spark, sf_dir, "documents")
+    passages = repeated_passages(docs).select("doc_id", "first_word", "n_words", "kept_doc_id", "kept_first_word", "removed")
+    rows = repeated_paragraphs(docs).select("doc_id", "paragraph", "n_words", "component", "kept_doc_id", "kept_paragraph", "removed")
+    return rows.unionByName(passages, allowMissingColumns=True)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
-"""Substring dedup of paragraphs: MinHash bands find colliding paragraphs, exact Jaccard verifies them, and of each
-component of links one paragraph stays."""
+"""Substring dedup: of paragraphs that are alike or nearly, and of exact word runs wherever they stand.
+
+Paragraphs: MinHash bands find colliding ones, exact Jaccard verifies them, and of each component of links one stays.
+Passages: runs of LEAST_RUN words or more that stand at several places of the corpus, whatever lines they lie in. Every
+such run holds a word ANCHOR-gram that its own words choose; where anchors repeat, all runs around them are compared.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, as_bytes, discard, distinct, materialize, mixed, plain, shingle_hashes, tidy
@@ -19,6 +24,9 @@ from .ngram_join import MOST_BROADCAST, _bitmap, linked
 
 #: Words that a paragraph has at least to count as a passage; bytes above which a line is cut at sentences.
 LEAST_WORDS, LONG_LINE = 25, 1200
+#: Words of the shortest passage that is found in any layout; words of an anchor in it; anchors' places broadcast at most.
+LEAST_RUN, ANCHOR, MOST_PLACES = 50, 26, 4_000_000
+WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 SENTENCE_END = re.compile(rb"[.!?][\"')\]]*(?=\s)")
 
 
@@ -132,32 +140,183 @@ def repeated_paragraphs(documents: DataFrame, width: int = 5, num: int = 80, den
     return out.withColumn("removed", (F.col("doc_id") != F.col("kept_doc_id")) | (F.col("paragraph") != F.col("kept_paragraph")))
 
 
-@tidy
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, gone in zip(as_bytes(batch.column("text")), batch.column("_gone").to_pylist(), strict=True):
-            if gone and text is not None:
-                drop, parts = set(gone), []
-                for k, (a, b) in enumerate(paragraphs(text)):
-                    if k not in drop:
-                        parts.append(text[a : b + 1] if text[b : b + 1] == b"\n" else text[a:b])
-                text = b"".join(parts)
-            texts.append(None if text is None else text.decode())
-        names = [n for n in batch.schema.names if n != "_gone"]
-        columns = {n: batch.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
-        if "n_chars" in columns:
-            columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of each run of ``n`` word hashes, put together from runs of powers of two; none if there are fewer words."""
+    if len(words) < n:
+        return np.empty(0, np.uint64)
+    out, done, part, size = None, 0, words, 1
+    while True:
+        if n & size:
+            most = len(words) - done - size + 1
+            out = part[:most] if out is None else out[:most] * np.uint64(0x9E3779B97F4A7C15) + part[done : done + most]
+            done += size
+        if done == n:
+            return mixed(out)
+        part = part[:-size] * (np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(size * size * 1442695040888963406 % 2**63 * 2)) + part[size:]
+        size *= 2
 
 
-def remove_repeats(documents: DataFrame, **options) -> DataFrame:
-    """``documents`` with repeated paragraphs cut from their texts, but for the first place of each; all columns, n_chars
-    counted anew. A document of which nothing but white space is left goes; others and null texts stay."""
-    gone = repeated_paragraphs(documents, **options).filter("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("_gone"))
+def _sliding(op, values: np.ndarray, width: int) -> np.ndarray:
+    size = 1
+    while size < width:
+        step = min(size, width - size)
+        values = op(values[:-step], values[step:])
+        size += step
+    return values
+
+
+def anchors(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the ANCHOR-grams that are the least of all within some run of ``least`` words. A run chooses
+    by its own words alone, so equal runs hold equal anchors at equal places."""
+    values, width = run_hashes(words, ANCHOR), least - ANCHOR + 1
+    if len(values) < width:
+        return np.empty(0, np.int64), values[:0]
+    lows = np.pad(_sliding(np.minimum, values, width), width - 1)
+    places = np.flatnonzero(_sliding(np.maximum, lows, width) == values)
+    return places, values[places]
+
+
+def _text_id(text: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def _anchored(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            docs = batch.column("doc_id").to_pylist()
+            for at in range(0, len(docs), 500):
+                out = []
+                for doc, text in zip(docs[at : at + 500], as_bytes(batch.column("text").slice(at, 500)), strict=True):
+                    own = text.lower().split()
+                    if len(own) >= least:
+                        out.append((doc, _text_id(text), len(own), anchors(words.of(own), least)[1].view(np.int64)))
+                if out:
+                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "text_id", "n_words", "anchors"])
+
+    return tidy(run)
+
+
+def _runs(least: int):
+    """All runs of ``least`` words that hold one of the anchors asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            docs, texts, asked = batch.column("doc_id").to_pylist(), batch.column("text_id").to_pylist(), batch.column("numbers").to_pylist()
+            for at in range(0, len(docs), 200):
+                runs, starts, owners, own_texts = [], [], [], []
+                for k, text in enumerate(as_bytes(batch.column("text").slice(at, 200)), at):
+                    if _text_id(text) != texts[k]:  # another row of this doc_id
+                        continue
+                    own = words.of(text.lower().split())
+                    values = run_hashes(own, least)
+                    edges = np.zeros(len(values) + 1, np.int64)
+                    places = anchors(own, least)[0][asked[k]]
+                    np.add.at(edges, np.maximum(0, places - (least - ANCHOR)), 1)
+                    np.add.at(edges, np.minimum(places + 1, len(values)), -1)
+                    near = np.flatnonzero(np.cumsum(edges)[:-1] > 0)
+                    runs.append(values[near])
+                    starts.append(near)
+                    owners.append(np.full(len(near), docs[k], np.int64))
+                    own_texts.append(np.full(len(near), texts[k], np.int64))
+                if runs:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(runs).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(own_texts)), pa.array(np.concatenate(starts).astype(np.int32))], ["run", "doc_id", "text_id", "start"])
+
+    return tidy(run)
+
+
+def repeated_passages(documents: DataFrame, least: int = LEAST_RUN) -> DataFrame:
+    """Word runs of ``documents`` (doc_id, text) that stand twice or more, of ``least`` words (over ANCHOR) at least.
+
+    Words are lower-cased in A-Z and split at ASCII white space; lines and sentences don't matter. Each run of ``least``
+    words belongs to its first place by doc_id, text_id and word. Returns doc_id, text_id (of the text, where a doc_id
+    has several), first_word, n_words, kept_doc_id, kept_first_word, removed (it isn't the first place): one row for
+    each stretch of words that repeats the same place on. A run that overlaps its own first place is not removed. Every
+    word of a removed run stands at an earlier place as well, so one stays. No pairs are made, and no group has a cap.
+    Equal texts are one first; null texts and rows with a null doc_id take no part.
+    """
+    docs = plain(documents, "doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = materialize(docs.mapInArrow(_anchored(least), "doc_id long, text_id long, n_words int, anchors array<long>"), "anchored")
+    texts = materialize(found.groupBy("text_id", "n_words").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("anchors").alias("anchors")), "texts")
+    marks = texts.select("doc_id", "text_id", F.posexplode("anchors").alias("number", "anchor"))
+    shared = marks.groupBy("anchor").count().filter("count > 1").select("anchor")
+    wanted = materialize(marks.join(shared, "anchor", "left_semi").groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_list("number")).alias("numbers")), "wanted")
+    n, places = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("numbers")), F.lit(0))).first()
+    few = n <= MOST_BROADCAST // 10 and places <= MOST_PLACES
+    runs = materialize(docs.join(wanted.hint("broadcast" if few else "shuffle_hash"), "doc_id").select("doc_id", "text_id", "text", "numbers").mapInArrow(_runs(least), "run long, doc_id long, text_id long, start int"), "runs")
+    discard(wanted)
+    place = F.struct("doc_id", "text_id", "start")
+    first = runs.groupBy("run").agg(F.min(place).alias("kept"), F.max(place).alias("last")).filter("kept < last").select("run", "kept")
+    own = (F.col("kept.doc_id") == F.col("doc_id")) & (F.col("kept.text_id") == F.col("text_id")) & (F.col("kept.start") + least > F.col("start"))
+    kept = F.when(own, place).otherwise(F.col("kept"))
+    at = runs.join(first, "run").select("doc_id", "text_id", "start", kept.alias("kept"), (~own).alias("removed")).select("doc_id", "text_id", "start", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.text_id").alias("kept_text_id"), (F.col("kept.start") - F.col("start")).alias("shift"), "removed")
+    stretch = ["doc_id", "text_id", "kept_doc_id", "kept_text_id", "shift", "removed"]
+    order = Window.partitionBy(*stretch).orderBy("start")
+    spans = at.withColumn("island", F.col("start") - F.dense_rank().over(order)).groupBy(*stretch, "island").agg(F.min("start").alias("first_word"), F.max("start").alias("end"))
+    spans = materialize(spans.select("doc_id", "text_id", "first_word", (F.col("end") - F.col("first_word") + least).alias("n_words"), "kept_doc_id", (F.col("first_word") + F.col("shift")).alias("kept_first_word"), "removed"), "spans")
+    copied = texts.filter("doc_id < last").select("text_id", "n_words", F.col("doc_id").alias("kept_doc_id"))
+    zero = F.lit(0)
+    copies = found.join(copied, ["text_id", "n_words"]).select("doc_id", "text_id", zero.alias("first_word"), "n_words", "kept_doc_id", zero.alias("kept_first_word"), (F.col("doc_id") != F.col("kept_doc_id")).alias("removed")).distinct()
+    out = materialize(spans.unionByName(copies), "passages")
+    discard(found, texts, runs, spans)
+    return out
+
+
+def _without_paragraphs(text: bytes, gone: list[int]) -> bytes:
+    drop, parts = set(gone), []
+    for k, (a, b) in enumerate(paragraphs(text)):
+        if k not in drop:
+            parts.append(text[a : b + 1] if text[b : b + 1] == b"\n" else text[a:b])
+    return b"".join(parts)
+
+
+def _without_passages(text: bytes, gone: list[dict]) -> bytes:
+    own = _text_id(text)
+    spans = sorted((g["first_word"], g["first_word"] + g["n_words"]) for g in gone if g["text_id"] == own)
+    starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
+    parts, at = [], 0
+    for first, end in spans:
+        if starts[first] > at:
+            parts.append(text[at : starts[first]])
+        at = max(at, starts[end])
+    return b"".join([*parts, text[at:]])
+
+
+def _cut(without):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, gone in zip(as_bytes(batch.column("text")), batch.column("_gone").to_pylist(), strict=True):
+                if gone and text is not None:
+                    text = without(text, gone)
+                texts.append(None if text is None else text.decode())
+            names = [n for n in batch.schema.names if n != "_gone"]
+            columns = {n: batch.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+
+    return tidy(run)
+
+
+def _cut_from(documents: DataFrame, gone: DataFrame, without) -> tuple[DataFrame, bool]:
+    """``documents`` without what ``gone`` (doc_id, _gone) names, and whether no texts were shuffled for it."""
     gone = materialize(gone, "gone")
     few = gone.count() <= MOST_BROADCAST // 10
-    schema = documents.schema
     cut = documents.join(gone.hint("broadcast" if few else "shuffle_hash"), "doc_id", "left").select(*[F.col(f"`{c}`") for c in documents.columns], "_gone")
-    touched = cut.filter("_gone IS NOT NULL").mapInArrow(_cut, schema).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return cut.filter("_gone IS NULL").drop("_gone").unionByName(touched)
+    touched = cut.filter("_gone IS NOT NULL").mapInArrow(_cut(without), documents.schema).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return cut.filter("_gone IS NULL").drop("_gone").unionByName(touched), few
+
+
+def remove_repeats(documents: DataFrame, **options) -> DataFrame:
+    """``documents`` with repeated paragraphs cut from their texts, but for the first place of each, and then repeated
+    passages of what is left; all columns, n_chars counted anew. A document of which nothing but white space is left
+    goes; others and null texts stay."""
+    gone = repeated_paragraphs(documents, **options).filter("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("_gone"))
+    left, few = _cut_from(documents, gone, _without_paragraphs)
+    if not few:  # it is read several times
+        left = materialize(left, "left")
+    gone = repeated_passages(left).filter("removed").groupBy("doc_id").agg(F.collect_set(F.struct("text_id", "first_word", "n_words")).alias("_gone"))
+    return _cut_from(left, gone, _without_passages)[0]

@@ -264,6 +264,37 @@ def test_substring_dedup_against_brute_force(docs, odd, none):
     assert substring_dedup.repeated_paragraphs(none).count() == 0 and substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_passages_inside_lines_and_across_newlines(spark):
+    r = random.Random(8)
+    fresh = lambda n: prose(r, n, 10**7)
+    passage = fresh(51)
+    words = passage.split()
+    across = " ".join(words[:20]) + "\n" + " ".join(words[20:]).upper()
+    rows = [(1, fresh(150) + " " + passage + " " + fresh(150)), (2, fresh(30) + " " + across + " " + fresh(40)), (3, passage), (4, fresh(90) + " " + " ".join(words[:49]) + " " + fresh(90))]
+    rows += [(5, fresh(300)), (6, rows[0][1]), (7, fresh(100)), (7, fresh(30) + " " + passage)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, x.first_word, x.n_words, x.kept_doc_id, x.kept_first_word, x.removed) for x in substring_dedup.repeated_passages(table).collect()}
+    assert got == {(1, 150, 51, 1, 150, False), (2, 30, 51, 1, 150, True), (3, 0, 51, 1, 150, True), (7, 30, 51, 1, 150, True), (1, 0, 351, 1, 0, False), (6, 0, 351, 1, 0, True)}
+    cut = sorted((x.doc_id, x.text.split()) for x in substring_dedup.remove_repeats(table).collect())
+    want = [(1, rows[0][1].split()), (2, rows[1][1].split()[:30] + rows[1][1].split()[81:]), (4, rows[3][1].split()), (5, rows[4][1].split()), (7, rows[6][1].split()), (7, rows[7][1].split()[:30])]
+    assert cut == sorted(want)
+
+
+def test_passages_against_brute_force(spark, docs, odd, none):
+    r = random.Random(9)
+    noisy = [(i, " ".join(r.choice("ab") for _ in range(r.randrange(300)))) for i in range(30)] + [(40, "x y z " * 60)]
+    for table, least in ((docs, 50), (odd, 50), (spark.createDataFrame(noisy, "doc_id long, text string"), 30)):
+        where = defaultdict(set)
+        for i, t in {(x.doc_id, x.text) for x in table.collect() if x.doc_id is not None}:
+            words = (t or "").encode().lower().split()
+            for k in range(len(words) - least + 1):
+                where[tuple(words[k : k + least])].add((i, k))
+        want = {(i, k + j) for places in where.values() if len(places) > 1 for i, k in places for j in range(least)}
+        found = substring_dedup.repeated_passages(table, least).collect()
+        assert {(x.doc_id, k) for x in found for k in range(x.first_word, x.first_word + x.n_words)} == want
+    assert substring_dedup.repeated_passages(none).count() == 0
+
+
 def test_bands_are_tuned():
     for similarity, hashes in ((0.8, 12), (0.5, 40), (0.9, 20)):
         bands, rows = substring_dedup.tune_bands(similarity, 0.99, hashes)
