@@ -27,8 +27,8 @@ SCRIPT_RANGES = (
 SCRIPTS = sorted({s for _, s in SCRIPT_RANGES})
 #: log2 of the number of buckets of character n-grams, and the lengths of those.
 BUCKET_BITS, GRAMS = 16, (1, 2, 3, 4)
-#: Documents of each language, and languages, that the model is fitted on at most.
-MOST_PER_LANGUAGE, MOST_LANGUAGES = 3000, 256
+#: Documents of each language that the model is fitted on at most.
+MOST_PER_LANGUAGE = 3000
 #: A script belongs to a language if it writes this share of its letters.
 SCRIPT_SHARE = 0.01
 
@@ -119,20 +119,20 @@ class LanguageModel:
 
 def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     """The best state of each step of each sequence, where a change of state costs ``penalty``; ties go to the first state."""
-    out: list[np.ndarray] = [np.empty(0, np.int8)] * len(scores)
+    out: list[np.ndarray] = [np.empty(0, np.int16)] * len(scores)
     order = sorted((i for i, s in enumerate(scores) if len(s)), key=lambda i: -len(scores[i]))
     at = 0
     while at < len(order):
         steps = len(scores[order[at]])
-        lanes = order[at : at + max(1, 600_000 // steps)]
+        k = scores[order[at]].shape[1]
+        lanes = order[at : at + max(1, 2_400_000 // (steps * max(4, k)))]
         at += len(lanes)
         lengths = np.array([len(scores[i]) for i in lanes])
-        k = scores[lanes[0]].shape[1]
         x = np.zeros((steps, len(lanes), k), np.float32)
         for j, i in enumerate(lanes):
             x[: lengths[j], j] = scores[i]
         active = np.searchsorted(-lengths, -np.arange(steps), "left")  # lanes longer than each step, as they are sorted
-        came = np.zeros((steps, len(lanes), k), np.int8)
+        came = np.zeros((steps, len(lanes), k), np.int16)
         best = x[0].copy()
         own = np.arange(k)
         for t in range(1, steps):
@@ -144,7 +144,7 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
             came[t, :n] = np.where(stay, own, top[:, None])
             best[:n] = np.where(stay, now, change[:, None]) + x[t, :n]
         state = best.argmax(1)
-        path = np.zeros((steps, len(lanes)), np.int8)
+        path = np.zeros((steps, len(lanes)), np.int16)
         for t in range(steps - 1, -1, -1):
             n = active[t]
             path[t, :n] = state[:n]
@@ -178,10 +178,10 @@ def _gram_counts(bits: int):
 def fit_languages(labelled: DataFrame, per_language: int = MOST_PER_LANGUAGE, seed: int = 5) -> LanguageModel:
     """Learn from ``labelled`` (doc_id, text, lang), rows without nulls.
 
-    Bounds: ``per_language`` documents of each language, chosen by a hash of doc_id, and MOST_LANGUAGES languages;
-    so what is fetched has at most 2**BUCKET_BITS numbers a language.
+    Every language is learned. Bound: ``per_language`` documents of each language, chosen by a hash of doc_id; so what
+    is fetched has at most 2**BUCKET_BITS numbers a language.
     """
-    totals = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    totals = labelled.groupBy("lang").count()
     order = F.xxhash64("doc_id", F.lit(seed))
     near = labelled.join(F.broadcast(totals), "lang").filter(F.pmod(order, F.lit(1_000_000)) < F.lit(1_000_000.0 * per_language) / F.col("count"))
     counted = near.select("text", "lang").mapInArrow(_gram_counts(BUCKET_BITS), "lang string, bucket int, n long")
@@ -205,11 +205,14 @@ def _label(model, penalty: float, most_words: int = 200_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: LanguageModel = model.value
         place: dict[str, int] = {}
+        # many languages make wide rows, so fewer are held
+        width = max(4, len(m.languages))
+        step = max(1, 4000 // width)
         known, scripts = np.empty((0, len(m.languages)), np.float32), np.empty(0, np.int64)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                if len(place) > most_words:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                if len(place) > most_words * 4 // width:
                     place, known, scripts = {}, known[:0], scripts[:0]
                 texts = [(x or "").split() for x in part.column("text").to_pylist()]
                 new = list(dict.fromkeys(w for t in texts for w in t if w not in place))

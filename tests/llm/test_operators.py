@@ -153,6 +153,15 @@ def test_language_spans(spark):
     assert abs(spans[1].first_word - 30) < 4 and all(a.end_word == b.first_word for a, b in itertools.pairwise(spans))
 
 
+def test_more_than_256_languages(spark):
+    rows = [(i, " ".join(chr(0x4E00 + 8 * i + j) * 3 for j in range(8)), f"l{i:03}") for i in range(260)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_languages(table)
+    assert len(model.languages) == 260
+    got = {x.doc_id: x.lang_pred for x in language_id.label_languages(table, model).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(0)
     for n in (1, 2, 5):
