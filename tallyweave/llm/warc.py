@@ -7,6 +7,7 @@ hashes differ are descended, down to the damaged records.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -65,6 +66,32 @@ def parse_warc(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         at = min(stop, len(data))
 
 
+def _unzipped(content: bytes) -> tuple[bytes, bytes]:
+    """What decompresses of a gzip'd volume before an error, and the rest of the file: bytes that are no whole gzip
+    member, or empty. Members may follow each other."""
+    parts = []
+    while content:
+        one, whole = zlib.decompressobj(31), []
+        for at in range(0, len(content), 1024):
+            try:
+                whole.append(one.decompress(content[at : at + 1024]))
+            except zlib.error:
+                # byte by byte from the last good state, to lose none before the error
+                one = zlib.decompressobj(31)
+                with contextlib.suppress(zlib.error):
+                    whole = [one.decompress(content[:at])]
+                    for k in range(at, min(at + 1024, len(content))):
+                        whole.append(one.decompress(content[k : k + 1]))
+                return b"".join(parts + whole), content
+            if one.eof:
+                break
+        parts += whole
+        if not one.eof:
+            return b"".join(parts), content
+        content = one.unused_data + content[at + 1024 :]
+    return b"".join(parts), b""
+
+
 @tidy
 def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["volume", "seq", "record_id", "offset", "length", "hash"]
@@ -85,21 +112,23 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for volume, content, ranges in zip(batch.column("volume").to_pylist(), batch.column("content"), batch.column("ranges").to_pylist(), strict=True):
-            try:
-                data = zlib.decompressobj(31).decompress(content.as_py() or b"")
-            except zlib.error:
-                data = b""
-            rows = [(volume, r["seq"], r["offset"], r["length"], hashlib.sha256(memoryview(data)[r["offset"] : r["offset"] + r["length"]]).hexdigest()) for r in ranges]
+            data, broken = _unzipped(content.as_py() or b"")
+            rows = [(volume, r["seq"], r["offset"], r["length"], hashlib.sha256(memoryview(data)[r["offset"] : r["offset"] + r["length"]]).hexdigest()) for r in ranges or []]
+            end = max((r["offset"] + r["length"] for r in ranges or []), default=0)
+            if len(data) > end or broken or not ranges:
+                rest = data[end:]
+                rows.append((volume, len(rows), end, len(rest), hashlib.sha256(rest + broken).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.string()), strict=True)], ["volume", "seq", "offset", "length", "hash"])
 
 
 def hash_ranges(spark: SparkSession, folder: str, expected: DataFrame) -> DataFrame:
     """Hashes of the offset ranges that ``expected`` (volume, seq, offset, length) names, in another replica.
 
-    A missing volume, or one that doesn't decompress, hashes as empty.
+    A missing volume hashes as empty, and so does what comes after an error of decompression. Bytes after the last range,
+    a broken end of a file, and volumes that ``expected`` doesn't have are one more range of their volume, to its end.
     """
     ranges = expected.groupBy("volume").agg(F.array_sort(F.collect_list(F.struct("seq", "offset", "length"))).alias("ranges"))
-    return ranges.join(_volumes(spark, folder), "volume", "left").select("volume", "content", "ranges").mapInArrow(_ranges, "volume long, seq long, offset long, length long, hash string")
+    return ranges.join(_volumes(spark, folder), "volume", "full").select("volume", "content", "ranges").mapInArrow(_ranges, "volume long, seq long, offset long, length long, hash string")
 
 
 def merkle_levels(hashes: DataFrame) -> list[DataFrame]:
@@ -121,9 +150,12 @@ def merkle_levels(hashes: DataFrame) -> list[DataFrame]:
 def damaged_leaves(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
     """Leaves (node) whose hashes differ, found from the roots down through mismatching branches only."""
     spark = ours[0].sparkSession
+    if len(ours) != len(theirs):  # theirs has volumes beyond our last one
+        both = ours[0].select("node", "hash").join(theirs[0].select("node", F.col("hash").alias("other")), "node", "full")
+        return both.filter(~F.col("hash").eqNullSafe(F.col("other"))).select("node")
     if [r.hash for r in ours[-1].select("hash").collect()] == [r.hash for r in theirs[-1].select("hash").collect()]:
         return spark.createDataFrame([], "node long")
-    suspects = ours[-1].select("node")
+    suspects = ours[-1].select("node").unionByName(theirs[-1].select("node")).distinct()
     for a, b in zip(ours[-2::-1], theirs[-2::-1], strict=True):
         own = [x.withColumn("parent", F.floor(F.col("node") / FANOUT)).join(suspects.withColumnRenamed("node", "parent"), "parent", "left_semi") for x in (a, b)]
         other = own[1].select("node", F.col("hash").alias("other"))
@@ -135,11 +167,15 @@ def damaged_leaves(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
 def fixity_audit(spark: SparkSession, ours: str, theirs: str) -> DataFrame:
     """Audit a replica against ours: volume, seq, record_id, offset, length, hash, damaged (boolean), one row a record.
 
-    Every record is hashed in both; the comparison descends only mismatching branches of the trees. An empty replica
-    has no rows. Records of the other replica are cut at our offsets, so damage to a header does not hide what follows.
+    Every record is hashed in both; the comparison descends only mismatching branches of the trees. Records of the other
+    replica are cut at our offsets, so damage to a header does not hide what follows; where a gzip file breaks, records
+    before the break are whole. What the other replica has beyond our records, at the end of a volume or as a volume of
+    its own, is a damaged row without record_id, with its own offset, length and hash. Two empty replicas have no rows.
     """
     listed = materialize(manifest(spark, ours), "manifest")
     other = materialize(hash_ranges(spark, theirs, listed), "ranges")
     bad = damaged_leaves(merkle_levels(listed), merkle_levels(other)).withColumn("damaged", F.lit(True))
     node = (F.col("volume") + NO_ID_VOLUMES) * PLACES + F.col("seq")
-    return listed.withColumn("node", node).join(bad, "node", "left").select("volume", "seq", "record_id", "offset", "length", "hash", F.coalesce("damaged", F.lit(False)).alias("damaged"))
+    rows = listed.withColumn("node", node).join(bad, "node", "left").select("volume", "seq", "record_id", "offset", "length", "hash", F.coalesce("damaged", F.lit(False)).alias("damaged"))
+    extra = other.withColumn("node", node).join(bad, "node").join(listed.select("volume", "seq"), ["volume", "seq"], "left_anti")
+    return rows.unionByName(extra.select("volume", "seq", F.lit(None).cast("string").alias("record_id"), "offset", "length", "hash", "damaged"))

@@ -1,5 +1,6 @@
 """The corpus operators against brute force, and on odd rows: nulls, empty and long texts, ties, repeats, no rows."""
 
+import gzip
 import hashlib
 import itertools
 import os
@@ -395,6 +396,31 @@ def test_warc_audit(spark, tmp_path):
     assert not any(a.damaged for a in warc.fixity_audit(spark, ours, same).collect())
 
 
+def test_warc_audit_sees_more_bytes_and_places_a_bad_bit(spark, tmp_path):
+    pages = [(i, f"http://x/{i}", hashlib.sha256(str(i).encode()).hexdigest() * 40) for i in range(2200)]
+    records = warc.warc_records(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    ours, theirs = str(tmp_path / "ours"), str(tmp_path / "theirs")
+    warc.write_replica(records, ours)
+    warc.write_replica(records, theirs)
+    for checksum in (tmp_path / "theirs").glob("volume=*/.*.crc"):
+        checksum.unlink()  # else the local file system refuses to read changed files
+    (extra,) = (tmp_path / "theirs" / "volume=1").glob("part-*")
+    extra.write_bytes(extra.read_bytes() + gzip.compress(b"more"))
+    (tmp_path / "theirs" / "volume=9").mkdir()
+    (tmp_path / "theirs" / "volume=9" / "part-0.txt.gz").write_bytes(gzip.compress(b"WARC/1.0\r\n\r\n"))
+    found = {(x.volume, x.record_id, x.length) for x in warc.fixity_audit(spark, ours, theirs).collect() if x.damaged}
+    assert found == {(1, None, 4), (9, None, 12)}
+    (broken,) = (tmp_path / "theirs" / "volume=0").glob("part-*")
+    data = bytearray(broken.read_bytes())
+    data[-4] ^= 1  # the length at the file's end: nothing else is touched
+    broken.write_bytes(bytes(data))
+    found = [x for x in warc.fixity_audit(spark, ours, theirs).collect() if x.damaged and x.volume == 0]
+    assert len(found) == 1 and found[0].record_id is None
+    broken.write_bytes(bytes(data[: len(data) // 2]))
+    found = sorted(x.seq for x in warc.fixity_audit(spark, ours, theirs).collect() if x.damaged and x.volume == 0 and x.record_id)
+    assert found[-1] == 2047 and 900 < found[0] < 1150 and found == list(range(found[0], 2048))
+
+
 def test_chat_paths_of_trees(spark):
     rows = [("t", 1, None, 1.0, "user", "q"), ("t", 2, 1, 5.0, "assistant", "a"), ("t", 3, 1, 2.0, "assistant", "b"), ("t", 4, 3, 9.0, "user", "c"), ("t", 5, 4, None, "assistant", "d"),
             ("c", 1, 2, 1.0, "user", "x"), ("c", 2, 1, 1.0, "user", "y"), ("o", 8, 99, 1.0, "user", None)]
