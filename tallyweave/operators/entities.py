@@ -80,7 +80,8 @@ def duplicate_candidates(usage: DataFrame, rejections: DataFrame | None = None,
 
     Signals: one key within the other, word overlap, equal keys after an end word is cut. Pairs meet by what they must
     share: each key is looked up under the rarest 4-gram of the shorter one, under words, and under trimmed forms; equal
-    keys are one row first, so a common name makes no pairs among its own copies.
+    keys are one row first, so a common name makes no pairs among its own copies. A rejected pair alone goes: where it
+    stood for others, the entities are linked by pairs that nobody rejected.
     """
     rows = usage.filter(F.length("key") > 0)
     if inactive is not None:
@@ -113,8 +114,7 @@ def duplicate_candidates(usage: DataFrame, rejections: DataFrame | None = None,
     stars = scored.filter("a = b").join(rows.select(F.col("key").alias("a"), F.col("id").alias("y")), "a").join(first.select(F.col("key").alias("a"), F.col("first").alias("x")), "a").filter("x != y").select("x", "y", "confidence")
     found = heads.unionAll(stars).select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "confidence")
     if rejections is not None:
-        gone = rejections.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"))
-        found = found.join(gone, ["left_id", "right_id"], "left_anti")
+        found = _without_rejected(found, rows.select("id", "key"), rejections)
     info = rows.select("id", "key", "claims")
     for side in ("left", "right"):
         found = found.join(info.select(F.col("id").alias(f"{side}_id"), F.col("key").alias(f"{side}_key"), F.col("claims").alias(f"{side}_claims")), f"{side}_id")
@@ -122,6 +122,45 @@ def duplicate_candidates(usage: DataFrame, rejections: DataFrame | None = None,
     return found.withColumn("suggested", F.when(left_wins, F.col("left_id")).otherwise(F.col("right_id")))
 
 
+def _without_rejected(found: DataFrame, rows: DataFrame, rejections: DataFrame) -> DataFrame:
+    """Candidates ``found`` (left_id, right_id, confidence) of entities ``rows`` (id, key) without rejected pairs, and with
+    others in place of those, so that the same entities hang together as in all pairs without the rejected ones.
+
+    A copy of a name that may not go with the first id goes with the least other one that may, of those that stay with
+    the first; without any, with all other copies that it may go with. Two keys are linked by the first pair that is not
+    rejected. As many ids of a key are looked at as it has rejections, and one more.
+    """
+    gone = rejections.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id")).filter("left_id != right_id").distinct()
+    side = lambda s: rows.select(F.col("id").alias(f"{s}_id"), F.col("key").alias(f"{s}_key"))
+    keyed = gone.join(side("left"), "left_id").join(side("right"), "right_id")
+    lost = found.join(keyed, ["left_id", "right_id"])
+    left = found.join(gone, ["left_id", "right_id"], "left_anti")
+
+    # copies of one name: the first id has the smaller place in each of its pairs
+    hit = lost.filter("left_key = right_key").select(F.col("left_key").alias("key"), F.col("right_id").alias("y"), "confidence")
+    both = keyed.filter("left_key = right_key").select(F.col("left_key").alias("key"), F.col("left_id").alias("y"), F.col("right_id").alias("z"))
+    both = both.unionAll(both.select("key", F.col("z").alias("y"), F.col("y").alias("z")))
+    hit = hit.join(both.groupBy("key", "y").agg(F.count("*").alias("n")), ["key", "y"])
+    stay = rows.join(hit.select("key").distinct(), "key", "left_semi").join(hit.select(F.col("y").alias("id")), "id", "left_anti")
+    stay = stay.select("key", F.col("id").alias("z"), F.row_number().over(Window.partitionBy("key").orderBy("id")).alias("place"))
+    free = hit.join(stay, "key").filter("place <= n + 1").drop("place").join(both, ["key", "y", "z"], "left_anti")
+    near = free.groupBy("key", "y", "confidence").agg(F.min("z").alias("z")).select("key", "y", "z", "confidence")
+    alone = hit.join(near, ["key", "y"], "left_anti").select("key", "y", "confidence")
+    rest = alone.join(hit.select("key", F.col("y").alias("z")), "key").filter("y != z").join(both, ["key", "y", "z"], "left_anti").select("key", "y", "z", "confidence")
+    copies = near.unionAll(rest).select(F.least("y", "z").alias("left_id"), F.greatest("y", "z").alias("right_id"), "confidence")
+
+    # two keys
+    keys = [F.least("left_key", "right_key").alias("a"), F.greatest("left_key", "right_key").alias("b")]
+    cut = lost.filter("left_key != right_key").select(*keys, "confidence").join(keyed.select(*keys).groupBy("a", "b").agg(F.count("*").alias("n")), ["a", "b"])
+    used = cut.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    ranked = rows.join(used, "key", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("id")))
+    x = ranked.select(F.col("key").alias("a"), F.col("id").alias("x"), F.col("place").alias("px"))
+    y = ranked.select(F.col("key").alias("b"), F.col("id").alias("y"), F.col("place").alias("py"))
+    pairs = cut.join(x, "a").filter("px <= n + 1").join(y, "b").filter("py <= n + 1").withColumns({"left_id": F.least("x", "y"), "right_id": F.greatest("x", "y")})
+    pairs = pairs.join(gone, ["left_id", "right_id"], "left_anti").groupBy("a", "b", "confidence").agg(F.min(F.struct(F.col("px") + F.col("py"), "left_id", "right_id")).alias("f"))
+    return left.unionByName(copies).unionByName(pairs.select("f.left_id", "f.right_id", "confidence")).distinct()
+
+
 def apply_merges(requests: DataFrame, entities: DataFrame, merges: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Requests (from_id, into_id): new merge rows, aliases at their new homes without repeats, and rejects with a reason."""
     kinds = entities.select("entity_id", "entity_type")

@@ -163,6 +163,14 @@ def test_feed_as_batch_and_as_stream(spark, tmp_path):
     assert {r.sha256 for r in spark.table("found_docs").collect()} == {r.sha256 for r in feed.discover_documents(batch).collect()}
 
 
+def test_only_rejected_pairs_of_copies_go(spark):
+    copies = {"alpha": (1, 2, 3, 4), "bravo": (11, 12, 13, 14), "delta": (21, 22, 23, 24), "gamma": (31, 32), "omega steel works": (41, 42), "omega steel works north": (45, 46)}
+    usage = spark.createDataFrame([(i, key, 1) for key, ids in copies.items() for i in ids], "id long, key string, claims long")
+    rejected = spark.createDataFrame([(2, 1), (11, 12), (11, 13), (21, 22), (21, 23), (24, 21), (31, 32), (45, 41)], "a long, b long")
+    got = {(r.left_id, r.right_id) for r in entities.duplicate_candidates(usage, rejections=rejected).collect()}
+    assert got == {(1, 3), (1, 4), (2, 3), (11, 14), (12, 14), (13, 14), (22, 23), (22, 24), (23, 24), (41, 42), (45, 46), (41, 46)}
+
+
 def test_link_and_unnamed_nodes(spark):
     nodes = spark.createDataFrame([(1, "a", "Acme Ltd", True), (1, "b", "Beta", None), (1, "c", "Gamma", True), (2, "a", "ACME", True), (2, "u", "Top customers", False)], "doc_id long, node_id string, label string, named boolean")
     aliases = spark.createDataFrame([("beta", "e1"), ("gamma", "e2"), ("gamma", "e3")], "key string, entity_key string")
