@@ -75,13 +75,13 @@ def link_nodes_to_entities(nodes: DataFrame, aliases: DataFrame, entities: DataF
     return links, new, new_aliases
 
 
-def duplicate_candidates(usage: DataFrame, rejections: DataFrame | None = None, inactive: DataFrame | None = None, jaccard: float = 0.8, min_len: int = 4) -> DataFrame:
+def duplicate_candidates(usage: DataFrame, rejections: DataFrame | None = None, inactive: DataFrame | None = None, jaccard: float = 0.8, min_len: int = 4, relink: bool = True) -> DataFrame:
     """Pairs of entities (id, key, claims) that may be one: left, right, confidence, suggested.
 
     Signals: one key within the other, word overlap, equal keys after an end word is cut. Pairs meet by what they must
     share: each key is looked up under the rarest 4-gram of the shorter one, under words, and under trimmed forms; equal
     keys are one row first, so a common name makes no pairs among its own copies. A rejected pair alone goes: where it
-    stood for others, the entities are linked by pairs that nobody rejected.
+    stood for others, the entities are linked by pairs that nobody rejected (unless ``relink`` is off).
     """
     rows = usage.filter(F.length("key") > 0)
     if inactive is not None:
@@ -114,7 +114,8 @@ def duplicate_candidates(usage: DataFrame, rejections: DataFrame | None = None,
     stars = scored.filter("a = b").join(rows.select(F.col("key").alias("a"), F.col("id").alias("y")), "a").join(first.select(F.col("key").alias("a"), F.col("first").alias("x")), "a").filter("x != y").select("x", "y", "confidence")
     found = heads.unionAll(stars).select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "confidence")
     if rejections is not None:
-        found = _without_rejected(found, rows.select("id", "key"), rejections)
+        gone = rejections.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"))
+        found = _without_rejected(found, rows.select("id", "key"), rejections) if relink else found.join(gone, ["left_id", "right_id"], "left_anti")
     info = rows.select("id", "key", "claims")
     for side in ("left", "right"):
         found = found.join(info.select(F.col("id").alias(f"{side}_id"), F.col("key").alias(f"{side}_key"), F.col("claims").alias(f"{side}_claims")), f"{side}_id")

@@ -358,7 +358,8 @@ def _(led):
     usage = _part_names(led).withColumn("key", exprs.name_key(F.col("name")))
     every = entities.duplicate_candidates(usage)
     rejected = every.filter("(left_id + right_id) % 2 = 0").select(F.col("right_id").alias("a"), F.col("left_id").alias("b"))
-    return entities.duplicate_candidates(usage, rejections=rejected).select("left_id", "right_id", F.round("confidence", 6).alias("confidence"))
+    # the SQL takes rejected rows from the star and links nothing anew
+    return entities.duplicate_candidates(usage, rejections=rejected, relink=False).select("left_id", "right_id", F.round("confidence", 6).alias("confidence"))
 
 
 @query("J7_anti_active_merge_sources", with_ledger("SELECT entity_id FROM entities WHERE entity_id NOT IN (SELECT from_id FROM merges WHERE reverted = 0)"))
