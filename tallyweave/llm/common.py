@@ -52,9 +52,11 @@ def discard(*tables: DataFrame) -> None:
             fs.delete_dir(place)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Texts can be long: fewer rows in an Arrow batch keep Python workers and their buffers small."""
+def prepare(spark: SparkSession, rows: int = 2000) -> None:
+    """Settings for jobs over long texts: fewer rows in an Arrow batch keep Python workers and their buffers small, and
+    shuffle files go when the query that made them ends, as every step is written before the next."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def plain(df: DataFrame, *columns: str) -> DataFrame:

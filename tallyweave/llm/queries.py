@@ -2,33 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chat_format, read_formatted, threads
-from .common import materialize, new_path, small_batches
+from .common import materialize, new_path, prepare
 from .language_id import language_id
 from .mixing import mix_to_weights
 from .ngram_join import ngram_jaccard_components
 from .oracles import ORACLES  # noqa: F401
 from .packing import pack_sequences
+from .pipeline import MIX_WEIGHTS, mix_levels, run
 from .quality_rules import quality_rules
-from .substring_dedup import repeated_paragraphs, repeated_passages
+from .substring_dedup import repeated_passages
 from .token_files import token_files
 from .topk import exact_top_k
 from .warc import fixity_audit, warc_records, write_replica
 
-#: Levels of the mixing tree over documents, and weights of its nodes among their siblings.
-MIX_WEIGHTS: dict[tuple[str, ...], float] = {("domain0",): 4.0, ("domain1",): 3.0, ("domain2",): 2.0, ("domain3",): 1.0} | {(f"domain{k}", "en"): 3.0 for k in range(4)}
-
-
-def mix_levels() -> dict[str, Column]:
-    domain = F.concat(F.lit("domain"), F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(4)).cast("string"))
-    return {"domain": domain, "language": F.col("lang"), "origin": F.col("source")}
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -56,11 +48,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated paragraphs, and repeated passages in any layout (those have word places instead of a paragraph)."""
-    docs = _table(spark, sf_dir, "documents")
-    passages = repeated_passages(docs).select("doc_id", "first_word", "n_words", "kept_doc_id", "kept_first_word", "removed")
-    rows = repeated_paragraphs(docs).select("doc_id", "paragraph", "n_words", "component", "kept_doc_id", "kept_paragraph", "removed")
-    return rows.unionByName(passages, allowMissingColumns=True)
+    """Stretches of words that repeat a passage, and the places that stay."""
+    return repeated_passages(_table(spark, sf_dir, "documents")).drop("text_id")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,12 +92,6 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_language_id": op2_language_id,
@@ -120,5 +103,5 @@ QUERIES = {
     "op8_warc_audit": op8_warc_audit,
     "op9_chat_format": op9_chat_format,
     "op10_topk": op10_topk,
-    "pipeline": pipeline,
+    "pipeline": run,
 }

@@ -1,33 +1,33 @@
-"""Substring dedup: of paragraphs that are alike or nearly, and of exact word runs wherever they stand.
+"""Substring dedup: passages that stand at several places of the corpus, alike or nearly, whatever lines they lie in.
 
-Paragraphs: MinHash bands find colliding ones, exact Jaccard verifies them, and of each component of links one stays.
-Passages: runs of LEAST_RUN words or more that stand at several places of the corpus, whatever lines they lie in. Every
-such run holds a word ANCHOR-gram that its own words choose; where anchors repeat, all runs around them are compared.
+The paragraphs of a text are its lines of UNIT words or more, and besides stretches of UNIT words that start where the
+words themselves say so, so that a passage holds the same ones wherever it stands. MinHash bands find colliding paragraphs, exact Jaccard verifies them, and of each
+component of links the first place stays. Of what goes, the removed paragraphs of a text are joined to stretches, which
+grow word by word at both ends for as long as the words before and after the kept place are the same.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, as_bytes, discard, distinct, materialize, mixed, plain, shingle_hashes, tidy
 from .components import connected_components
 from .ngram_join import MOST_BROADCAST, _bitmap, linked
 
-#: Words that a paragraph has at least to count as a passage; bytes above which a line is cut at sentences.
-LEAST_WORDS, LONG_LINE = 25, 1200
-#: Words of the shortest passage that is found in any layout; words of an anchor in it; anchors' places broadcast at most.
-LEAST_RUN, ANCHOR, MOST_PLACES = 50, 26, 4_000_000
+#: Words of a paragraph within lines, and word places in a row of which one at least starts one. So any UNIT + EVERY - 1
+#: = 51 words hold a whole paragraph that they choose by themselves, and no word between two of a passage is left.
+UNIT = EVERY = 26
+#: Words whose hash decides where a paragraph starts.
+CHOOSER = 4
 WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
-SENTENCE_END = re.compile(rb"[.!?][\"')\]]*(?=\s)")
 
 
 def tune_bands(similarity: float, recall: float, hashes: int) -> tuple[int, int]:
@@ -39,107 +39,6 @@ def tune_bands(similarity: float, recall: float, hashes: int) -> tuple[int, int]
     return hashes, 1
 
 
-def paragraphs(text: bytes) -> list[tuple[int, int]]:
-    """First and end byte of each paragraph: a line, or, of a long line, the sentences up to ends that their own last
-    letters choose; so a passage is cut alike wherever it stands."""
-    found, start = [], 0
-    for line in text.split(b"\n"):
-        end = start + len(line)
-        at = start
-        if len(line) > LONG_LINE:
-            for m in SENTENCE_END.finditer(line):
-                stop = start + m.end()
-                if zlib.crc32(line[max(0, m.start() - 8) : m.start()]) % 5 == 0:
-                    found.append((at, stop))
-                    at = stop
-        found.append((at, end))
-        start = end + 1
-    return found
-
-
-def _described(bands: int, rows: int, width: int):
-    seeds = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
-    names = ["doc_id", "paragraph", "n_words", "f1", "n", "bitmap", "bands"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for batch in batches:
-            docs, out = batch.column("doc_id").to_pylist(), []
-            for at in range(0, len(docs), 500):
-                for doc, text in zip(docs[at : at + 500], as_bytes(batch.column("text").slice(at, 500)), strict=True):
-                    for k, (a, b) in enumerate(paragraphs(text or b"")):
-                        own = text[a:b].lower().split()
-                        if len(own) < LEAST_WORDS:
-                            continue
-                        s = distinct(shingle_hashes(words.of(own), width))
-                        low = np.concatenate([mixed(s[i : i + 4096] ^ seeds).min(1, keepdims=True) for i in range(0, len(s), 4096)], 1).min(1)
-                        keys = np.full(bands, 0, np.uint64)
-                        for r in range(rows):
-                            keys = mixed(keys + low[r::rows] + np.uint64(1))
-                        keys = mixed(keys + np.arange(bands, dtype=np.uint64))
-                        out.append((doc, k, len(own), int(s.sum(dtype=np.uint64).view(np.int64)), len(s), _bitmap(s).tobytes(), keys.view(np.int64)))
-                if out:
-                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-                    out = []
-
-    return tidy(run)
-
-
-def _paragraph_sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for batch in batches:
-            ids, sets = [], []
-            for text, numbers in zip(as_bytes(batch.column("text")), batch.column("numbers").to_pylist(), strict=True):
-                cuts = paragraphs(text or b"")
-                for k in numbers:
-                    if k < len(cuts):
-                        s = distinct(shingle_hashes(words.of(text[slice(*cuts[k])].lower().split()), width))
-                        ids.append(int(s.sum(dtype=np.uint64).view(np.int64)))
-                        sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc", "tokens"])
-
-    return tidy(run)
-
-
-def repeated_paragraphs(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100, recall: float = 0.99, hashes: int = 12) -> DataFrame:
-    """Paragraphs of ``documents`` (doc_id, text) that occur twice or more, alike or nearly.
-
-    Two paragraphs link when the Jaccard similarity of their word ``width``-grams (A-Z in lower case) is ``num``/``den``
-    or more; bands are tuned to meet such a pair with ``recall`` at least, and equal sets always. Returns a row for each
-    paragraph of a component with two occurrences or more: doc_id, paragraph (from 0), n_words, f1 (of its set),
-    component, kept_doc_id and kept_paragraph (the first occurrence by doc_id and place), removed (it isn't that one).
-    Paragraphs of fewer than LEAST_WORDS words, null texts and rows with a null doc_id take no part. Rows of one doc_id
-    with the same text count as one.
-    """
-    bands, rows = tune_bands(num / den, recall, hashes)
-    docs = plain(documents, "doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = materialize(docs.mapInArrow(_described(bands, rows, width), "doc_id long, paragraph int, n_words int, f1 long, n int, bitmap binary, bands array<long>"), "paragraphs")
-    # equal sets are one class, at its first place
-    first = F.min(F.struct("doc_id", "paragraph"))
-    classes = materialize(found.groupBy("f1").agg(first.alias("at"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("bands").alias("bands")), "classes")
-    described = classes.select(F.col("f1").alias("doc"), "n", "bitmap")
-    lists = materialize(classes.select(F.explode("bands").alias("token"), F.col("f1").alias("doc")), "lists")
-    places = classes.select(F.col("f1").alias("doc"), "at.doc_id", "at.paragraph")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = materialize(ids.join(places, "doc").groupBy("doc_id").agg(F.collect_set("paragraph").alias("numbers")), "wanted")
-        few = wanted.count() <= MOST_BROADCAST // 10
-        return docs.join(wanted.hint("broadcast" if few else "shuffle_hash"), "doc_id").select("text", "numbers").mapInArrow(_paragraph_sets(width), "doc long, tokens binary").dropDuplicates(["doc"])
-
-    links = linked(lists, described, sets_of, num, den, one_in=1)
-    component = connected_components(links[0].unionByName(links[1])).select(F.col("node").alias("f1"), "component")
-    discard(lists, *links)
-    member = classes.join(component, "f1", "left").select("f1", "at", "members", F.coalesce("component", "f1").alias("component"), F.col("component").isNotNull().alias("joined"))
-    member = materialize(member.filter("joined OR members > 1"), "member")
-    kept = member.groupBy("component").agg(F.min("at").alias("kept"), F.sum("members").alias("times")).filter("times > 1")
-    chosen = materialize(member.join(kept, "component").select("f1", "component", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.paragraph").alias("kept_paragraph")), "chosen")
-    discard(classes, member)
-    out = found.select("doc_id", "paragraph", "n_words", "f1").join(chosen, "f1").distinct()
-    return out.withColumn("removed", (F.col("doc_id") != F.col("kept_doc_id")) | (F.col("paragraph") != F.col("kept_paragraph")))
-
-
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of each run of ``n`` word hashes, put together from runs of powers of two; none if there are fewer words."""
     if len(words) < n:
@@ -152,7 +51,7 @@ def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
             done += size
         if done == n:
             return mixed(out)
-        part = part[:-size] * (np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(size * size * 1442695040888963406 % 2**63 * 2)) + part[size:]
+        part = part[:-size] * (np.uint64((0xC2B2AE3D27D4EB4F + size * size * 0x2809D0EA8E2B79C0) % 2**64)) + part[size:]
         size *= 2
 
 
@@ -165,116 +64,245 @@ def _sliding(op, values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def anchors(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the ANCHOR-grams that are the least of all within some run of ``least`` words. A run chooses
-    by its own words alone, so equal runs hold equal anchors at equal places."""
-    values, width = run_hashes(words, ANCHOR), least - ANCHOR + 1
-    if len(values) < width:
-        return np.empty(0, np.int64), values[:0]
+def paragraph_starts(words: np.ndarray) -> np.ndarray:
+    """First words of the paragraphs of UNIT words of a text, given as word hashes: the places whose next CHOOSER words hash lowest in
+    some EVERY places in a row (in all places, if there are fewer). Equal words choose equal places, so ties all count."""
+    values = run_hashes(words, CHOOSER)[: max(0, len(words) - UNIT + 1)]
+    if not len(values):
+        return np.empty(0, np.int64)
+    width = min(EVERY, len(values))
     lows = np.pad(_sliding(np.minimum, values, width), width - 1)
-    places = np.flatnonzero(_sliding(np.maximum, lows, width) == values)
-    return places, values[places]
+    return np.flatnonzero(_sliding(np.maximum, lows, width) == values)
+
+
+def _first_of_neighbours(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether a paragraph is no mere shift of one with the same key that overlaps it."""
+    order = np.argsort(keys, kind="stable")
+    again = (keys[order][1:] == keys[order][:-1]) & (np.diff(starts[order]) < UNIT)
+    fresh = np.ones(len(keys), bool)
+    fresh[order[1:][again]] = False
+    return fresh
 
 
 def _text_id(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def _anchored(least: int):
+def lines(text: bytes) -> list[tuple[int, int]]:
+    """First word and number of words of each line of UNIT words or more."""
+    found, at = [], 0
+    for line in text.split(b"\n"):
+        n = len(line.split())
+        if n >= UNIT:
+            found.append((at, n))
+        at += n
+    return found
+
+
+class Paragraphs:
+    """The paragraphs of a text, given as bytes in lower case and word hashes: where they start, how many words they
+    have, two hashes of their words, and for each band a key from ``rows`` MinHash values of ``width``-word shingles."""
+
+    def __init__(self, bands: int, rows: int, width: int):
+        self.bands, self.rows, self.width = bands, rows, width
+        self.factors = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+    def of(self, text: bytes, words: np.ndarray) -> tuple[np.ndarray, ...]:
+        starts, whole = paragraph_starts(words), lines(text)
+        f1 = run_hashes(words, UNIT)[starts]
+        f2 = run_hashes(words ^ np.uint64(0x5851F42D4C957F2D), UNIT)[starts]
+        s = shingle_hashes(words, self.width)
+        near = s[np.arange(UNIT - self.width + 1)[:, None] + starts]
+        low = [(near * f).min(0) for f in self.factors] if len(starts) else []
+        sizes = np.full(len(starts), UNIT)
+        if whole:
+            own = [words[a : a + n].tobytes() for a, n in whole]
+            f1 = np.concatenate((f1, np.array([xxhash.xxh3_64_intdigest(x) for x in own], np.uint64)))
+            f2 = np.concatenate((f2, np.array([xxhash.xxh3_64_intdigest(x, 1) for x in own], np.uint64)))
+            a, n = np.array(whole).T
+            cuts = np.stack((a, np.minimum(a + n - self.width + 1, len(s)))).T.ravel()
+            cuts = cuts[:-1] if cuts[-1] == len(s) else cuts
+            low = [np.concatenate((x, np.minimum.reduceat(s * f, cuts)[::2])) for x, f in zip(low, self.factors, strict=True)]
+            starts, sizes = np.concatenate((starts, a)), np.concatenate((sizes, n))
+        keys = []
+        for b in range(self.bands):
+            key = np.full(len(starts), b + 1, np.uint64)
+            for x in low[b * self.rows : (b + 1) * self.rows]:
+                key = mixed(key + x)
+            keys.append(key)
+        return starts, sizes, f1, (f2 >> np.uint64(32)).astype(np.uint32).view(np.int32), keys
+
+
+def _listed(values: list[np.ndarray], sizes: list[int], kind: pa.DataType, valid: list[np.ndarray] | None = None) -> pa.Array:
+    flat = np.concatenate(values) if values else np.empty(0)
+    flat = pa.array(flat.astype(kind.to_pandas_dtype(), copy=False) if flat.dtype != np.uint64 else flat.view(np.int64), kind, mask=None if valid is None or not values else ~np.concatenate(valid))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), flat)
+
+
+def _described(bands: int, rows: int, width: int):
+    names = ["doc_id", "text_id", "start", "size", "f1", "f2", *(f"b{k}" for k in range(bands))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words, paragraphs = WordHashes(), Paragraphs(bands, rows, width)
         for batch in batches:
-            docs = batch.column("doc_id").to_pylist()
-            for at in range(0, len(docs), 500):
-                out = []
-                for doc, text in zip(docs[at : at + 500], as_bytes(batch.column("text").slice(at, 500)), strict=True):
-                    own = text.lower().split()
-                    if len(own) >= least:
-                        out.append((doc, _text_id(text), len(own), anchors(words.of(own), least)[1].view(np.int64)))
-                if out:
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "text_id", "n_words", "anchors"])
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
+                docs, texts, counts = [], [], []
+                starts, sizes, f1, f2, keys, fresh = [], [], [], [], [[] for _ in range(bands)], [[] for _ in range(bands)]
+                for doc, text in zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text")), strict=True):
+                    lower = text.lower()
+                    own = words.of(lower.split())
+                    if len(own) < UNIT:
+                        continue
+                    a, n, x, y, own_keys = paragraphs.of(lower, own)
+                    docs.append(doc)
+                    texts.append(_text_id(text))
+                    counts.append(len(a))
+                    for held, values in ((starts, a), (sizes, n), (f1, x), (f2, y)):
+                        held.append(values)
+                    whole = n > UNIT
+                    for k, key in enumerate(own_keys):
+                        keys[k].append(key)
+                        fresh[k].append(whole | _first_of_neighbours(key, a))
+                if docs:
+                    lists = [_listed(starts, counts, pa.int32()), _listed(sizes, counts, pa.int32()), _listed(f1, counts, pa.int64()), _listed(f2, counts, pa.int32()), *(_listed(k, counts, pa.int64(), v) for k, v in zip(keys, fresh, strict=True))]
+                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(texts, pa.int64()), *lists], names)
 
     return tidy(run)
 
 
-def _runs(least: int):
-    """All runs of ``least`` words that hold one of the anchors asked for."""
+def _sets(width: int):
+    """The shingle sets of the paragraphs asked for (start, size, f1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
-            docs, texts, asked = batch.column("doc_id").to_pylist(), batch.column("text_id").to_pylist(), batch.column("numbers").to_pylist()
-            for at in range(0, len(docs), 200):
-                runs, starts, owners, own_texts = [], [], [], []
-                for k, text in enumerate(as_bytes(batch.column("text").slice(at, 200)), at):
-                    if _text_id(text) != texts[k]:  # another row of this doc_id
+            for at in range(0, batch.num_rows, 250):
+                part, rows = batch.slice(at, 250), []
+                for text, own_id, asked in zip(as_bytes(part.column("text")), part.column("text_id").to_pylist(), part.column("asked").to_pylist(), strict=True):
+                    if _text_id(text) != own_id:  # another row of this doc_id
                         continue
-                    own = words.of(text.lower().split())
-                    values = run_hashes(own, least)
-                    edges = np.zeros(len(values) + 1, np.int64)
-                    places = anchors(own, least)[0][asked[k]]
-                    np.add.at(edges, np.maximum(0, places - (least - ANCHOR)), 1)
-                    np.add.at(edges, np.minimum(places + 1, len(values)), -1)
-                    near = np.flatnonzero(np.cumsum(edges)[:-1] > 0)
-                    runs.append(values[near])
-                    starts.append(near)
-                    owners.append(np.full(len(near), docs[k], np.int64))
-                    own_texts.append(np.full(len(near), texts[k], np.int64))
-                if runs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(runs).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(own_texts)), pa.array(np.concatenate(starts).astype(np.int32))], ["run", "doc_id", "text_id", "start"])
+                    s = shingle_hashes(words.of(text.lower().split()), width)
+                    for a in asked:
+                        own = distinct(s[a["start"] : a["start"] + a["size"] - width + 1])
+                        rows.append((a["f1"], len(own), _bitmap(own).tobytes(), own.tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["doc", "n", "bitmap", "tokens"])
 
     return tidy(run)
 
 
-def repeated_passages(documents: DataFrame, least: int = LEAST_RUN) -> DataFrame:
-    """Word runs of ``documents`` (doc_id, text) that stand twice or more, of ``least`` words (over ANCHOR) at least.
-
-    Words are lower-cased in A-Z and split at ASCII white space; lines and sentences don't matter. Each run of ``least``
-    words belongs to its first place by doc_id, text_id and word. Returns doc_id, text_id (of the text, where a doc_id
-    has several), first_word, n_words, kept_doc_id, kept_first_word, removed (it isn't the first place): one row for
-    each stretch of words that repeats the same place on. A run that overlaps its own first place is not removed. Every
-    word of a removed run stands at an earlier place as well, so one stays. No pairs are made, and no group has a cap.
-    Equal texts are one first; null texts and rows with a null doc_id take no part.
+@tidy
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes (32 bits) of the words before or after the places asked for, nearest word first."""
+    words = WordHashes()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 250):
+            part, rows = batch.slice(at, 250), []
+            for doc, text, own_id, asked in zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text")), part.column("text_id").to_pylist(), part.column("asked").to_pylist(), strict=True):
+                if _text_id(text) != own_id:
+                    continue
+                own = (words.of(text.lower().split()) >> np.uint64(32)).astype(np.uint32)
+                for a in asked:
+                    p = a["place"]
+                    near = own[p : p + EVERY - 1] if a["after"] else own[max(0, p - EVERY + 1) : p][::-1]
+                    rows.append((doc, own_id, p, a["after"], near.tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["doc_id", "text_id", "place", "after", "words"])
+
+
+@tidy
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many words in a row are the same at both places."""
+    for batch in batches:
+        more = []
+        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            n = min(len(x), len(y)) // 4
+            differ = np.flatnonzero(np.frombuffer(x, np.uint32, n) != np.frombuffer(y, np.uint32, n))
+            more.append(int(differ[0]) if len(differ) else n)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_id", "first", "after")), pa.array(more, pa.int32())], ["doc_id", "text_id", "first", "after", "more"])
+
+
+def _asked(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with the rows of ``asked`` (doc_id, text_id, a struct ``a``) that they have, as arrays."""
+    asked = materialize(asked.groupBy("doc_id", "text_id").agg(F.collect_list("a").alias("asked")), "asked")
+    n, most = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("asked")), F.lit(0))).first()
+    few = n <= MOST_BROADCAST // 10 and most <= MOST_BROADCAST
+    return docs.join(asked.hint("broadcast" if few else "shuffle_hash"), "doc_id").select("doc_id", "text_id", "text", "asked")
+
+
+def _place(name: str | None = None) -> Column:
+    return F.struct(*[F.col(f"{name}.{c}" if name else c).alias(c) for c in ("doc_id", "text_id", "start", "size")])
+
+
+def repeated_passages(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100, recall: float = 0.95, hashes: int = 6) -> DataFrame:
+    """Passages of ``documents`` (doc_id, text) that stand twice or more, alike or nearly.
+
+    Words are lower-cased in A-Z and split at ASCII white space. Two paragraphs (see above) link when the Jaccard similarity of their word ``width``-grams is ``num``/``den`` or more; bands are
+    tuned to meet such a pair with ``recall`` at least, and equal paragraphs always. Every passage of 51 words or more
+    that stands twice holds a paragraph that is found. Returns a row for each stretch of paragraphs of a text that are
+    no first place of their component (removed), or that are (not removed): doc_id, text_id (of the text, where a doc_id
+    has several), first_word, n_words, component (a number of its first paragraph), kept_doc_id, kept_first_word (the
+    place that stays, for removed ones the one they were compared with), removed. A paragraph that overlaps the place
+    that stays is no repeat of it. A stretch can take in a few words of its own beside a passage, with which a paragraph is
+    still alike. Null texts, rows with a null doc_id and texts of fewer than UNIT words take no part;
+    rows of one doc_id with the same text count as one. Members of a component are never paired, and no group has a cap.
     """
+    bands, rows = tune_bands(num / den, recall, hashes)
+    keys = [f"b{k}" for k in range(bands)]
     docs = plain(documents, "doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = materialize(docs.mapInArrow(_anchored(least), "doc_id long, text_id long, n_words int, anchors array<long>"), "anchored")
-    texts = materialize(found.groupBy("text_id", "n_words").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("anchors").alias("anchors")), "texts")
-    marks = texts.select("doc_id", "text_id", F.posexplode("anchors").alias("number", "anchor"))
-    shared = marks.groupBy("anchor").count().filter("count > 1").select("anchor")
-    wanted = materialize(marks.join(shared, "anchor", "left_semi").groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_list("number")).alias("numbers")), "wanted")
-    n, places = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("numbers")), F.lit(0))).first()
-    few = n <= MOST_BROADCAST // 10 and places <= MOST_PLACES
-    runs = materialize(docs.join(wanted.hint("broadcast" if few else "shuffle_hash"), "doc_id").select("doc_id", "text_id", "text", "numbers").mapInArrow(_runs(least), "run long, doc_id long, text_id long, start int"), "runs")
-    discard(wanted)
-    place = F.struct("doc_id", "text_id", "start")
-    first = runs.groupBy("run").agg(F.min(place).alias("kept"), F.max(place).alias("last")).filter("kept < last").select("run", "kept")
-    own = (F.col("kept.doc_id") == F.col("doc_id")) & (F.col("kept.text_id") == F.col("text_id")) & (F.col("kept.start") + least > F.col("start"))
-    kept = F.when(own, place).otherwise(F.col("kept"))
-    at = runs.join(first, "run").select("doc_id", "text_id", "start", kept.alias("kept"), (~own).alias("removed")).select("doc_id", "text_id", "start", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.text_id").alias("kept_text_id"), (F.col("kept.start") - F.col("start")).alias("shift"), "removed")
-    stretch = ["doc_id", "text_id", "kept_doc_id", "kept_text_id", "shift", "removed"]
-    order = Window.partitionBy(*stretch).orderBy("start")
-    spans = at.withColumn("island", F.col("start") - F.dense_rank().over(order)).groupBy(*stretch, "island").agg(F.min("start").alias("first_word"), F.max("start").alias("end"))
-    spans = materialize(spans.select("doc_id", "text_id", "first_word", (F.col("end") - F.col("first_word") + least).alias("n_words"), "kept_doc_id", (F.col("first_word") + F.col("shift")).alias("kept_first_word"), "removed"), "spans")
-    copied = texts.filter("doc_id < last").select("text_id", "n_words", F.col("doc_id").alias("kept_doc_id"))
-    zero = F.lit(0)
-    copies = found.join(copied, ["text_id", "n_words"]).select("doc_id", "text_id", zero.alias("first_word"), "n_words", "kept_doc_id", zero.alias("kept_first_word"), (F.col("doc_id") != F.col("kept_doc_id")).alias("removed")).distinct()
-    out = materialize(spans.unionByName(copies), "passages")
-    discard(found, texts, runs, spans)
+    schema = "doc_id long, text_id long, start array<int>, size array<int>, f1 array<long>, f2 array<int>, " + ", ".join(f"{k} array<long>" for k in keys)
+    found = materialize(docs.mapInArrow(_described(bands, rows, width), schema), "paragraphs")
+    # equal paragraphs are one class, at its first place
+    units = found.select("doc_id", "text_id", F.explode(F.arrays_zip("start", "size", "f1", "f2")).alias("u")).select("doc_id", "text_id", "u.*")
+    classes = materialize(units.groupBy("f1", "f2").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).select("f1", "f2", "first", (F.col("first") < F.col("last")).alias("again")), "classes")
+    entries = found.select(F.explode(F.arrays_zip("f1", *keys)).alias("u")).select("u.f1", F.explode(F.array(*[f"u.{k}" for k in keys])).alias("token")).filter("token IS NOT NULL")
+    shared = entries.groupBy("token").agg(F.min("f1").alias("least"), F.max("f1").alias("most")).filter("least < most").select("token")
+    lists = materialize(entries.join(shared, "token").select("token", F.col("f1").alias("doc")).distinct(), "lists")
+    ask = classes.join(lists.select(F.col("doc").alias("f1")).distinct(), "f1").groupBy("f1").agg(F.min("first").alias("first"))
+    ask = ask.select("first.doc_id", "first.text_id", F.struct("first.start", "first.size", "f1").alias("a"))
+    sets = materialize(_asked(docs, ask).mapInArrow(_sets(width), "doc long, n int, bitmap binary, tokens binary").dropDuplicates(["doc"]), "sets")
+    links = linked(lists, sets.select("doc", "n", "bitmap"), lambda ids: sets.join(ids, "doc", "left_semi").select("doc", "tokens"), num, den, one_in=1)
+    component = materialize(connected_components(links[0].unionByName(links[1])).select(F.col("node").alias("f1"), "component"), "component")
+    discard(lists, sets, *links)
+    member = materialize(classes.join(component, "f1", "left").filter("again OR component IS NOT NULL").withColumn("component", F.coalesce("component", "f1")), "member")
+    discard(classes, component)
+    kept = member.groupBy("component").agg(F.min("first").alias("kept"))
+    chosen = member.join(kept, "component").select("f1", "f2", "component", "first", "kept")
+    at = units.join(chosen, ["f1", "f2"]).select(_place().alias("place"), "component", "first", "kept").distinct()
+    same_text = (F.col("place.doc_id") == F.col("kept.doc_id")) & (F.col("place.text_id") == F.col("kept.text_id"))
+    apart = (F.col("place.start") >= F.col("kept.start") + F.col("kept.size")) | (F.col("kept.start") >= F.col("place.start") + F.col("place.size"))
+    removed = F.when(F.col("place") == F.col("kept"), False).when(~same_text | apart, True)
+    like = F.when(F.col("place") == F.col("first"), F.col("kept")).otherwise(F.col("first"))
+    at = at.select("place.*", "component", like.alias("like"), removed.alias("removed")).filter("removed IS NOT NULL")
+    text = Window.partitionBy("doc_id", "text_id", "removed").orderBy("start", "size")
+    at = at.withColumn("end", F.col("start") + F.col("size"))
+    at = at.withColumn("new", F.coalesce(F.col("start") > F.max("end").over(text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")).withColumn("stretch", F.sum("new").over(text))
+    spans = at.groupBy("doc_id", "text_id", "removed", "stretch").agg(F.min("start").alias("first"), F.max("end").alias("end"), F.min_by("component", "start").alias("component"), F.min_by("like", "start").alias("left"), F.max_by("like", "end").alias("right"))
+    spans = materialize(spans.drop("stretch"), "spans")
+    discard(found, member)
+    # the words around both places of a stretch's ends
+    gone = spans.filter("removed")
+    sides = [gone.select("doc_id", "text_id", "first", F.lit(False).alias("after"), F.col("first").alias("place"), "left.doc_id", "left.text_id", "left.start"), gone.select("doc_id", "text_id", "first", F.lit(True).alias("after"), F.col("end").alias("place"), "right.doc_id", "right.text_id", F.col("right.start") + F.col("right.size"))]
+    sides = materialize(sides[0].union(sides[1]).toDF("doc_id", "text_id", "first", "after", "place", "like_doc", "like_text", "like_place"), "sides")
+    ask = sides.select("doc_id", "text_id", "place", "after").union(sides.select("like_doc", "like_text", "like_place", "after")).distinct()
+    around = materialize(_asked(docs, ask.select("doc_id", "text_id", F.struct("place", "after").alias("a"))).mapInArrow(_around, "doc_id long, text_id long, place int, after boolean, words binary").dropDuplicates(["doc_id", "text_id", "place", "after"]), "around")
+    there = around.toDF("like_doc", "like_text", "like_place", "after", "y")
+    both = sides.join(around.withColumnRenamed("words", "x"), ["doc_id", "text_id", "place", "after"]).join(there, ["like_doc", "like_text", "like_place", "after"])
+    more = both.mapInArrow(_alike, "doc_id long, text_id long, first int, after boolean, more int").groupBy("doc_id", "text_id", "first").agg(F.max(F.when(~F.col("after"), F.col("more"))).alias("before"), F.max(F.when(F.col("after"), F.col("more"))).alias("behind"))
+    more = more.withColumn("removed", F.lit(True))
+    before, behind = F.coalesce("before", F.lit(0)), F.coalesce("behind", F.lit(0))
+    out = spans.join(more, ["doc_id", "text_id", "first", "removed"], "left").select("doc_id", "text_id", (F.col("first") - before).alias("first_word"), (F.col("end") - F.col("first") + before + behind).alias("n_words"), "component", F.col("left.doc_id").alias("kept_doc_id"), (F.col("left.start") - before).alias("kept_first_word"), "removed")
+    out = materialize(out, "passages")
+    discard(spans, sides, around)
     return out
 
 
-def _without_paragraphs(text: bytes, gone: list[int]) -> bytes:
-    drop, parts = set(gone), []
-    for k, (a, b) in enumerate(paragraphs(text)):
-        if k not in drop:
-            parts.append(text[a : b + 1] if text[b : b + 1] == b"\n" else text[a:b])
-    return b"".join(parts)
-
-
-def _without_passages(text: bytes, gone: list[dict]) -> bytes:
+def _without(text: bytes, gone: list[dict]) -> bytes:
     own = _text_id(text)
     spans = sorted((g["first_word"], g["first_word"] + g["n_words"]) for g in gone if g["text_id"] == own)
+    if not spans:
+        return text
     starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
     parts, at = [], 0
     for first, end in spans:
@@ -284,39 +312,26 @@ def _without_passages(text: bytes, gone: list[dict]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def _cut(without):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, gone in zip(as_bytes(batch.column("text")), batch.column("_gone").to_pylist(), strict=True):
-                if gone and text is not None:
-                    text = without(text, gone)
-                texts.append(None if text is None else text.decode())
-            names = [n for n in batch.schema.names if n != "_gone"]
-            columns = {n: batch.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
-
-    return tidy(run)
-
-
-def _cut_from(documents: DataFrame, gone: DataFrame, without) -> tuple[DataFrame, bool]:
-    """``documents`` without what ``gone`` (doc_id, _gone) names, and whether no texts were shuffled for it."""
-    gone = materialize(gone, "gone")
-    few = gone.count() <= MOST_BROADCAST // 10
-    cut = documents.join(gone.hint("broadcast" if few else "shuffle_hash"), "doc_id", "left").select(*[F.col(f"`{c}`") for c in documents.columns], "_gone")
-    touched = cut.filter("_gone IS NOT NULL").mapInArrow(_cut(without), documents.schema).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return cut.filter("_gone IS NULL").drop("_gone").unionByName(touched), few
+@tidy
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [_without(t, gone).decode() for t, gone in zip(as_bytes(batch.column("text")), batch.column("gone").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
 
 def remove_repeats(documents: DataFrame, **options) -> DataFrame:
-    """``documents`` with repeated paragraphs cut from their texts, but for the first place of each, and then repeated
-    passages of what is left; all columns, n_chars counted anew. A document of which nothing but white space is left
-    goes; others and null texts stay."""
-    gone = repeated_paragraphs(documents, **options).filter("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("_gone"))
-    left, few = _cut_from(documents, gone, _without_paragraphs)
-    if not few:  # it is read several times
-        left = materialize(left, "left")
-    gone = repeated_passages(left).filter("removed").groupBy("doc_id").agg(F.collect_set(F.struct("text_id", "first_word", "n_words")).alias("_gone"))
-    return _cut_from(left, gone, _without_passages)[0]
+    """``documents`` with repeated passages cut from their texts, but for the first place of each; all columns as they
+    came, n_chars (if there is one) counted anew in the texts that are cut. A cut document of which nothing but white
+    space is left goes; others, null texts and null doc_ids stay. Repeated rows are cut alike."""
+    gone = repeated_passages(documents, **options).filter("removed").groupBy("doc_id").agg(F.collect_set(F.struct("text_id", "first_word", "n_words")).alias("gone"))
+    gone = materialize(gone.select(F.col("doc_id").alias("doc"), "gone"), "gone")
+    few = gone.count() <= MOST_BROADCAST // 10
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    both = documents.select(row, F.col("doc_id").cast("long").alias("doc")).join(gone.hint("broadcast" if few else "shuffle_hash"), "doc", "left")
+    hit = F.col("gone").isNotNull() & F.col("row.text").isNotNull()
+    whole = both.filter(~hit).select("row.*")
+    kind = documents.select(row).schema["row"].dataType.simpleString()
+    cut = both.filter(hit).select("row", F.col("row.text").alias("text"), "gone").mapInArrow(_cut, f"row {kind}, text string").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    types = dict(documents.dtypes)
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("text") == F.col("row.text"), F.col("row.n_chars")).otherwise(F.length("text").cast(types["n_chars"])) if "n_chars" in types else None}
+    return whole.unionByName(cut.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in documents.columns]))
