@@ -1,71 +1,5 @@
-"""The corpus pipeline: quality rules, n-gram join, substring dedup, mixing, packing.
+"""The corpus pipeline: quality rules, n-gram join, substring dedup, mixing, packing. See the subpackage ``llm``."""
 
-Each stage takes all that the one before kept, and is written as Parquet and read again for the next.
-"""
+from tallyweave.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tallyweave.llm.common import materialize, small_batches
-from tallyweave.llm.mixing import mix_to_weights
-from tallyweave.llm.ngram_join import keep_one_of_each_component
-from tallyweave.llm.packing import pack_sequences
-from tallyweave.llm.quality_rules import keep_good_documents
-from tallyweave.llm.queries import MIX_WEIGHTS, mix_levels
-from tallyweave.llm.substring_dedup import remove_repeats
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the isolation forest keep."""
-    small_batches(spark)
-    return keep_good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word similarity of 0.8 or more: the one with the smallest doc_id."""
-    small_batches(spark)
-    return keep_one_of_each_component(docs, width=5, num=80, den=100)
-
-
-def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the paragraphs that stand elsewhere before."""
-    small_batches(spark)
-    return remove_repeats(docs)
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One epoch at most, nine tenths of the tokens, near the target weights."""
-    return mix_to_weights(docs, mix_levels(), MIX_WEIGHTS, amount=0.9, epochs=1).filter("copies > 0").select(*docs.columns)
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 ids, as in op6_packing."""
-    small_batches(spark)
-    import public_tokenizers
-
-    pieces = pack_sequences(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality", quality),
-    ("near_duplicates", near_duplicates),
-    ("passages", passages),
-    ("mixture", mixture),
-    ("packed", packed),
-]
-
-#: The stages train a forest and follow links to components of any size, which SQL cannot express.
-ORACLE_SQL: str | None = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents`` of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
