@@ -183,7 +183,7 @@ def _may_link(n, maps, i, j, num, den):
 
 def _forest(docs, n, maps, i, j, only_i, only_j, num, den):
     """Of the likely links of a list, the most similar ones that join it together: fewer than its members."""
-    filled = np.bitwise_count(maps).sum(1) / (BITMAP + 1.0)
+    filled = np.bitwise_count(maps).sum(1) / (64 * maps.shape[1] + 1.0)
     shared = np.minimum(n[i] - only_i / (1 - filled[j]), n[j] - only_j / (1 - filled[i]))
     similar = shared / np.maximum(1, n[i] + n[j] - shared)
     top = dict(zip(docs.tolist(), docs.tolist(), strict=True))
@@ -224,7 +224,7 @@ def _search(num: int, den: int, forest: bool):
             at = starts_of(table, keys)
             size = np.diff(at)
             doc, comp, n, tile, lo, hi = (table.column(c).to_numpy().astype(np.int64) for c in ("doc", "comp", "n", "tile", "lo", "hi"))
-            maps = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
+            maps = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(table.num_rows, -1)
             found = []
 
             def take(i, j, doc=doc, comp=comp, tile=tile, lo=lo, hi=hi, n=n, maps=maps, found=found, joined=False):

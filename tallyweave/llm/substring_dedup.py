@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, as_bytes, discard, distinct, materialize, mixed, plain, shingle_hashes, tidy
 from .components import connected_components
-from .ngram_join import MOST_BROADCAST, _bitmap, linked
+from .ngram_join import MOST_BROADCAST, linked
 
 #: Words of a paragraph within lines, and word places in a row of which one at least starts one. So any UNIT + EVERY - 1
 #: = 51 words hold a whole paragraph that they choose by themselves, and no word between two of a passage is left.
@@ -99,9 +99,25 @@ def lines(text: bytes) -> list[tuple[int, int]]:
     return found
 
 
+def _set_sizes(shingles: np.ndarray) -> np.ndarray:
+    """How many different ones each column has."""
+    if not shingles.shape[1]:
+        return np.empty(0, np.int64)
+    ordered = np.sort(shingles, 0)
+    return 1 + (ordered[1:] != ordered[:-1]).sum(0)
+
+
+def _maps(shingles: np.ndarray) -> np.ndarray:
+    """Bitmaps of the sets in the columns, as two 64-bit words each."""
+    bit = np.uint64(1) << ((shingles >> np.uint64(57)) & np.uint64(63))
+    upper = (shingles >> np.uint64(56)) & np.uint64(1) == 1
+    return np.stack([np.bitwise_or.reduce(np.where(upper == k, bit, np.uint64(0)), 0) for k in (False, True)], 1)
+
+
 class Paragraphs:
     """The paragraphs of a text, given as bytes in lower case and word hashes: where they start, how many words they
-    have, two hashes of their words, and for each band a key from ``rows`` MinHash values of ``width``-word shingles."""
+    have, two hashes of their words, the size and a 128-bit map of their sets of ``width``-word shingles, and for each
+    band a key from ``rows`` MinHash values of the set."""
 
     def __init__(self, bands: int, rows: int, width: int):
         self.bands, self.rows, self.width = bands, rows, width
@@ -115,22 +131,26 @@ class Paragraphs:
         near = s[np.arange(UNIT - self.width + 1)[:, None] + starts]
         low = [(near * f).min(0) for f in self.factors] if len(starts) else []
         sizes = np.full(len(starts), UNIT)
+        n, maps = _set_sizes(near), _maps(near)
         if whole:
             own = [words[a : a + n].tobytes() for a, n in whole]
             f1 = np.concatenate((f1, np.array([xxhash.xxh3_64_intdigest(x) for x in own], np.uint64)))
             f2 = np.concatenate((f2, np.array([xxhash.xxh3_64_intdigest(x, 1) for x in own], np.uint64)))
-            a, n = np.array(whole).T
-            cuts = np.stack((a, np.minimum(a + n - self.width + 1, len(s)))).T.ravel()
+            own = [distinct(s[a : a + k - self.width + 1]) for a, k in whole]
+            n = np.concatenate((n, [len(x) for x in own]))
+            maps = np.concatenate((maps, *(_maps(x[:, None]) for x in own)))
+            a, k = np.array(whole).T
+            cuts = np.stack((a, np.minimum(a + k - self.width + 1, len(s)))).T.ravel()
             cuts = cuts[:-1] if cuts[-1] == len(s) else cuts
             low = [np.concatenate((x, np.minimum.reduceat(s * f, cuts)[::2])) for x, f in zip(low, self.factors, strict=True)]
-            starts, sizes = np.concatenate((starts, a)), np.concatenate((sizes, n))
+            starts, sizes = np.concatenate((starts, a)), np.concatenate((sizes, k))
         keys = []
         for b in range(self.bands):
             key = np.full(len(starts), b + 1, np.uint64)
             for x in low[b * self.rows : (b + 1) * self.rows]:
                 key = mixed(key + x)
             keys.append(key)
-        return starts, sizes, f1, (f2 >> np.uint64(32)).astype(np.uint32).view(np.int32), keys
+        return starts, sizes, f1, (f2 >> np.uint64(32)).astype(np.uint32).view(np.int32), n, maps, keys
 
 
 def _listed(values: list[np.ndarray], sizes: list[int], kind: pa.DataType, valid: list[np.ndarray] | None = None) -> pa.Array:
@@ -140,7 +160,7 @@ def _listed(values: list[np.ndarray], sizes: list[int], kind: pa.DataType, valid
 
 
 def _described(bands: int, rows: int, width: int):
-    names = ["doc_id", "text_id", "start", "size", "f1", "f2", *(f"b{k}" for k in range(bands))]
+    names = ["doc_id", "text_id", "start", "size", "f1", "f2", "n", "low_map", "high_map", *(f"b{k}" for k in range(bands))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, paragraphs = WordHashes(), Paragraphs(bands, rows, width)
@@ -148,24 +168,24 @@ def _described(bands: int, rows: int, width: int):
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
                 docs, texts, counts = [], [], []
-                starts, sizes, f1, f2, keys, fresh = [], [], [], [], [[] for _ in range(bands)], [[] for _ in range(bands)]
+                starts, sizes, f1, f2, n, low, high, keys, fresh = [], [], [], [], [], [], [], [[] for _ in range(bands)], [[] for _ in range(bands)]
                 for doc, text in zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text")), strict=True):
                     lower = text.lower()
                     own = words.of(lower.split())
                     if len(own) < UNIT:
                         continue
-                    a, n, x, y, own_keys = paragraphs.of(lower, own)
+                    a, size, x, y, m, maps, own_keys = paragraphs.of(lower, own)
                     docs.append(doc)
                     texts.append(_text_id(text))
                     counts.append(len(a))
-                    for held, values in ((starts, a), (sizes, n), (f1, x), (f2, y)):
+                    for held, values in ((starts, a), (sizes, size), (f1, x), (f2, y), (n, m), (low, maps[:, 0]), (high, maps[:, 1])):
                         held.append(values)
-                    whole = n > UNIT
+                    whole = size > UNIT
                     for k, key in enumerate(own_keys):
                         keys[k].append(key)
                         fresh[k].append(whole | _first_of_neighbours(key, a))
                 if docs:
-                    lists = [_listed(starts, counts, pa.int32()), _listed(sizes, counts, pa.int32()), _listed(f1, counts, pa.int64()), _listed(f2, counts, pa.int32()), *(_listed(k, counts, pa.int64(), v) for k, v in zip(keys, fresh, strict=True))]
+                    lists = [_listed(starts, counts, pa.int32()), _listed(sizes, counts, pa.int32()), _listed(f1, counts, pa.int64()), _listed(f2, counts, pa.int32()), _listed(n, counts, pa.int32()), _listed(low, counts, pa.int64()), _listed(high, counts, pa.int64()), *(_listed(k, counts, pa.int64(), v) for k, v in zip(keys, fresh, strict=True))]
                     yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(texts, pa.int64()), *lists], names)
 
     return tidy(run)
@@ -183,11 +203,9 @@ def _sets(width: int):
                     if _text_id(text) != own_id:  # another row of this doc_id
                         continue
                     s = shingle_hashes(words.of(text.lower().split()), width)
-                    for a in asked:
-                        own = distinct(s[a["start"] : a["start"] + a["size"] - width + 1])
-                        rows.append((a["f1"], len(own), _bitmap(own).tobytes(), own.tobytes()))
+                    rows += [(a["f1"], distinct(s[a["start"] : a["start"] + a["size"] - width + 1]).tobytes()) for a in asked]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["doc", "n", "bitmap", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], ["doc", "tokens"])
 
     return tidy(run)
 
@@ -251,21 +269,30 @@ def repeated_passages(documents: DataFrame, width: int = 5, num: int = 80, den:
     bands, rows = tune_bands(num / den, recall, hashes)
     keys = [f"b{k}" for k in range(bands)]
     docs = plain(documents, "doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, text_id long, start array<int>, size array<int>, f1 array<long>, f2 array<int>, " + ", ".join(f"{k} array<long>" for k in keys)
+    schema = "doc_id long, text_id long, start array<int>, size array<int>, f1 array<long>, f2 array<int>, n array<int>, low_map array<long>, high_map array<long>, " + ", ".join(f"{k} array<long>" for k in keys)
     found = materialize(docs.mapInArrow(_described(bands, rows, width), schema), "paragraphs")
-    # equal paragraphs are one class, at its first place
-    units = found.select("doc_id", "text_id", F.explode(F.arrays_zip("start", "size", "f1", "f2")).alias("u")).select("doc_id", "text_id", "u.*")
-    classes = materialize(units.groupBy("f1", "f2").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).select("f1", "f2", "first", (F.col("first") < F.col("last")).alias("again")), "classes")
     entries = found.select(F.explode(F.arrays_zip("f1", *keys)).alias("u")).select("u.f1", F.explode(F.array(*[f"u.{k}" for k in keys])).alias("token")).filter("token IS NOT NULL")
-    shared = entries.groupBy("token").agg(F.min("f1").alias("least"), F.max("f1").alias("most")).filter("least < most").select("token")
+    shared = entries.groupBy("token").count().filter("count > 1").select("token")
     lists = materialize(entries.join(shared, "token").select("token", F.col("f1").alias("doc")).distinct(), "lists")
-    ask = classes.join(lists.select(F.col("doc").alias("f1")).distinct(), "f1").groupBy("f1").agg(F.min("first").alias("first"))
-    ask = ask.select("first.doc_id", "first.text_id", F.struct("first.start", "first.size", "f1").alias("a"))
-    sets = materialize(_asked(docs, ask).mapInArrow(_sets(width), "doc long, n int, bitmap binary, tokens binary").dropDuplicates(["doc"]), "sets")
-    links = linked(lists, sets.select("doc", "n", "bitmap"), lambda ids: sets.join(ids, "doc", "left_semi").select("doc", "tokens"), num, den, one_in=1)
+    # equal paragraphs are one class, at its first place
+    units = found.select("doc_id", "text_id", F.explode(F.arrays_zip("start", "size", "f1", "f2", "n", "low_map", "high_map")).alias("u")).select("doc_id", "text_id", "u.*")
+    classes = units.groupBy("f1", "f2").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"), F.first("n").alias("n"), F.first("low_map").alias("low_map"), F.first("high_map").alias("high_map"))
+    classes = materialize(classes.withColumn("again", F.col("first") < F.col("last")).drop("last"), "classes")
+    listed = lists.select(F.col("doc").alias("f1")).distinct()
+    described = classes.join(listed, "f1", "left_semi").groupBy("f1").agg(F.min("first").alias("first"), F.first("n").alias("n"), F.first("low_map").alias("low_map"), F.first("high_map").alias("high_map"))
+    bitmap = F.unhex(F.concat(F.lpad(F.hex("low_map"), 16, "0"), F.lpad(F.hex("high_map"), 16, "0")))
+    described = materialize(described.select(F.col("f1").alias("doc"), "n", bitmap.alias("bitmap"), "first"), "described")
+    twice = not found.groupBy("doc_id", "text_id").count().filter("count > 1").isEmpty()
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        ask = described.join(ids, "doc", "left_semi").select("first.doc_id", "first.text_id", F.struct("first.start", "first.size", F.col("doc").alias("f1")).alias("a"))
+        sets = _asked(docs, ask).mapInArrow(_sets(width), "doc long, tokens binary")
+        return sets.dropDuplicates(["doc"]) if twice else sets
+
+    links = linked(lists, described.select("doc", "n", "bitmap"), sets_of, num, den, one_in=1)
     component = materialize(connected_components(links[0].unionByName(links[1])).select(F.col("node").alias("f1"), "component"), "component")
-    discard(lists, sets, *links)
-    member = materialize(classes.join(component, "f1", "left").filter("again OR component IS NOT NULL").withColumn("component", F.coalesce("component", "f1")), "member")
+    discard(lists, described, *links)
+    member = materialize(classes.drop("n", "low_map", "high_map").join(component, "f1", "left").filter("again OR component IS NOT NULL").withColumn("component", F.coalesce("component", "f1")), "member")
     discard(classes, component)
     kept = member.groupBy("component").agg(F.min("first").alias("kept"))
     chosen = member.join(kept, "component").select("f1", "f2", "component", "first", "kept")
@@ -286,7 +313,9 @@ def repeated_passages(documents: DataFrame, width: int = 5, num: int = 80, den:
     sides = [gone.select("doc_id", "text_id", "first", F.lit(False).alias("after"), F.col("first").alias("place"), "left.doc_id", "left.text_id", "left.start"), gone.select("doc_id", "text_id", "first", F.lit(True).alias("after"), F.col("end").alias("place"), "right.doc_id", "right.text_id", F.col("right.start") + F.col("right.size"))]
     sides = materialize(sides[0].union(sides[1]).toDF("doc_id", "text_id", "first", "after", "place", "like_doc", "like_text", "like_place"), "sides")
     ask = sides.select("doc_id", "text_id", "place", "after").union(sides.select("like_doc", "like_text", "like_place", "after")).distinct()
-    around = materialize(_asked(docs, ask.select("doc_id", "text_id", F.struct("place", "after").alias("a"))).mapInArrow(_around, "doc_id long, text_id long, place int, after boolean, words binary").dropDuplicates(["doc_id", "text_id", "place", "after"]), "around")
+    around = materialize(_asked(docs, ask.select("doc_id", "text_id", F.struct("place", "after").alias("a"))).mapInArrow(_around, "doc_id long, text_id long, place int, after boolean, words binary"), "around")
+    if twice:  # rows of one doc_id and text
+        around = around.dropDuplicates(["doc_id", "text_id", "place", "after"])
     there = around.toDF("like_doc", "like_text", "like_place", "after", "y")
     both = sides.join(around.withColumnRenamed("words", "x"), ["doc_id", "text_id", "place", "after"]).join(there, ["like_doc", "like_text", "like_place", "after"])
     more = both.mapInArrow(_alike, "doc_id long, text_id long, first int, after boolean, more int").groupBy("doc_id", "text_id", "first").agg(F.max(F.when(~F.col("after"), F.col("more"))).alias("before"), F.max(F.when(F.col("after"), F.col("more"))).alias("behind"))
@@ -294,7 +323,7 @@ def repeated_passages(documents: DataFrame, width: int = 5, num: int = 80, den:
     before, behind = F.coalesce("before", F.lit(0)), F.coalesce("behind", F.lit(0))
     out = spans.join(more, ["doc_id", "text_id", "first", "removed"], "left").select("doc_id", "text_id", (F.col("first") - before).alias("first_word"), (F.col("end") - F.col("first") + before + behind).alias("n_words"), "component", F.col("left.doc_id").alias("kept_doc_id"), (F.col("left.start") - before).alias("kept_first_word"), "removed")
     out = materialize(out, "passages")
-    discard(spans, sides, around)
+    discard(spans, sides)
     return out
 
 
