@@ -277,7 +277,7 @@ def test_passages_inside_lines_and_across_newlines(spark):
         assert x[0] == y[0] and y[3] <= x[3] < x[0] and 0 <= y[1] - x[1] <= 2 and 0 <= x[1] + x[2] - y[1] - y[2] <= 2
     left = sorted((x.doc_id, len(x.text.split())) for x in substring_dedup.remove_repeats(table).collect())
     spans = {x[0]: x[2] for x in got}
-    full = sorted((i, len(t.split()) - (spans.get(i, 0) if len(t.split()) != 100 else 0)) for i, t in rows)
+    full = sorted((i, len(t.split()) - (spans.get(i, 0) if (i % 10, len(t.split())) != (7, 100) else 0)) for i, t in rows)
     assert left == [x for x in full if x[1]]
 
 
