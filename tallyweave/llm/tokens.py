@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,70 +13,72 @@ import numpy as np
 ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f-\u2064\u3000\ufeff]")
 #: Pieces between which no pre-token of either vocabulary reaches: plain words with the one space before them, marks
 #: that end a word, anything else up to white space, and white space.
-LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-PIECE = re.compile(f"(?: ?[{LETTER}]+(?=[ \n.,!?;:]|\\Z)|[.,!?;:]+(?=[ \n]|\\Z)| ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+)")
+LETTER, MARK = "A-Za-zÀ-ÖØ-öø-ÿ", "-.,!?;:#$%&*"
+PIECE = re.compile(f"(?: ?[{LETTER}]+(?=[ \n{MARK}]|\\Z)|[{MARK}]+(?=[ \n]|\\Z)| ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+)")
 #: The same for a vocabulary that drops white space.
-WORD_PIECE = re.compile(f"(?:[{LETTER}]+(?=[ \n.,!?;:]|\\Z)|[.,!?;:]+(?=[ \n]|\\Z)|[^ \n]+)")
+WORD_PIECE = re.compile(f"(?:[{LETTER}]+(?=[ \n{MARK}]|\\Z)|[{MARK}]+(?=[ \n]|\\Z)|[^ \n]+)")
 WIDE = re.compile("[^\x00-\xff]")
+#: Pieces that are one pre-token of either vocabulary, so that the BPE model alone gives their ids.
+ONE_WORD = re.compile(f"(?: ?[{LETTER}]+|[{MARK}]+)\\Z")
 #: Pieces longer than this are not kept.
 LONG_PIECE = 64
 
 
-class PieceEncoder:
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: printable ones of Latin-1 stand for themselves, the
+    others in order for the letters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class PieceEncoder(dict):
     """Ids of whole texts by a file of the ``tokenizers`` library, the same as if each text were encoded at once.
 
-    Most words of a corpus repeat, so the ids of up to ``most`` pieces are remembered. The strings of special
+    Most words of a corpus repeat, so the ids (as bytes) of up to ``most`` pieces are remembered. The strings of special
     tokens in a text are ordinary text. Where the vocabulary folds case and drops white space, so do the pieces.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most = most
+        self.model, self.letters, self.most = self.tokenizer.model, byte_letters(), most
         rules = json.loads(self.tokenizer.to_str())
         steps = (rules.get("normalizer") or {}).get("normalizers", [])
         self.folds = any(x["type"] == "Lowercase" for x in steps)
         self.pattern = WORD_PIECE if self.folds and any(x["type"] == "Replace" for x in steps) else PIECE
-        self.known: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """Pieces of a text; null if it must be encoded as it is."""
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        if ONE_WORD.match(piece):
+            word = (piece.lower() if self.folds else piece).encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        else:
+            ids = self._whole(piece)
+        if len(piece) <= LONG_PIECE:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+    def ids(self, text: str | None) -> np.ndarray:
+        """The ids of a text (null: none)."""
+        if not text:
+            return np.empty(0, np.uint32)
         if ODD_SPACE.search(text):
-            return None
+            return np.frombuffer(self._whole(text), np.uint32)
         if self.folds and not WIDE.search(text):
             text = text.lower()
-        return self.pattern.findall(text)
+        return np.frombuffer(b"".join(map(self.__getitem__, self.pattern.findall(text))), np.uint32)
 
     def all_ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text (null: none), a few texts at a time."""
-        at = 0
-        while at < len(texts):
-            stop, size = at, 0
-            while stop < len(texts) and size < 400_000:
-                size += len(texts[stop] or "")
-                stop += 1
-            part, at = texts[at:stop], stop
-            pieces = [self._pieces(t) if t else None for t in part]
-            known = self.known
-            new = {x for p in pieces if p for x in p if x not in known}
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = {x for p in pieces if p for x in p}
-            new = list(new)
-            known.update(zip(new, (x.tobytes() for x in self._encoded(new)), strict=True))
-            for text, p in zip(part, pieces, strict=True):
-                if p is not None:
-                    yield np.frombuffer(b"".join(map(known.__getitem__, p)), np.uint32)
-                else:
-                    yield self._encoded([text])[0] if text else np.empty(0, np.uint32)
-            for x in new:
-                if len(x) > LONG_PIECE:
-                    del known[x]
+        """The ids of each text."""
+        return map(self.ids, texts)
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

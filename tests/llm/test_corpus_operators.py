@@ -339,8 +339,8 @@ def test_bands_are_tuned():
 
 def test_piece_encoder_equals_whole_texts():
     r = random.Random(0)
-    parts = ["a", "bB", " ", "  ", "\n", "\n\n", "'s", "'", "é", "é", "1", "23", "!", "##", " \n", "\n ", "<|endoftext|>", "日本", "\t", " ", "‍"]
-    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(3000)] + [None, "x" * 5000]
+    parts = ["a", "bB", " ", "  ", "\n", "\n\n", "'s", "'", "é", "é", "1", "23", "!", "##", " \n", "\n ", "<|endoftext|>", "日本", "%%%", "a-", "$", "&b", "ß", "ÅÉ", "\t", " ", "‍"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(6000)] + [None, "x" * 5000]
     for path in (WORDS, BYTES):
         e = PieceEncoder(path, most=500)
         for text, ids in zip(texts, e.all_ids(texts), strict=True):
