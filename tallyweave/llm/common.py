@@ -23,9 +23,11 @@ LETTERS_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tallyweave-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/") if "://" in folder or folder.startswith("file:/") else "file://" + os.path.abspath(folder)
@@ -46,9 +48,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing reads any more, so a long job holds few at a time."""
-    for df in tables:
+    discard_folders(*[df.written_to for df in tables])
+
+
+def discard_folders(*paths: str) -> None:
+    for path in paths:
         with contextlib.suppress(OSError, pa.ArrowException):  # the folder's store may not let us; files then stay
-            fs, place = pa.fs.FileSystem.from_uri(df.written_to)
+            fs, place = pa.fs.FileSystem.from_uri(path)
             fs.delete_dir(place)
 
 

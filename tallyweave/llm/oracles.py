@@ -11,7 +11,7 @@ reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM sets LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id"""
 
 WARC_AUDIT = """
-WITH r AS (SELECT page_id, url, html, CAST(floor(page_id / 2048) AS BIGINT) AS volume,
+WITH r AS (SELECT page_id, url, html, CAST(floor(page_id / 2048) AS BIGINT) * 1048576 AS volume,
   'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || CAST(page_id AS VARCHAR) || '>' || chr(13) || chr(10) || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10)
   || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
 p AS (SELECT *, octet_length(encode(record)) AS n, row_number() OVER (PARTITION BY volume ORDER BY page_id, url, html) - 1 AS seq FROM r)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chat_format, read_formatted, threads
-from .common import materialize, new_path, prepare
+from .common import discard_folders, materialize, new_path, prepare
 from .language_id import language_id
 from .mixing import mix_to_weights
 from .ngram_join import ngram_jaccard_components
@@ -70,6 +70,7 @@ def op8_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.coalesce(F.pmod("page_id", F.lit(1009)) == 5, F.lit(False))
     write_replica(records.withColumn("record", F.when(hit, F.regexp_replace("record", "^WARC/1.0", "WARC/1.!")).otherwise(F.col("record"))), theirs)
     audit = fixity_audit(spark, ours, theirs)
+    discard_folders(ours, theirs)
     page = F.regexp_extract("record_id", "page:(-?[0-9]+)", 1)
     return audit.select(F.when(page != "", page).cast("long").alias("page_id"), "volume", "seq", F.col("offset").alias("byte_offset"), F.col("length").alias("byte_length"), F.col("hash").alias("sha256_hex"), "damaged")
 

@@ -13,40 +13,42 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, plain, tidy
+from .common import discard, materialize, plain, tidy
 
-#: Pages of a volume (by ranges of page_id), places of a volume in the tree, and children of a node.
-VOLUME, PLACES, FANOUT = 2048, 1 << 20, 16
-NO_ID_VOLUMES = 64
-
-
-def volume_of(page_id: Column, url: Column) -> Column:
-    """Ranges of page_id; rows without one spread over NO_ID_VOLUMES negative volumes."""
-    return F.coalesce(F.floor(page_id / VOLUME), -1 - F.pmod(F.xxhash64(url), F.lit(NO_ID_VOLUMES)))
+#: Pages of a range of page_id that one task writes, bytes after which the next volume begins, volumes of a range at
+#: most, and children of a node.
+RANGE, VOLUME_BYTES, PARTS, FANOUT = 2048, 64 << 20, 1 << 20, 16
 
 
 def warc_records(pages: DataFrame) -> DataFrame:
-    """``pages`` (page_id, url, html) as WARC resource records: volume, seq (in the volume, from 0), page_id, record.
+    """``pages`` (page_id, url, html) as WARC resource records: volume, seq (their order), page_id, record.
 
-    Records go by page_id, url and html; repeated rows are records of their own. A null url or html is empty; line
-    breaks in a url are percent-encoded. The record ends in two line breaks.
+    A volume is the next records of a range of RANGE page_ids, up to VOLUME_BYTES and one record more; its number is the
+    range's times PARTS, and on from there. Pages without an id are spread by hash over as many negative ranges as they
+    fill. Records go by page_id, url and html; repeated rows are records of their own. A null url or html is empty; line
+    breaks in a url are percent-encoded. The record ends in two line breaks. All of a volume is in one partition.
     """
-    rows = plain(pages, "page_id", "url", "html").withColumn("volume", volume_of(F.col("page_id"), F.col("url")))
-    order = Window.partitionBy("volume").orderBy(F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first(), F.col("html").asc_nulls_first())
+    rows = plain(pages, "page_id", "url", "html")
+    spread = max(1, -(-rows.filter("page_id IS NULL").count() // RANGE))
     html = F.coalesce("html", F.lit(""))
     uri = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
     head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: "), uri, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
-    return rows.select("volume", (F.row_number().over(order) - 1).alias("seq"), "page_id", F.concat(head, html, F.lit("\r\n\r\n")).alias("record"))
+    rows = rows.withColumn("range", F.coalesce(F.floor(F.col("page_id") / RANGE), -1 - F.pmod(F.xxhash64("url", "html"), F.lit(spread))))
+    order = Window.partitionBy("range").orderBy(F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first(), F.col("html").asc_nulls_first())
+    before = F.sum(F.octet_length(F.concat(head, html)).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    part = F.floor(F.coalesce(before, F.lit(0)) / VOLUME_BYTES)
+    return rows.select((F.col("range") * PARTS + part).alias("volume"), (F.row_number().over(order) - 1).alias("seq"), "page_id", F.concat(head, html, F.lit("\r\n\r\n")).alias("record"))
 
 
 def write_replica(records: DataFrame, folder: str) -> None:
-    """Write records (volume, seq, record) as one gzip'd file a volume, in the order of seq."""
+    """Write records (volume, seq, record) as one gzip'd file a volume, in the order of seq. All of a volume must be in
+    one partition, as ``warc_records`` gives them, so nothing is shuffled here."""
     # Spark's text writer ends each line with lineSep, which is here the end of the record
     lines = records.select("volume", "seq", F.expr("substring(record, 1, length(record) - 2)").alias("value"))
-    lines.repartition("volume").sortWithinPartitions("volume", "seq").drop("seq").write.partitionBy("volume").option("lineSep", "\r\n").option("compression", "gzip").text(folder)
+    lines.sortWithinPartitions("volume", "seq").drop("seq").write.partitionBy("volume").option("lineSep", "\r\n").option("compression", "gzip").text(folder)
 
 
 def _volumes(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,36 +133,55 @@ def hash_ranges(spark: SparkSession, folder: str, expected: DataFrame) -> DataFr
     return ranges.join(_volumes(spark, folder), "volume", "full").select("volume", "content", "ranges").mapInArrow(_ranges, "volume long, seq long, offset long, length long, hash string")
 
 
-def merkle_levels(hashes: DataFrame) -> list[DataFrame]:
-    """Levels of the tree from the leaves up to one root: node, hash, first_offset, end_offset (of the node's first
-    and last volume). A node's hash is over its children's hashes and ranges, in order."""
-    base = F.lit(NO_ID_VOLUMES)
-    level = hashes.select(((F.col("volume") + base) * PLACES + F.col("seq")).alias("node"), "hash", F.col("offset").alias("first_offset"), (F.col("offset") + F.col("length")).alias("end_offset"))
-    levels = [level]
-    top = level.agg(F.max("node")).first()[0] or 0
-    while top > 0 or len(levels) == 1:
-        top //= FANOUT
-        child = F.struct("node", "hash", "first_offset", "end_offset")
-        up = levels[-1].groupBy(F.floor(F.col("node") / FANOUT).alias("parent")).agg(F.array_sort(F.collect_list(child)).alias("children"))
-        text = F.array_join(F.transform("children", lambda c: F.concat_ws(":", c["node"].cast("string"), c["hash"], c["first_offset"].cast("string"), c["end_offset"].cast("string"))), "|")
-        levels.append(materialize(up.select(F.col("parent").alias("node"), F.sha2(text, 256).alias("hash"), F.col("children")[0]["first_offset"].alias("first_offset"), F.element_at("children", -1)["end_offset"].alias("end_offset")), "merkle"))
-    return levels
+def _up(level: DataFrame, number: int, inner: int, base: int) -> DataFrame:
+    """A level with the key of each node's parent: within its volume, then among all volumes."""
+    place = F.col("volume") - base if number == inner else F.col("node")
+    return level.withColumns({"up_volume": F.col("volume") if number < inner else F.lit(base), "up_node": F.floor(place / FANOUT)})
+
+
+def _steps(top: int) -> int:
+    steps = 1
+    while top := top // FANOUT:
+        steps += 1
+    return steps
+
+
+def merkle_trees(*replicas: DataFrame) -> list[list[DataFrame]]:
+    """Trees over the ranges (volume, seq, offset, length, hash) of replicas, as levels from the leaves up to one root:
+    volume, node, hash, first_offset, end_offset and the parent's key. Trees have as many levels as the largest needs:
+    within each volume first, then over all volumes. A node's hash is over its children's keys, ranges and hashes, in
+    order."""
+    most = [r.agg(F.max("seq"), F.min("volume"), F.max("volume")).first() for r in replicas]
+    most = [m for m in most if m[0] is not None] or [(0, 0, 0)]
+    base = min(m[1] for m in most)
+    inner = _steps(max(m[0] for m in most))
+    height = inner + _steps(max(m[2] for m in most) - base)
+    trees = []
+    for hashes in replicas:
+        leaves = hashes.select("volume", F.col("seq").alias("node"), "hash", F.col("offset").alias("first_offset"), (F.col("offset") + F.col("length")).alias("end_offset"))
+        levels = [_up(leaves, 0, inner, base)]
+        for number in range(1, height + 1):
+            child = F.struct("volume", "node", "hash", "first_offset", "end_offset")
+            up = levels[-1].groupBy("up_volume", "up_node").agg(F.array_sort(F.collect_list(child)).alias("children"))
+            text = F.array_join(F.transform("children", lambda c: F.concat_ws(":", c["volume"].cast("string"), c["node"].cast("string"), c["hash"], c["first_offset"].cast("string"), c["end_offset"].cast("string"))), "|")
+            level = up.select(F.col("up_volume").alias("volume"), F.col("up_node").alias("node"), F.sha2(text, 256).alias("hash"), F.col("children")[0]["first_offset"].alias("first_offset"), F.element_at("children", -1)["end_offset"].alias("end_offset"))
+            levels.append(materialize(_up(level, number, inner, base), "merkle"))
+        trees.append(levels)
+    return trees
 
 
 def damaged_leaves(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
-    """Leaves (node) whose hashes differ, found from the roots down through mismatching branches only."""
-    spark = ours[0].sparkSession
-    if len(ours) != len(theirs):  # theirs has volumes beyond our last one
-        both = ours[0].select("node", "hash").join(theirs[0].select("node", F.col("hash").alias("other")), "node", "full")
-        return both.filter(~F.col("hash").eqNullSafe(F.col("other"))).select("node")
+    """Leaves (volume, node) whose hashes differ, found from the roots down through mismatching branches only."""
+    key = ["volume", "node"]
     if [r.hash for r in ours[-1].select("hash").collect()] == [r.hash for r in theirs[-1].select("hash").collect()]:
-        return spark.createDataFrame([], "node long")
-    suspects = ours[-1].select("node").unionByName(theirs[-1].select("node")).distinct()
+        return ours[-1].limit(0).select(*key)
+    suspects = ours[-1].select(*key).unionByName(theirs[-1].select(*key)).distinct()
     for a, b in zip(ours[-2::-1], theirs[-2::-1], strict=True):
-        own = [x.withColumn("parent", F.floor(F.col("node") / FANOUT)).join(suspects.withColumnRenamed("node", "parent"), "parent", "left_semi") for x in (a, b)]
-        other = own[1].select("node", F.col("hash").alias("other"))
+        under = suspects.toDF("up_volume", "up_node")
+        own = [x.join(under, ["up_volume", "up_node"], "left_semi").select(*key, "hash") for x in (a, b)]
         # each level is written, or the plan would hold all above it twice
-        suspects = materialize(own[0].join(other, "node", "full").filter(~F.col("hash").eqNullSafe(F.col("other"))).select("node"), "suspects")
+        differ = own[0].join(own[1].withColumnRenamed("hash", "other"), key, "full").filter(~F.col("hash").eqNullSafe(F.col("other")))
+        suspects = materialize(differ.select(*key), "suspects")
     return suspects
 
 
@@ -174,8 +195,10 @@ def fixity_audit(spark: SparkSession, ours: str, theirs: str) -> DataFrame:
     """
     listed = materialize(manifest(spark, ours), "manifest")
     other = materialize(hash_ranges(spark, theirs, listed), "ranges")
-    bad = damaged_leaves(merkle_levels(listed), merkle_levels(other)).withColumn("damaged", F.lit(True))
-    node = (F.col("volume") + NO_ID_VOLUMES) * PLACES + F.col("seq")
-    rows = listed.withColumn("node", node).join(bad, "node", "left").select("volume", "seq", "record_id", "offset", "length", "hash", F.coalesce("damaged", F.lit(False)).alias("damaged"))
-    extra = other.withColumn("node", node).join(bad, "node").join(listed.select("volume", "seq"), ["volume", "seq"], "left_anti")
-    return rows.unionByName(extra.select("volume", "seq", F.lit(None).cast("string").alias("record_id"), "offset", "length", "hash", "damaged"))
+    trees = merkle_trees(listed, other)
+    bad = damaged_leaves(*trees).select("volume", F.col("node").alias("seq"), F.lit(True).alias("damaged"))
+    rows = listed.join(bad, ["volume", "seq"], "left").select("volume", "seq", "record_id", "offset", "length", "hash", F.coalesce("damaged", F.lit(False)).alias("damaged"))
+    extra = other.join(bad, ["volume", "seq"]).join(listed.select("volume", "seq"), ["volume", "seq"], "left_anti")
+    out = materialize(rows.unionByName(extra.select("volume", "seq", F.lit(None).cast("string").alias("record_id"), "offset", "length", "hash", "damaged")), "audit")
+    discard(listed, other, *trees[0][1:], *trees[1][1:])
+    return out

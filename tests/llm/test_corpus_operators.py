@@ -430,12 +430,12 @@ def test_warc_audit_sees_more_bytes_and_places_a_bad_bit(spark, tmp_path):
     warc.write_replica(records, theirs)
     for checksum in (tmp_path / "theirs").glob("volume=*/.*.crc"):
         checksum.unlink()  # else the local file system refuses to read changed files
-    (extra,) = (tmp_path / "theirs" / "volume=1").glob("part-*")
+    (extra,) = (tmp_path / "theirs" / f"volume={warc.PARTS}").glob("part-*")
     extra.write_bytes(extra.read_bytes() + gzip.compress(b"more"))
     (tmp_path / "theirs" / "volume=9").mkdir()
     (tmp_path / "theirs" / "volume=9" / "part-0.txt.gz").write_bytes(gzip.compress(b"WARC/1.0\r\n\r\n"))
     found = {(x.volume, x.record_id, x.length) for x in warc.fixity_audit(spark, ours, theirs).collect() if x.damaged}
-    assert found == {(1, None, 4), (9, None, 12)}
+    assert found == {(warc.PARTS, None, 4), (9, None, 12)}
     (broken,) = (tmp_path / "theirs" / "volume=0").glob("part-*")
     data = bytearray(broken.read_bytes())
     data[-4] ^= 1  # the length at the file's end: nothing else is touched
@@ -447,6 +447,23 @@ def test_warc_audit_sees_more_bytes_and_places_a_bad_bit(spark, tmp_path):
     assert found[-1] == 2047 and 900 < found[0] < 1150 and found == list(range(found[0], 2048))
 
 
+def test_volumes_end_by_bytes_and_nothing_is_lost(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "VOLUME_BYTES", 4000)
+    pages = [(i % 50 if i % 3 else None, f"http://x/{i}", "h" * (i % 700)) for i in range(400)]
+    records = warc.warc_records(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    sizes = defaultdict(int)
+    for r in records.collect():
+        sizes[r.volume] += len(r.record)
+    assert len(sizes) > 20 and max(sizes.values()) < 4000 + 1000
+    ours, theirs = str(tmp_path / "ours"), str(tmp_path / "theirs")
+    warc.write_replica(records, ours)
+    warc.write_replica(records.filter("url != 'http://x/7'"), theirs)
+    audit = warc.fixity_audit(spark, ours, theirs).collect()
+    assert len(audit) == 400 and len({(x.volume, x.seq) for x in audit}) == 400
+    hit = {x.volume for x in audit if x.damaged}
+    assert len(hit) == 1  # records after the missing one in its volume have moved
+
+
 def test_chat_paths_of_trees(spark):
     rows = [("t", 1, None, 1.0, "user", "q"), ("t", 2, 1, 5.0, "assistant", "a"), ("t", 3, 1, 2.0, "assistant", "b"), ("t", 4, 3, 9.0, "user", "c"), ("t", 5, 4, None, "assistant", "d"),
             ("c", 1, 2, 1.0, "user", "x"), ("c", 2, 1, 1.0, "user", "y"), ("o", 8, 99, 1.0, "user", None)]
