@@ -12,6 +12,12 @@ from pyspark.sql.types import StringType
 from . import vocab
 
 
+def computed(**columns: Column) -> Column:
+    """Columns for a select that later filters and columns read instead of computing them again, as they would if the
+    optimizer put the expressions in their places."""
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+
+
 def rejoin_acronyms(name: Column) -> Column:
     """Trim, and close the gaps inside runs of one- and two-letter capital groups ("BL W" to "BLW")."""
     runs = F.regexp_extract_all(name, F.lit(r"(\b(?:[A-Z]{1,2}\s+){1,}[A-Z]\b)"), F.lit(1))
@@ -22,8 +28,7 @@ def name_key(name: Column) -> Column:
     """The key by which names are the same: lower case, without marks and trailing legal suffixes, and without a trailing
     "india" if a suffix followed it."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(rejoin_acronyms(name)), r"[.,&'\"]", ""), r"\s+", " "))
-    cut = F.regexp_replace(plain, rf"(?:(?:^|\s)(?:{'|'.join(vocab.LEGAL_SUFFIXES)}))+$", "")
-    return F.when(cut != plain, F.regexp_replace(cut, r"(?:^|\s)india$", "")).otherwise(cut)
+    return F.regexp_replace(plain, rf"(?:(?:^|\s)india)?(?:(?:^|\s)(?:{'|'.join(vocab.LEGAL_SUFFIXES)}))+$", "")
 
 
 def quote_form(text: Column) -> Column:

@@ -20,8 +20,9 @@ def _field(name: str) -> Column:
 def read_announcements(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (payload: JSON text) to typed announcements, and the payloads that lack what every announcement needs."""
     rows = payloads.withColumn("_fields", F.from_json("payload", "map<string, string>"))
-    typed = rows.withColumns({name: _field(name) for name in vocab.FEED_KEYS})
-    typed = typed.withColumns({"announced": exprs.feed_date(F.col("date")), "attachment_url": exprs.attachment_url(F.col("attachment"))}).drop("_fields", "attachment")
+    typed = rows.select(*payloads.columns, exprs.computed(**{name: _field(name) for name in vocab.FEED_KEYS}))
+    named = [c for c in typed.columns if c != "attachment"]
+    typed = typed.select(*named, exprs.computed(announced=exprs.feed_date(F.col("date")), attachment_url=exprs.attachment_url(F.col("attachment"))))
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in ("external_id", "scrip_code", "company_name", "headline", "announced")]))
     judged = typed.withColumn("missing", missing)
     return judged.filter(F.size("missing") == 0).drop("missing", "date"), judged.filter(F.size("missing") > 0).select("payload", "missing")
@@ -49,10 +50,12 @@ def announcement_stream(rows: DataFrame, companies: DataFrame) -> DataFrame:
 
     A name that isn't the mapped company's fails; without rating language or an attachment it is ignored; else linked.
     """
-    known = rows.join(companies.select("company_id", F.col("name").alias("mapped_name"), "scrip_code"), "scrip_code", "left")
-    same = exprs.name_key(exprs.issuer_name(F.col("mapped_name"))) == exprs.name_key(exprs.issuer_name(F.col("company_name")))
+    key = lambda c: exprs.name_key(exprs.issuer_name(F.col(c)))
+    mapped = companies.select("company_id", F.col("name").alias("mapped_name"), "scrip_code", key("name").alias("_mapped_key"))
+    known = rows.select("*", exprs.computed(_key=key("company_name"))).join(mapped, "scrip_code", "left")
+    same = F.col("_mapped_key") == F.col("_key")
     status = F.when(F.col("company_id").isNull(), "skipped").when(~same, "failed").when(~is_relevant() | F.col("attachment_url").isNull(), "ignored").otherwise("linked")
-    return known.withColumns({"status": status, "failure_reason": F.when(~same, "company name mismatch")})
+    return known.withColumns({"status": status, "failure_reason": F.when(~same, "company name mismatch")}).drop("_key", "_mapped_key")
 
 
 def latest_announcements(log: DataFrame) -> DataFrame:
