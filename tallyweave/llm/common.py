@@ -7,6 +7,7 @@ import ctypes
 import functools
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tallyweave-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)

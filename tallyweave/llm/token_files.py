@@ -34,6 +34,8 @@ MAGIC = b"TWIDS1\n\0"
 #: Range coders of a block; ids of each in the segments of a block.
 LANES, SEGMENTS = 32, (8, 24, 96, 128, 256)
 BLOCK = LANES * sum(SEGMENTS)
+#: Bytes of text in a file, at least (if there are so many) and at most, nearly.
+FILE_BYTES = (4 << 20, 256 << 20)
 #: Blocks that advance together.
 TOGETHER = 64
 #: Ids are below this; the top one stands for an id that order 0 has not met.
@@ -339,13 +341,18 @@ def write_token_files(documents: DataFrame, tokenizer: str, end_id: int = 2, fol
     """Write the ids of ``documents`` (doc_id, text) as files in ascending doc_id order, and return their folder.
 
     ``tokenizer``: path of a ``tokenizers`` file that every executor has. A document is its ids and ``end_id``; a null
-    text has ``end_id`` only. Null doc_ids come first, rows of one doc_id are in the order of their texts. Files are
-    ranges of doc_id; an empty table has none. The folder is one that all executors share.
+    text has ``end_id`` only. Null doc_ids come first, rows of one doc_id are in the order of a hash of their texts, so
+    that many of them fill several files. Files are ranges of this order, one for each shuffle partition, but of
+    FILE_BYTES of text at least and at most; an empty table has none. The folder is one that all executors share.
     """
     spark = documents.sparkSession
     folder = folder or new_path(spark, "token-files")
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = plain(documents, "doc_id", "text").repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    docs = plain(documents, "doc_id", "text")
+    if not files:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES[0])), -(-size // FILE_BYTES[1]))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    docs = docs.repartitionByRange(files, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     docs.mapInArrow(_store(f"{folder}/ids", tokenizer, end_id), MANIFEST).write.parquet(f"{folder}/manifest")
     return folder
 
