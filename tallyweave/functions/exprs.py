@@ -150,7 +150,7 @@ def perspective(entity_type: Column, counterparty_type: Column, counterparty: Co
 
 
 def relationship_identity(source: Column, target: Column, relation_type: Column, exposure: Column) -> Column:
-    return F.concat_ws("\u001f", name_key(source), name_key(target), relation_type, F.coalesce(F.format_string("%.2f", exposure.cast("double")), F.lit("none")))
+    return F.concat_ws("\u001f", name_key(source), name_key(target), relation_type, F.when(exposure.isNull(), "none").otherwise(F.format_string("%.2f", exposure.cast("double"))))
 
 
 def retryable_error(code: Column, status: Column, message: Column) -> Column:
@@ -160,3 +160,8 @@ def retryable_error(code: Column, status: Column, message: Column) -> Column:
 
 def near_token_ceiling(used: Column, most: Column) -> Column:
     return used >= F.ceil(most * 0.9)
+
+
+def token_cost(read: Column, written: Column, per_million_read: float, per_million_written: float) -> Column:
+    """The price of a call, from its tokens and prices a million."""
+    return (read * per_million_read + written * per_million_written) / 1_000_000

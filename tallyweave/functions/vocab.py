@@ -2,8 +2,6 @@
 
 # Fixed values.
 DOCUMENT_STATUS = ["discovered", "fetched", "classified", "extracted", "validated", "resolved", "ready_for_review", "published", "failed", "excluded", "superseded_document"]
-SOURCES = ["bse", "nse", "crisil", "icra", "care", "india_ratings", "user_upload", "manual"]
-DOC_TYPES = ["rating_rationale", "rating_intimation", "annual_report", "rpt_schedule", "order_win", "drhp", "other"]
 RELATION_TYPES = ["customer", "supplier", "lender", "subsidiary", "parent", "group_company", "unnamed_dependency"]
 NODE_TYPES = ["target", "customer", "supplier", "lender", "subsidiary", "parent", "group_company", "unnamed_dependency", "industry"]
 RISK_FLAGS = ["high", "medium", "low"]

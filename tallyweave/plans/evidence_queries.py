@@ -89,17 +89,35 @@ def _(led):
 INSERTS = [" credit rating assigned ", " key rating drivers: ", " annual report ", " letter of award ", " earnings call ", " drhp ", " plain "]
 
 
-@query("T6_classify_documents", "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'rating_intimation' WHEN 1 THEN 'rating_rationale' WHEN 2 THEN 'annual_report' WHEN 3 THEN 'order_win' WHEN 4 THEN 'other' WHEN 5 THEN 'drhp' ELSE 'other' END AS doc_type, length(text) >= 12000 AS long_text FROM documents")
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+CLASSIFIED = f"""WITH v AS (SELECT doc_id, text, [{", ".join(map(_sql, INSERTS))}][CAST(doc_id % 7 AS INT) + 1] || chr(10) || chr(10) || text AS value FROM documents),
+f AS (SELECT *, trim(regexp_replace(strip_accents(lower(replace(value, '&', ' '))), '[^a-z0-9]+', ' ', 'g')) AS form FROM v)
+SELECT doc_id, CASE WHEN regexp_matches(value, {_sql(vocab.TRANSCRIPT)}) THEN 'other' WHEN len(list_filter([{", ".join(map(_sql, vocab.RATIONALE_HEADINGS))}], lambda h: contains(form, h))) > 0 OR regexp_matches(value, {_sql(vocab.RATIONALE_LABEL)}) THEN 'rating_rationale'
+  WHEN regexp_matches(value, {_sql(vocab.RATING_INTIMATION)}) THEN 'rating_intimation' WHEN regexp_matches(value, {_sql(vocab.ANNUAL_REPORT)}) THEN 'annual_report' WHEN regexp_matches(value, {_sql(vocab.RELATED_PARTY)}) THEN 'rpt_schedule'
+  WHEN regexp_matches(value, {_sql(vocab.ORDER)}) THEN 'order_win' WHEN regexp_matches(value, {_sql(vocab.DRHP)}) THEN 'drhp' ELSE 'other' END AS doc_type, length(text) >= 12000 AS long_text FROM f"""
+
+
+@query("T6_classify_documents", CLASSIFIED)
 def _(led):
     title = F.element_at(F.array(*map(F.lit, INSERTS)), (F.pmod("doc_id", F.lit(7)) + 1).cast("int"))
     rows = evidence.classify_documents(led.texts.select("doc_id", title.alias("title"), F.lit("").alias("url"), "text"))
     return rows.select("doc_id", "doc_type", (F.col("characters") >= 12_000).alias("long_text"))
 
 
-@query("T8_relationship_phrases", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Joint venture' WHEN 1 THEN 'associate company; JOINT VENTURE' WHEN 2 THEN 'acquired a majority stake' END AS raw_phrase FROM documents")
+SAID = ["a Joint venture of", "joint venture, associate company and JOINT VENTURE", "acquired a majority stake in", "nothing"]
+FOUND = " || ".join(f"regexp_extract_all(quote, {_sql(p)})" for p in vocab.PHRASES)
+PHRASED = f"""WITH q AS (SELECT doc_id, [{", ".join(map(_sql, SAID))}][CAST(doc_id % 4 AS INT) + 1] || ' ' || text AS quote FROM documents), f AS (SELECT doc_id, {FOUND} AS found FROM q),
+k AS (SELECT *, list_transform(list_filter(range(1, len(found) + 1), lambda i: list_position(list_transform(found, lambda y: lower(y)), lower(found[i])) = i), lambda i: lower(found[i])) AS keys FROM f)
+SELECT doc_id, CASE WHEN len(found) > 0 THEN array_to_string(list_transform(keys, lambda k: list_filter(found, lambda x: lower(x) = k)[-1]), '; ') END AS raw_phrase FROM k"""
+
+
+@query("T8_relationship_phrases", PHRASED)
 def _(led):
-    said = F.element_at(F.array(*map(F.lit, ["a Joint venture of", "joint venture, associate company and JOINT VENTURE", "acquired a majority stake in", "nothing"])), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
-    rows = evidence.relationship_phrases(led.texts.select("doc_id", F.concat(said, F.lit(" "), F.substring("text", 1, 20)).alias("quote")))
+    said = F.element_at(F.array(*map(F.lit, SAID)), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    rows = evidence.relationship_phrases(led.texts.select("doc_id", F.concat(said, F.lit(" "), "text").alias("quote")))
     return rows.select("doc_id", "raw_phrase")
 
 
@@ -509,7 +527,11 @@ def _(led):
 
     from ..sources.snapshots import ledger_restore, ledger_snapshot
 
-    folder = led.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyweave-snapshot-")
+    folder = led.spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not led.spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tallyweave-snapshot-")
     place = f"{folder.rstrip('/')}/snapshot-{uuid.uuid4().hex[:12]}"
     ledger_snapshot({"companies": led.companies}, place)
     return ledger_restore(led.spark, place)["companies"]

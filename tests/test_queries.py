@@ -7,11 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tallyweave.plans import evidence_queries, ledger_queries
+from tallyweave.plans import expression_queries, ledger_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, ORACLES = (ledger_queries.QUERIES | evidence_queries.QUERIES, ledger_queries.ORACLES | evidence_queries.ORACLES)
+QUERIES, ORACLES = (ledger_queries.QUERIES | expression_queries.QUERIES, ledger_queries.ORACLES | expression_queries.ORACLES)
 
 
 @pytest.fixture(scope="module")
