@@ -107,11 +107,11 @@ def _set_sizes(shingles: np.ndarray) -> np.ndarray:
     return 1 + (ordered[1:] != ordered[:-1]).sum(0)
 
 
-def _maps(shingles: np.ndarray) -> np.ndarray:
-    """Bitmaps of the sets in the columns, as two 64-bit words each."""
+def _bits(shingles: np.ndarray) -> list[np.ndarray]:
+    """The bit of each shingle, for the two 64-bit words of a bitmap."""
     bit = np.uint64(1) << ((shingles >> np.uint64(57)) & np.uint64(63))
     upper = (shingles >> np.uint64(56)) & np.uint64(1) == 1
-    return np.stack([np.bitwise_or.reduce(np.where(upper == k, bit, np.uint64(0)), 0) for k in (False, True)], 1)
+    return [np.where(upper == k, bit, np.uint64(0)) for k in (False, True)]
 
 
 class Paragraphs:
@@ -125,32 +125,34 @@ class Paragraphs:
 
     def of(self, text: bytes, words: np.ndarray) -> tuple[np.ndarray, ...]:
         starts, whole = paragraph_starts(words), lines(text)
-        f1 = run_hashes(words, UNIT)[starts]
-        f2 = run_hashes(words ^ np.uint64(0x5851F42D4C957F2D), UNIT)[starts]
+        sizes = np.full(len(starts), UNIT)
+        if whole:
+            sizes = np.concatenate((sizes, [k for _, k in whole]))
+        first_words = np.concatenate((starts, [a for a, _ in whole])).astype(np.int64)
+        prints = b"".join(xxhash.xxh3_128_digest(words[a : a + k].tobytes()) for a, k in zip(first_words.tolist(), sizes.tolist(), strict=True))
+        f1, f2 = np.frombuffer(prints, "<u8").astype(np.uint64).reshape(-1, 2).T
         s = shingle_hashes(words, self.width)
         near = s[np.arange(UNIT - self.width + 1)[:, None] + starts]
         low = [(near * f).min(0) for f in self.factors] if len(starts) else []
-        sizes = np.full(len(starts), UNIT)
-        n, maps = _set_sizes(near), _maps(near)
+        n, maps = _set_sizes(near), np.stack([np.bitwise_or.reduce(x, 0) for x in _bits(near)], 1)
         if whole:
-            own = [words[a : a + n].tobytes() for a, n in whole]
-            f1 = np.concatenate((f1, np.array([xxhash.xxh3_64_intdigest(x) for x in own], np.uint64)))
-            f2 = np.concatenate((f2, np.array([xxhash.xxh3_64_intdigest(x, 1) for x in own], np.uint64)))
-            own = [distinct(s[a : a + k - self.width + 1]) for a, k in whole]
-            n = np.concatenate((n, [len(x) for x in own]))
-            maps = np.concatenate((maps, *(_maps(x[:, None]) for x in own)))
             a, k = np.array(whole).T
-            cuts = np.stack((a, np.minimum(a + k - self.width + 1, len(s)))).T.ravel()
-            cuts = cuts[:-1] if cuts[-1] == len(s) else cuts
-            low = [np.concatenate((x, np.minimum.reduceat(s * f, cuts)[::2])) for x, f in zip(low, self.factors, strict=True)]
-            starts, sizes = np.concatenate((starts, a)), np.concatenate((sizes, k))
+            many = k - self.width + 1
+            first = np.cumsum(many) - many
+            line = np.repeat(np.arange(len(k)), many)
+            own = s[np.arange(len(line)) + np.repeat(a - first, many)]
+            ordered = own[np.lexsort((own, line))]
+            new = np.append(True, (ordered[1:] != ordered[:-1]) | (line[1:] != line[:-1]))
+            n = np.concatenate((n, np.add.reduceat(new, first, dtype=np.int64)))
+            maps = np.concatenate((maps, np.stack([np.bitwise_or.reduceat(x, first) for x in _bits(own)], 1)))
+            low = [np.concatenate((x, np.minimum.reduceat(own * f, first))) for x, f in zip(low, self.factors, strict=True)]
         keys = []
         for b in range(self.bands):
-            key = np.full(len(starts), b + 1, np.uint64)
+            key = np.full(len(sizes), b + 1, np.uint64)
             for x in low[b * self.rows : (b + 1) * self.rows]:
                 key = mixed(key + x)
-            keys.append(key)
-        return starts, sizes, f1, (f2 >> np.uint64(32)).astype(np.uint32).view(np.int32), n, maps, keys
+            keys.append(key >> np.uint64(2) << np.uint64(2) | np.uint64(min(b, 3)))  # the band shows in the last bits
+        return first_words, sizes, f1, (f2 >> np.uint64(32)).astype(np.uint32).view(np.int32), n, maps, keys
 
 
 def _listed(values: list[np.ndarray], sizes: list[int], kind: pa.DataType, valid: list[np.ndarray] | None = None) -> pa.Array:
@@ -289,7 +291,8 @@ def repeated_passages(documents: DataFrame, width: int = 5, num: int = 80, den:
         sets = _asked(docs, ask).mapInArrow(_sets(width), "doc long, tokens binary")
         return sets.dropDuplicates(["doc"]) if twice else sets
 
-    links = linked(lists, described.select("doc", "n", "bitmap"), sets_of, num, den, one_in=1)
+    # first the lists of the first band, in which every paragraph is, then all others for what is not joined yet
+    links = linked(lists, described.select("doc", "n", "bitmap"), sets_of, num, den, one_in=4)
     component = materialize(connected_components(links[0].unionByName(links[1])).select(F.col("node").alias("f1"), "component"), "component")
     discard(lists, described, *links)
     member = materialize(classes.drop("n", "low_map", "high_map").join(component, "f1", "left").filter("again OR component IS NOT NULL").withColumn("component", F.coalesce("component", "f1")), "member")
