@@ -182,7 +182,7 @@ def _may_link(n, maps, i, j, num, den):
 
 
 def _forest(docs, n, maps, i, j, only_i, only_j, num, den):
-    """Of the likely links of a list, the most similar ones that join it together: fewer than its members."""
+    """Of the likely links of lists, the most similar ones that join them together: fewer than their members."""
     filled = np.bitwise_count(maps).sum(1) / (64 * maps.shape[1] + 1.0)
     shared = np.minimum(n[i] - only_i / (1 - filled[j]), n[j] - only_j / (1 - filled[i]))
     similar = shared / np.maximum(1, n[i] + n[j] - shared)
@@ -239,7 +239,7 @@ def _search(num: int, den: int, forest: bool):
             for m in range(2, LEAF + 1):
                 if len(first := at[:-1][size == m]):
                     p, q = np.triu_indices(m, 1)
-                    take((first[:, None] + p).ravel(), (first[:, None] + q).ravel())
+                    take((first[:, None] + p).ravel(), (first[:, None] + q).ravel(), joined=True)
             for k in np.flatnonzero(size > LEAF):
                 rows = slice(at[k], at[k + 1])
                 i, j = signature_tree_pairs(n[rows], maps[rows], num, den)
