@@ -64,21 +64,34 @@ def _sliding(op, values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def paragraph_starts(words: np.ndarray) -> np.ndarray:
-    """First words of the paragraphs of UNIT words of a text, given as word hashes: the places whose next CHOOSER words hash lowest in
-    some EVERY places in a row (in all places, if there are fewer). Equal words choose equal places, so ties all count."""
-    values = run_hashes(words, CHOOSER)[: max(0, len(words) - UNIT + 1)]
-    if not len(values):
-        return np.empty(0, np.int64)
-    width = min(EVERY, len(values))
-    lows = np.pad(_sliding(np.minimum, values, width), width - 1)
-    return np.flatnonzero(_sliding(np.maximum, lows, width) == values)
+def paragraph_starts(words: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """First words of the paragraphs of UNIT words of a text, given as word hashes, or of several texts of ``counts`` words, one after
+    another: the places whose next CHOOSER words hash lowest in some EVERY places in a row of their text (in all places,
+    if it has fewer). Equal words choose equal places, so ties all count."""
+    counts = np.array([len(words)]) if counts is None else counts
+    places = np.maximum(0, counts - UNIT + 1)
+    before = np.cumsum(places) - places
+    at = np.arange(places.sum()) + np.repeat(np.cumsum(counts) - counts - before, places)
+    if not len(at):
+        return at
+    values, text = run_hashes(words, CHOOSER)[at], np.repeat(np.arange(len(counts)), places)
+    chosen = np.zeros(len(at), bool)
+    if len(at) >= EVERY:
+        inside = text[EVERY - 1 :] == text[: len(at) - EVERY + 1]
+        lows = np.pad(np.where(inside, _sliding(np.minimum, values, EVERY), np.uint64(0)), EVERY - 1)
+        chosen = _sliding(np.maximum, lows, EVERY) == values
+    few = (places > 0) & (places < EVERY)
+    if few.any():
+        lowest = np.zeros(len(counts), np.uint64)
+        lowest[places > 0] = np.minimum.reduceat(values, before[places > 0])
+        chosen |= few[text] & (values == lowest[text])
+    return at[chosen]
 
 
 def _first_of_neighbours(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Whether a paragraph is no mere shift of one with the same key that overlaps it."""
     order = np.argsort(keys, kind="stable")
-    again = (keys[order][1:] == keys[order][:-1]) & (np.diff(starts[order]) < UNIT)
+    again = (keys[order][1:] == keys[order][:-1]) & (np.abs(np.diff(starts[order])) < UNIT)
     fresh = np.ones(len(keys), bool)
     fresh[order[1:][again]] = False
     return fresh
@@ -88,11 +101,10 @@ def _text_id(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def lines(text: bytes) -> list[tuple[int, int]]:
-    """First word and number of words of each line of UNIT words or more."""
+def lines(counts: list[int]) -> list[tuple[int, int]]:
+    """First word and number of words of each line of UNIT words or more, from the words of all lines of a text."""
     found, at = [], 0
-    for line in text.split(b"\n"):
-        n = len(line.split())
+    for n in counts:
         if n >= UNIT:
             found.append((at, n))
         at += n
@@ -115,80 +127,93 @@ def _bits(shingles: np.ndarray) -> list[np.ndarray]:
 
 
 class Paragraphs:
-    """The paragraphs of a text, given as bytes in lower case and word hashes: where they start, how many words they
-    have, two hashes of their words, the size and a 128-bit map of their sets of ``width``-word shingles, and for each
-    band a key from ``rows`` MinHash values of the set."""
+    """The paragraphs of texts, given as word hashes of all, words of each, and lines of UNIT words or more (text, first
+    word, words): which text they are of, where they start, how many words they have, two hashes of their words, the size
+    and a 128-bit map of their sets of ``width``-word shingles, and for each band a key from ``rows`` MinHash values of
+    the set and whether the paragraph is listed under it."""
 
     def __init__(self, bands: int, rows: int, width: int):
         self.bands, self.rows, self.width = bands, rows, width
         self.factors = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
-    def of(self, text: bytes, words: np.ndarray) -> tuple[np.ndarray, ...]:
-        starts, whole = paragraph_starts(words), lines(text)
-        sizes = np.full(len(starts), UNIT)
-        if whole:
-            sizes = np.concatenate((sizes, [k for _, k in whole]))
-        first_words = np.concatenate((starts, [a for a, _ in whole])).astype(np.int64)
-        prints = b"".join(xxhash.xxh3_128_digest(words[a : a + k].tobytes()) for a, k in zip(first_words.tolist(), sizes.tolist(), strict=True))
+    def of(self, words: np.ndarray, counts: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, ...]:
+        first_of_text = np.cumsum(counts) - counts
+        starts = paragraph_starts(words, counts)
+        text = np.concatenate((np.searchsorted(first_of_text + counts, starts, side="right"), whole[:, 0]))
+        sizes = np.concatenate((np.full(len(starts), UNIT), whole[:, 2]))
+        firsts = np.concatenate((starts, first_of_text[whole[:, 0]] + whole[:, 1]))
+        raw = words.tobytes()
+        prints = b"".join([xxhash.xxh3_128_digest(raw[8 * a : 8 * (a + k)]) for a, k in zip(firsts.tolist(), sizes.tolist(), strict=True)])
         f1, f2 = np.frombuffer(prints, "<u8").astype(np.uint64).reshape(-1, 2).T
         s = shingle_hashes(words, self.width)
         near = s[np.arange(UNIT - self.width + 1)[:, None] + starts]
-        low = [(near * f).min(0) for f in self.factors] if len(starts) else []
+        low = [(near * f).min(0) for f in self.factors]
         n, maps = _set_sizes(near), np.stack([np.bitwise_or.reduce(x, 0) for x in _bits(near)], 1)
-        if whole:
-            a, k = np.array(whole).T
-            many = k - self.width + 1
+        if len(whole):
+            many = whole[:, 2] - self.width + 1
             first = np.cumsum(many) - many
-            line = np.repeat(np.arange(len(k)), many)
-            own = s[np.arange(len(line)) + np.repeat(a - first, many)]
+            line = np.repeat(np.arange(len(many)), many)
+            own = s[np.arange(len(line)) + np.repeat(firsts[len(starts) :] - first, many)]
             ordered = own[np.lexsort((own, line))]
             new = np.append(True, (ordered[1:] != ordered[:-1]) | (line[1:] != line[:-1]))
             n = np.concatenate((n, np.add.reduceat(new, first, dtype=np.int64)))
             maps = np.concatenate((maps, np.stack([np.bitwise_or.reduceat(x, first) for x in _bits(own)], 1)))
             low = [np.concatenate((x, np.minimum.reduceat(own * f, first))) for x, f in zip(low, self.factors, strict=True)]
-        keys = []
+        keys, listed = [], []
+        order = np.argsort(text, kind="stable")
         for b in range(self.bands):
             key = np.full(len(sizes), b + 1, np.uint64)
             for x in low[b * self.rows : (b + 1) * self.rows]:
                 key = mixed(key + x)
-            keys.append(key >> np.uint64(2) << np.uint64(2) | np.uint64(min(b, 3)))  # the band shows in the last bits
-        return first_words, sizes, f1, (f2 >> np.uint64(32)).astype(np.uint32).view(np.int32), n, maps, keys
+            key = key >> np.uint64(2) << np.uint64(2) | np.uint64(min(b, 3))  # the band shows in the last bits
+            keys.append(key[order])
+            # texts don't overlap, so a shift is always one of the same text
+            listed.append(((sizes > UNIT) | _first_of_neighbours(key, firsts))[order])
+        short_f2 = (f2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return (*(x[order] for x in (text, firsts - first_of_text[text], sizes, f1, short_f2, n, maps)), keys, listed)
 
 
-def _listed(values: list[np.ndarray], sizes: list[int], kind: pa.DataType, valid: list[np.ndarray] | None = None) -> pa.Array:
-    flat = np.concatenate(values) if values else np.empty(0)
-    flat = pa.array(flat.astype(kind.to_pandas_dtype(), copy=False) if flat.dtype != np.uint64 else flat.view(np.int64), kind, mask=None if valid is None or not values else ~np.concatenate(valid))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), flat)
+#: Words of texts that are described in one go; a longer text goes alone.
+AT_ONCE = 100_000
 
 
 def _described(bands: int, rows: int, width: int):
     names = ["doc_id", "text_id", "start", "size", "f1", "f2", "n", "low_map", "high_map", *(f"b{k}" for k in range(bands))]
+    paragraphs = Paragraphs(bands, rows, width)
+
+    def record(held: list[tuple]) -> pa.RecordBatch:
+        docs, texts, words, whole = zip(*held, strict=True)
+        counts = np.array([len(x) for x in words])
+        whole = np.array([(k, a, n) for k, own in enumerate(whole) for a, n in own], np.int64).reshape(-1, 3)
+        text, start, size, f1, f2, n, maps, keys, listed = paragraphs.of(np.concatenate(words), counts, whole)
+        ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(docs))))), pa.int32())
+
+        def lists(values: np.ndarray, kind: pa.DataType, valid: np.ndarray | None = None) -> pa.Array:
+            flat = values.view(np.int64) if values.dtype == np.uint64 else values.astype(kind.to_pandas_dtype())
+            return pa.ListArray.from_arrays(ends, pa.array(flat, kind, mask=None if valid is None else ~valid))
+
+        columns = [lists(x, pa.int32()) for x in (start, size)] + [lists(f1, pa.int64()), lists(f2, pa.int32()), lists(n, pa.int32())]
+        columns += [lists(np.ascontiguousarray(maps[:, k]), pa.int64()) for k in (0, 1)] + [lists(k, pa.int64(), v) for k, v in zip(keys, listed, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(texts, pa.int64()), *columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, paragraphs = WordHashes(), Paragraphs(bands, rows, width)
+        words, held, many = WordHashes(), [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
-                docs, texts, counts = [], [], []
-                starts, sizes, f1, f2, n, low, high, keys, fresh = [], [], [], [], [], [], [], [[] for _ in range(bands)], [[] for _ in range(bands)]
                 for doc, text in zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text")), strict=True):
-                    lower = text.lower()
-                    own = words.of(lower.split())
-                    if len(own) < UNIT:
+                    split = [line.split() for line in text.lower().split(b"\n")]
+                    counts = [len(x) for x in split]
+                    total = sum(counts)
+                    if total < UNIT:
                         continue
-                    a, size, x, y, m, maps, own_keys = paragraphs.of(lower, own)
-                    docs.append(doc)
-                    texts.append(_text_id(text))
-                    counts.append(len(a))
-                    for held, values in ((starts, a), (sizes, size), (f1, x), (f2, y), (n, m), (low, maps[:, 0]), (high, maps[:, 1])):
-                        held.append(values)
-                    whole = size > UNIT
-                    for k, key in enumerate(own_keys):
-                        keys[k].append(key)
-                        fresh[k].append(whole | _first_of_neighbours(key, a))
-                if docs:
-                    lists = [_listed(starts, counts, pa.int32()), _listed(sizes, counts, pa.int32()), _listed(f1, counts, pa.int64()), _listed(f2, counts, pa.int32()), _listed(n, counts, pa.int32()), _listed(low, counts, pa.int64()), _listed(high, counts, pa.int64()), *(_listed(k, counts, pa.int64(), v) for k, v in zip(keys, fresh, strict=True))]
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(texts, pa.int64()), *lists], names)
+                    if held and many + total > AT_ONCE:
+                        yield record(held)
+                        held, many = [], 0
+                    held.append((doc, _text_id(text), words.of([x for line in split for x in line]), lines(counts)))
+                    many += total
+        if held:
+            yield record(held)
 
     return tidy(run)
 
@@ -204,8 +229,8 @@ def _sets(width: int):
                 for text, own_id, asked in zip(as_bytes(part.column("text")), part.column("text_id").to_pylist(), part.column("asked").to_pylist(), strict=True):
                     if _text_id(text) != own_id:  # another row of this doc_id
                         continue
-                    s = shingle_hashes(words.of(text.lower().split()), width)
-                    rows += [(a["f1"], distinct(s[a["start"] : a["start"] + a["size"] - width + 1]).tobytes()) for a in asked]
+                    own = text.lower().split()
+                    rows += [(a["f1"], distinct(shingle_hashes(words.of(own[a["start"] : a["start"] + a["size"]]), width)).tobytes()) for a in asked]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], ["doc", "tokens"])
 
@@ -222,11 +247,11 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc, text, own_id, asked in zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text")), part.column("text_id").to_pylist(), part.column("asked").to_pylist(), strict=True):
                 if _text_id(text) != own_id:
                     continue
-                own = (words.of(text.lower().split()) >> np.uint64(32)).astype(np.uint32)
+                own = text.lower().split()
                 for a in asked:
                     p = a["place"]
                     near = own[p : p + EVERY - 1] if a["after"] else own[max(0, p - EVERY + 1) : p][::-1]
-                    rows.append((doc, own_id, p, a["after"], near.tobytes()))
+                    rows.append((doc, own_id, p, a["after"], (words.of(near) >> np.uint64(32)).astype(np.uint32).tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["doc_id", "text_id", "place", "after", "words"])
 
