@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, as_bytes, discard, distinct, materialize, mixed, plain, shingle_hashes, tidy
 from .components import connected_components
-from .ngram_join import MOST_BROADCAST, linked
+from .ngram_join import BITMAP, MOST_BROADCAST, linked
 
 #: Words of a paragraph within lines, and word places in a row of which one at least starts one. So any UNIT + EVERY - 1
 #: = 51 words hold a whole paragraph that they choose by themselves, and no word between two of a passage is left.
@@ -119,17 +119,17 @@ def _set_sizes(shingles: np.ndarray) -> np.ndarray:
     return 1 + (ordered[1:] != ordered[:-1]).sum(0)
 
 
-def _bits(shingles: np.ndarray) -> list[np.ndarray]:
-    """The bit of each shingle, for the two 64-bit words of a bitmap."""
-    bit = np.uint64(1) << ((shingles >> np.uint64(57)) & np.uint64(63))
-    upper = (shingles >> np.uint64(56)) & np.uint64(1) == 1
-    return [np.where(upper == k, bit, np.uint64(0)) for k in (False, True)]
+def _maps(shingles: np.ndarray, paragraph: np.ndarray, many: int) -> np.ndarray:
+    """Bitmaps of the shingles of each of so many paragraphs."""
+    bits = np.zeros((many, BITMAP), np.uint8)
+    bits[paragraph, (shingles % np.uint64(BITMAP)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1)
 
 
 class Paragraphs:
     """The paragraphs of texts, given as word hashes of all, words of each, and lines of UNIT words or more (text, first
     word, words): which text they are of, where they start, how many words they have, two hashes of their words, the size
-    and a 128-bit map of their sets of ``width``-word shingles, and for each band a key from ``rows`` MinHash values of
+    and a bitmap of their sets of ``width``-word shingles, and for each band a key from ``rows`` MinHash values of
     the set and whether the paragraph is listed under it."""
 
     def __init__(self, bands: int, rows: int, width: int):
@@ -148,7 +148,7 @@ class Paragraphs:
         s = shingle_hashes(words, self.width)
         near = s[np.arange(UNIT - self.width + 1)[:, None] + starts]
         low = [(near * f).min(0) for f in self.factors]
-        n, maps = _set_sizes(near), np.stack([np.bitwise_or.reduce(x, 0) for x in _bits(near)], 1)
+        n, maps = _set_sizes(near), _maps(near, np.arange(len(starts)), len(starts))
         if len(whole):
             many = whole[:, 2] - self.width + 1
             first = np.cumsum(many) - many
@@ -157,7 +157,7 @@ class Paragraphs:
             ordered = own[np.lexsort((own, line))]
             new = np.append(True, (ordered[1:] != ordered[:-1]) | (line[1:] != line[:-1]))
             n = np.concatenate((n, np.add.reduceat(new, first, dtype=np.int64)))
-            maps = np.concatenate((maps, np.stack([np.bitwise_or.reduceat(x, first) for x in _bits(own)], 1)))
+            maps = np.concatenate((maps, _maps(own, line, len(many))))
             low = [np.concatenate((x, np.minimum.reduceat(own * f, first))) for x, f in zip(low, self.factors, strict=True)]
         keys, listed = [], []
         order = np.argsort(text, kind="stable")
@@ -178,7 +178,7 @@ AT_ONCE = 100_000
 
 
 def _described(bands: int, rows: int, width: int):
-    names = ["doc_id", "text_id", "start", "size", "f1", "f2", "n", "low_map", "high_map", *(f"b{k}" for k in range(bands))]
+    names = ["doc_id", "text_id", "start", "size", "f1", "f2", "n", "bitmap", *(f"b{k}" for k in range(bands))]
     paragraphs = Paragraphs(bands, rows, width)
 
     def record(held: list[tuple]) -> pa.RecordBatch:
@@ -193,7 +193,9 @@ def _described(bands: int, rows: int, width: int):
             return pa.ListArray.from_arrays(ends, pa.array(flat, kind, mask=None if valid is None else ~valid))
 
         columns = [lists(x, pa.int32()) for x in (start, size)] + [lists(f1, pa.int64()), lists(f2, pa.int32()), lists(n, pa.int32())]
-        columns += [lists(np.ascontiguousarray(maps[:, k]), pa.int64()) for k in (0, 1)] + [lists(k, pa.int64(), v) for k, v in zip(keys, listed, strict=True)]
+        each = pa.py_buffer(np.arange(0, maps.size + 1, BITMAP // 8, dtype=np.int32))
+        bitmaps = pa.Array.from_buffers(pa.binary(), len(maps), [None, each, pa.py_buffer(np.ascontiguousarray(maps))])
+        columns += [pa.ListArray.from_arrays(ends, bitmaps)] + [lists(k, pa.int64(), v) for k, v in zip(keys, listed, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(texts, pa.int64()), *columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,19 +298,19 @@ def repeated_passages(documents: DataFrame, width: int = 5, num: int = 80, den:
     bands, rows = tune_bands(num / den, recall, hashes)
     keys = [f"b{k}" for k in range(bands)]
     docs = plain(documents, "doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, text_id long, start array<int>, size array<int>, f1 array<long>, f2 array<int>, n array<int>, low_map array<long>, high_map array<long>, " + ", ".join(f"{k} array<long>" for k in keys)
+    schema = "doc_id long, text_id long, start array<int>, size array<int>, f1 array<long>, f2 array<int>, n array<int>, bitmap array<binary>, " + ", ".join(f"{k} array<long>" for k in keys)
     found = materialize(docs.mapInArrow(_described(bands, rows, width), schema), "paragraphs")
     entries = found.select(F.explode(F.arrays_zip("f1", *keys)).alias("u")).select("u.f1", F.explode(F.array(*[f"u.{k}" for k in keys])).alias("token")).filter("token IS NOT NULL")
     shared = entries.groupBy("token").count().filter("count > 1").select("token")
     lists = materialize(entries.join(shared, "token").select("token", F.col("f1").alias("doc")).distinct(), "lists")
     # equal paragraphs are one class, at its first place
-    units = found.select("doc_id", "text_id", F.explode(F.arrays_zip("start", "size", "f1", "f2", "n", "low_map", "high_map")).alias("u")).select("doc_id", "text_id", "u.*")
-    classes = units.groupBy("f1", "f2").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"), F.first("n").alias("n"), F.first("low_map").alias("low_map"), F.first("high_map").alias("high_map"))
-    classes = materialize(classes.withColumn("again", F.col("first") < F.col("last")).drop("last"), "classes")
+    units = found.select("doc_id", "text_id", F.explode(F.arrays_zip("start", "size", "f1", "f2")).alias("u")).select("doc_id", "text_id", "u.*")
+    classes = materialize(units.groupBy("f1", "f2").agg(F.min(_place()).alias("first"), (F.min(_place()) < F.max(_place())).alias("again")), "classes")
+    # only what is listed needs a bitmap
     listed = lists.select(F.col("doc").alias("f1")).distinct()
-    described = classes.join(listed, "f1", "left_semi").groupBy("f1").agg(F.min("first").alias("first"), F.first("n").alias("n"), F.first("low_map").alias("low_map"), F.first("high_map").alias("high_map"))
-    bitmap = F.unhex(F.concat(F.lpad(F.hex("low_map"), 16, "0"), F.lpad(F.hex("high_map"), 16, "0")))
-    described = materialize(described.select(F.col("f1").alias("doc"), "n", bitmap.alias("bitmap"), "first"), "described")
+    mapped = found.select("doc_id", "text_id", F.explode(F.arrays_zip("start", "size", "f1", "n", "bitmap")).alias("u")).select("doc_id", "text_id", "u.*")
+    mapped = mapped.join(listed, "f1", "left_semi").groupBy("f1").agg(F.min(F.struct(_place().alias("first"), "n", "bitmap")).alias("least"))
+    described = materialize(mapped.select(F.col("f1").alias("doc"), "least.n", "least.bitmap", "least.first"), "described")
     twice = not found.groupBy("doc_id", "text_id").count().filter("count > 1").isEmpty()
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -320,7 +322,7 @@ def repeated_passages(documents: DataFrame, width: int = 5, num: int = 80, den:
     links = linked(lists, described.select("doc", "n", "bitmap"), sets_of, num, den, one_in=4)
     component = materialize(connected_components(links[0].unionByName(links[1])).select(F.col("node").alias("f1"), "component"), "component")
     discard(lists, described, *links)
-    member = materialize(classes.drop("n", "low_map", "high_map").join(component, "f1", "left").filter("again OR component IS NOT NULL").withColumn("component", F.coalesce("component", "f1")), "member")
+    member = materialize(classes.join(component, "f1", "left").filter("again OR component IS NOT NULL").withColumn("component", F.coalesce("component", "f1")), "member")
     discard(classes, component)
     kept = member.groupBy("component").agg(F.min("first").alias("kept"))
     chosen = member.join(kept, "component").select("f1", "f2", "component", "first", "kept")
