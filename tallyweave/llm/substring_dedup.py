@@ -303,14 +303,13 @@ def repeated_passages(documents: DataFrame, width: int = 5, num: int = 80, den:
     entries = found.select(F.explode(F.arrays_zip("f1", *keys)).alias("u")).select("u.f1", F.explode(F.array(*[f"u.{k}" for k in keys])).alias("token")).filter("token IS NOT NULL")
     shared = entries.groupBy("token").count().filter("count > 1").select("token")
     lists = materialize(entries.join(shared, "token").select("token", F.col("f1").alias("doc")).distinct(), "lists")
-    # equal paragraphs are one class, at its first place
-    units = found.select("doc_id", "text_id", F.explode(F.arrays_zip("start", "size", "f1", "f2")).alias("u")).select("doc_id", "text_id", "u.*")
-    classes = materialize(units.groupBy("f1", "f2").agg(F.min(_place()).alias("first"), (F.min(_place()) < F.max(_place())).alias("again")), "classes")
-    # only what is listed needs a bitmap
+    # equal paragraphs are one class, at its first place; a class of many places is combined before the shuffle
+    units = found.select("doc_id", "text_id", F.explode(F.arrays_zip("start", "size", "f1", "f2", "n", "bitmap")).alias("u")).select("doc_id", "text_id", "u.*")
+    classes = units.groupBy("f1", "f2").agg(F.min(_place()).alias("first"), (F.min(_place()) < F.max(_place())).alias("again"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
+    classes = materialize(classes, "classes")
     listed = lists.select(F.col("doc").alias("f1")).distinct()
-    mapped = found.select("doc_id", "text_id", F.explode(F.arrays_zip("start", "size", "f1", "n", "bitmap")).alias("u")).select("doc_id", "text_id", "u.*")
-    mapped = mapped.join(listed, "f1", "left_semi").groupBy("f1").agg(F.min(F.struct(_place().alias("first"), "n", "bitmap")).alias("least"))
-    described = materialize(mapped.select(F.col("f1").alias("doc"), "least.n", "least.bitmap", "least.first"), "described")
+    described = classes.join(listed, "f1", "left_semi").groupBy("f1").agg(F.min(F.struct("first", "n", "bitmap")).alias("least"))
+    described = materialize(described.select(F.col("f1").alias("doc"), "least.n", "least.bitmap", "least.first"), "described")
     twice = not found.groupBy("doc_id", "text_id").count().filter("count > 1").isEmpty()
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -322,7 +321,7 @@ def repeated_passages(documents: DataFrame, width: int = 5, num: int = 80, den:
     links = linked(lists, described.select("doc", "n", "bitmap"), sets_of, num, den, one_in=4)
     component = materialize(connected_components(links[0].unionByName(links[1])).select(F.col("node").alias("f1"), "component"), "component")
     discard(lists, described, *links)
-    member = materialize(classes.join(component, "f1", "left").filter("again OR component IS NOT NULL").withColumn("component", F.coalesce("component", "f1")), "member")
+    member = materialize(classes.select("f1", "f2", "first", "again").join(component, "f1", "left").filter("again OR component IS NOT NULL").withColumn("component", F.coalesce("component", "f1")), "member")
     discard(classes, component)
     kept = member.groupBy("component").agg(F.min("first").alias("kept"))
     chosen = member.join(kept, "component").select("f1", "f2", "component", "first", "kept")
