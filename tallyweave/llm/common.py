@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LETTERS_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -170,3 +170,21 @@ def tidy(run):
                 ctypes.CDLL(None).malloc_trim(0)
 
     return with_release
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with ``place``, from 0 and without gaps in each group by ``order``, and ``of``, the group's rows.
+
+    Rows are dealt by ranges of (group, order) and counted within their range; a group of any size is spread over as
+    many ranges as it needs, and only a row for each range and group is summed up. Columns of ``group`` hold no nulls.
+    """
+    keys = [*group, *order]
+    sorted_rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    sorted_rows = materialize(sorted_rows.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), name)
+    parts = sorted_rows.groupBy("_range", *group).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    over = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_n").over(over.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumns({"_shift": before - F.col("_first"), "of": F.sum("_n").over(over)}).drop("_first", "_n")
+    out = sorted_rows.join(parts, ["_range", *group]).withColumn("place", F.col("_at") + F.col("_shift")).drop("_range", "_at", "_shift")
+    out.written_to = sorted_rows.written_to
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat import chat_format, read_formatted, threads
 from .common import discard_folders, materialize, new_path, prepare
 from .language_id import language_id
+from .manifest import merkle_manifest, without_line_ends
 from .mixing import mix_to_weights
 from .ngram_join import ngram_jaccard_components
 from .oracles import ORACLES  # noqa: F401
@@ -93,6 +94,13 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, proved against leaves half of which have lost the line ends of their text."""
+    docs = _table(spark, sf_dir, "documents")
+    claim = without_line_ends(F.col("doc_id"), F.col("text"), *[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")])
+    return merkle_manifest(docs, claim=claim).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_language_id": op2_language_id,
@@ -104,5 +112,6 @@ QUERIES = {
     "op8_warc_audit": op8_warc_audit,
     "op9_chat_format": op9_chat_format,
     "op10_topk": op10_topk,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": run,
 }
