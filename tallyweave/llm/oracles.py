@@ -33,4 +33,20 @@ p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_z
   FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
 SELECT query_id, CAST(n AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p) WHERE n <= 10"""
 
-ORACLES = {"op1_ngram_join": NGRAM_JOIN, "op8_warc_audit": WARC_AUDIT, "op9_chat_format": CHAT_FORMAT, "op10_topk": TOP_K}
+COLLOCATIONS = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) AS ks(k)),
+c AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+totals AS (SELECT lang, sum(f) AS n FROM c WHERE k = 1 GROUP BY lang),
+often AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f FROM c WHERE f >= 100),
+inner_phrases AS (SELECT lang, f, unnest(list_transform(range(1, k - j + 2), lambda i: array_to_string(w[i:i + j - 1], ' '))) AS phrase FROM often, range(2, 5) AS js(j) WHERE j < k),
+longer AS (SELECT lang, phrase, max(f) AS f FROM inner_phrases GROUP BY lang, phrase),
+kept AS (SELECT o.* FROM often o LEFT JOIN longer x USING (lang, phrase) WHERE o.k > 1 AND (x.f IS NULL OR 100 * x.f < 100 * o.f)),
+cuts AS (SELECT kept.lang, kept.phrase, kept.f AS a, cut, x.f AS l, y.f AS r, n, CAST((1000::HUGEINT * kept.f::HUGEINT * n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS BIGINT) AS score
+  FROM kept JOIN range(1, 5) AS cs(cut) ON cut < kept.k JOIN totals USING (lang)
+  JOIN often x ON x.lang = kept.lang AND x.phrase = array_to_string(kept.w[1:cut], ' ') JOIN often y ON y.lang = kept.lang AND y.phrase = array_to_string(kept.w[cut + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM best QUALIFY rank <= 2000"""
+
+ORACLES = {"op1_ngram_join": NGRAM_JOIN, "op8_warc_audit": WARC_AUDIT, "op9_chat_format": CHAT_FORMAT, "op10_topk": TOP_K, "op12_collocations": COLLOCATIONS}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chat_format, read_formatted, threads
+from .collocations import collocations
 from .common import discard_folders, materialize, new_path, prepare
 from .language_id import language_id
 from .manifest import merkle_manifest, without_line_ends
@@ -15,6 +16,7 @@ from .oracles import ORACLES  # noqa: F401
 from .packing import pack_sequences
 from .pipeline import MIX_WEIGHTS, mix_levels, run
 from .quality_rules import quality_rules
+from .sharding import shard_documents
 from .substring_dedup import repeated_passages
 from .token_files import token_files
 from .topk import exact_top_k
@@ -94,6 +96,16 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents under the law ``rows``: counts at most one apart."""
+    found = shard_documents(_table(spark, sf_dir, "documents"), shards=16)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_rows")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents, proved against leaves half of which have lost the line ends of their text."""
     docs = _table(spark, sf_dir, "documents")
@@ -112,6 +124,8 @@ QUERIES = {
     "op8_warc_audit": op8_warc_audit,
     "op9_chat_format": op9_chat_format,
     "op10_topk": op10_topk,
+    "op11_sharding": op11_sharding,
+    "op12_collocations": op12_collocations,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": run,
 }
