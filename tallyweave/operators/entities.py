@@ -2,47 +2,47 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs, vocab
+from ..storage import written
+from .closure import ends_of, leading_to
 
 
 def resolve_entities(entities: DataFrame, merges: DataFrame) -> DataFrame:
     """entity_id, resolved_id, path_len, in_cycle: where active merges lead each entity.
 
     A walk stops where it comes back to itself, at the entity that it met again. Of several ends, the longest path
-    decides, then the smallest id. The recursion starts from sources of merges only; all others resolve to themselves.
+    decides, then the smallest id. Only sources of merges are followed; all others resolve to themselves.
     """
-    spark = entities.sparkSession
-    view = f"active_merges_{uuid.uuid4().hex[:8]}"
-    merges.filter("reverted = 0").select("from_id", "into_id").createOrReplaceTempView(view)
-    ends = spark.sql(f"""
-        WITH RECURSIVE walk(origin, at, path, cyc) AS (
-          SELECT from_id, into_id, array(from_id, into_id), from_id = into_id FROM {view}
-          UNION ALL
-          SELECT w.origin, m.into_id, array_append(w.path, m.into_id), array_contains(w.path, m.into_id)
-          FROM walk w JOIN {view} m ON m.from_id = w.at WHERE NOT w.cyc)
-        SELECT origin, at, size(path) AS path_len, cyc FROM walk w
-        WHERE cyc OR NOT EXISTS (SELECT 1 FROM {view} m WHERE m.from_id = w.at)""")
-    best = ends.groupBy("origin").agg(F.min(F.struct((-F.col("path_len")).alias("longest"), "at", "cyc")).alias("b"))
-    found = best.select(F.col("origin").alias("entity_id"), F.col("b.at").alias("at"), (-F.col("b.longest")).alias("steps"), F.col("b.cyc").alias("cyc"))
+    found = ends_of(merges.filter("reverted = 0").select(F.col("from_id").alias("id"), F.col("into_id").alias("into")))
+    found = found.select(F.col("id").alias("entity_id"), "at", (F.col("steps") + 1).alias("steps"), "cyc")
     return entities.select("entity_id").join(found, "entity_id", "left").select("entity_id", F.coalesce("at", "entity_id").alias("resolved_id"), F.coalesce("steps", F.lit(1)).alias("path_len"), F.coalesce("cyc", F.lit(False)).alias("in_cycle"))
 
 
+def resolve_by_last_merge(entities: DataFrame, merges: DataFrame) -> DataFrame:
+    """entity_id, resolved_id by another rule and another way: of several active merges of an entity the last listed one
+    (``ordinal``) holds, and walks go one step a round, stopping at the first entity met again."""
+    last = merges.filter("reverted = 0").groupBy("from_id").agg(F.max_by("into_id", "ordinal").alias("into_id"))
+    last = written(last.select(F.col("from_id").alias("at"), F.col("into_id").alias("next")), "last-merges")
+    front, parts = last.select(F.col("at").alias("entity_id"), "at", F.array("at").alias("seen")), []
+    while True:
+        step = written(front.join(last, "at", "left").select("entity_id", F.coalesce("next", "at").alias("at"), (F.col("next").isNull() | F.array_contains("seen", F.col("next"))).alias("over"), F.array_append("seen", F.col("next")).alias("seen")), "steps")
+        parts.append(step.filter("over").select("entity_id", "at"))
+        front = step.filter("NOT over").select("entity_id", "at", "seen")
+        if not front.limit(1).count():
+            break
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    return entities.select("entity_id").join(found, "entity_id", "left").select("entity_id", F.coalesce("at", "entity_id").alias("resolved_id"))
+
+
 def entity_family(entities: DataFrame, merges: DataFrame, canonical_id: int) -> DataFrame:
     """All entities that merge into one, directly or not, and itself."""
-    spark = entities.sparkSession
-    view = f"active_merges_{uuid.uuid4().hex[:8]}"
-    merges.filter("reverted = 0").select("from_id", "into_id").distinct().createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE family(member, depth) AS (
-          SELECT CAST({int(canonical_id)} AS BIGINT), 0
-          UNION ALL
-          SELECT m.from_id, f.depth + 1 FROM family f JOIN {view} m ON m.into_id = f.member WHERE f.depth < 50)
-        SELECT DISTINCT member AS entity_id FROM family""")
+    links = merges.filter("reverted = 0").select(F.col("from_id").alias("id"), F.col("into_id").alias("into"))
+    return leading_to(links, canonical_id).select(F.col("id").alias("entity_id"))
 
 
 def entity_keys(names: DataFrame, column: str) -> DataFrame:
