@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from . import vocab
 
@@ -48,7 +49,36 @@ def quote_hash(quote: Column) -> Column:
 @F.pandas_udf(StringType())
 def nfkd_fold(text: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks, in lower case; Spark has no such function."""
-    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not 0x300 <= ord(c) <= 0x36F).lower())
+    return text.map(lambda t: None if t is None else _fold(t))
+
+
+def _fold(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not 0x300 <= ord(c) <= 0x36F).lower()
+
+
+def _words(text: str | None) -> list[dict]:
+    out, page, last = [], None, None
+    for found in PAGE_OR_WORD.finditer(text or ""):
+        if found[1] is not None:
+            page = int(found[1])
+            continue
+        if last is not None:
+            out[-1]["gap"] = text[last : found.start()]
+        token, last = _fold(found[0]), found.end()
+        out.append({"token": token, "word": found[0], "gap": "", "page": page})
+    return [w for w in out if w["token"]]
+
+
+PAGE_OR_WORD = re.compile(r"\[\[\s*page\s+([0-9]+)\s*\]\]|[^\W_]+", re.IGNORECASE)
+
+
+WORD = StructType([StructField("token", StringType()), StructField("word", StringType()), StructField("gap", StringType()), StructField("page", IntegerType())])
+
+
+@F.pandas_udf(ArrayType(WORD))
+def text_words(text: pd.Series) -> pd.Series:
+    """Words of a text: folded, as they stand, what follows up to the next one, and the page of the last marker before."""
+    return text.map(_words)
 
 
 def reference_form(text: Column) -> Column:
@@ -137,8 +167,6 @@ def percent_text(value: Column) -> Column:
 
 def perspective(entity_type: Column, counterparty_type: Column, counterparty: Column, company: Column) -> Column:
     """A relationship as seen from one of its ends."""
-    ours = {"customer": "Supplies to %s", "supplier": "Receives supplies from %s", "lender": "Financed by %s", "subsidiary": "Operates through subsidiary %s", "parent": "Part of %s", "group_company": "Group relationship with %s", "unnamed_dependency": "Has a reported unnamed dependency"}
-    theirs = {"customer": "Customer of %s", "supplier": "Supplies to %s", "lender": "Lender to %s", "subsidiary": "Subsidiary of %s", "parent": "Parent of %s", "group_company": "Group company of %s", "unnamed_dependency": "Reported unnamed dependency of %s", "industry": "Industry relationship with %s"}
 
     def choose(kind: Column, templates: dict[str, str], name: Column) -> Column:
         out = F.lit(None)
@@ -146,13 +174,43 @@ def perspective(entity_type: Column, counterparty_type: Column, counterparty: Co
             out = F.when(kind == k, F.format_string(t, name) if "%s" in t else F.lit(t)).otherwise(out)
         return F.coalesce(out, F.concat(F.lit("Relationship with "), name))
 
-    return F.when(entity_type == "target", choose(counterparty_type, ours, counterparty)).otherwise(choose(entity_type, theirs, company))
+    return F.when(entity_type == "target", choose(counterparty_type, vocab.SEEN_BY_TARGET, counterparty)).otherwise(choose(entity_type, vocab.SEEN_BY_OTHERS, company))
+
+
+def rating_text(rating: Column, agency: Column) -> Column:
+    """A rating with its agency before it: in place of a marker in brackets, or added where the rating doesn't start with
+    it. A stable outlook follows a slash. An empty rating is not stated."""
+    marker = F.concat(F.lit("["), agency, F.lit("]"))
+    starts = lambda what: F.lower(F.substring(rating, F.lit(1), F.length(what))) == F.lower(what)
+    named = F.when(starts(marker), F.concat(agency, F.lit(" "), F.substring(rating, F.length(marker) + 1, F.length(rating)))).when(~starts(agency), F.concat(agency, F.lit(" "), rating))
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(named, rating), r"(?iU)\s*;\s*stable", "/Stable"), r"(?iU)\s*\(stable\)", "/Stable")
+    return F.when(F.coalesce(rating, F.lit("")) == "", vocab.NO_RATING).otherwise(F.trim(F.regexp_replace(plain, r"(?U)\s+", " ")))
+
+
+def rated_on(raw: Column) -> Column:
+    """A report date as day, short month and year; as it stands if it is no date; or that there is none."""
+    return F.when(F.coalesce(raw, F.lit("")) == "", vocab.NO_REPORT_DATE).otherwise(F.coalesce(F.date_format(report_date(raw), "dd MMM yyyy"), raw))
+
+
+def provenance(rating: Column, agency: Column, raw_date: Column) -> Column:
+    """The line that says where a report comes from: rating, agency if there is no rating, date."""
+    alone = F.when((F.coalesce(rating, F.lit("")) == "") & agency.isNotNull(), F.concat(F.lit(" · "), agency)).otherwise("")
+    return F.concat(rating_text(rating, agency), alone, F.lit(" · rated "), rated_on(raw_date))
 
 
 def relationship_identity(source: Column, target: Column, relation_type: Column, exposure: Column) -> Column:
     return F.concat_ws("\u001f", name_key(source), name_key(target), relation_type, F.when(exposure.isNull(), "none").otherwise(F.format_string("%.2f", exposure.cast("double"))))
 
 
+def retryable_chain(errors: Column, depth: int = 5) -> Column:
+    """The same of an error with its causes, outermost first (an array of structs code, status, message): of the first
+    five, the first code there is decides as a code; a status or message of any one does."""
+    near = F.slice(errors, 1, depth)
+    code = F.try_element_at(F.filter(F.transform(near, lambda e: e["code"]), lambda c: c.isNotNull()), F.lit(1))
+    rest = F.exists(near, lambda e: retryable_error(F.lit(None).cast("string"), e["status"], e["message"]))
+    return F.coalesce(code.isin(vocab.RETRYABLE_CODES), F.lit(False)) | F.coalesce(rest, F.lit(False))
+
+
 def retryable_error(code: Column, status: Column, message: Column) -> Column:
     found = F.coalesce(code.isin(vocab.RETRYABLE_CODES), F.lit(False)) | F.coalesce(status.between(500, 599), F.lit(False)) | F.coalesce(message.rlike("(?i)socket hang up"), F.lit(False))
     return found

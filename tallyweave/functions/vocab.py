@@ -32,6 +32,27 @@ ORDER = r"(?i)\b(?:order win|order received|letter of award)\b"
 DRHP = r"(?i)\b(?:draft red herring prospectus|drhp)\b"
 TRANSCRIPT = r"(?i)\b(?:earnings|investor|results)\s+(?:call|conference call|transcript)\b|\b(?:analyst|participant)\s+(?:q&a|questions?)\b"
 TABLE_HEADER = r"(?i)\b(annexure|list|details|facility|facilities|amount|limit|lender|rating|consolidation|sr|no)\b"
+SEEN_BY_TARGET = {
+    "customer": "Supplies to %s",
+    "supplier": "Receives supplies from %s",
+    "lender": "Financed by %s",
+    "subsidiary": "Operates through subsidiary %s",
+    "parent": "Part of %s",
+    "group_company": "Group relationship with %s",
+    "unnamed_dependency": "Has a reported unnamed dependency",
+}
+SEEN_BY_OTHERS = {
+    "customer": "Customer of %s",
+    "supplier": "Supplies to %s",
+    "lender": "Lender to %s",
+    "subsidiary": "Subsidiary of %s",
+    "parent": "Parent of %s",
+    "group_company": "Group company of %s",
+    "unnamed_dependency": "Reported unnamed dependency of %s",
+    "industry": "Industry relationship with %s",
+}
+NO_RATING = "Rating not stated"
+NO_REPORT_DATE = "report date not stated"
 FEED_KEYS = {
     "external_id": ["NEWSID", "NEWS_ID", "ANNOUNCEMENT_ID", "ID"],
     "scrip_code": ["SCRIP_CD", "SCRIPCODE", "SCRIP_CODE"],

@@ -49,18 +49,38 @@ def orphan_violations(rows: DataFrame, column: str, parents: DataFrame, parent_k
     return rows.filter(F.col(column).isNotNull()).join(parents.select(F.col(parent_key).alias(column)).distinct(), column, "left_anti")
 
 
-SUBSTANCE_COLUMNS = ["doc_id", "company_id", "source_entity_id", "target_entity_id", "relation_type", "exposure_bp", "risk_flag", "quote"]
-
-
-def immutability_violations(before: DataFrame, after: DataFrame, columns: list[str] = SUBSTANCE_COLUMNS) -> DataFrame:
-    """claim_id and rule: claims deleted between two snapshots, changed in substance, relinked, or undecided again."""
-    old, new = (df.select("claim_id", *[F.col(c).alias(f"{p}_{c}") for c in [*columns, "verification_tier"]], F.lit(True).alias(f"{p}_here")) for df, p in ((before, "old"), (after, "new")))
-    both = old.join(new, "claim_id", "full")
-    changed = reduce(lambda a, b: a | b, [~F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")) for c in columns])
-    here = F.col("old_here").isNotNull() & F.col("new_here").isNotNull()
-    final = F.col("old_verification_tier").isin("human_verified", "excluded") & ~F.col("old_verification_tier").eqNullSafe(F.col("new_verification_tier"))
-    rule = F.when(F.col("new_here").isNull(), "deleted").when(here & changed, "substance_changed").when(here & final, "final_tier_changed")
-    return both.select("claim_id", rule.alias("rule")).filter("rule IS NOT NULL")
+#: What a claim says, which never changes once it is written; and what its review has decided.
+SUBSTANCE_COLUMNS = [
+    "doc_id", "company_id", "source_entity_id", "target_entity_id", "relation_type", "relation_label", "raw_phrase", "exposure_bp", "risk_flag",
+    "quote", "quote_hash", "page", "observed_date", "extraction_confidence", "model_version", "prompt_version", "created_at",
+]
+DECISION_COLUMNS = ["reviewed_at", "reviewed_by", "verification_tier", "exclusion_reason", "review_state", "review_note", "decision_method"]
+
+
+def immutability_violations(before: DataFrame, after: DataFrame) -> DataFrame:
+    """claim_id and rule, a row for each rule that a claim breaks between two snapshots: deleted, changed in substance,
+    relinked, reactivated, decided anew, put back to pending, with its note changed, or decided without a reviewer.
+
+    Columns that neither snapshot has are left out of the comparison; one that only one of them has is null in the other.
+    """
+    every = ["superseded_by", "lifecycle_state", *SUBSTANCE_COLUMNS, *DECISION_COLUMNS]
+    side = lambda df, p: df.select("claim_id", *[(F.col(c) if c in df.columns else F.lit(None)).alias(f"{p}_{c}") for c in every], F.lit(True).alias(f"{p}_here"))
+    both = side(before, "old").join(side(after, "new"), "claim_id", "full").filter("old_here")
+    old, new = (lambda c: F.col(f"old_{c}")), (lambda c: F.col(f"new_{c}"))
+    moved = lambda *columns: reduce(lambda a, b: a | b, [~old(c).eqNullSafe(new(c)) for c in columns])
+    decided = (old("verification_tier") == "machine_validated") & (new("verification_tier") != "machine_validated")
+    rules = {
+        "substance_changed": moved(*SUBSTANCE_COLUMNS),
+        "link_changed": old("superseded_by").isNotNull() & moved("superseded_by"),
+        "reactivated": (old("lifecycle_state") == "superseded") & moved("lifecycle_state"),
+        "final_tier_changed": (old("verification_tier") != "machine_validated") & moved("verification_tier"),
+        "review_changed": old("reviewed_at").isNotNull() & moved(*DECISION_COLUMNS),
+        "second_look_undone": (old("review_state") == "needs_second_look") & ~F.coalesce(new("review_state").isin("needs_second_look", "decided"), F.lit(False)),
+        "note_changed": old("review_note").isNotNull() & moved("review_note"),
+        "decided_without_reviewer": decided & (new("reviewed_at").isNull() | new("reviewed_by").isNull() | new("decision_method").isNull()),
+    }
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), name) for name, bad in rules.items()]))
+    return both.select("claim_id", F.explode(F.when(F.col("new_here").isNull(), F.array(F.lit("deleted"))).otherwise(broken)).alias("rule"))
 
 
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -81,7 +101,7 @@ def graph_parity(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def resolution_parity(claims_with_ends: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Claims whose resolved ends are not what the resolver gives."""
+    """Claims whose resolved ends are not what a resolver of another kind gives."""
     out = claims_with_ends
     for end in ("source", "target"):
         out = out.join(resolved.select(F.col("entity_id").alias(f"{end}_entity_id"), F.col("resolved_id").alias(f"{end}_again")), f"{end}_entity_id", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
+from ..storage import ranked
 from .graph import node_types_from_claims, with_ends
 
 
@@ -75,6 +76,26 @@ def node_specificity(nodes: DataFrame, lookup: DataFrame, scored: DataFrame) ->
 
 
 def rank_by_specificity(relationships: DataFrame) -> DataFrame:
-    """Place of each relationship among its entity's: rare counterparties first, then newer reports, names, relations."""
-    order = Window.partitionBy("entity_id").orderBy(F.desc("counterparty_specificity"), F.desc("published_date"), "counterparty_label", "relation_type", "claim_id", "side")
-    return relationships.withColumn("place", F.row_number().over(order))
+    """Place of each relationship among its entity's: rare counterparties first, then newer reports, names, relations. An
+    entity with very many relationships is ranked in ranges, by several tasks."""
+    order = [F.desc("counterparty_specificity"), F.desc("published_date"), *map(F.col, ("counterparty_label", "relation_type", "claim_id", "side"))]
+    return ranked(relationships, ["entity_id"], order, "by-specificity").withColumn("place", F.col("place") + 1)
+
+
+def report_sketches(relationships: DataFrame, precision: int = 14) -> DataFrame:
+    """Each entity's reports of a batch of relationships as a mergeable sketch; ``precision`` 14 errs by about 1 %."""
+    return relationships.groupBy("entity_id").agg(F.hll_sketch_agg("doc_id", F.lit(precision)).alias("sketch"))
+
+
+def merge_sketches(*batches: DataFrame) -> DataFrame:
+    """Sketches of several batches as one; a batch that comes twice changes nothing."""
+    every = batches[0]
+    for more in batches[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("entity_id").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketched_entities(sketches: DataFrame, entities: DataFrame, n_docs: int) -> DataFrame:
+    """``corpus_entities`` from kept sketches: an estimate of each entity's reports, and its specificity."""
+    rows = entities.select("entity_id", F.col("canonical_name").alias("label")).join(sketches.select("entity_id", F.hll_sketch_estimate("sketch").alias("report_count")), "entity_id", "left").fillna(0, ["report_count"])
+    return rows.withColumn("specificity", specificity(F.lit(n_docs), F.col("report_count")))

@@ -180,9 +180,14 @@ def apply_merges(requests: DataFrame, entities: DataFrame, merges: DataFrame, al
 def seed_alias_groups(alias_map: DataFrame, entities: DataFrame) -> DataFrame:
     """Curated names (raw, canonical) to merges: entities (id, name, key, claims) whose name or key fits a group, and the
     one they merge into: the one of exactly the canonical name, else the one with most claims."""
-    keyed = alias_map.select("canonical", exprs.name_key(F.col("raw")).alias("raw_key"), exprs.name_key(F.col("canonical")).alias("canonical_key"))
-    near = entities.join(F.broadcast(keyed), F.col("key").startswith(F.col("raw_key")) | (F.col("name") == F.col("canonical")) | F.col("key").startswith(F.col("canonical_key")))
-    group = near.groupBy("canonical", "id", "name", "claims").agg(F.count("*").alias("n")).drop("n")
+    # a key starts with a name where it has the name as its prefix of that length; the lengths of curated names are few
+    keyed = alias_map.select("canonical", F.explode(F.array(exprs.name_key(F.col("raw")), exprs.name_key(F.col("canonical")))).alias("prefix")).filter("prefix IS NOT NULL").distinct()
+    lengths = [r[0] for r in keyed.select(F.length("prefix").alias("n")).distinct().orderBy("n").collect()]
+    rows = entities.select("id", "name", "claims", "key")
+    fits = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("key"))
+    by_key = rows.withColumn("prefix", F.explode(F.transform(fits, lambda n: F.substring("key", F.lit(1), n)))).join(keyed, "prefix")
+    by_name = rows.join(alias_map.select("canonical").distinct().withColumn("name", F.col("canonical")), "name")
+    group = by_key.select("canonical", "id", "name", "claims").unionByName(by_name.select("canonical", "id", "name", "claims")).distinct()
     best = group.groupBy("canonical").agg(F.max_by("id", F.struct((F.col("name") == F.col("canonical")).cast("int"), "claims", -F.col("id"))).alias("into_id"))
     return group.join(best, "canonical").filter("id != into_id").select("canonical", F.col("id").alias("from_id"), "into_id")
 

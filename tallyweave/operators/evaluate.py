@@ -48,11 +48,17 @@ def recall_regressions(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(after.select("relation_type", F.col("recall").alias("recall_after")), "relation_type").filter("recall_after < recall_before")
 
 
+#: So many edges of group structure seen, and more, are heavy.
+MOST_STRUCTURE = 5
+
+
 def batch_summary(documents: DataFrame, claims: DataFrame, counts: DataFrame) -> DataFrame:
-    """doc_id, claims, excluded and markers of documents that want a look: thin, or heavy in structure."""
+    """doc_id, claims, excluded and markers of documents (doc_id, doc_type, near_ceiling, structure_seen) that want a look:
+    a rationale of fewer than three claims is thin; an answer may be near its ceiling; structure is heavy if more than five
+    such edges were seen, some were returned, and no customer, supplier or lender."""
     own = claims.groupBy("doc_id").agg(F.count("*").alias("claims"), F.count_if(F.col("verification_tier") == "excluded").alias("excluded"))
-    rows = documents.select("doc_id").join(own, "doc_id", "left").fillna(0).join(counts.withColumnRenamed("graph_id", "doc_id"), "doc_id", "left")
+    rows = documents.select("doc_id", "doc_type", "near_ceiling", "structure_seen").join(own, "doc_id", "left").fillna(0, ["claims", "excluded"]).join(counts.withColumnRenamed("graph_id", "doc_id"), "doc_id", "left")
     structure = F.col("subsidiary") + F.col("group_company")
-    heavy = (structure > 1) & (F.col("customer") + F.col("supplier") + F.col("lender") == 0)
-    markers = F.array_compact(F.array(F.when(F.col("claims") < 3, "thin"), F.when(F.coalesce(heavy, F.lit(False)), "structure_heavy")))
+    heavy = (structure > 0) & (F.col("structure_seen") > MOST_STRUCTURE) & (F.col("customer") + F.col("supplier") + F.col("lender") == 0)
+    markers = F.array_compact(F.array(F.when((F.col("doc_type") == "rating_rationale") & (F.col("claims") < 3), "thin"), F.when(F.col("near_ceiling"), "near_ceiling"), F.when(F.coalesce(heavy, F.lit(False)), "structure_heavy")))
     return rows.select("doc_id", "claims", "excluded", F.array_join(markers, ",").alias("markers"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs, vocab
+from ..storage import written
 
 MARKER = r"(?i)\[\[\s*page\s+(\d+)\s*\]\]"
 #: Texts up to this length go whole; of longer ones, so many first pages and those with a key word.
@@ -104,33 +105,36 @@ def sentence_context(claims: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.withColumn("context", F.when(F.col("_hit") > 0, near).when(F.col("_at") > 0, window)).drop("_all", "_page", "_scope", "_probe", "_sentences", "_hit", "_at")
 
 
-def _tokens(df: DataFrame, text: str) -> DataFrame:
-    """Rows with their words (letters and digits, folded) exploded: pos from 0, token."""
-    words = F.filter(F.regexp_extract_all(exprs.nfkd_fold(F.col(text)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda w: w != "")
-    return df.withColumn("_words", words)
-
-
 def best_windows(rejected: DataFrame, docs: DataFrame) -> DataFrame:
     """quote_id, doc_id, m, len, start, score: for each rejected quote (quote_id, doc_id, quote) the window of its
-    document that shares most words with it.
+    document that shares most words with it. Documents without a word in common, or too short, have no row."""
+    wanted = docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_semi")
+    return _windows(rejected.select("quote_id", "doc_id", exprs.text_words("quote")["token"].alias("q")), wanted.select("doc_id", exprs.text_words("text")["token"].alias("words")))
+
+
+def _windows(quoted: DataFrame, texts: DataFrame) -> DataFrame:
+    """The same of quotes (quote_id, doc_id, q) and texts (doc_id, words) as arrays of words.
 
     Lengths are the quote's times 0.7, 0.85, 1.15 and 1.3, and one off. Words are shared as multisets; the score is their
-    F1. A window moves word by word, so its overlap changes only where a word of the quote enters or leaves: each shared
-    position opens at the windows it is in, and windows without a shared word are never made.
+    F1. Of a word that the quote has k times, the i-th place p in the document counts for windows that hold p but not the
+    (i - k)-th place: for starts after max(p - length, that place), up to p. So each place is a step up and a step down in
+    the overlap, and a running sum over the steps gives the overlap of every window: rows in proportion to the places of
+    shared words, however long quotes and windows are.
     """
-    quoted = _tokens(rejected.select("quote_id", "doc_id", "quote"), "quote").select("quote_id", "doc_id", F.size("_words").alias("m"), "_words")
-    quote_words = quoted.select("quote_id", "doc_id", "m", F.explode("_words").alias("token")).groupBy("quote_id", "doc_id", "m", "token").agg(F.count("*").alias("k"))
-    wanted = docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_semi")
-    doc_words = _tokens(wanted.select("doc_id", "text"), "text").select("doc_id", F.size("_words").alias("d"), F.posexplode("_words").alias("pos", "token"))
-    shared = quote_words.join(doc_words, ["doc_id", "token"])
+    quoted = quoted.withColumn("m", F.size("q"))
+    quote_words = quoted.select("quote_id", "doc_id", "m", F.explode("q").alias("token")).groupBy("quote_id", "doc_id", "m", "token").agg(F.count("*").cast("int").alias("k"))
+    places = texts.select("doc_id", F.size("words").alias("d"), F.posexplode("words").alias("pos", "token")).groupBy("doc_id", "d", "token").agg(F.sort_array(F.collect_list("pos")).alias("places"))
+    shared = quote_words.join(places, ["doc_id", "token"])
     m = F.col("m")
     sizes = [F.floor(m * 0.7), F.floor(m * 0.85), m - 1, m, m + 1, F.ceil(m * 1.15), F.ceil(m * 1.3)]
-    lengths = F.array_distinct(F.transform(F.array(*[s.cast("int") for s in sizes]), lambda n: F.least(F.greatest(n, F.lit(1)), F.col("d"))))
-    each = shared.withColumn("len", F.explode(lengths)).filter("len <= d")
-    opened = each.withColumn("start", F.explode(F.sequence(F.greatest(F.col("pos") - F.col("len") + 1, F.lit(0)), F.least(F.col("pos"), F.col("d") - F.col("len")))))
-    common = opened.groupBy("quote_id", "doc_id", "m", "len", "start", "token", "k").agg(F.count("*").alias("n"))
-    overlap = common.groupBy("quote_id", "doc_id", "m", "len", "start").agg(F.sum(F.least("n", "k")).alias("shared"))
-    scored = overlap.withColumn("score", 2.0 * F.col("shared") / (F.col("m") + F.col("len")))
+    lengths = F.filter(F.array_distinct(F.array(*[s.cast("int") for s in sizes])), lambda n: (n > 0) & (n <= F.col("d")))
+    each = shared.select("quote_id", "doc_id", "m", "d", "k", "places", lengths.alias("lengths"), F.posexplode("places").alias("i", "p")).withColumn("len", F.explode("lengths"))
+    since = F.coalesce(F.when(F.col("i") >= F.col("k"), F.try_element_at("places", F.col("i") - F.col("k") + 1)), F.lit(-1))
+    each = each.withColumns({"lo": F.greatest(F.col("p") - F.col("len"), since, F.lit(-1)) + 1, "hi": F.least(F.col("p"), F.col("d") - F.col("len"))}).filter("lo <= hi")
+    steps = each.select("quote_id", "doc_id", "m", "len", F.inline(F.array(F.struct(F.col("lo").alias("start"), F.lit(1).alias("step")), F.struct((F.col("hi") + 1).alias("start"), F.lit(-1).alias("step")))))
+    steps = steps.groupBy("quote_id", "doc_id", "m", "len", "start").agg(F.sum("step").alias("step"))
+    overlap = F.sum("step").over(Window.partitionBy("quote_id", "doc_id", "m", "len").orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
+    scored = steps.withColumn("shared", overlap).filter("shared > 0").withColumn("score", 2.0 * F.col("shared") / (F.col("m") + F.col("len")))
     key = F.struct((-F.col("score")).alias("minus"), F.abs(F.col("len") - F.col("m")).alias("off"), "len", "start")
     best = scored.groupBy("quote_id", "doc_id", "m").agg(F.min(key).alias("b"))
     return best.select("quote_id", "doc_id", "m", F.col("b.len").alias("len"), F.col("b.start").alias("start"), (-F.col("b.minus")).alias("score"))
@@ -140,33 +144,39 @@ def diagnose_rejected_quotes(rejected: DataFrame, docs: DataFrame, floor: float
     """quote_id, doc_id, score (3 decimals), bucket, start_page, end_page of rejected quotes.
 
     Buckets, first that fits: not_found (below the floor), truncated (the quote itself stands at an edge of the window
-    and a few words around it), cross_page, table_derived (many short and numeric words, no sentences), paraphrase.
+    and six words around it), cross_page, table_derived (around the window many short and numeric words or headers, and
+    no sentence), paraphrase. Quotes without a word or a document are not found.
     """
-    best = best_windows(rejected, docs.select("doc_id", F.regexp_replace("text", MARKER, " ").alias("text")))
-    pages = split_pages(docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_semi"))
-    words = _tokens(pages, "text")
-    size = Window.partitionBy("doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    placed = words.select("doc_id", "position", "page", "text", "_words").withColumn("base", F.coalesce(F.sum(F.size("_words")).over(size), F.lit(0)))
-    per_doc = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "base", "page", F.size("_words").alias("n")))).alias("spans"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("position", "_words"))), lambda x: x["_words"])).alias("words"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), " ").alias("plain"))
-    quoted = _tokens(rejected.select("quote_id", "quote"), "quote").select("quote_id", F.col("_words").alias("q"))
-    rows = rejected.select("quote_id", "doc_id").join(best, ["quote_id", "doc_id"], "left").join(quoted, "quote_id").join(per_doc, "doc_id", "left")
-    page_at = lambda i: F.try_element_at(F.filter("spans", lambda s: s["base"] <= i), F.lit(-1))["page"]
-    last = F.col("start") + F.col("len") - 1
-    context = F.slice("words", F.greatest(F.col("start") - 6, F.lit(0)) + 1, F.col("len") + 12)
-    around = F.slice("words", F.greatest(F.col("start") - F.col("len"), F.lit(0)) + 1, F.col("len") * 4)
-    rows = rows.withColumns({"context": context, "around": around, "start_page": page_at(F.col("start")), "end_page": page_at(last)})
-    n = F.size("q")
-    edge = (F.slice("context", 1, n) == F.col("q")) | (F.slice("context", F.greatest(F.size("context") - n + 1, F.lit(1)), n) == F.col("q"))
-    truncated = (F.size("context") > n) & edge
-    share = lambda test: F.size(F.filter("around", test)) / F.greatest(F.size("around"), F.lit(1))
-    short, numeric = share(lambda w: F.length(w) <= 4), share(lambda w: w.rlike(r"\d"))
-    heads = F.size(F.filter("around", lambda w: w.rlike(vocab.TABLE_HEADER)))
-    sentence = F.col("plain").rlike(r"(?:[a-z0-9])[.!?](?:\s|$)")
-    table = ~sentence & (((short >= 0.55) & (numeric >= 0.08)) | ((short >= 0.4) & (numeric >= 0.04) & (heads >= 2)))
-    cross = F.col("start_page").isNotNull() & F.col("end_page").isNotNull() & (F.col("start_page") != F.col("end_page"))
-    bucket = F.when(F.col("score").isNull() | (F.col("score") < floor), "not_found").when(truncated, "truncated").when(cross, "cross_page").when(table, "table_derived").otherwise("paraphrase")
-    found = bucket != "not_found"
-    return rows.select("quote_id", "doc_id", F.round(F.coalesce("score", F.lit(0.0)), 3).alias("score"), bucket.alias("bucket"), F.when(found, F.col("start_page")).alias("start_page"), F.when(found, F.col("end_page")).alias("end_page"))
+    wanted = docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = written(wanted.select("doc_id", exprs.text_words("text").alias("w")), "texts")
+    quoted = written(rejected.select("quote_id", "doc_id", exprs.text_words("quote")["token"].alias("q")), "quotes")
+    best = _windows(quoted, texts.select("doc_id", F.col("w.token").alias("words")))
+    asked = best.join(quoted, ["quote_id", "doc_id"]).groupBy("doc_id").agg(F.collect_list(F.struct("quote_id", "q", "start", "len", "score")).alias("asked"))
+    own = texts.join(asked, "doc_id")  # the words of a text once, however many quotes ask for it
+    n = F.size("w")
+
+    def cut(x: Column) -> Column:
+        start, size = x["start"], x["len"]
+        part = lambda a, b: F.slice("w", a + 1, b - a)
+        edge, near, far = F.greatest(start - 6, F.lit(0)), F.greatest(start - size, F.lit(0)), F.least(n, start + 3 * size)
+        return F.struct(x["quote_id"].alias("quote_id"), x["q"].alias("q"), x["score"].alias("score"), part(start, start + size).alias("window"), part(edge, F.least(n, start + size + 6))["token"].alias("context"), part(near, far).alias("around"))
+
+    rows = own.select("doc_id", F.inline(F.transform("asked", cut)))
+    k = F.size("q")
+    at_edge = (F.slice("context", F.lit(1), k) == F.col("q")) | (F.slice("context", F.greatest(F.size("context") - k + 1, F.lit(1)), k) == F.col("q"))
+    truncated = (F.size("context") > k) & at_edge
+    start_page, end_page = F.element_at("window", 1)["page"], F.element_at("window", -1)["page"]
+    share = lambda test: F.size(F.filter("around", test)) / F.size("around")
+    short, numeric = share(lambda x: F.length(x["token"]) <= 4), share(lambda x: x["token"].rlike("[0-9]"))
+    said = lambda c: F.concat(F.array_join(F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x: F.concat(x["word"], x["gap"])), ""), F.element_at(c, -1)["word"])
+    text = F.concat_ws(" ", said(F.col("window")), said(F.col("around")))
+    table = ~text.rlike(r"[a-z0-9][.!?](?:\s|$)") & (((short >= 0.55) & (numeric >= 0.08)) | ((short >= 0.4) & (numeric >= 0.04) & (F.regexp_count(text, F.lit(vocab.TABLE_HEADER)) >= 2)))
+    cross = F.coalesce(start_page != end_page, F.lit(False))
+    bucket = F.when(F.col("score") < floor, "not_found").when(truncated, "truncated").when(cross, "cross_page").when(table, "table_derived").otherwise("paraphrase")
+    judged = rows.select("quote_id", "doc_id", F.round("score", 3).alias("score"), bucket.alias("bucket"), start_page.alias("start_page"), end_page.alias("end_page"))
+    out = rejected.select("quote_id", "doc_id").join(judged, ["quote_id", "doc_id"], "left").withColumn("bucket", F.coalesce("bucket", F.lit("not_found")))
+    found = F.col("bucket") != "not_found"
+    return out.select("quote_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"), "bucket", F.when(found, F.col("start_page")).alias("start_page"), F.when(found, F.col("end_page")).alias("end_page"))
 
 
 def merge_diagnostics(stored: DataFrame, new: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs, vocab
+from .closure import follow
 
 RELATION = ["doc_id", "source_entity_id", "target_entity_id", "relation_type"]
 
@@ -55,6 +56,25 @@ def supersede_claims(requests: DataFrame, claims: DataFrame) -> tuple[DataFrame,
     return new, old, judged.filter("reason IS NOT NULL").select("claim_id", "new_claim_id", "reason")
 
 
+def supersession_chains(claims: DataFrame) -> DataFrame:
+    """claim_id, first_version, current_version, version (from 1), versions, in_cycle of claims (claim_id, superseded_by).
+
+    Links are followed by doubling, so a chain of any length takes a few rounds. Where several claims name one successor,
+    its history goes on with the smallest of them. Claims in or before a cycle, which no good ledger has, have nulls.
+    """
+    forward = claims.filter("superseded_by IS NOT NULL").groupBy(F.col("claim_id").alias("id")).agg(F.min("superseded_by").alias("into"))
+    back = forward.groupBy(F.col("into").alias("id")).agg(F.min("id").alias("into"))
+    to_end, _ = follow(forward)
+    to_start, _ = follow(back)
+    rows = claims.select("claim_id").distinct().join(forward.select(F.col("id").alias("claim_id"), F.lit(True).alias("old")), "claim_id", "left").join(back.select(F.col("id").alias("claim_id"), F.lit(True).alias("next")), "claim_id", "left")
+    rows = rows.join(to_end.select(F.col("id").alias("claim_id"), F.col("at").alias("current"), F.col("steps").alias("ahead")), "claim_id", "left").join(to_start.select(F.col("id").alias("claim_id"), F.col("at").alias("first"), F.col("steps").alias("behind")), "claim_id", "left")
+    lost = (F.col("old") & F.col("current").isNull()) | (F.col("next") & F.col("first").isNull())
+    lost = F.coalesce(lost, F.lit(False))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    own = lambda c: F.when(~lost, c)
+    return rows.select("claim_id", own(F.coalesce("first", "claim_id")).alias("first_version"), own(F.coalesce("current", "claim_id")).alias("current_version"), own(zero("behind") + 1).alias("version"), own(zero("behind") + zero("ahead") + 1).alias("versions"), lost.alias("in_cycle"))
+
+
 def apply_review_decisions(requests: DataFrame, claims: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests (request_id, doc_id, claim_id, decision, reason, method, phrase) to new claim states and rejects; a request
     counts as a whole. Bulk needs two claims or more and the typed phrase, individual exactly one."""

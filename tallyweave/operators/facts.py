@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..storage import ranked
 
 RISK_RANK = {"high": 0, "medium": 1, "low": 2}
 
@@ -123,7 +124,8 @@ def published_documents_per_company(documents: DataFrame, companies: DataFrame)
 
 
 def entity_usage(claims_with_ends: DataFrame, entities: DataFrame, documents: DataFrame) -> DataFrame:
-    """Claims that each named entity is an end of, and the distinct titles of their documents; unused entities too."""
+    """Claims that each named entity is an end of, and the distinct titles of their documents; unused entities too. The
+    titles of one entity are one value here; ``entity_titles`` has them as rows."""
     ends = claims_with_ends.select(F.col("source_resolved").alias("entity_id"), "doc_id").unionAll(claims_with_ends.select(F.col("target_resolved").alias("entity_id"), "doc_id"))
     titles = F.sort_array(F.collect_set("title"))
     used = ends.join(documents.select("doc_id", "title"), "doc_id").groupBy("entity_id").agg(F.count("*").alias("claims"), titles.alias("titles"))
@@ -131,6 +133,13 @@ def entity_usage(claims_with_ends: DataFrame, entities: DataFrame, documents: Da
     return named.join(used, "entity_id", "left").withColumns({"claims": F.coalesce("claims", F.lit(0)), "titles": F.coalesce("titles", F.array().cast("array<string>"))})
 
 
+def entity_titles(claims_with_ends: DataFrame, documents: DataFrame) -> DataFrame:
+    """entity_id, title, claims, place: the titles of an entity's documents in order, each once, however many they are."""
+    ends = claims_with_ends.select(F.explode(F.array("source_resolved", "target_resolved")).alias("entity_id"), "doc_id").groupBy("entity_id", "doc_id").agg(F.count("*").alias("claims"))
+    titles = ends.join(documents.select("doc_id", "title"), "doc_id").groupBy("entity_id", "title").agg(F.sum("claims").alias("claims"))
+    return ranked(titles, ["entity_id"], [F.col("title")], "titles").withColumn("place", F.col("place") + 1)
+
+
 def multi_document_entities(claims_with_ends: DataFrame, min_docs: int = 2, approximate: bool = False) -> DataFrame:
     """Entities at an end of claims of several documents; ``approximate`` counts with a sketch."""
     ends = claims_with_ends.select(F.explode(F.array("source_resolved", "target_resolved")).alias("entity_id"), "doc_id")
@@ -148,6 +157,14 @@ def retry_backlog(documents: DataFrame, now: int) -> DataFrame:
     return documents.groupBy("status").agg(F.count("*").alias("pending"), F.min(F.coalesce("next_attempt", F.lit(now))).alias("earliest"))
 
 
+def discovered_backlog(documents: DataFrame, now: int) -> DataFrame:
+    """Discovered documents of each source: how many wait, how many are due, how many have failed before, and the earliest
+    next attempt; a document without a time is due now."""
+    at = F.coalesce("next_attempt", F.lit(now))
+    waiting = documents.filter("status = 'discovered'").groupBy("source")
+    return waiting.agg(F.count("*").alias("pending"), F.count_if(at <= now).alias("due"), F.count_if(F.col("attempts") > 0).alias("retried"), F.min(at).alias("earliest"))
+
+
 def review_order(claims: DataFrame, nulls: str = "last") -> Column | list[Column]:
     """Sort keys: high, medium, low and no risk, then exposure; claims without exposure are last, or first."""
     rank = F.coalesce(*[F.when(F.col("risk_flag") == r, k) for r, k in RISK_RANK.items()], F.lit(3))

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import exprs, vocab
 from ..operators import audit, evaluate, evidence, evolve, facts, graph
 from ..sources import graphs as graph_files
-from ..streaming import feed
-from .project import GRAPH_SQL, Ledger, with_ledger
+from ..sources import snapshots
+from ..storage import new_place, written
+from ..streaming import feed, store
+from .ledger_queries import ENDS
+from .project import GRAPH_SQL, RESOLVED_SQL, Ledger, with_ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,7 +124,15 @@ def _(led):
     return rows.select("doc_id", "raw_phrase")
 
 
-@query("T7_sentence_context")
+#: Of claims ``asked`` (claim_id, scope, quote).
+CONTEXT = r"""flat AS (SELECT claim_id, quote, trim(scope) AS scope, lower(substr(trim(regexp_replace(quote, '\s+', ' ', 'g')), 1, 72)) AS probe FROM asked),
+cut AS (SELECT *, list_filter(list_transform(regexp_extract_all(regexp_replace(scope, '\s+', ' ', 'g'), '[^.!?]+[.!?]+|[^.!?]+$'), lambda s: trim(s)), lambda s: s <> '') AS ss, strpos(lower(scope), probe) AS spot FROM flat),
+hit AS (SELECT *, list_position(list_transform(ss, lambda s: contains(lower(s), probe)), true) AS h FROM cut)
+SELECT claim_id, CASE WHEN h > 0 THEN array_to_string(ss[greatest(h - 1, 1) : h + 1], ' ') WHEN spot > 0 THEN trim(regexp_replace(substr(scope, greatest(spot - 260, 1), spot + length(quote) + 260 - greatest(spot - 260, 1)), '\s+', ' ', 'g')) END AS context FROM hit"""
+SECOND = r"regexp_extract(text, '[.!?]\s+([^.!?]+[.!?])', 1)"
+
+
+@query("T7_sentence_context", f"WITH asked AS (SELECT doc_id AS claim_id, text AS scope, {SECOND} AS quote FROM documents WHERE {SECOND} <> ''), {CONTEXT}")
 def _(led):
     """The second sentence of each text as a quote, with the sentences around it."""
     pages = evidence.split_pages(_paged(led))
@@ -129,6 +140,14 @@ def _(led):
     return evidence.sentence_context(quotes, pages).select("claim_id", "context")
 
 
+@query("T7_page_context", f"WITH {PAGES}, asked AS (SELECT doc_id * 100000 + page AS claim_id, text AS scope, {SECOND} AS quote FROM pages_of WHERE page IS NOT NULL AND {SECOND} <> ''), {CONTEXT}")
+def _(led):
+    """The same of each page: a claim with a page sees that page only."""
+    pages = evidence.split_pages(_paged(led))
+    quotes = pages.filter("page IS NOT NULL").select((F.col("doc_id") * 100000 + F.col("page")).alias("claim_id"), "doc_id", "page", F.regexp_extract("text", r"[.!?]\s+([^.!?]+[.!?])", 1).alias("quote")).filter("quote != ''")
+    return evidence.sentence_context(quotes, pages).select("claim_id", "context")
+
+
 def _rejected(led: Ledger) -> DataFrame:
     """Quotes of 12 words from the start of each text, with a word exchanged or words that are in no text."""
     words = F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 12)
@@ -136,12 +155,48 @@ def _rejected(led: Ledger) -> DataFrame:
     return led.texts.select(F.col("doc_id").alias("quote_id"), "doc_id", quote.alias("quote"))
 
 
-@query("T4_diagnose_rejected_quotes")
+WORD = "[\\p{L}\\p{N}]+"
+#: Every window by brute force, for quotes q (doc_id, q) and words per page of ``parts`` (doc_id, position, page, text).
+DIAGNOSED = f"""
+pw AS (SELECT doc_id, position, page, regexp_extract_all(text, '{WORD}[^\\p{{L}}\\p{{N}}]*') AS pieces FROM parts),
+each_word AS (SELECT doc_id, position, page, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i FROM pw),
+words AS (SELECT doc_id, page, piece, regexp_extract(piece, '^{WORD}') AS word, strip_accents(lower(regexp_extract(piece, '^{WORD}'))) AS token, row_number() OVER (PARTITION BY doc_id ORDER BY position, i) - 1 AS pos FROM each_word),
+doc AS (SELECT doc_id, count(*) AS d, list(token ORDER BY pos) AS tokens, list(piece ORDER BY pos) AS pieces, list(word ORDER BY pos) AS ws, list(page ORDER BY pos) AS pages FROM words GROUP BY 1),
+qs AS (SELECT doc_id, list_transform(regexp_extract_all(quote, '{WORD}'), lambda w: strip_accents(lower(w))) AS q FROM quoted),
+qt AS (SELECT doc_id, len(q) AS m, token, count(*) AS k FROM (SELECT doc_id, q, unnest(q) AS token FROM qs) GROUP BY 1, 2, 3),
+sizes AS (SELECT DISTINCT qs.doc_id, len(q) AS m, d, unnest([CAST(floor(len(q) * 0.7) AS INT), CAST(floor(len(q) * 0.85) AS INT), len(q) - 1, len(q), len(q) + 1, CAST(ceil(len(q) * 1.15) AS INT), CAST(ceil(len(q) * 1.3) AS INT)]) AS len FROM qs JOIN doc USING (doc_id)),
+hits AS (SELECT z.doc_id, z.m, z.len, z.d, t.token, k, pos FROM sizes z JOIN qt t ON t.doc_id = z.doc_id JOIN words w ON w.doc_id = z.doc_id AND w.token = t.token WHERE z.len BETWEEN 1 AND z.d),
+opened AS (SELECT *, unnest(range(greatest(pos - len + 1, 0), least(pos, d - len) + 1)) AS start FROM hits),
+overlap AS (SELECT doc_id, m, len, start, sum(least(n, k)) AS shared FROM (SELECT doc_id, m, len, start, token, k, count(*) AS n FROM opened GROUP BY ALL) GROUP BY 1, 2, 3, 4),
+best AS (SELECT *, 2.0 * shared / (m + len) AS score FROM overlap QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY 2.0 * CAST(shared AS DOUBLE) / (m + len) DESC, abs(len - m), len, start) = 1),
+seen AS (SELECT b.doc_id, q, score, pages[start + 1] AS first_page, pages[start + len] AS last_page, tokens[greatest(start - 6, 0) + 1 : least(d, start + len + 6)] AS context, tokens[greatest(start - len, 0) + 1 : least(d, start + 3 * len)] AS around,
+  array_to_string(pieces[start + 1 : start + len - 1], '') || ws[start + len] || ' ' || array_to_string(pieces[greatest(start - len, 0) + 1 : least(d, start + 3 * len) - 1], '') || ws[least(d, start + 3 * len)] AS said FROM best b JOIN doc USING (doc_id) JOIN qs USING (doc_id)),
+marked AS (SELECT *, len(list_filter(around, lambda w: length(w) <= 4)) / len(around) AS short, len(list_filter(around, lambda w: regexp_matches(w, '[0-9]'))) / len(around) AS numeric, len(regexp_extract_all(said, {_sql(vocab.TABLE_HEADER)})) AS heads FROM seen),
+judged AS (SELECT doc_id, round(score, 3) AS score, first_page, last_page, CASE WHEN score < 0.2 THEN 'not_found' WHEN len(context) > len(q) AND (context[1 : len(q)] = q OR context[len(context) - len(q) + 1 :] = q) THEN 'truncated' WHEN first_page <> last_page THEN 'cross_page'
+  WHEN NOT regexp_matches(said, '[a-z0-9][.!?](\\s|$)') AND ((short >= 0.55 AND numeric >= 0.08) OR (short >= 0.4 AND numeric >= 0.04 AND heads >= 2)) THEN 'table_derived' ELSE 'paraphrase' END AS bucket FROM marked),
+diagnosed AS (SELECT r.doc_id AS quote_id, r.doc_id, coalesce(score, 0) AS score, coalesce(bucket, 'not_found') AS bucket, CASE WHEN bucket <> 'not_found' THEN first_page END AS start_page, CASE WHEN bucket <> 'not_found' THEN last_page END AS end_page FROM quoted r LEFT JOIN judged j USING (doc_id))"""
+QUOTED = """quoted AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'qqq xxx vvv zzz jjj' ELSE array_to_string(list_concat(list_concat(w[1:5], ['exchanged']), w[7:12]), ' ') END AS quote FROM (SELECT doc_id, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')[1:12] AS w FROM documents))"""
+PARTS = "parts AS (SELECT doc_id, position, page, text || CASE WHEN position < max(position) OVER (PARTITION BY doc_id) THEN '[[' ELSE '' END AS text FROM pages_of)"
+
+
+@query("T4_diagnose_rejected_quotes", f"WITH {PAGES}, {PARTS}, {QUOTED}, {DIAGNOSED} SELECT * FROM diagnosed")
 def _(led):
     return evidence.diagnose_rejected_quotes(_rejected(led), _paged(led))
 
 
-@query("A8_mismatch_bucket_counts")
+#: Long quotes, from the middle of the texts: every second word of up to 300.
+MIDDLE = "quoted AS (SELECT doc_id, array_to_string(list_filter(w[len(w) // 3 + 1 : len(w) // 3 + 300], lambda x, i: i % 2 = 1), ' ') AS quote FROM (SELECT doc_id, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS w FROM documents))"
+
+
+@query("T4_long_quotes", f"WITH {PAGES}, {PARTS}, {MIDDLE}, {DIAGNOSED} SELECT * FROM diagnosed")
+def _(led):
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    part = F.filter(F.slice(words, F.floor(F.size(words) / 3).cast("int") + 1, F.lit(300)), lambda x, i: i % 2 == 0)
+    quotes = led.texts.select(F.col("doc_id").alias("quote_id"), "doc_id", F.array_join(part, " ").alias("quote"))
+    return evidence.diagnose_rejected_quotes(quotes, _paged(led))
+
+
+@query("A8_mismatch_bucket_counts", f"WITH parts AS (SELECT doc_id, 0 AS position, CAST(NULL AS INT) AS page, text FROM documents), {QUOTED}, {DIAGNOSED} SELECT doc_id, " + ", ".join(f"count(*) FILTER (bucket = '{b}') AS {b}" for b in vocab.MISMATCH_BUCKETS) + " FROM diagnosed GROUP BY 1")
 def _(led):
     return facts.mismatch_bucket_counts(evidence.diagnose_rejected_quotes(_rejected(led), led.texts))
 
@@ -227,10 +282,43 @@ def _(led):
     return feed.discover_documents(_labelled(led)).select("sha256", "company_id")
 
 
-@query("ST4_feed_watermark", "SELECT event_type AS source, max(CASE WHEN value > 5 THEN ts END) FILTER (user_id % 4 <> 0 AND user_id % 9 <> 0) AS watermark FROM (SELECT event_type, user_id, value, ts FROM events) GROUP BY 1")
+STORED = f"""{FEED_CTE}, g AS (SELECT ext % 50 AS id, ext % 3 AS k, max_by({STATUS_SQL}, ext) AS status, max(ts) AS announced FROM feed WHERE ext IS NOT NULL GROUP BY 1, 2),
+judged AS (SELECT g.*, coalesce(announced < (SELECT max(w.announced) FROM g w WHERE w.k < g.k) - INTERVAL 24 HOUR, false) AS late FROM g)"""
+
+
+def _stored(led: Ledger) -> str:
+    """A store of three batches of the feed, compacted after the second; the first two come again."""
+    n = F.col("external_id").cast("long")
+    rows = _labelled(led).select(F.pmod(n, F.lit(50)).cast("string").alias("external_id"), F.pmod(n, F.lit(3)).alias("k"), n.alias("n"), "status")
+    dates = led.table("events").select(F.col("event_id").alias("n"), F.col("ts").cast("timestamp").alias("ts"))
+    rows = written(rows.join(dates, "n").groupBy("external_id", "k").agg(F.max_by("status", "n").alias("status"), F.max("ts").alias("announced")).withColumn("source", F.lit("bse")), "feed-rows")
+    folder = new_place(led.spark, "feed")
+    for k in (0, 1, 0, 1, None, 1, 2, 2):
+        if k is None:
+            store.compact(led.spark, folder)
+        else:
+            store.append_batch(rows.filter(F.col("k") == k).drop("k"), k, folder)
+    return folder
+
+
+@query("ST2_stored_announcements", f"WITH {STORED} SELECT CAST(id AS VARCHAR) AS external_id, CASE WHEN bool_or(status = 'linked') AND max_by(status, k) <> 'ignored' THEN 'linked' ELSE max_by(status, k) END AS status FROM judged WHERE NOT late GROUP BY 1")
 def _(led):
-    rows = led.table("events").filter("value > 5").select(F.col("event_type").alias("source"), F.col("event_id").alias("batch_id"), F.col("ts").alias("max_date"), F.col("ts").alias("at"), (F.col("user_id") % 4 == 0).alias("failed"), (F.col("user_id") % 9 == 0).alias("backfill"))
-    return feed.feed_watermark(rows)
+    return store.stored_announcements(led.spark, _stored(led)).select("external_id", "status")
+
+
+@query("ST6_late_side_output", f"WITH {STORED} SELECT CAST(id AS VARCHAR) AS external_id, k AS batch_id FROM judged WHERE late")
+def _(led):
+    return store.stored_late_rows(led.spark, _stored(led)).select("external_id", "batch_id")
+
+
+@query("ST4_feed_watermark", """WITH p AS (SELECT event_type AS source, event_id, CASE WHEN value > 5 THEN ts END AS max_date, ts + INTERVAL 2 HOUR AS polled, user_id % 4 <> 0 AND user_id % 9 <> 0 AS good FROM events),
+s AS (SELECT source, greatest(max(max_date) FILTER (good), min_by(coalesce(max_date, polled), event_id) FILTER (good)) AS watermark, max(polled) AS polled FROM p GROUP BY 1)
+SELECT source, watermark, coalesce(watermark, polled - INTERVAL 24 HOUR) AS since FROM s""")
+def _(led):
+    """Each event as a poll: some empty, some failed, some filling back."""
+    ts = F.col("ts").cast("timestamp")
+    rows = led.table("events").select(F.col("event_type").alias("source"), F.col("event_id").alias("batch_id"), F.when(F.col("value") > 5, ts).alias("max_date"), (ts + F.expr("INTERVAL 2 HOURS")).alias("at"), (F.col("user_id") % 4 == 0).alias("failed"), (F.col("user_id") % 9 == 0).alias("backfill"))
+    return feed.feed_watermark(rows).select("source", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("watermark", "since")])
 
 
 HEALTH = """polls AS (SELECT event_type AS source, ts, event_id, CASE WHEN user_id % 23 = 0 THEN 'block' WHEN user_id % 3 = 0 THEN 'success' ELSE 'failure' END AS outcome, user_id % 17 <> 0 AS mapped FROM events),
@@ -293,6 +381,15 @@ def _(led):
     return old.select("claim_id", F.col("lifecycle_state").alias("outcome")).unionByName(rejects.select("claim_id", F.col("reason").alias("outcome")))
 
 
+@query("R3_supersession_chains", with_ledger("""SELECT claim_id, min(claim_id) OVER w AS first_version, max(claim_id) OVER w AS current_version, row_number() OVER (PARTITION BY doc_id, island ORDER BY rn) AS version, count(*) OVER w AS versions
+FROM (SELECT *, coalesce(sum(CASE WHEN rn = 1 + doc_id % 5 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM claims) WINDOW w AS (PARTITION BY doc_id, island)"""))
+def _(led):
+    """A document's claims as versions of one another, with a break at one place."""
+    after = F.lead("claim_id").over(Window.partitionBy("doc_id").orderBy("rn"))
+    rows = led.claims.select("claim_id", F.when(F.col("rn") != 1 + F.pmod("doc_id", F.lit(5)), after).alias("superseded_by"))
+    return evolve.supersession_chains(rows).drop("in_cycle")
+
+
 REVIEWS = """asked AS (SELECT c.doc_id, c.claim_id, c.rn, c.verification_tier, d.status, c.doc_id % 3 AS kind, count(*) OVER (PARTITION BY c.doc_id) AS n FROM claims c JOIN led_documents d USING (doc_id) WHERE c.verification_tier = 'machine_validated' OR (c.doc_id % 5 = 0 AND rn = 1)),
 judged AS (SELECT *, CASE WHEN status <> 'ready_for_review' OR verification_tier <> 'machine_validated' OR kind = 2 OR (kind = 1 AND n = 1) OR (kind = 0 AND n <> 1) THEN 1 ELSE 0 END AS bad FROM asked)"""
 
@@ -371,10 +468,33 @@ def _(led):
     return twice.unionByName(lone.select("key_text", F.lit("orphan").alias("rule"), "n"))
 
 
-@query("V6_immutability_violations", with_ledger("SELECT claim_id, CASE WHEN claim_id % 7 = 0 THEN 'deleted' WHEN claim_id % 5 = 0 THEN 'substance_changed' ELSE 'final_tier_changed' END AS rule FROM claims WHERE claim_id % 7 = 0 OR claim_id % 5 = 0 OR (claim_id % 3 = 0 AND verification_tier IN ('human_verified', 'excluded'))"))
+REWRITTEN = """b AS (SELECT *, verification_tier AS tier, verification_tier <> 'machine_validated' AS reviewed, rn = 2 AS noted FROM claims)
+SELECT claim_id, 'deleted' AS rule FROM b WHERE claim_id % 7 = 0 UNION ALL SELECT claim_id, unnest(list_filter([
+  CASE WHEN claim_id % 5 = 0 OR (claim_id % 11 = 0 AND rn <> 3) THEN 'substance_changed' END, CASE WHEN rn = 5 AND claim_id % 3 = 0 THEN 'link_changed' END, CASE WHEN rn = 5 AND claim_id % 4 = 0 THEN 'reactivated' END,
+  CASE WHEN claim_id % 3 = 1 AND tier = 'excluded' THEN 'final_tier_changed' END, CASE WHEN reviewed AND ((claim_id % 3 = 1 AND tier = 'excluded') OR (noted AND claim_id % 2 = 0)) THEN 'review_changed' END,
+  CASE WHEN noted AND NOT reviewed AND claim_id % 9 = 0 THEN 'second_look_undone' END, CASE WHEN noted AND claim_id % 2 = 0 THEN 'note_changed' END,
+  CASE WHEN claim_id % 3 = 1 AND tier = 'machine_validated' AND claim_id % 13 <> 0 THEN 'decided_without_reviewer' END], lambda x: x IS NOT NULL)) FROM b WHERE claim_id % 7 <> 0"""
+
+
+@query("V6_immutability_violations", with_ledger(REWRITTEN.split("\n", 1)[1], REWRITTEN.split("\n", 1)[0]))
 def _(led):
-    after = led.claims.filter("claim_id % 7 != 0").withColumns({"quote": F.when(F.pmod("claim_id", F.lit(5)) == 0, "other").otherwise(F.col("quote")), "verification_tier": F.when(F.pmod("claim_id", F.lit(3)) == 0, "machine_validated").otherwise(F.col("verification_tier"))})
-    return audit.immutability_violations(led.claims, after)
+    """The ledger before and after changes of every kind."""
+    k, tier = F.col("claim_id"), F.col("verification_tier")
+    reviewed, noted = tier != "machine_validated", F.col("rn") == 2
+    before = led.claims.withColumns({
+        "superseded_by": F.when(F.col("rn") == 5, k + 1), "lifecycle_state": F.when(F.col("rn") == 5, "superseded").otherwise("current"), "page": F.when(F.col("rn") != 3, F.lit(4)), "model_version": F.lit("m1"),
+        "reviewed_at": F.when(reviewed, F.lit("2024-01-01").cast("timestamp")), "reviewed_by": F.when(reviewed, F.lit("someone")), "review_state": F.when(reviewed, "decided").when(noted, "needs_second_look").otherwise("pending"),
+        "review_note": F.when(noted, "look again"), "decision_method": F.when(reviewed, "individual"), "exclusion_reason": F.when(tier == "excluded", "wrong"),
+    })
+    ever = lambda n, r: F.pmod(k, F.lit(n)) == r
+    decided = ever(3, 1) & (tier == "machine_validated")
+    after = before.filter(~ever(7, 0)).withColumns({
+        "quote": F.when(ever(5, 0), "other").otherwise(F.col("quote")), "page": F.when(ever(11, 0), F.lit(None)).otherwise(F.col("page")), "superseded_by": F.when((F.col("rn") == 5) & ever(3, 0), k + 2).otherwise(F.col("superseded_by")),
+        "lifecycle_state": F.when((F.col("rn") == 5) & ever(4, 0), "current").otherwise(F.col("lifecycle_state")), "verification_tier": F.when(ever(3, 1), "human_verified").otherwise(tier),
+        "reviewed_at": F.when(decided & ever(13, 0), F.lit("2024-02-01").cast("timestamp")).otherwise(F.col("reviewed_at")), "reviewed_by": F.when(decided & ever(13, 0), F.lit("another")).otherwise(F.col("reviewed_by")), "decision_method": F.when(decided & ever(13, 0), "bulk").otherwise(F.col("decision_method")),
+        "review_state": F.when(noted & ~reviewed & ever(9, 0), "pending").otherwise(F.col("review_state")), "review_note": F.when(noted & ever(2, 0), "looked").otherwise(F.col("review_note")),
+    })
+    return audit.immutability_violations(before, after)
 
 
 @query("V1_import_parity", with_ledger("SELECT g.graph_id, nodes, edges, entities, claims, true AS same_quotes FROM (SELECT graph_id, count(*) AS nodes FROM graph_nodes GROUP BY 1) g JOIN (SELECT doc_id AS graph_id, count(*) AS edges, count(*) AS claims, count(DISTINCT target_entity_id) AS entities FROM claims GROUP BY 1) USING (graph_id)", GRAPH_SQL))
@@ -389,12 +509,43 @@ def _(led):
     return audit.graph_parity(flat.filter("rn > 1").drop("rn"), flat.filter("rn < 6").drop("rn"))
 
 
-@query("V3_resolution_parity", "SELECT CAST(0 AS BIGINT) AS violations")
+GOOD_EDGE = "relation_type IS NOT NULL AND NOT malformed"
+
+
+@query("V1_graph_import_parity", with_ledger(f"SELECT graph_id, nodes, edges, entities, claims, edges = claims AS same_quotes FROM (SELECT graph_id, count(*) AS nodes FROM graph_nodes GROUP BY 1) JOIN (SELECT graph_id, count(*) AS edges, count(*) FILTER ({GOOD_EDGE}) AS claims FROM typed GROUP BY 1) USING (graph_id) JOIN (SELECT graph_id, count(DISTINCT CASE WHEN named THEN label ELSE node_id END) AS entities FROM graph_nodes GROUP BY 1) USING (graph_id)", GRAPH_SQL))
+def _(led):
+    """Graphs against what their import makes of them: quotes with their pages as multisets, and entities of their nodes."""
+    nested = _nested(led)
+    made, (nodes, edges, _) = graph_files.import_graphs_to_ledger(nested), graph_files.graph_tables(nested)
+    key = F.when(F.col("named"), exprs.name_key(F.col("label"))).otherwise(F.concat_ws(":", F.lit("unnamed"), "graph_id", "node_id"))
+    of = nodes.select("graph_id", key.alias("entity_id")).join(made["entities"].select(F.col("entity_key").alias("entity_id")), "entity_id")
+    paged = lambda df: df.withColumn("quote", F.to_json(F.struct("quote", "page")))
+    return audit.import_parity(nodes, paged(edges), of, paged(made["claims"]))
+
+
+@query("V2_rebuilt_graph_parity", with_ledger(f"SELECT graph_id, relation_type, exposure_bp, quote, 'left' AS side FROM typed WHERE NOT coalesce({GOOD_EDGE}, false)", GRAPH_SQL))
 def _(led):
+    """Typed edges of the graphs against the claims that their import makes: quotes and exposures as multisets."""
+    columns = ["graph_id", "relation_type", "exposure_bp", "quote"]
+    nested = _nested(led)
+    nodes, edges, _ = graph_files.graph_tables(nested)
+    claims = graph_files.import_graphs_to_ledger(nested)["claims"].withColumnRenamed("doc_id", "graph_id")
+    return audit.graph_parity(graph.typed_edges(nodes, edges).select(columns), claims.select(columns))
+
+
+LAST_RULE = """lastm AS (SELECT from_id, CASE WHEN from_id % 100 = 84 THEN from_id - 3 ELSE max(into_id) END AS into_id FROM active GROUP BY 1),
+hop AS (SELECT from_id AS origin, into_id AS node, [from_id, into_id] AS path, from_id = into_id AS cyc FROM lastm UNION ALL SELECT h.origin, m.into_id, list_append(h.path, m.into_id), list_contains(h.path, m.into_id) FROM hop h JOIN lastm m ON m.from_id = h.node WHERE NOT h.cyc),
+by_last AS (SELECT origin, node FROM hop h WHERE cyc OR NOT EXISTS (SELECT 1 FROM lastm m WHERE m.from_id = h.node))"""
+
+
+@query("V3_resolution_parity", with_ledger("SELECT claim_id FROM ends_resolved LEFT JOIN by_last s ON s.origin = source_entity_id LEFT JOIN by_last t ON t.origin = target_entity_id WHERE source_resolved <> coalesce(s.node, source_entity_id) OR target_resolved <> coalesce(t.node, target_entity_id)", RESOLVED_SQL, ENDS, LAST_RULE))
+def _(led):
+    """Claims that resolve otherwise by the rule of the last-listed merge, walked step by step."""
     from ..operators import entities
 
-    resolved = entities.resolve_entities(led.entities, led.merges)
-    return audit.resolution_parity(facts.claims_resolved(led.claims, resolved), resolved).agg(F.count("*").alias("violations"))
+    merges = led.merges.withColumn("ordinal", F.when(F.col("into_id") == F.col("from_id") - 3, 1).otherwise(0))
+    ends = facts.claims_resolved(led.claims, entities.resolve_entities(led.entities, led.merges))
+    return audit.resolution_parity(ends, entities.resolve_by_last_merge(led.entities, merges))
 
 
 @query("U4_multiset_equality", with_ledger("SELECT company_id, relation_type, greatest(a - b, 0) AS more, greatest(b - a, 0) AS fewer FROM (SELECT company_id, relation_type, count(*) FILTER (rn <= 3) AS a, count(*) FILTER (rn > 3) AS b FROM claims GROUP BY 1, 2) WHERE a <> b"))
@@ -519,22 +670,33 @@ def _(led):
     return graph.merge_extraction_passes(nodes, edges.filter("edge_no % 2 = 0"), renamed, again)[1].select("graph_id", "edge_no")
 
 
+def _restored(led: Ledger) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """All eight tables of the ledger, and what comes back of a snapshot of them in the shared folder."""
+    users = led.table("events").select("user_id").distinct()
+    rejections = led.table("customer").filter("c_custkey % 50 = 0").select((F.col("c_custkey") - 1).alias("a"), F.col("c_custkey").alias("b"))
+    tables = {"claims": led.claims, "merges": led.merges, "aliases": led.aliases, "entities": led.entities, "documents": led.documents, "companies": led.companies, "users": users, "rejections": rejections}
+    place = new_place(led.spark, "snapshot")
+    snapshots.ledger_snapshot(tables, place)
+    return tables, snapshots.ledger_restore(led.spark, place, {name: df.limit(0) for name, df in tables.items()})
+
+
 @query("S7_ledger_snapshot", with_ledger("SELECT company_id, name, slug FROM companies"))
 def _(led):
-    """Companies written to a snapshot in the shared folder, and restored from it."""
-    import tempfile
-    import uuid
+    return _restored(led)[1]["companies"]
+
 
-    from ..sources.snapshots import ledger_restore, ledger_snapshot
+ALL_TABLES = {"users": "(SELECT DISTINCT user_id FROM events)", "companies": "companies", "documents": "led_documents", "entities": "entities", "aliases": "aliases", "merges": "merges", "claims": "claims", "rejections": "(SELECT 1 FROM customer WHERE c_custkey % 50 = 0)"}
 
-    folder = led.spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not led.spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tallyweave-snapshot-")
-    place = f"{folder.rstrip('/')}/snapshot-{uuid.uuid4().hex[:12]}"
-    ledger_snapshot({"companies": led.companies}, place)
-    return ledger_restore(led.spark, place)["companies"]
+
+@query("S7_restored_tables", with_ledger(" UNION ALL ".join(f"SELECT {k} AS place, '{name}' AS table_name, count(*) AS n, CAST(0 AS BIGINT) AS apart FROM {source}" for k, (name, source) in enumerate(ALL_TABLES.items()))))
+def _(led):
+    """Each table in the order of restoration, its rows, and how many rows of it are not as they were."""
+    tables, back = _restored(led)
+    parts = [df.agg(F.lit(k).alias("place"), F.lit(name).alias("table_name"), F.count("*").alias("n")).join(audit.multiset_difference(tables[name], df).agg(F.count("*").alias("apart"))) for k, (name, df) in enumerate(back.items())]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 @query("X4_report_date", "SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS parsed FROM orders WHERE o_orderkey % 6 <> 5 UNION ALL SELECT o_orderkey, CAST(NULL AS DATE) FROM orders WHERE o_orderkey % 6 = 5")

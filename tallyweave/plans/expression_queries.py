@@ -86,6 +86,34 @@ def _(led):
     return led.claims.select("claim_id", percent.alias("percent"), seen.alias("seen"))
 
 
+#: All wordings of either side, and a type that has none, by the number of a claim.
+OURS, THEIRS = list(vocab.SEEN_BY_TARGET.items()), list(vocab.SEEN_BY_OTHERS.items())
+SEEN = [t.replace("%s", "Y") for _, t in OURS] + [t.replace("%s", "X") for _, t in THEIRS] + ["Relationship with Y", "Relationship with X"]
+
+
+@query("X12_perspectives", with_ledger(f"SELECT claim_id, [{', '.join(chr(39) + t + chr(39) for t in SEEN)}][CAST(claim_id % {len(SEEN)} AS INT) + 1] AS seen FROM claims"))
+def _(led):
+    kinds = [("target", k) for k, _ in OURS] + [(k, "target") for k, _ in THEIRS] + [("target", "stranger"), ("stranger", "target")]
+    own, other = (_choose(F.col("claim_id"), *[F.lit(k[i]) for k in kinds]) for i in (0, 1))
+    return led.claims.select("claim_id", exprs.perspective(own, other, F.lit("Y"), F.lit("X")).alias("seen"))
+
+
+RATINGS = ["[ICRA]A+ (Stable)", "[icra] AA-; Stable", "ICRA  BBB (stable) / A2", "CRISIL A ; stable", "", None, "BB+"]
+RATED = f"""SELECT claim_id, r, CASE WHEN k < 4 THEN 'ICRA' END AS agency, CASE claim_id % 3 WHEN 0 THEN strftime(published_date, '%Y-%m-%d') WHEN 1 THEN 'last year' END AS raw, published_date, claim_id % 3 AS d
+FROM (SELECT claim_id, claim_id % 5 AS k, published_date, [{', '.join('NULL' if r is None else chr(39) + r + chr(39) for r in RATINGS)}][CAST(claim_id % 7 AS INT) + 1] AS r FROM claims JOIN led_documents USING (doc_id))"""
+
+
+@query("X12_provenance", with_ledger(rf"""SELECT claim_id, CASE WHEN coalesce(r, '') = '' THEN 'Rating not stated' || CASE WHEN agency IS NOT NULL THEN ' · ICRA' ELSE '' END ELSE
+  trim(regexp_replace(regexp_replace(regexp_replace(CASE WHEN starts_with(lower(r), '[icra]') AND agency IS NOT NULL THEN 'ICRA ' || substr(r, 7) WHEN agency IS NOT NULL AND NOT starts_with(lower(r), 'icra') THEN 'ICRA ' || r ELSE r END, '\s*;\s*stable', '/Stable', 'gi'), '\s*\(stable\)', '/Stable', 'gi'), '\s+', ' ', 'g')) END
+  || ' · rated ' || CASE d WHEN 0 THEN strftime(published_date, '%d %b %Y') WHEN 1 THEN 'last year' ELSE 'report date not stated' END AS line FROM ({RATED})"""))
+def _(led):
+    n = F.col("claim_id")
+    rating = _choose(n, *[F.lit(r).cast("string") for r in RATINGS])
+    raw = _choose(n, F.date_format("published_date", "yyyy-MM-dd"), F.lit("last year"), F.lit(None).cast("string"))
+    rows = led.claims.join(led.documents.select("doc_id", "published_date"), "doc_id")
+    return rows.select("claim_id", exprs.provenance(rating, F.when(F.pmod(n, F.lit(5)) < 4, "ICRA"), raw).alias("line"))
+
+
 @query("X13_relationship_identity", with_ledger("SELECT claim_id, 'company ' || CAST(company_id AS VARCHAR) || chr(31) || 'party ' || CAST(target_entity_id AS VARCHAR) || chr(31) || relation_type || chr(31) || CASE WHEN rn % 2 = 0 THEN CAST(rn AS VARCHAR) || '.50' ELSE 'none' END AS identity FROM claims"))
 def _(led):
     ends = [F.concat(F.lit(a), F.col(c).cast("string"), F.lit(b)) for a, c, b in (("Company ", "company_id", " Ltd."), ("PARTY  ", "target_entity_id", " India Limited"))]
@@ -101,6 +129,17 @@ def _(led):
     return led.table("events").select(n.alias("id"), exprs.retryable_error(code, status, message).alias("retryable"))
 
 
+@query("X14_nested_causes", "SELECT event_id AS id, event_id % 5 IN (0, 2) OR (event_id % 5 = 4 AND event_id % 7 < 5) AS retryable FROM events")
+def _(led):
+    """An error whose cause tells: a code, a code that hides a good one, a status, nothing, a message at a depth."""
+    n, error = F.col("event_id"), "struct<code: string, status: int, message: string>"
+    made = lambda code=None, status=None, message=None: F.struct(F.lit(code).alias("code"), F.lit(status).alias("status"), F.lit(message).alias("message")).cast(error)
+    plain = made(message="fetch failed")
+    deep = F.concat(F.array_repeat(plain, F.pmod(n, F.lit(7)).cast("int")), F.array(made(message="Socket hang up")))
+    chain = _choose(n, F.array(plain, made(code="ECONNRESET")), F.array(made(code="EOTHER"), made(code="ECONNRESET")), F.array(plain, plain, made(status=503)), F.array(plain, made(status=404)), deep)
+    return led.table("events").select(n.alias("id"), exprs.retryable_chain(chain).alias("retryable"))
+
+
 @query("X15_token_telemetry", "SELECT event_id AS id, event_id % 12001 >= 10800 AS near_ceiling, round((event_id % 12001) * 0.000015 + (event_id % 977) * 0.000003, 6) AS cost FROM events")
 def _(led):
     n = F.col("event_id")

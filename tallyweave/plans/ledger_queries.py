@@ -190,6 +190,12 @@ def _(led):
     return facts.multi_document_entities(_ends(led))
 
 
+@query("A5_entity_titles", with_ledger("""SELECT entity_id, title, count(*) AS claims, row_number() OVER (PARTITION BY entity_id ORDER BY title) AS place
+FROM (SELECT doc_id, unnest(list_distinct([source_resolved, target_resolved])) AS entity_id FROM ends_resolved) JOIN led_documents USING (doc_id) GROUP BY 1, 2""", RESOLVED_SQL, ENDS))
+def _(led):
+    return facts.entity_titles(_ends(led), led.documents)
+
+
 COUNTED = ", ".join(f"count(*) FILTER (relation_type = '{t}' AND NOT malformed) AS {t}" for t in graph.COUNTED)
 
 
@@ -208,14 +214,22 @@ def _(led):
     return facts.claims_by_quote(led.claims).withColumn("first_place", F.col("first_place").cast("long"))
 
 
+@query("A9_discovered_backlog", with_ledger("SELECT agency AS source, count(*) AS pending, count(*) FILTER (coalesce(next_attempt, 60000000) <= 60000000) AS due, count(*) FILTER (attempts > 0) AS retried, CAST(min(coalesce(next_attempt, 60000000)) AS BIGINT) AS earliest FROM led_documents WHERE status = 'failed' GROUP BY 1"))
+def _(led):
+    docs = led.documents.withColumns({"source": F.col("agency"), "status": F.when(F.col("status") == "failed", "discovered").otherwise(F.col("status"))})
+    return facts.discovered_backlog(docs, 60_000_000).withColumn("earliest", F.col("earliest").cast("long"))
+
+
 @query("A12_batch_ingest_summary", with_ledger(f"""SELECT d.doc_id, coalesce(n, 0) AS claims, coalesce(x, 0) AS excluded,
-  concat_ws(',', CASE WHEN coalesce(n, 0) < 3 THEN 'thin' END, CASE WHEN subsidiary + group_company > 1 AND customer + supplier + lender = 0 THEN 'structure_heavy' END) AS markers
-FROM led_documents d LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (verification_tier = 'excluded') AS x FROM claims GROUP BY 1) USING (doc_id)
+  concat_ws(',', CASE WHEN d.doc_id % 2 = 0 AND coalesce(n, 0) < 3 THEN 'thin' END, CASE WHEN d.doc_id % 5 = 0 THEN 'near_ceiling' END, CASE WHEN d.doc_id % 9 > 5 AND subsidiary + group_company > 0 AND customer + supplier + lender = 0 THEN 'structure_heavy' END) AS markers
+FROM led_documents d LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (verification_tier = 'excluded') AS x FROM claims WHERE doc_id % 5 > 1 OR rn < 3 GROUP BY 1) USING (doc_id)
 LEFT JOIN (SELECT graph_id AS doc_id, {COUNTED} FROM (SELECT DISTINCT graph_id FROM graph_nodes) LEFT JOIN typed USING (graph_id) GROUP BY 1) USING (doc_id)""", GRAPH_SQL))
 def _(led):
     from ..operators import evaluate
 
-    return evaluate.batch_summary(led.documents, led.claims, graph.relation_type_counts(led.graph_nodes, led.graph_edges))
+    docs = led.documents.withColumns({"doc_type": F.when(F.pmod("doc_id", F.lit(2)) == 0, "rating_rationale").otherwise("annual_report"), "near_ceiling": F.pmod("doc_id", F.lit(5)) == 0, "structure_seen": F.pmod("doc_id", F.lit(9))})
+    claims = led.claims.filter((F.pmod("doc_id", F.lit(5)) > 1) | (F.col("rn") < 3))
+    return evaluate.batch_summary(docs, claims, graph.relation_type_counts(led.graph_nodes, led.graph_edges))
 
 
 @query("A14_graph_evidence_counts", with_ledger(f"SELECT doc_id, count(*) FILTER ({RETAINED}) AS retained, count(*) FILTER (verification_tier = 'excluded') AS excluded FROM claims GROUP BY 1"))
@@ -309,6 +323,14 @@ def _(led):
     return entities.duplicate_candidates(usage).select("left_id", "right_id", F.round("confidence", 6).alias("confidence"))
 
 
+@query("J8_similar_entity_pairs", f"WITH c AS ({CANDIDATES}), named AS (SELECT p_partkey AS id, {PARTS} AS name, p_partkey % 17 AS claims FROM part), keyed AS (SELECT id, claims, {KEY.format('name')} AS key FROM named) SELECT left_id, right_id, l.key AS left_key, r.key AS right_key, l.claims AS left_claims, r.claims AS right_claims FROM c JOIN keyed l ON l.id = left_id JOIN keyed r ON r.id = right_id WHERE confidence >= 0.9")
+def _(led):
+    from ..functions import exprs
+
+    pairs = entities.duplicate_candidates(_part_names(led).withColumn("key", exprs.name_key(F.col("name"))))
+    return pairs.filter(F.round("confidence", 6) >= 0.9).select("left_id", "right_id", "left_key", "right_key", *[F.col(c).cast("long").alias(c) for c in ("left_claims", "right_claims")])
+
+
 @query("E8_apply_merges", with_ledger("""SELECT c_custkey AS from_id, c_custkey + 5 AS into_id, CASE WHEN c_custkey + 5 NOT IN (SELECT entity_id FROM entities) THEN 'unknown entity'
   WHEN c_custkey % 13 = 0 OR (c_custkey + 5) % 13 = 0 THEN 'unnamed entity' WHEN c_custkey IN (SELECT from_id FROM merges WHERE reverted = 0) THEN 'already merged' ELSE 'merged' END AS outcome FROM customer WHERE c_custkey % 4 = 1"""))
 def _(led):

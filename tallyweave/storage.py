@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,3 +44,21 @@ def drop(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for df in tables:
         delete(df.sparkSession, df.place)
+
+
+def in_ranges(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """``df`` written in ranges of (group, order), sorted, with ``range_no`` and ``range_at``, the place in it: a group of
+    any size lies in as many neighbouring ranges as it needs."""
+    keys = [*[F.col(c) for c in group], *order]
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return written(rows.withColumns({"range_no": F.spark_partition_id(), "range_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), name)
+
+
+def ranked(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``place``, from 0 and without gaps in each group: counted within ranges, and only a row for each range
+    and group is summed up. Columns of ``group`` hold no nulls."""
+    rows = in_ranges(df, group, order, name)
+    parts = rows.groupBy("range_no", *group).agg(F.min("range_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("range_no", *group, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(parts, ["range_no", *group]).withColumn("place", F.col("range_at") + F.col("_shift")).drop("range_no", "range_at", "_shift")

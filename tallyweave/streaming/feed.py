@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs, vocab
+from ..storage import in_ranges
 
 #: Lateness after which rows go to a repair job, and how far back a first run looks.
 LATENESS = "24 hours"
@@ -61,16 +62,21 @@ def announcement_stream(rows: DataFrame, companies: DataFrame) -> DataFrame:
 def latest_announcements(log: DataFrame) -> DataFrame:
     """The state of each announcement (source, external_id) from an append-only log (batch_id, status, ...): the latest
     payload; a link once made stays, unless the row became irrelevant."""
-    key = ["source", "external_id"]
-    last = log.groupBy(*key).agg(F.max(F.struct("batch_id", "row_no", *[c for c in log.columns if c not in (*key, "batch_id", "row_no")])).alias("r"), F.bool_or(F.col("status") == "linked").alias("was_linked"))
-    rows = last.select(*key, "r.*", "was_linked")
-    return rows.withColumn("status", F.when(F.col("was_linked") & (F.col("status") != "ignored"), "linked").otherwise(F.col("status"))).drop("was_linked")
+    return linked_status(folded_log(log))
 
 
-def upsert_announcements(batch: DataFrame, batch_id: int, folder: str) -> None:
-    """Sink of ``foreachBatch``: append a batch to the log in its own folder. A batch that runs again writes the same
-    folder again, so readers see each row once."""
-    batch.withColumns({"batch_id": F.lit(batch_id), "row_no": F.monotonically_increasing_id()}).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+def folded_log(log: DataFrame) -> DataFrame:
+    """One row of each announcement: the last of the log, and whether any was linked (``was_linked``, which rows of an
+    earlier fold bring along). Folding in parts gives what folding at once gives."""
+    key, own = ["source", "external_id"], F.col("status") == "linked"
+    if "was_linked" in log.columns:
+        own = own | F.coalesce("was_linked", F.lit(False))
+    last = log.groupBy(*key).agg(F.max(F.struct("batch_id", "row_no", *[c for c in log.columns if c not in (*key, "batch_id", "row_no", "was_linked")])).alias("r"), F.bool_or(own).alias("was_linked"))
+    return last.select(*key, "r.*", "was_linked")
+
+
+def linked_status(folded: DataFrame) -> DataFrame:
+    return folded.withColumn("status", F.when(F.col("was_linked") & (F.col("status") != "ignored"), "linked").otherwise(F.col("status"))).drop("was_linked")
 
 
 def discover_documents(linked: DataFrame, stored: DataFrame | None = None) -> DataFrame:
@@ -89,25 +95,41 @@ def late_rows(rows: DataFrame, watermarks: DataFrame) -> DataFrame:
 
 
 def feed_watermark(batches: DataFrame) -> DataFrame:
-    """source, watermark after each batch's metrics (source, batch_id, max_date, failed, backfill, at): the greatest date of
-    batches that neither failed nor filled back; without rows, the time of the batch."""
+    """source, watermark, since: the state after the metrics (source, batch_id, max_date, failed, backfill, at) of all polls.
+
+    Polls that fail or fill back leave the watermark as it is. Of the others the greatest date counts; an empty one keeps
+    what there is, and only without any date so far its own time is taken. ``since`` is where the next poll starts: the
+    watermark, or a day before the last poll if there is none. The order of polls matters for the first good one only,
+    so this is one aggregation with partial sums.
+    """
     counts = ~F.col("failed") & ~F.col("backfill")
-    return batches.groupBy("source").agg(F.max(F.when(counts, F.coalesce("max_date", "at"))).alias("watermark"))
+    first = F.min(F.when(counts, F.struct("batch_id", F.coalesce("max_date", "at").alias("start"))))
+    state = batches.groupBy("source").agg(F.greatest(F.max(F.when(counts, F.col("max_date"))), first["start"]).alias("watermark"), F.max("at").alias("_at"))
+    return state.select("source", "watermark", F.coalesce("watermark", F.col("_at") - F.expr(f"INTERVAL {LATENESS}")).alias("since"))
 
 
 def feed_health(polls: DataFrame) -> DataFrame:
     """Poll log (source, at, outcome: success, failure or block; mapped) with what the next poll of that time would do:
     failures in a row, disabled_until and skip (disabled_until, poll_interval, circuit_open, no_mapped_companies or null).
+
+    A source's log is cut into ranges of time. Of each range its first poll, whether it has a reset, the failures after
+    the last one and the last block are carried on to the next ranges; the rest is counted within a range, by many tasks.
     """
-    order = Window.partitionBy("source").orderBy("at")
-    before = order.rowsBetween(Window.unboundedPreceding, 0)
-    island = F.sum(F.col("outcome").isin("success", "block").cast("int")).over(before)
-    rows = polls.withColumn("island", island)
-    failures = F.sum((F.col("outcome") == "failure").cast("int")).over(Window.partitionBy("source", "island").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    until = F.max(F.when(F.col("outcome") == "block", F.unix_timestamp("at") + BLOCK_SECONDS)).over(before)
-    rows = rows.withColumns({"failures": failures, "disabled_until": F.timestamp_seconds(until), "next_at": F.lead("at").over(order)})
+    rows = in_ranges(polls, ["source"], [F.col("at")], "polls").withColumn("_until", F.when(F.col("outcome") == "block", F.unix_timestamp("at") + BLOCK_SECONDS))
+    part = Window.partitionBy("source", "range_no").orderBy("range_at")
+    so_far = part.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("island", F.sum((F.col("outcome") != "failure").cast("int")).over(so_far))
+    tail = rows.groupBy("source", "range_no", "island").agg(F.count_if(F.col("outcome") == "failure").alias("n"), F.min("at").alias("first_at"), F.max("_until").alias("until"))
+    parts = tail.groupBy("source", "range_no").agg(F.max("island").alias("resets"), F.max_by("n", "island").alias("open"), F.min("first_at").alias("first_at"), F.max("until").alias("until"))
+    order = Window.partitionBy("source").orderBy("range_no")
+    parts = parts.withColumn("era", F.sum((F.col("resets") > 0).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = parts.withColumn("standing", F.sum("open").over(Window.partitionBy("source", "era").orderBy("range_no").rowsBetween(Window.unboundedPreceding, 0)))
+    parts = parts.select("source", "range_no", F.coalesce(F.lag("standing").over(order), F.lit(0)).alias("_before"), F.max("until").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_until_before"), F.lead("first_at").over(order).alias("_next_range"))
+    failures = F.sum((F.col("outcome") == "failure").cast("int")).over(Window.partitionBy("source", "range_no", "island").orderBy("range_at").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"failures": failures, "_until": F.max("_until").over(so_far), "_next": F.lead("at").over(part)}).join(parts, ["source", "range_no"])
+    rows = rows.withColumns({"failures": F.col("failures") + F.when(F.col("island") == 0, F.col("_before")).otherwise(0), "disabled_until": F.timestamp_seconds(F.greatest("_until", "_until_before")), "next_at": F.coalesce("_next", "_next_range")})
     skip = F.when(F.col("next_at") < F.col("disabled_until"), "disabled_until").when(F.unix_timestamp("next_at") - F.unix_timestamp("at") < INTERVAL_SECONDS, "poll_interval").when(F.col("failures") >= CIRCUIT, "circuit_open").when(~F.col("mapped"), "no_mapped_companies")
-    return rows.withColumn("skip", skip).drop("island")
+    return rows.withColumn("skip", skip).drop("island", "range_no", "range_at", "_until", "_next", "_before", "_until_before", "_next_range")
 
 
 def feed_run_summary(labelled: DataFrame, companies: DataFrame) -> DataFrame:
