@@ -1,7 +1,8 @@
 """Sharding by balanced label propagation.
 
 A vertex is a bundle of documents of one text: at most some 256 of a group that may hold a third of all rows, mostly one
-document. Bundles of equal texts are linked to the first of their group. A label is a shard. Each round joins links with
+document. Bundles of equal texts are linked to the first of their group; a group that no shard can hold is first dealt
+into chunks of half a shard, each with a first of its own. A label is a shard. Each round joins links with
 labels, counts the votes of a vertex's neighbours, and moves vertices to the shard with the most votes; of the weight
 that wants into a shard, the part that its quota admits moves, chosen by a hash. Rounds alternate between half of the
 vertices following all neighbours, and all vertices following smaller neighbours, which keeps two of them from trading
@@ -44,7 +45,7 @@ def admitted(flows: dict[tuple[int, int], int], sizes: list[int], capacity: int)
     return [min(a, b) for a, b in zip(parts, now)]
 
 
-def balanced_labels(vertices: DataFrame, links: DataFrame, shards: int, capacity: int, rounds: int = 6) -> DataFrame:
+def balanced_labels(vertices: DataFrame, links: DataFrame, shards: int, capacity: int, rounds: int = 8) -> DataFrame:
     """``vertices`` (id, weight) to (id, weight, label): labels from 0 to ``shards`` - 1 that leave few ``links`` (a, b,
     weight) between shards, with about ``capacity`` of weight in each at most.
 
@@ -77,7 +78,7 @@ def balanced_labels(vertices: DataFrame, links: DataFrame, shards: int, capacity
     return state
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size, text_crc32, shard, slot, group_rows: each row's shard, and its place there, from 0 without gaps.
 
     Row counts of shards differ by one at most. Rows of equal texts share a shard as long as their group fits; a null
@@ -91,10 +92,13 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 6, key: str
     count = rows.count()
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(max(1, count // BUNDLE))))
     bundles = materialize(salted.filter("twin IS NOT NULL").groupBy("twin", "salt").agg(F.min("row").alias("id"), F.count("*").alias("weight")), "bundles")
-    groups = bundles.groupBy("twin").agg(F.min("id").alias("first"), F.sum("weight").alias("group_rows")).filter("group_rows > 1")
-    linked = materialize(bundles.join(groups, "twin"), "linked")
+    groups = bundles.groupBy("twin").agg(F.sum("weight").alias("group_rows")).filter("group_rows > 1")
+    capacity = max(1, count // shards)
+    chunks = F.when(F.col("group_rows") <= capacity, 1).otherwise(F.ceil(F.col("group_rows") / max(1, capacity // 2)))
+    linked = bundles.join(groups, "twin").withColumn("chunk", F.pmod(F.xxhash64("id"), chunks))
+    linked = materialize(linked.join(linked.groupBy("twin", "chunk").agg(F.min("id").alias("first")), ["twin", "chunk"]).drop("chunk"), "linked")
     links = linked.filter("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"), "weight")
-    state = balanced_labels(linked.select("id", "weight"), links, shards, count // shards, rounds)
+    state = balanced_labels(linked.select("id", "weight"), links, shards, capacity, rounds)
     labelled = linked.join(state.select("id", "label"), "id")
     whole = labelled.groupBy("twin").agg((F.min("label") == F.max("label")).alias("whole"))
     spot = labelled.join(whole, "twin").select("twin", "salt", "label", "whole", "group_rows")
