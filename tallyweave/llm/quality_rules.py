@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, materialize, plain, shingle_hashes, tidy
+from .common import WordHashes, as_bytes, discard, materialize, plain, shingle_hashes, tidy
 
 SYMBOLS = b"#*$%&|<>"
 #: Kinds of bytes: inside a code point, white space, symbol, A-Z, a-z, digit, other ASCII, first of a longer code point.
@@ -25,6 +25,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 TREES, TREE_ROWS = 128, 256
 #: Bins of the score in which labelled rows are counted.
 BINS = 2000
+#: Share of good texts that the threshold may cost at most, and how many points of bad ones a point of good ones is worth.
+FALSE_REJECTS, PRICE = 0.02, 10.0
 
 
 def repeated_words(words: np.ndarray, width: int = 5) -> int:
@@ -159,15 +161,19 @@ def grow_forest(labelled: DataFrame, seed: int, most: int = TREES * TREE_ROWS) -
     return [grow_tree(x[random.choice(len(x), min(TREE_ROWS, len(x)), replace=False)], random) for _ in range(TREES)] if len(x) else []
 
 
-def calibrated_threshold(scored: DataFrame, false_rejects: float) -> float:
-    """The lowest score above which at most ``false_rejects`` of the texts labelled good lie; 1 where labels lack a side."""
+def calibrated_threshold(scored: DataFrame, false_rejects: float, price: float = PRICE) -> float:
+    """The score above which texts go: of all that at most ``false_rejects`` of the texts labelled good exceed, the one
+    with the largest share of rejected bad texts less ``price`` times the share of rejected good ones, and the higher one
+    of equals. 1, which rejects nothing, where labels lack a side or no score is worth it."""
     bins = scored.filter("quality IS NOT NULL").groupBy(F.floor(F.col("anomaly") * BINS).cast("int").alias("bin"), "quality").count().toPandas()
     good, bad = (np.bincount(bins.loc[bins.quality == q, "bin"], bins.loc[bins.quality == q, "count"], BINS + 2) for q in (1, 0))
     if not good.sum() or not bad.sum():
         return 1.0
     above = lambda x: np.cumsum(x[::-1])[::-1] / x.sum()
-    allowed = np.flatnonzero(above(good) <= false_rejects)
-    return float(allowed[0] / BINS)
+    lost, caught = above(good), above(bad)
+    gain = np.where(lost <= false_rejects, caught - price * lost, -1.0)
+    best = len(gain) - 1 - int(np.argmax(gain[::-1]))
+    return float(best / BINS) if gain[best] > 0 else 1.0
 
 
 def _keep(trees, limit: float):
@@ -188,27 +194,35 @@ def _keep(trees, limit: float):
 
 def _fitted(counts: DataFrame, labels: DataFrame, false_rejects: float, seed: int):
     known = plain(labels, "doc_id", "quality").filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    labelled = materialize(counts.filter(~base_failed()).join(known, "doc_id"), "labelled")
-    trees = counts.sparkSession.sparkContext.broadcast(grow_forest(labelled, seed))
-    scored = labelled.select("doc_id", *COUNTS, "quality").mapInArrow(_score(trees), SCHEMA + ", quality int, anomaly double")
-    return trees, calibrated_threshold(scored, false_rejects)
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit("fold")), F.lit(2))
+    labelled = materialize(counts.filter(~base_failed()).join(known, "doc_id").withColumn("fold", fold), "labelled")
+    sides = {(r["fold"], r["quality"]) for r in labelled.select("fold", "quality").distinct().collect()}  # four rows at most
+    apart = len(sides) == 4
+    trees = counts.sparkSession.sparkContext.broadcast(grow_forest(labelled.filter("fold = 0") if apart else labelled, seed))
+    held_out = labelled.filter("fold = 1") if apart else labelled
+    scored = held_out.select("doc_id", *COUNTS, "quality").mapInArrow(_score(trees), SCHEMA + ", quality int, anomaly double")
+    limit = calibrated_threshold(scored, false_rejects)
+    discard(labelled)
+    return trees, limit
 
 
 SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
 
 
-def keep_good_documents(documents: DataFrame, labels: DataFrame, false_rejects: float = 0.005, seed: int = 17) -> DataFrame:
+def keep_good_documents(documents: DataFrame, labels: DataFrame, false_rejects: float = FALSE_REJECTS, seed: int = 17) -> DataFrame:
     """The rows of ``documents``, all columns, that ``quality_rules`` keeps; no row is moved."""
     counts = materialize(rule_statistics(documents), "rules")
     trees, limit = _fitted(counts, labels, false_rejects, seed)
+    discard(counts)
     return documents.mapInArrow(_keep(trees, limit), documents.schema)
 
 
-def quality_rules(documents: DataFrame, labels: DataFrame, false_rejects: float = 0.005, seed: int = 17) -> DataFrame:
+def quality_rules(documents: DataFrame, labels: DataFrame, false_rejects: float = FALSE_REJECTS, seed: int = 17) -> DataFrame:
     """Judge every whole text of ``documents`` (doc_id, text) by fixed base rules and an isolation forest.
 
     ``labels`` (doc_id, quality 0/1) names known texts; several labels of one doc_id count as the lowest. The forest
-    is grown on good ones and rejects what lies above a threshold that at most ``false_rejects`` of them exceed.
+    is grown on good ones of one half of the labelled texts, by hash; the threshold is chosen on the other half, by good
+    and bad ones (``calibrated_threshold``). If a half lacks good or bad texts, both are done on all.
     Returns one row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
     base_failed, kept (boolean), anomaly (double). Null, empty and wordless texts have zeros and fail the base rules;
     rows with a null or repeated doc_id are judged like any other. Without labels of both kinds, only the base rules
