@@ -57,40 +57,41 @@ def _volumes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """Offset and length of each record, and its record id; trailing bytes that form no record are one more."""
+    """Offset and length of each record, and its record id; trailing bytes that form no record are one more. Header names
+    are alike in any case."""
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
-        fields = dict(x.split(b": ", 1) for x in data[at:end].split(b"\r\n")[1:] if b": " in x) if end >= 0 and data.startswith(b"WARC/", at) else {}
-        size = fields.get(b"Content-Length", b"")
+        lines = data[at:end].split(b"\r\n")[1:] if end >= 0 and data.startswith(b"WARC/", at) else []
+        fields = {name.strip().lower(): value.strip() for name, colon, value in (x.partition(b":") for x in lines) if colon}
+        size = fields.get(b"content-length", b"")
         stop = end + 4 + int(size) + 4 if size.isdigit() else len(data)
-        yield at, min(stop, len(data)) - at, fields.get(b"WARC-Record-ID", b"")
+        yield at, min(stop, len(data)) - at, fields.get(b"warc-record-id", b"")
         at = min(stop, len(data))
 
 
 def _unzipped(content: bytes) -> tuple[bytes, bytes]:
     """What decompresses of a gzip'd volume before an error, and the rest of the file: bytes that are no whole gzip
-    member, or empty. Members may follow each other."""
-    parts = []
-    while content:
-        one, whole = zlib.decompressobj(31), []
-        for at in range(0, len(content), 1024):
+    member, or empty. Members may follow each other, as many as there are records."""
+    parts, begin = [], 0
+    while begin < len(content):
+        one, at = zlib.decompressobj(31), begin
+        while not one.eof and at < len(content):
+            chunk = content[at : at + 1024]
             try:
-                whole.append(one.decompress(content[at : at + 1024]))
+                parts.append(one.decompress(chunk))
             except zlib.error:
-                # byte by byte from the last good state, to lose none before the error
+                # byte by byte from where the chunk begins, to lose none before the error
                 one = zlib.decompressobj(31)
+                one.decompress(content[begin:at])
                 with contextlib.suppress(zlib.error):
-                    whole = [one.decompress(content[:at])]
-                    for k in range(at, min(at + 1024, len(content))):
-                        whole.append(one.decompress(content[k : k + 1]))
-                return b"".join(parts + whole), content
-            if one.eof:
-                break
-        parts += whole
+                    for k in range(len(chunk)):
+                        parts.append(one.decompress(chunk[k : k + 1]))
+                return b"".join(parts), content[begin:]
+            at += len(chunk)
         if not one.eof:
-            return b"".join(parts), content
-        content = one.unused_data + content[at + 1024 :]
+            return b"".join(parts), content[begin:]
+        begin = at - len(one.unused_data)
     return b"".join(parts), b""
 
 
@@ -99,14 +100,18 @@ def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["volume", "seq", "record_id", "offset", "length", "hash"]
     for batch in batches:
         for volume, content in zip(batch.column("volume").to_pylist(), batch.column("content"), strict=True):
-            data = zlib.decompress(content.as_py(), 31)
+            data, broken = _unzipped(content.as_py() or b"")
             rows = [(volume, k, rid.decode("utf-8", "replace"), at, size, hashlib.sha256(memoryview(data)[at : at + size]).hexdigest()) for k, (at, size, rid) in enumerate(parse_warc(data))]
+            if broken:
+                rows.append((volume, len(rows), "", len(data), 0, hashlib.sha256(broken).hexdigest()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names)
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of a replica: volume, seq, record_id, offset, length, hash (SHA-256 of the record's bytes)."""
+    """The records of a replica: volume, seq, record_id, offset, length, hash (SHA-256 of the record's bytes). A file may be
+    one gzip member or many. Where one breaks, the records before are listed, and the bytes from its first one on are one
+    more without an id and of no length."""
     return _volumes(spark, folder).mapInArrow(_manifest, "volume long, seq long, record_id string, offset long, length long, hash string")
 
 
