@@ -8,12 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, plain
+from .common import discard, materialize
 
 #: Ranges of the seeded order in which a leaf's tokens are summed before its cut is looked for.
 BUCKETS = 4096
-#: Leaves of a tree at most; what is fetched is one row for each.
-MOST_LEAVES = 100_000
+#: Leaves up to which each task gets the cuts of all.
+MOST_BROADCAST = 100_000
 
 
 @dataclass
@@ -75,12 +75,57 @@ def leaf_budgets(root: Node, amount: int, epochs: int) -> dict[tuple[str, ...],
     return out
 
 
-def _marked(documents: DataFrame, levels: dict[str, Column], seed: str) -> DataFrame:
-    """``documents`` with their leaf (_level0, ...), words and place in the seeded order."""
+def _names(levels: dict[str, Column]) -> list[str]:
+    return [f"_level{k}" for k in range(len(levels))]
+
+
+def _marked(documents: DataFrame, levels: dict[str, Column], seed: str, *more: Column) -> DataFrame:
+    """Of ``documents`` their leaf (_level0, ...), words and place in the seeded order, and ``more``."""
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != ""))
     spot = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    names = {f"_level{k}": F.coalesce(c.cast("string"), F.lit("?")) for k, c in enumerate(levels.values())}
-    return documents.withColumns({**names, "_tokens": words.cast("long"), "_spot": spot})
+    names = [F.coalesce(c.cast("string"), F.lit("?")).alias(n) for n, c in zip(_names(levels), levels.values(), strict=True)]
+    return documents.select(*more, *names, words.cast("long").alias("_tokens"), spot.alias("_spot"))
+
+
+def level_shares(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
+    """``share_out`` for all parents at once: children (parent columns, name, weight, room, budget: the parent's) with
+    ``share``, by windows over the children of a parent.
+
+    Children fill up in the order of room by weight; one is full if its part of what the fuller ones leave reaches its
+    room. The others share the rest in proportion, rounded down; what rounding leaves goes to the first by name with room.
+    """
+    own = Window.partitionBy(*parent)
+    open_ = nodes.filter("room > 0").withColumn("any", F.max(F.col("weight") > 0).over(own))
+    open_ = open_.filter("weight > 0 OR NOT any").withColumn("w", F.when(F.col("any"), F.col("weight")).otherwise(1.0))
+    open_ = open_.withColumns({"left": F.least("budget", F.sum("room").over(own)), "all_w": F.sum("w").over(own)})
+    fuller = own.orderBy(F.col("room") / F.col("w"), name).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(fuller), F.lit(0))
+    open_ = open_.withColumns({"rest": F.col("left") - before("room"), "rest_w": F.col("all_w") - before("w")})
+    # of equal ratios all are full or none; rounding of sums of weights must not open the last one
+    open_ = open_.withColumn("full", (F.col("rest") * F.col("w") >= F.col("room") * F.col("rest_w") * (1 - 1e-12)))
+    part = F.floor((F.col("left") - F.sum(F.when(F.col("full"), F.col("room")).otherwise(0)).over(own)) * F.col("w") / F.sum(F.when(~F.col("full"), F.col("w")).otherwise(0.0)).over(own))
+    open_ = open_.withColumn("part", F.when(F.col("full"), F.col("room")).otherwise(F.least(F.coalesce(part, F.lit(0)), F.col("room"))))
+    open_ = open_.withColumns({"over": F.col("left") - F.sum("part").over(own), "spare": F.col("room") - F.col("part")})
+    earlier = F.coalesce(F.sum("spare").over(own.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = F.col("part") + F.greatest(F.lit(0), F.least(F.col("spare"), F.col("over") - earlier))
+    shares = open_.select(*parent, name, share.cast("long").alias("share"))
+    return nodes.join(shares, [*parent, name], "left").fillna(0, ["share"])
+
+
+def spread_budgets(supply: DataFrame, names: list[str], weights: dict[tuple[str, ...], float], amount: int, epochs: int) -> DataFrame:
+    """``leaf_budgets`` in Spark: leaves (names, tokens) to (names, tokens, budget), a level of the tree at a time. No leaf
+    comes to the driver, however many there are; ``weights`` are a table that people write."""
+    spark = supply.sparkSession
+    above = None
+    for k, name in enumerate(names):
+        parent = names[:k]
+        nodes = supply.groupBy(*parent, name).agg((F.sum("tokens") * epochs).alias("room"))
+        given = [(*path, float(w)) for path, w in weights.items() if len(path) == k + 1]
+        own = spark.createDataFrame(given, ", ".join(f"{n} string" for n in [*parent, name]) + ", weight double")
+        nodes = nodes.join(own, [*parent, name], "left").fillna(1.0, ["weight"])
+        nodes = nodes.withColumn("budget", F.lit(amount).cast("long")) if above is None else nodes.join(above, parent)
+        above = level_shares(nodes, parent, name).select(*parent, name, F.col("share").alias("budget"))
+    return supply.join(above, names)
 
 
 def leaf_cuts(documents: DataFrame, levels: dict[str, Column], weights: dict[tuple[str, ...], float], amount: float, epochs: int, seed: str) -> DataFrame:
@@ -90,33 +135,25 @@ def leaf_cuts(documents: DataFrame, levels: dict[str, Column], weights: dict[tup
     The running sum is over BUCKETS ranges of the order, and over documents only in a leaf's last range, so no task
     sees a whole leaf.
     """
-    names = [f"_level{k}" for k in range(len(levels))]
-    rows = materialize(_marked(documents, levels, seed).select(*names, "_tokens", "_spot"), "mix")
+    names = _names(levels)
+    rows = materialize(_marked(documents, levels, seed), "mix")
     prefix = F.substring("_spot", 1, 3)
     sums = materialize(rows.groupBy(*names, prefix.alias("bucket")).agg(F.sum("_tokens").alias("tokens")), "sums")
-    supply = sums.groupBy(*names).agg(F.sum("tokens").alias("tokens")).limit(MOST_LEAVES + 1).collect()
-    if len(supply) > MOST_LEAVES:
-        raise ValueError(f"more than {MOST_LEAVES} leaves")
-    root = Node()
-    for r in supply:
-        node = root
-        for k, n in enumerate(names):
-            node = node.children.setdefault(r[n], Node(weights.get(tuple(r[x] for x in names[: k + 1]), 1.0)))
-        node.supply = r.tokens
-    budgets = leaf_budgets(root, int(amount * sum(r.tokens for r in supply)), epochs)
-    plan = []
-    for r in supply:
-        path = tuple(r[n] for n in names)
-        plan.append((*path, *divmod(budgets[path], max(1, r.tokens))))
-    plan = F.broadcast(documents.sparkSession.createDataFrame(plan, ", ".join(f"{n} string" for n in names) + ", _epochs long, _rest long"))
+    supply = sums.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
+    total = sums.agg(F.sum("tokens")).first()[0] or 0
+    budgets = materialize(spread_budgets(supply, names, weights, int(amount * total), epochs), "budgets")
+    unit = F.greatest("tokens", F.lit(1))
+    plan = budgets.select(*names, F.floor(F.col("budget") / unit).alias("_epochs"), F.pmod("budget", unit).alias("_rest"))
     order = Window.partitionBy(*names).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.withColumn("before", F.coalesce(F.sum("tokens").over(order), F.lit(0))).join(plan, names)
     # each leaf's first range that its budget doesn't cover, or none
     cut = before.filter(F.col("before") + F.col("tokens") > F.col("_rest")).groupBy(*names).agg(F.min(F.struct("bucket", "before")).alias("cut")).select(*names, "cut.bucket", "cut.before")
     within = Window.partitionBy(*names).orderBy("_spot").rangeBetween(Window.unboundedPreceding, 0)
-    near = rows.withColumn("bucket", prefix).join(F.broadcast(cut), [*names, "bucket"]).join(plan, names)
+    near = rows.withColumn("bucket", prefix).join(cut, [*names, "bucket"]).join(plan, names)
     last = near.withColumn("upto", F.col("before") + F.sum("_tokens").over(within)).filter("upto <= _rest").groupBy(*names).agg(F.max("_spot").alias("reached"))
-    return plan.join(cut, names, "left").join(last, names, "left").select(*names, "_epochs", F.coalesce("reached", "bucket", F.lit("g")).alias("_last"))
+    cuts = materialize(plan.join(cut, names, "left").join(last, names, "left").select(*names, "_epochs", F.coalesce("reached", "bucket", F.lit("g")).alias("_last")), "cuts")
+    discard(rows, sums, budgets)
+    return cuts
 
 
 def mix_to_weights(documents: DataFrame, levels: dict[str, Column], weights: dict[tuple[str, ...], float], amount: float, epochs: int = 2, seed: str = "mix") -> DataFrame:
@@ -128,11 +165,15 @@ def mix_to_weights(documents: DataFrame, levels: dict[str, Column], weights: dic
     running sum in a seeded order of doc_id stays within its budget. Null names are one more name, "?"; null doc_ids
     share one place in the order, as rows of one doc_id do, and go together. Null and wordless texts have no tokens and
     go with their place. Returns ``documents`` with copies (long; 0: not chosen) and n_tokens in place of columns of
-    those names; no document is moved, as each leaf's cut is one value.
+    those names; other columns may have any name. Up to MOST_BROADCAST leaves no document is moved, as each leaf's cut
+    is one value that all tasks get; more leaves are joined by their names.
     """
-    names = [f"_level{k}" for k in range(len(levels))]
+    names = _names(levels)
     cuts = leaf_cuts(documents, levels, weights, amount, epochs, seed)
-    cuts = F.broadcast(cuts)  # MOST_LEAVES rows at most
-    chosen = _marked(documents, levels, seed).join(cuts, names, "left")
+    if cuts.count() <= MOST_BROADCAST:
+        cuts = F.broadcast(cuts)
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    chosen = _marked(documents, levels, seed, row).join(cuts, names, "left")
     copies = F.col("_epochs") + (F.col("_spot") <= F.col("_last")).cast("long")
-    return chosen.withColumns({"copies": F.coalesce(copies, F.lit(0)), "n_tokens": F.col("_tokens")}).drop(*names, "_tokens", "_spot", "_epochs", "_last")
+    new = {"copies": F.coalesce(copies, F.lit(0)), "n_tokens": F.col("_tokens")}
+    return chosen.select(*[F.col("row").getField(c).alias(c) for c in documents.columns if c not in new], *[c.alias(n) for n, c in new.items()])

@@ -50,7 +50,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One epoch at most, nine tenths of the tokens, near the target weights; null languages and sources are leaves."""
     prepare(spark)
-    return mix_to_weights(docs, mix_levels(), MIX_WEIGHTS, amount=0.9, epochs=1).filter("copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # whose columns may have any name
+    return mix_to_weights(docs.select("doc_id", "text", "lang", "source", row), mix_levels(), MIX_WEIGHTS, amount=0.9, epochs=1).filter("copies > 0").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
