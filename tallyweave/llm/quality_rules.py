@@ -88,7 +88,8 @@ def features(counts: dict[str, np.ndarray]) -> np.ndarray:
 def grow_tree(rows: np.ndarray, random: np.random.Generator, depth: int = 8) -> list[tuple[int, float, int, int, float]]:
     """One isolation tree as nodes (feature, split, left, right, path length at a leaf); a leaf has feature -1.
 
-    Splits are drawn a little beyond the range of the rows, so that a text outside of it ends on a short path.
+    Splits are drawn a little beyond the range of the rows, so that a text outside of it ends on a short path, but not
+    below zero, where no share lies.
     """
     nodes: list = []
 
@@ -104,7 +105,7 @@ def grow_tree(rows: np.ndarray, random: np.random.Generator, depth: int = 8) ->
             nodes[at] = (-1, 0.0, 0, 0, level + expected(len(x)))
             return at
         k = int(random.integers(rows.shape[1]))
-        split = float(random.uniform(low[k] - pad[k], high[k] + pad[k]))
+        split = float(random.uniform(max(0.0, low[k] - pad[k]), high[k] + pad[k]))
         left = x[:, k] < split
         nodes[at] = (k, split, add(x[left], level + 1), add(x[~left], level + 1), 0.0)
         return at
