@@ -27,6 +27,8 @@ from .ngram_join import BITMAP, MOST_BROADCAST, linked
 #: = 39 words hold a whole paragraph that they choose by themselves: also a passage of 51 words or more with a word in
 #: fifty exchanged (a similarity of 0.8 or more) nearly always has one between its changes.
 UNIT = EVERY = 20
+#: Words of a stretch, once it has grown, below which it is no passage.
+LEAST = 26
 #: Words on either side of a stretch that it can grow by, and words in a row that must be the same for it to go on after
 #: an exchanged one.
 LOOK, BRIDGE = 64, 5
@@ -299,7 +301,8 @@ def repeated_passages(documents: DataFrame, width: int = 5, num: int = 80, den:
     has several), first_word, n_words, component (a number of its first paragraph), kept_doc_id, kept_first_word (the
     place that stays, for removed ones the one they were compared with), removed. A paragraph that overlaps the place
     that stays is no repeat of it. A stretch can take in a few words of its own beside a passage, with which a paragraph is
-    still alike. Null texts, rows with a null doc_id and texts of fewer than UNIT words take no part;
+    still alike. Null texts, rows with a null doc_id and texts of fewer than UNIT words take no part, and
+    stretches of fewer than LEAST words are none;
     rows of one doc_id with the same text count as one. Members of a component are never paired, and no group has a cap.
     """
     bands, rows = tune_bands(num / den, recall, hashes)
@@ -360,7 +363,9 @@ def repeated_passages(documents: DataFrame, width: int = 5, num: int = 80, den:
     out = spans.join(more, ["doc_id", "text_id", "first", "removed"], "left").select("doc_id", "text_id", (F.col("first") - before).alias("first_word"), (F.col("end") - F.col("first") + before + behind).alias("n_words"), "component", F.col("left.doc_id").alias("kept_doc_id"), (F.col("left.start") - before).alias("kept_first_word"), "removed")
     out = materialize(out, "passages")
     discard(spans, sides)
-    return out
+    gone = out.filter(F.col("removed") & (F.col("n_words") >= LEAST))
+    stays = out.filter("NOT removed").join(gone.select(F.col("kept_doc_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return gone.unionByName(stays)
 
 
 def _without(text: bytes, gone: list[dict]) -> bytes:
