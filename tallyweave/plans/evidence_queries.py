@@ -650,17 +650,67 @@ def _broken(led: Ledger) -> tuple[DataFrame, DataFrame]:
     return led.graph_nodes.unionByName(first.withColumn("node_no", F.lit(50))).unionByName(first.withColumns({"node_id": F.lit("IDLE"), "label": F.lit("Idle Works"), "type": F.lit("customer"), "node_no": F.lit(51)})), edges
 
 
-@query("G4_repair_graph")
+#: Ends that are no node, and for each the best node of its graph, if it is similar enough.
+REPAIRED = """own AS (SELECT graph_id, node_id, label, type FROM graph_nodes UNION ALL SELECT graph_id, 'IDLE', 'Idle Works', 'customer' FROM graph_nodes WHERE node_no = 1),
+mangled AS (SELECT graph_id, edge_no, CASE WHEN source = 'T' THEN target ELSE source END AS other, CASE WHEN (graph_id + edge_no) % 7 = 0 THEN 'x' || lower(CASE WHEN source = 'T' THEN target ELSE source END) WHEN (graph_id + edge_no) % 11 = 0 THEN '???' END AS wrong FROM graph_edges),
+bad AS (SELECT DISTINCT graph_id, wrong AS reference, trim(regexp_replace(lower(wrong), '[^a-z0-9]+', ' ', 'g')) AS form FROM mangled WHERE wrong IS NOT NULL),
+forms AS (SELECT graph_id, node_id, unnest([trim(regexp_replace(lower(node_id), '[^a-z0-9]+', ' ', 'g')), trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g'))]) AS g FROM own),
+near AS (SELECT b.graph_id, reference, node_id, CASE WHEN form = '' OR g = '' THEN 0.0 WHEN form = g THEN 1.0 ELSE greatest(1 - levenshtein(form, g) / greatest(length(form), length(g)),
+  len(list_intersect(string_split(form, ' '), string_split(g, ' '))) / len(list_distinct(list_concat(string_split(form, ' '), string_split(g, ' ')))),
+  CASE WHEN least(length(form), length(g)) >= 4 AND (contains(form, g) OR contains(g, form)) THEN 0.8 + 0.2 * least(length(form), length(g)) / greatest(length(form), length(g)) ELSE 0.0 END) END AS score FROM bad b JOIN forms USING (graph_id)),
+mended AS (SELECT graph_id, reference, node_id, score FROM near QUALIFY row_number() OVER (PARTITION BY graph_id, reference ORDER BY score DESC, node_id) = 1),
+repairs AS (SELECT * FROM mended WHERE score >= 0.78)"""
+
+
+@query("G4_repair_graph", with_ledger("SELECT graph_id, reference, node_id, round(CAST(score AS DOUBLE), 6) AS score FROM repairs", GRAPH_SQL, REPAIRED))
 def _(led):
     """Repairs of broken graphs: end, node and score."""
     return graph.repair_graph(*_broken(led))["repairs"].select("graph_id", "reference", "node_id", F.round("score", 6).alias("score"))
 
 
-@query("V7_graph_file_integrity")
+INTEGRITY = """ended AS (SELECT m.graph_id, edge_no, CASE WHEN wrong IS NULL THEN other ELSE node_id END AS other_end FROM mangled m LEFT JOIN repairs r ON r.graph_id = m.graph_id AND r.reference = m.wrong),
+used AS (SELECT DISTINCT graph_id, unnest([other_end, 'T']) AS node_id FROM ended WHERE other_end IS NOT NULL),
+counted AS (SELECT graph_id, 'drops' AS finding, 'blocking' AS level, count(*) AS n FROM ended WHERE other_end IS NULL GROUP BY 1
+  UNION ALL SELECT graph_id, 'duplicates', 'blocking', count(*) FROM graph_nodes WHERE node_no = 1 GROUP BY 1
+  UNION ALL SELECT graph_id, 'repairs', 'warning', count(*) FROM repairs GROUP BY 1
+  UNION ALL SELECT graph_id, 'unlinked', 'warning', count(*) FROM own o WHERE type <> 'target' AND NOT EXISTS (SELECT 1 FROM used u WHERE u.graph_id = o.graph_id AND u.node_id = o.node_id) GROUP BY 1)"""
+
+
+@query("V7_graph_file_integrity", with_ledger("SELECT * FROM counted", GRAPH_SQL, REPAIRED, INTEGRITY))
 def _(led):
     return audit.graph_file_integrity(graph.repair_graph(*_broken(led)))
 
 
+@query("S1_read_graphs", with_ledger("SELECT d.doc_id AS graph_id, name AS target_company, strftime(published_date, '%B %d, %Y') AS report_date, n AS nodes, e AS edges, q AS quotes FROM led_documents d JOIN companies USING (company_id) JOIN (SELECT graph_id, count(*) AS n FROM graph_nodes GROUP BY 1) g ON g.graph_id = doc_id JOIN (SELECT graph_id, count(*) AS e, string_agg(quote, '|' ORDER BY edge_no) AS q FROM graph_edges GROUP BY 1) h ON h.graph_id = doc_id", GRAPH_SQL))
+def _(led):
+    """Every graph as a JSON file in the shared folder, and read from there."""
+    place = new_place(led.spark, "graphs")
+    _nested(led).drop("_corrupt_record").repartition("graph_id").write.partitionBy("graph_id").json(place)
+    rows = graph_files.read_graphs(led.spark, place).filter("_corrupt_record IS NULL")
+    return rows.select(F.col("graph_id").cast("long").alias("graph_id"), "target_company", "report_date", F.size("nodes").cast("long").alias("nodes"), F.size("edges").cast("long").alias("edges"), F.array_join(F.transform("edges", lambda e: e["source_quote"]), "|").alias("quotes"))
+
+
+@query("S3_key_of_changed_graphs", with_ledger("SELECT DISTINCT graph_id, graph_id % 3 = 0 OR graph_id % 4 = 0 AS changed FROM graph_nodes", GRAPH_SQL))
+def _(led):
+    """Which graphs get another key when some change a risk flag of an edge and some the label of a node."""
+    before = _nested(led)
+    after = before.withColumn("edges", F.when(F.pmod("graph_id", F.lit(3)) == 0, F.transform("edges", lambda e: e.withField("risk_flag", F.lit("other")))).otherwise(F.col("edges")))
+    after = after.withColumn("nodes", F.when(F.pmod("graph_id", F.lit(4)) == 0, F.transform("nodes", lambda n: n.withField("label", F.concat(n["label"], F.lit(" "))))).otherwise(F.col("nodes")))
+    keys = graph_files.graph_content_key(before).select("graph_id", "sha256").join(graph_files.graph_content_key(after).select("graph_id", F.col("sha256").alias("again")), "graph_id")
+    return keys.select("graph_id", (F.col("sha256") != F.col("again")).alias("changed"))
+
+
+@query("G5_second_pass_additions", with_ledger("SELECT graph_id, node_id FROM graph_nodes UNION ALL SELECT graph_id, unnest(['T-sweep-1', 'X1']) FROM graph_nodes WHERE node_no = 0", GRAPH_SQL))
+def _(led):
+    """A second pass with a node under an id that another node has, a new node, and one that is known by its label."""
+    own = led.graph_nodes.filter("node_no = 0")
+    clash = own.withColumns({"label": F.lit("New Works"), "type": F.lit("customer"), "node_no": F.lit(60)})
+    new = own.withColumns({"node_id": F.lit("X1"), "label": F.lit("Other Works"), "type": F.lit("lender"), "node_no": F.lit(61)})
+    known = own.withColumns({"node_id": F.lit("again"), "node_no": F.lit(62)})
+    edges = led.graph_edges.filter("edge_no = 1").withColumns({"source": F.lit("T"), "target": F.lit("X1"), "quote": F.lit("found later")})
+    return graph.merge_extraction_passes(led.graph_nodes, led.graph_edges, clash.unionByName(new).unionByName(known), edges)[0].select("graph_id", "node_id")
+
+
 @query("G5_merge_extraction_passes", with_ledger("SELECT graph_id, edge_no FROM graph_edges", GRAPH_SQL))
 def _(led):
     """A second pass that names the same nodes by other ids and repeats every second edge."""

@@ -13,9 +13,11 @@ GRAPH = f"target_company string, rating string, report_date string, agency strin
 
 
 def read_graphs(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each JSON file of a folder: graph_id (its name without .json) and the graph."""
-    rows = spark.read.schema(GRAPH).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(f"{folder.rstrip('/')}/*.json")
-    return rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("graph_id"), "*")
+    """One row for each JSON file of a folder and the folders in it: graph_id and the graph. The id is the name of the file
+    without .json, or what follows ``graph_id=`` in the name of its folder."""
+    reader = spark.read.schema(GRAPH).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True)
+    named = F.nullif(F.regexp_extract(F.col("_metadata.file_path"), "/graph_id=([^/]+)/[^/]*$", 1), F.lit(""))
+    return reader.json(folder).select(F.coalesce(named, F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")).alias("graph_id"), "*")
 
 
 def validate_graphs(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
