@@ -49,4 +49,36 @@ cuts AS (SELECT kept.lang, kept.phrase, kept.f AS a, cut, x.f AS l, y.f AS r, n,
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM best QUALIFY rank <= 2000"""
 
-ORACLES = {"op1_ngram_join": NGRAM_JOIN, "op8_warc_audit": WARC_AUDIT, "op9_chat_format": CHAT_FORMAT, "op10_topk": TOP_K, "op12_collocations": COLLOCATIONS}
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE CAST(octet_length(encode(CAST({value} AS VARCHAR))) AS VARCHAR) || ':' || CAST({value} AS VARCHAR) END"
+
+
+def _crc32_is_even(value: str) -> str:
+    """CRC-32 has the last bit of all ones at its end: bit by bit over the bytes of a short ASCII text."""
+    step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    return f"list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({value}, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: {_eight(step)}) % 2 = 1"
+
+
+def _eight(step: str) -> str:
+    """``step`` done eight times to the CRC with a byte in it."""
+    return f"list_reduce(list_prepend(xor(c, x), range(8)), lambda c, i: {step})"
+
+
+LEAF = "sha256(" + " || ".join(_field(v) for v in ("doc_id", "source", "lang", "n_chars"))
+MERKLE_MANIFEST = f"""
+WITH RECURSIVE leaves AS (SELECT doc_id, source, {LEAF} || {_field("text")}) AS leaf, {LEAF} || {_field("replace(text, chr(10), '')")}) AS cut, {_crc32_is_even("CAST(doc_id AS VARCHAR)")} AS hit FROM documents),
+placed AS (SELECT *, coalesce('=' || source, '') AS grp, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+own AS (SELECT grp, 0 AS lvl, pos, leaf AS h, n FROM placed UNION ALL SELECT grp, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM own WHERE n > 1 GROUP BY grp, lvl, pos // 3, n),
+tops AS (SELECT grp, h AS subroot, row_number() OVER (ORDER BY encode(grp)) - 1 AS pos, count(*) OVER () AS n FROM own WHERE n = 1),
+upper_nodes AS (SELECT 0 AS lvl, pos, subroot AS h, n FROM tops UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM upper_nodes WHERE n > 1 GROUP BY lvl, pos // 3, n),
+runs AS (SELECT grp, lvl, pos, h, n FROM own WHERE n > 1 UNION ALL SELECT NULL, lvl, pos, h, n FROM upper_nodes WHERE n > 1),
+beside AS (SELECT a.grp, a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r FROM runs a JOIN runs b ON a.grp IS NOT DISTINCT FROM b.grp AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 GROUP BY 1, 2, 3),
+steps AS (SELECT doc_id, b.lvl AS step, l, r FROM placed p JOIN beside b ON b.grp = p.grp AND b.pos = p.pos // CAST(pow(3, b.lvl) AS BIGINT)
+  UNION ALL SELECT doc_id, 1000 + b.lvl, l, r FROM placed p JOIN tops t USING (grp) JOIN beside b ON b.grp IS NULL AND b.pos = t.pos // CAST(pow(3, b.lvl) AS BIGINT)),
+path AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY step) AS k FROM steps),
+fold AS (SELECT doc_id, 0 AS k, CASE WHEN hit THEN cut ELSE leaf END AS h FROM leaves UNION ALL SELECT f.doc_id, f.k + 1, sha256(l || h || r) FROM fold f JOIN path p ON p.doc_id = f.doc_id AND p.k = f.k + 1),
+folded AS (SELECT doc_id, max_by(h, k) AS folded_root FROM fold GROUP BY 1),
+proofs AS (SELECT doc_id, sha256(string_agg(l || r, '' ORDER BY k)) AS proof_sha256 FROM path GROUP BY 1), root AS (SELECT h AS root FROM upper_nodes WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified FROM placed JOIN tops USING (grp) JOIN folded USING (doc_id) LEFT JOIN proofs USING (doc_id), root"""
+
+ORACLES = {"op1_ngram_join": NGRAM_JOIN, "op8_warc_audit": WARC_AUDIT, "op9_chat_format": CHAT_FORMAT, "op10_topk": TOP_K, "op12_collocations": COLLOCATIONS, "op13_merkle_manifest": MERKLE_MANIFEST}
