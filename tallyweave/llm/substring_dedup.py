@@ -135,9 +135,9 @@ def _maps(shingles: np.ndarray, paragraph: np.ndarray, many: int) -> np.ndarray:
 
 class Paragraphs:
     """The paragraphs of texts, given as word hashes of all, words of each, and lines of UNIT words or more (text, first
-    word, words): which text they are of, where they start, how many words they have, two hashes of their words, the size
-    and a bitmap of their sets of ``width``-word shingles, and for each band a key from ``rows`` MinHash values of
-    the set and whether the paragraph is listed under it."""
+    word, words): which text they are of, where they start, how many words they have, two hashes of their words, and for
+    each band a key from ``rows`` MinHash values of its set of ``width``-word shingles and whether the paragraph is
+    listed under it."""
 
     def __init__(self, bands: int, rows: int, width: int):
         self.bands, self.rows, self.width = bands, rows, width
@@ -155,16 +155,10 @@ class Paragraphs:
         s = shingle_hashes(words, self.width)
         near = s[np.arange(UNIT - self.width + 1)[:, None] + starts]
         low = [(near * f).min(0) for f in self.factors]
-        n, maps = _set_sizes(near), _maps(near, np.arange(len(starts)), len(starts))
         if len(whole):
             many = whole[:, 2] - self.width + 1
             first = np.cumsum(many) - many
-            line = np.repeat(np.arange(len(many)), many)
-            own = s[np.arange(len(line)) + np.repeat(firsts[len(starts) :] - first, many)]
-            ordered = own[np.lexsort((own, line))]
-            new = np.append(True, (ordered[1:] != ordered[:-1]) | (line[1:] != line[:-1]))
-            n = np.concatenate((n, np.add.reduceat(new, first, dtype=np.int64)))
-            maps = np.concatenate((maps, _maps(own, line, len(many))))
+            own = s[np.arange(many.sum()) + np.repeat(firsts[len(starts) :] - first, many)]
             low = [np.concatenate((x, np.minimum.reduceat(own * f, first))) for x, f in zip(low, self.factors, strict=True)]
         keys, listed = [], []
         order = np.argsort(text, kind="stable")
@@ -177,7 +171,7 @@ class Paragraphs:
             # texts don't overlap, so a shift is always one of the same text
             listed.append(((sizes > UNIT) | _first_of_neighbours(key, firsts))[order])
         short_f2 = (f2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        return (*(x[order] for x in (text, firsts - first_of_text[text], sizes, f1, short_f2, n, maps)), keys, listed)
+        return (*(x[order] for x in (text, firsts - first_of_text[text], sizes, f1, short_f2)), keys, listed)
 
 
 #: Words of texts that are described in one go; a longer text goes alone.
@@ -185,24 +179,22 @@ AT_ONCE = 100_000
 
 
 def _described(bands: int, rows: int, width: int):
-    names = ["doc_id", "text_id", "start", "size", "f1", "f2", "n", "bitmap", *(f"b{k}" for k in range(bands))]
+    names = ["doc_id", "text_id", "start", "size", "f1", "f2", *(f"b{k}" for k in range(bands))]
     paragraphs = Paragraphs(bands, rows, width)
 
     def record(held: list[tuple]) -> pa.RecordBatch:
         docs, texts, words, whole = zip(*held, strict=True)
         counts = np.array([len(x) for x in words])
         whole = np.array([(k, a, n) for k, own in enumerate(whole) for a, n in own], np.int64).reshape(-1, 3)
-        text, start, size, f1, f2, n, maps, keys, listed = paragraphs.of(np.concatenate(words), counts, whole)
+        text, start, size, f1, f2, keys, listed = paragraphs.of(np.concatenate(words), counts, whole)
         ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(docs))))), pa.int32())
 
         def lists(values: np.ndarray, kind: pa.DataType, valid: np.ndarray | None = None) -> pa.Array:
             flat = values.view(np.int64) if values.dtype == np.uint64 else values.astype(kind.to_pandas_dtype())
             return pa.ListArray.from_arrays(ends, pa.array(flat, kind, mask=None if valid is None else ~valid))
 
-        columns = [lists(x, pa.int32()) for x in (start, size)] + [lists(f1, pa.int64()), lists(f2, pa.int32()), lists(n, pa.int32())]
-        each = pa.py_buffer(np.arange(0, maps.size + 1, BITMAP // 8, dtype=np.int32))
-        bitmaps = pa.Array.from_buffers(pa.binary(), len(maps), [None, each, pa.py_buffer(np.ascontiguousarray(maps))])
-        columns += [pa.ListArray.from_arrays(ends, bitmaps)] + [lists(k, pa.int64(), v) for k, v in zip(keys, listed, strict=True)]
+        columns = [lists(x, pa.int32()) for x in (start, size)] + [lists(f1, pa.int64()), lists(f2, pa.int32())]
+        columns += [lists(k, pa.int64(), v) for k, v in zip(keys, listed, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(texts, pa.int64()), *columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +219,32 @@ def _described(bands: int, rows: int, width: int):
     return tidy(run)
 
 
+def _summaries(width: int):
+    """Size and bitmap of the shingle sets of the paragraphs asked for (start, size, f1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 250):
+                part, rows = batch.slice(at, 250), ([], [], [])
+                for text, own_id, asked in zip(as_bytes(part.column("text")), part.column("text_id").to_pylist(), part.column("asked").to_pylist(), strict=True):
+                    if _text_id(text) != own_id:  # another row of this doc_id
+                        continue
+                    s = shingle_hashes(words.of(text.lower().split()), width)
+                    by_size: dict[int, list[dict]] = {}
+                    for a in asked:
+                        by_size.setdefault(a["size"], []).append(a)
+                    for size, own in by_size.items():
+                        sets = s[np.arange(size - width + 1)[:, None] + np.array([a["start"] for a in own])]
+                        rows[0].extend(a["f1"] for a in own)
+                        rows[1].extend(_set_sizes(sets).tolist())
+                        rows[2].extend(m.tobytes() for m in _maps(sets, np.arange(len(own)), len(own)))
+                if rows[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc", "n", "bitmap"])
+
+    return tidy(run)
+
+
 def _sets(width: int):
     """The shingle sets of the paragraphs asked for (start, size, f1)."""
 
@@ -308,29 +326,34 @@ def repeated_passages(documents: DataFrame, width: int = 5, num: int = 80, den:
     bands, rows = tune_bands(num / den, recall, hashes)
     keys = [f"b{k}" for k in range(bands)]
     docs = plain(documents, "doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, text_id long, start array<int>, size array<int>, f1 array<long>, f2 array<int>, n array<int>, bitmap array<binary>, " + ", ".join(f"{k} array<long>" for k in keys)
+    schema = "doc_id long, text_id long, start array<int>, size array<int>, f1 array<long>, f2 array<int>, " + ", ".join(f"{k} array<long>" for k in keys)
     found = materialize(docs.mapInArrow(_described(bands, rows, width), schema), "paragraphs")
     entries = found.select(F.explode(F.arrays_zip("f1", *keys)).alias("u")).select("u.f1", F.explode(F.array(*[f"u.{k}" for k in keys])).alias("token")).filter("token IS NOT NULL")
     shared = entries.groupBy("token").count().filter("count > 1").select("token")
     lists = materialize(entries.join(shared, "token").select("token", F.col("f1").alias("doc")).distinct(), "lists")
     # equal paragraphs are one class, at its first place; a class of many places is combined before the shuffle
-    units = found.select("doc_id", "text_id", F.explode(F.arrays_zip("start", "size", "f1", "f2", "n", "bitmap")).alias("u")).select("doc_id", "text_id", "u.*")
-    classes = units.groupBy("f1", "f2").agg(F.min(_place()).alias("first"), (F.min(_place()) < F.max(_place())).alias("again"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
+    units = found.select("doc_id", "text_id", F.explode(F.arrays_zip("start", "size", "f1", "f2")).alias("u")).select("doc_id", "text_id", "u.*")
+    classes = units.groupBy("f1", "f2").agg(F.min(_place()).alias("first"), (F.min(_place()) < F.max(_place())).alias("again"))
     classes = materialize(classes, "classes")
     listed = lists.select(F.col("doc").alias("f1")).distinct()
-    described = classes.join(listed, "f1", "left_semi").groupBy("f1").agg(F.min(F.struct("first", "n", "bitmap")).alias("least"))
-    described = materialize(described.select(F.col("f1").alias("doc"), "least.n", "least.bitmap", "least.first"), "described")
+    spots = materialize(classes.join(listed, "f1", "left_semi").groupBy("f1").agg(F.min("first").alias("first")).withColumnRenamed("f1", "doc"), "spots")
     twice = not found.groupBy("doc_id", "text_id").count().filter("count > 1").isEmpty()
 
+    def read(ids: DataFrame, what, schema: str) -> DataFrame:
+        """What is made of the sets of paragraphs, in a second reading of their texts."""
+        ask = ids.select("first.doc_id", "first.text_id", F.struct("first.start", "first.size", F.col("doc").alias("f1")).alias("a"))
+        made = _asked(docs, ask).mapInArrow(what(width), schema)
+        return made.dropDuplicates(["doc"]) if twice else made
+
     def sets_of(ids: DataFrame) -> DataFrame:
-        ask = described.join(ids, "doc", "left_semi").select("first.doc_id", "first.text_id", F.struct("first.start", "first.size", F.col("doc").alias("f1")).alias("a"))
-        sets = _asked(docs, ask).mapInArrow(_sets(width), "doc long, tokens binary")
-        return sets.dropDuplicates(["doc"]) if twice else sets
+        return read(spots.join(ids, "doc", "left_semi"), _sets, "doc long, tokens binary")
+
+    described = materialize(read(spots, _summaries, "doc long, n int, bitmap binary"), "described")
 
     # first the lists of the first band, in which every paragraph is, then all others for what is not joined yet
     links = linked(lists, described.select("doc", "n", "bitmap"), sets_of, num, den, one_in=4)
     component = materialize(connected_components(links[0].unionByName(links[1])).select(F.col("node").alias("f1"), "component"), "component")
-    discard(lists, described, *links)
+    discard(lists, described, spots, *links)
     member = materialize(classes.select("f1", "f2", "first", "again").join(component, "f1", "left").filter("again OR component IS NOT NULL").withColumn("component", F.coalesce("component", "f1")), "member")
     discard(classes, component)
     kept = member.groupBy("component").agg(F.min("first").alias("kept"))
