@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import drop, written
+from ..storage import drop, written, written_with
 
 
 def _doubled(state: DataFrame) -> DataFrame:
@@ -21,52 +21,57 @@ def _doubled(state: DataFrame) -> DataFrame:
 def follow(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Links (id, into), one of each id at most, to (id, at, steps): the end that each id leads to and how far away it is.
 
-    Ids that lead into a cycle have no end; the second table holds the links of these, or is None if there are none.
+    Ids that lead into a cycle have no end; the second table (id, into, at, steps) is of these, with where they are after
+    so many steps, or None if there are none.
     """
     heads = links.select(F.col("id").alias("into"), F.lit(True).alias("hit"))
     state = links.join(heads, "into", "left").select("id", F.col("into").alias("at"), F.lit(1).cast("long").alias("steps"), F.coalesce("hit", F.lit(False)).alias("open"))
-    state, before = written(_doubled(_doubled(state)), "follow"), None
-    while (left := state.filter("open").count()) not in (0, before):  # all shorter ways ended in the round before
-        last, before, state = state, left, written(_doubled(_doubled(state)), "follow")
-        drop(last)
-    return state.filter("NOT open").select("id", "at", "steps"), links.join(state.filter("open").select("id"), "id", "left_semi") if left else None
+    before = None
+    while True:  # all ways that end in fewer steps than those of the round before have ended in it
+        last = state
+        state, counts = written_with(_doubled(_doubled(state)), "follow", open=F.count_if("open"))
+        if before is not None:
+            drop(last)
+        if counts["open"] in (0, before):
+            break
+        before = counts["open"]
+    ended = state.filter("NOT open").select("id", "at", "steps")
+    return ended, links.join(state.filter("open").drop("open"), "id") if counts["open"] else None
 
 
-def cycles(links: DataFrame) -> DataFrame:
-    """Links (id, into) all of which lead into cycles, to (id, at, steps): where a walk that stops at the first node it
-    meets again stops, and after how many steps. A node of a cycle comes back to itself."""
+def cycles(endless: DataFrame) -> DataFrame:
+    """Ids that lead into cycles (id, into, at, steps: see ``follow``) to (id, at, steps): where a walk that stops at the
+    first node it meets again stops, and after how many steps. A node of a cycle comes back to itself."""
     # the images of ever longer jumps shrink to the cycles, and then no more
-    jump = written(links.select("id", F.col("into").alias("at")), "jump")
-    size = None
-    while (now := jump.select("at").distinct().count()) != size:
-        size, last = now, jump
-        ahead = last.select(F.col("id").alias("at"), F.col("at").alias("_at"))
-        jump = written(last.join(ahead, "at").select("id", F.col("_at").alias("at")), "jump")
+    jump = written(endless.select("id", "at"), "jump")
+    while True:
+        ahead = jump.select(F.col("id").alias("at"), F.col("at").alias("on"))
+        sizes = jump.join(ahead, "at").agg(F.count_distinct("at"), F.count_distinct("on")).first()
+        if sizes[0] == sizes[1]:
+            break
+        last, jump = jump, written(jump.join(ahead, "at").select("id", F.col("on").alias("at")), "jump")
         drop(last)
-    on = written(jump.select(F.col("at").alias("id")).distinct(), "on-cycle")
-    drop(jump)
+    on = jump.select(F.col("at").alias("id")).distinct()
     # the smallest id of a cycle is its name; a round that changes no name is the last
-    name = written(links.join(on, "id").select("id", F.col("into").alias("at"), F.col("id").alias("name")), "cycle-name")
-    changed = True
+    name, changed = endless.join(on, "id").select("id", F.col("into").alias("at"), F.col("id").alias("name")), 1
     while changed:
         last, ahead = name, name.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("name").alias("_name"))
-        name = written(last.join(ahead, "at").select("id", F.col("_at").alias("at"), F.least("name", "_name").alias("name"), (F.col("_name") < F.col("name")).alias("new")), "cycle-name")
-        changed = name.filter("new").limit(1).count() > 0
-        drop(last)
-        name_place, name = name.place, name.drop("new")
-        name.place = name_place
+        name, counts = written_with(last.join(ahead, "at").select("id", F.col("_at").alias("at"), F.least("name", "_name").alias("name"), (F.col("_name") < F.col("name")).alias("new")), "cycle-name", new=F.count_if("new"))
+        if hasattr(last, "place"):
+            drop(last)
+        changed = counts["new"]
     length = name.groupBy("name").agg(F.count("*").alias("length"))
-    round_trip = written(name.join(length, "name").select("id", F.col("id").alias("at"), F.col("length").alias("steps")), "round-trips")
-    tails, _ = follow(links.join(on, "id", "left_anti"))
+    round_trip = name.join(length, "name").select("id", F.col("id").alias("at"), F.col("length").alias("steps"))
+    tails, _ = follow(endless.select("id", "into").join(on, "id", "left_anti"))
     into = tails.join(round_trip.select(F.col("id").alias("at"), F.col("steps").alias("more")), "at").select("id", "at", (F.col("steps") + F.col("more")).alias("steps"))
     return round_trip.unionByName(into)
 
 
 def _split(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Distinct links (id, into): those of ids with one, and those of ids with several, or None."""
-    fan = written(links.distinct().join(links.distinct().groupBy("id").agg(F.count("*").alias("n")), "id"), "links")
-    several = fan.filter("n > 1").drop("n")
-    return fan.filter("n = 1").drop("n"), several if several.limit(1).count() else None
+    each = links.groupBy("id", "into").agg(F.lit(1).alias("one"))
+    fan, counts = written_with(each.join(each.groupBy("id").agg(F.count("*").alias("n")), "id").select("id", "into", "n"), "links", several=F.count_if(F.col("n") > 1))
+    return fan.filter("n = 1").drop("n"), fan.filter("n > 1").drop("n") if counts["several"] else None
 
 
 def ends_of(links: DataFrame) -> DataFrame:
@@ -84,7 +89,8 @@ def ends_of(links: DataFrame) -> DataFrame:
     if several is None:
         return known
     known = written(known, "known")
-    forks = written(several.select("id").distinct(), "forks")
+    forks = several.select("id").distinct()
+    total = forks.count()
     way = known.select(F.col("id").alias("into"), "at", "steps", "cyc")
     mark = lambda c: forks.select(F.col("id").alias(c), F.lit(True).alias("fork"))
     arcs = several.join(way, "into", "left").select("id", F.coalesce("at", "into").alias("at"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"), F.coalesce("cyc", F.lit(False)).alias("cyc"))
@@ -98,11 +104,12 @@ def ends_of(links: DataFrame) -> DataFrame:
             after = solved.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("cyc").alias("_cyc"), F.lit(True).alias("fork"))
             rows = arcs.join(after, ["at", "fork"], "left").select("id", F.coalesce("_at", "at").alias("at"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.coalesce("_cyc", "cyc").alias("cyc"), (F.col("fork") & F.col("_at").isNull()).alias("open"))
         done = rows.groupBy("id").agg(best, F.max("open").alias("open")).filter("NOT open").select("id", F.col("b.at").alias("at"), (-F.col("b.minus")).alias("steps"), F.col("b.cyc").alias("cyc"))
-        last, solved = solved, written(done, "solved")
+        before, last = count, solved
+        solved, counts = written_with(done, "solved", n=F.count(F.lit(1)))
         if last is not None:
             drop(last)
-        last, count = count, solved.count()
-        if count == last:
+        count = counts["n"]
+        if count in (before, total):
             break
     # ids whose way leads to a fork take its end
     through = known.join(mark("at"), "at", "left")
@@ -110,7 +117,7 @@ def ends_of(links: DataFrame) -> DataFrame:
     after = solved.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("cyc").alias("_cyc"))
     led = through.filter("fork").drop("cyc", "fork").join(after, "at").select("id", F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_cyc").alias("cyc"))
     found = plain.unionByName(led).unionByName(solved)
-    if count == forks.count():
+    if count == total:
         return found
     found = written(found, "found")
     walked = _walks(single.unionByName(several).join(found.select("id"), "id", "left_anti"), found)

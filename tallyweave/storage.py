@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def written_with(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """The same, and what is counted of its rows while they are written."""
+    seen = Observation()
+    out = written(df.observe(seen, *[c.alias(n) for n, c in counts.items()]), name)
+    return out, {n: seen.get.get(n) or 0 for n in counts}
+
+
 def delete(spark: SparkSession, *places: str) -> None:
     for place in places:
         path = spark._jvm.org.apache.hadoop.fs.Path(place)
