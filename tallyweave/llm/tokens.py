@@ -39,7 +39,7 @@ class PieceEncoder(dict):
     tokens in a text are ordinary text. Where the vocabulary folds case and drops white space, so do the pieces.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__()
