@@ -331,12 +331,16 @@ def repeated_passages(documents: DataFrame, width: int = 5, num: int = 80, den:
     entries = found.select(F.explode(F.arrays_zip("f1", *keys)).alias("u")).select("u.f1", F.explode(F.array(*[f"u.{k}" for k in keys])).alias("token")).filter("token IS NOT NULL")
     shared = entries.groupBy("token").count().filter("count > 1").select("token")
     lists = materialize(entries.join(shared, "token").select("token", F.col("f1").alias("doc")).distinct(), "lists")
+    # what stays on disk from here on goes without keys, and without paragraphs that are alike to no other
+    listed = lists.select(F.col("doc").alias("f1")).distinct().withColumn("listed", F.lit(True))
+    described = found
+    found = materialize(described.drop(*keys), "places")
+    discard(described)
     # equal paragraphs are one class, at its first place; a class of many places is combined before the shuffle
     units = found.select("doc_id", "text_id", F.explode(F.arrays_zip("start", "size", "f1", "f2")).alias("u")).select("doc_id", "text_id", "u.*")
     classes = units.groupBy("f1", "f2").agg(F.min(_place()).alias("first"), (F.min(_place()) < F.max(_place())).alias("again"))
-    classes = materialize(classes, "classes")
-    listed = lists.select(F.col("doc").alias("f1")).distinct()
-    spots = materialize(classes.join(listed, "f1", "left_semi").groupBy("f1").agg(F.min("first").alias("first")).withColumnRenamed("f1", "doc"), "spots")
+    classes = materialize(classes.join(listed, "f1", "left").filter("again OR listed"), "classes")
+    spots = materialize(classes.filter("listed").groupBy("f1").agg(F.min("first").alias("first")).withColumnRenamed("f1", "doc"), "spots")
     twice = not found.groupBy("doc_id", "text_id").count().filter("count > 1").isEmpty()
 
     def read(ids: DataFrame, what, schema: str) -> DataFrame:
@@ -352,8 +356,9 @@ def repeated_passages(documents: DataFrame, width: int = 5, num: int = 80, den:
 
     # first the lists of the first band, in which every paragraph is, then all others for what is not joined yet
     links = linked(lists, described.select("doc", "n", "bitmap"), sets_of, num, den, one_in=4)
+    discard(lists, described, spots)
     component = materialize(connected_components(links[0].unionByName(links[1])).select(F.col("node").alias("f1"), "component"), "component")
-    discard(lists, described, spots, *links)
+    discard(*links)
     member = materialize(classes.select("f1", "f2", "first", "again").join(component, "f1", "left").filter("again OR component IS NOT NULL").withColumn("component", F.coalesce("component", "f1")), "member")
     discard(classes, component)
     kept = member.groupBy("component").agg(F.min("first").alias("kept"))
