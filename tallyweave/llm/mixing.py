@@ -124,7 +124,9 @@ def spread_budgets(supply: DataFrame, names: list[str], weights: dict[tuple[str,
         own = spark.createDataFrame(given, ", ".join(f"{n} string" for n in [*parent, name]) + ", weight double")
         nodes = nodes.join(own, [*parent, name], "left").fillna(1.0, ["weight"])
         nodes = nodes.withColumn("budget", F.lit(amount).cast("long")) if above is None else nodes.join(above, parent)
-        above = level_shares(nodes, parent, name).select(*parent, name, F.col("share").alias("budget"))
+        nodes = materialize(nodes, "nodes")  # read twice, and plans stay small
+        last, above = above, materialize(level_shares(nodes, parent, name).select(*parent, name, F.col("share").alias("budget")), "shares")
+        discard(nodes, *([] if last is None else [last]))
     return supply.join(above, names)
 
 
