@@ -329,7 +329,8 @@ def repeated_passages(documents: DataFrame, width: int = 5, num: int = 80, den:
     schema = "doc_id long, text_id long, start array<int>, size array<int>, f1 array<long>, f2 array<int>, " + ", ".join(f"{k} array<long>" for k in keys)
     found = materialize(docs.mapInArrow(_described(bands, rows, width), schema), "paragraphs")
     entries = found.select(F.explode(F.arrays_zip("f1", *keys)).alias("u")).select("u.f1", F.explode(F.array(*[f"u.{k}" for k in keys])).alias("token")).filter("token IS NOT NULL")
-    shared = entries.groupBy("token").count().filter("count > 1").select("token")
+    # lists of one paragraph and its copies have no pair to compare
+    shared = entries.groupBy("token").agg(F.min("f1").alias("least"), F.max("f1").alias("most")).filter("least < most").select("token")
     lists = materialize(entries.join(shared, "token").select("token", F.col("f1").alias("doc")).distinct(), "lists")
     # what stays on disk from here on goes without keys, and without paragraphs that are alike to no other
     listed = lists.select(F.col("doc").alias("f1")).distinct().withColumn("listed", F.lit(True))
