@@ -32,6 +32,8 @@ LEAST = 26
 #: Words on either side of a stretch that it can grow by, and words in a row that must be the same for it to go on after
 #: an exchanged one.
 LOOK, BRIDGE = 64, 5
+#: A class of paragraphs with more than this part of all repeated places is sought by a broadcast.
+HOT = 1024
 #: Words whose hash decides where a paragraph starts.
 CHOOSER = 4
 WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
@@ -339,7 +341,7 @@ def repeated_passages(documents: DataFrame, width: int = 5, num: int = 80, den:
     discard(described)
     # equal paragraphs are one class, at its first place; a class of many places is combined before the shuffle
     units = found.select("doc_id", "text_id", F.explode(F.arrays_zip("start", "size", "f1", "f2")).alias("u")).select("doc_id", "text_id", "u.*")
-    classes = units.groupBy("f1", "f2").agg(F.min(_place()).alias("first"), (F.min(_place()) < F.max(_place())).alias("again"))
+    classes = units.groupBy("f1", "f2").agg(F.min(_place()).alias("first"), (F.min(_place()) < F.max(_place())).alias("again"), F.count("*").alias("places"))
     classes = materialize(classes.join(listed, "f1", "left").filter("again OR listed"), "classes")
     spots = materialize(classes.filter("listed").groupBy("f1").agg(F.min("first").alias("first")).withColumnRenamed("f1", "doc"), "spots")
     twice = not found.groupBy("doc_id", "text_id").count().filter("count > 1").isEmpty()
@@ -360,11 +362,15 @@ def repeated_passages(documents: DataFrame, width: int = 5, num: int = 80, den:
     discard(lists, described, spots)
     component = materialize(connected_components(links[0].unionByName(links[1])).select(F.col("node").alias("f1"), "component"), "component")
     discard(*links)
-    member = materialize(classes.select("f1", "f2", "first", "again").join(component, "f1", "left").filter("again OR component IS NOT NULL").withColumn("component", F.coalesce("component", "f1")), "member")
+    member = materialize(classes.select("f1", "f2", "first", "again", "places").join(component, "f1", "left").filter("again OR component IS NOT NULL").withColumn("component", F.coalesce("component", "f1")), "member")
     discard(classes, component)
     kept = member.groupBy("component").agg(F.min("first").alias("kept"))
-    chosen = member.join(kept, "component").select("f1", "f2", "component", "first", "kept")
-    at = units.join(chosen, ["f1", "f2"]).select(_place().alias("place"), "component", "first", "kept").distinct()
+    chosen = materialize(member.join(kept, "component").select("f1", "f2", "component", "first", "kept", "places"), "chosen")
+    # classes with more than one in HOT of all places: fewer than HOT, so they are broadcast; no other has many places
+    hot = chosen.filter(F.col("places") * HOT > (chosen.agg(F.sum("places")).first()[0] or 0))
+    often = units.join(F.broadcast(hot), ["f1", "f2"])
+    seldom = units.join(F.broadcast(hot.select("f1", "f2")), ["f1", "f2"], "left_anti").join(chosen.join(hot, ["f1", "f2"], "left_anti"), ["f1", "f2"])
+    at = often.unionByName(seldom).select(_place().alias("place"), "component", "first", "kept").distinct()
     same_text = (F.col("place.doc_id") == F.col("kept.doc_id")) & (F.col("place.text_id") == F.col("kept.text_id"))
     apart = (F.col("place.start") >= F.col("kept.start") + F.col("kept.size")) | (F.col("kept.start") >= F.col("place.start") + F.col("place.size"))
     removed = F.when(F.col("place") == F.col("kept"), False).when(~same_text | apart, True)
@@ -375,7 +381,7 @@ def repeated_passages(documents: DataFrame, width: int = 5, num: int = 80, den:
     at = at.withColumn("new", F.coalesce(F.col("start") > F.max("end").over(text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")).withColumn("stretch", F.sum("new").over(text))
     spans = at.groupBy("doc_id", "text_id", "removed", "stretch").agg(F.min("start").alias("first"), F.max("end").alias("end"), F.min_by("component", "start").alias("component"), F.min_by("like", "start").alias("left"), F.max_by("like", "end").alias("right"))
     spans = materialize(spans.drop("stretch"), "spans")
-    discard(found, member)
+    discard(found, member, chosen)
     # the words around both places of a stretch's ends
     gone = spans.filter("removed")
     sides = [gone.select("doc_id", "text_id", "first", F.lit(False).alias("after"), F.col("first").alias("place"), "left.doc_id", "left.text_id", "left.start"), gone.select("doc_id", "text_id", "first", F.lit(True).alias("after"), F.col("end").alias("place"), "right.doc_id", "right.text_id", F.col("right.start") + F.col("right.size"))]
