@@ -332,8 +332,9 @@ def repeated_passages(documents: DataFrame, width: int = 5, num: int = 80, den:
     found = materialize(docs.mapInArrow(_described(bands, rows, width), schema), "paragraphs")
     entries = found.select(F.explode(F.arrays_zip("f1", *keys)).alias("u")).select("u.f1", F.explode(F.array(*[f"u.{k}" for k in keys])).alias("token")).filter("token IS NOT NULL")
     # lists of one paragraph and its copies have no pair to compare
-    shared = entries.groupBy("token").agg(F.min("f1").alias("least"), F.max("f1").alias("most")).filter("least < most").select("token")
+    shared = materialize(entries.groupBy("token").agg(F.min("f1").alias("least"), F.max("f1").alias("most")).filter("least < most").select("token"), "shared")
     lists = materialize(entries.join(shared, "token").select("token", F.col("f1").alias("doc")).distinct(), "lists")
+    discard(shared)
     # what stays on disk from here on goes without keys, and without paragraphs that are alike to no other
     listed = lists.select(F.col("doc").alias("f1")).distinct().withColumn("listed", F.lit(True))
     described = found
@@ -387,7 +388,7 @@ def repeated_passages(documents: DataFrame, width: int = 5, num: int = 80, den:
     sides = [gone.select("doc_id", "text_id", "first", F.lit(False).alias("after"), F.col("first").alias("place"), "left.doc_id", "left.text_id", "left.start"), gone.select("doc_id", "text_id", "first", F.lit(True).alias("after"), F.col("end").alias("place"), "right.doc_id", "right.text_id", F.col("right.start") + F.col("right.size"))]
     sides = materialize(sides[0].union(sides[1]).toDF("doc_id", "text_id", "first", "after", "place", "like_doc", "like_text", "like_place"), "sides")
     ask = sides.select("doc_id", "text_id", "place", "after").union(sides.select("like_doc", "like_text", "like_place", "after")).distinct()
-    around = materialize(_asked(docs, ask.select("doc_id", "text_id", F.struct("place", "after").alias("a"))).mapInArrow(_around, "doc_id long, text_id long, place int, after boolean, words binary"), "around")
+    around = read_words = materialize(_asked(docs, ask.select("doc_id", "text_id", F.struct("place", "after").alias("a"))).mapInArrow(_around, "doc_id long, text_id long, place int, after boolean, words binary"), "around")
     if twice:  # rows of one doc_id and text
         around = around.dropDuplicates(["doc_id", "text_id", "place", "after"])
     there = around.toDF("like_doc", "like_text", "like_place", "after", "y")
@@ -397,7 +398,7 @@ def repeated_passages(documents: DataFrame, width: int = 5, num: int = 80, den:
     before, behind = F.coalesce("before", F.lit(0)), F.coalesce("behind", F.lit(0))
     out = spans.join(more, ["doc_id", "text_id", "first", "removed"], "left").select("doc_id", "text_id", (F.col("first") - before).alias("first_word"), (F.col("end") - F.col("first") + before + behind).alias("n_words"), "component", F.col("left.doc_id").alias("kept_doc_id"), (F.col("left.start") - before).alias("kept_first_word"), "removed")
     out = materialize(out, "passages")
-    discard(spans, sides)
+    discard(spans, sides, read_words)
     gone = out.filter(F.col("removed") & (F.col("n_words") >= LEAST))
     stays = out.filter("NOT removed").join(gone.select(F.col("kept_doc_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     return gone.unionByName(stays)
