@@ -85,7 +85,10 @@ def immutability_violations(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of either that the other has fewer times, with the side."""
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    both = a.select("*", F.lit(1).alias("_n")).union(b.select("*", F.lit(-1).alias("_n")))
+    apart = both.groupBy(*[F.col(f"`{c}`") for c in a.columns]).agg(F.sum("_n").alias("_n")).filter("_n != 0")
+    side = F.when(F.col("_n") > 0, "left").otherwise("right")
+    return apart.select(*[F.col(f"`{c}`") for c in a.columns], F.explode(F.array_repeat(side, F.abs("_n").cast("int"))).alias("side"))
 
 
 def import_parity(nodes: DataFrame, edges: DataFrame, entities_of: DataFrame, claims: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, once: bool = False):
-    """Register a function of a Ledger, with its oracle; ``once`` if it reads documents and claims many times."""
+def query(name: str, sql: str | None = None, once: bool = True):
+    """Register a function of a Ledger, with its oracle; not ``once`` if it asks for one company only, whose sales are few."""
 
     def add(f):
         QUERIES[name] = lambda spark, folder: f(Ledger(spark, folder, once))
@@ -64,7 +64,7 @@ def _(led):
     return facts.retained_claims(led.claims).select("claim_id", "verification_tier")
 
 
-@query("F2_claims_for_company", with_ledger("SELECT claim_id, doc_id, published_date FROM claims JOIN led_documents USING (doc_id) WHERE claims.company_id = 7"))
+@query("F2_claims_for_company", with_ledger("SELECT claim_id, doc_id, published_date FROM claims JOIN led_documents USING (doc_id) WHERE claims.company_id = 7"), once=False)
 def _(led):
     return facts.claims_for_company(led.claims, led.documents, 7).select("claim_id", "doc_id", "published_date")
 
@@ -487,12 +487,12 @@ def _(led):
     return _relationships(led).select("claim_id", "side", "entity_id", "counterparty_id", "entity_label", "counterparty_label", "entity_type", "counterparty_type")
 
 
-@query("C2_corpus_entities", with_ledger("SELECT entity_id, label, report_count, round(specificity, 6) AS specificity FROM scored", *CORPUS), once=True)
+@query("C2_corpus_entities", with_ledger("SELECT entity_id, label, report_count, round(specificity, 6) AS specificity FROM scored", *CORPUS))
 def _(led):
     return corpus.corpus_entities(_relationships(led), led.entities).withColumn("specificity", F.round("specificity", 6))
 
 
-@query("C3_relationship_specificity", with_ledger("SELECT claim_id, side, round(a.specificity, 6) AS entity_specificity, round(b.specificity, 6) AS counterparty_specificity FROM rel LEFT JOIN scored a ON a.entity_id = rel.entity_id LEFT JOIN scored b ON b.entity_id = rel.counterparty_id", *CORPUS), once=True)
+@query("C3_relationship_specificity", with_ledger("SELECT claim_id, side, round(a.specificity, 6) AS entity_specificity, round(b.specificity, 6) AS counterparty_specificity FROM rel LEFT JOIN scored a ON a.entity_id = rel.entity_id LEFT JOIN scored b ON b.entity_id = rel.counterparty_id", *CORPUS))
 def _(led):
     rel = _relationships(led)
     rows = corpus.relationship_specificity(rel, corpus.corpus_entities(rel, led.entities))
@@ -503,38 +503,38 @@ LOOKUP = f"""lookup AS (SELECT key, resolved_id AS entity_id FROM (SELECT key, r
   SELECT {KEY.format('canonical_name')} AS key, entity_id, 1 AS rank FROM entities UNION ALL SELECT {KEY.format('raw_name')}, entity_id, 0 FROM aliases) JOIN resolved USING (entity_id)) WHERE n = 1)"""
 
 
-@query("C4_entity_profile", with_ledger(f"SELECT p.label, rel.claim_id, rel.side, counterparty_label FROM (SELECT c_name || ' Ltd' AS label, {KEY.format('c_name')} AS key FROM customer WHERE c_custkey < 40) p JOIN lookup USING (key) JOIN rel USING (entity_id)", *CORPUS, LOOKUP), once=True)
+@query("C4_entity_profile", with_ledger(f"SELECT p.label, rel.claim_id, rel.side, counterparty_label FROM (SELECT c_name || ' Ltd' AS label, {KEY.format('c_name')} AS key FROM customer WHERE c_custkey < 40) p JOIN lookup USING (key) JOIN rel USING (entity_id)", *CORPUS, LOOKUP))
 def _(led):
     labels = led.table("customer").filter("c_custkey < 40").select(F.concat("c_name", F.lit(" Ltd")).alias("label"))
     lookup = entities.name_lookup(led.entities, led.aliases, _resolved(led))
     return corpus.entity_profile(labels, lookup, _relationships(led)).select("label", "claim_id", "side", "counterparty_label")
 
 
-@query("C5_graph_entity_relationships", with_ledger("SELECT graph_id, edge_no, source AS node_id, target AS counterparty_id, target_label AS counterparty_label FROM ends UNION ALL SELECT graph_id, edge_no, target, source, source_label FROM ends WHERE source <> target", GRAPH_SQL), once=True)
+@query("C5_graph_entity_relationships", with_ledger("SELECT graph_id, edge_no, source AS node_id, target AS counterparty_id, target_label AS counterparty_label FROM ends UNION ALL SELECT graph_id, edge_no, target, source, source_label FROM ends WHERE source <> target", GRAPH_SQL))
 def _(led):
     return corpus.graph_entity_relationships(led.graph_nodes, led.graph_edges).select("graph_id", "edge_no", "node_id", "counterparty_id", "counterparty_label")
 
 
-@query("C6_other_report_relationships", with_ledger("SELECT claim_id, side FROM rel WHERE company <> 'Supplier#000000001'", *CORPUS), once=True)
+@query("C6_other_report_relationships", with_ledger("SELECT claim_id, side FROM rel WHERE company <> 'Supplier#000000001'", *CORPUS))
 def _(led):
     rows = _relationships(led)
     return corpus.other_report_relationships(rows, F.when(F.col("company") == "Supplier#000000001", F.col("company")).otherwise("-"), F.col("published_date"), F.col("agency")).select("claim_id", "side")
 
 
-@query("C7_session_relationships", with_ledger("SELECT company, published_date, entity_id, counterparty_id, quote, min(claim_id) AS claim_id FROM rel JOIN (SELECT claim_id, quote FROM claims) USING (claim_id) GROUP BY 1, 2, 3, 4, 5", *CORPUS), once=True)
+@query("C7_session_relationships", with_ledger("SELECT company, published_date, entity_id, counterparty_id, quote, min(claim_id) AS claim_id FROM rel JOIN (SELECT claim_id, quote FROM claims) USING (claim_id) GROUP BY 1, 2, 3, 4, 5", *CORPUS))
 def _(led):
     rel = _relationships(led)
     return corpus.session_relationships(rel, rel.filter("claim_id % 3 = 0")).select("company", "published_date", "entity_id", "counterparty_id", "quote", "claim_id")
 
 
-@query("C8_node_specificity", with_ledger(f"SELECT graph_id, node_id, round(coalesce(specificity, 0), 6) AS specificity FROM (SELECT *, {KEY.format('label')} AS key FROM graph_nodes) LEFT JOIN lookup USING (key) LEFT JOIN scored USING (entity_id)", *CORPUS, LOOKUP, GRAPH_SQL), once=True)
+@query("C8_node_specificity", with_ledger(f"SELECT graph_id, node_id, round(coalesce(specificity, 0), 6) AS specificity FROM (SELECT *, {KEY.format('label')} AS key FROM graph_nodes) LEFT JOIN lookup USING (key) LEFT JOIN scored USING (entity_id)", *CORPUS, LOOKUP, GRAPH_SQL))
 def _(led):
     lookup = entities.name_lookup(led.entities, led.aliases, _resolved(led))
     rows = corpus.node_specificity(led.graph_nodes, lookup, corpus.corpus_entities(_relationships(led), led.entities))
     return rows.withColumn("specificity", F.round("specificity", 6))
 
 
-@query("L7_rank_by_specificity", with_ledger("SELECT claim_id, side, place FROM (SELECT claim_id, side, row_number() OVER (PARTITION BY rel.entity_id ORDER BY b.report_count, published_date DESC, counterparty_label, relation_type, claim_id, side) AS place FROM rel JOIN scored b ON b.entity_id = counterparty_id)", *CORPUS), once=True)
+@query("L7_rank_by_specificity", with_ledger("SELECT claim_id, side, place FROM (SELECT claim_id, side, row_number() OVER (PARTITION BY rel.entity_id ORDER BY b.report_count, published_date DESC, counterparty_label, relation_type, claim_id, side) AS place FROM rel JOIN scored b ON b.entity_id = counterparty_id)", *CORPUS))
 def _(led):
     rel = _relationships(led)
     rows = corpus.rank_by_specificity(corpus.relationship_specificity(rel, corpus.corpus_entities(rel, led.entities)))
@@ -551,12 +551,12 @@ ghosts AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY ghost_lab
 cust AS (SELECT graph_id, CAST(sum(exposure_bp) AS BIGINT) AS exposure_bp, count(DISTINCT other) AS customers, bool_or(coalesce(risk_flag = 'high', false)) AS any_high FROM touch WHERE other_type = 'customer' AND exposure_bp IS NOT NULL GROUP BY 1)"""
 
 
-@query("D1_customer_concentration", with_ledger("SELECT * FROM cust", GRAPH_SQL, TOUCH), once=True)
+@query("D1_customer_concentration", with_ledger("SELECT * FROM cust", GRAPH_SQL, TOUCH))
 def _(led):
     return concentration.customer_concentration(led.graph_nodes, led.graph_edges)
 
 
-@query("D2_single_points_of_failure", with_ledger("SELECT graph_id, other AS counterparty_id, edge_no, CAST(score AS BIGINT) AS score, place FROM points", GRAPH_SQL, TOUCH), once=True)
+@query("D2_single_points_of_failure", with_ledger("SELECT graph_id, other AS counterparty_id, edge_no, CAST(score AS BIGINT) AS score, place FROM points", GRAPH_SQL, TOUCH))
 def _(led):
     rows = concentration.single_points_of_failure(led.graph_nodes, led.graph_edges)
     return rows.select("graph_id", "counterparty_id", "edge_no", F.col("score").cast("long").alias("score"), F.col("place").cast("long").alias("place"))
@@ -567,7 +567,7 @@ def _(led):
     return concentration.single_points_of_failure(led.graph_nodes, led.graph_edges).select("graph_id", "counterparty_id", "edge_no", "exposure_bp")
 
 
-@query("D3_watch_items", with_ledger("SELECT graph_id, 'risk ' || CAST(graph_id % 3 AS VARCHAR) AS text, CAST(NULL AS VARCHAR) AS node_id, 1 AS place FROM (SELECT DISTINCT graph_id FROM graph_nodes) UNION ALL SELECT graph_id, ghost_label, ghost, place + 1 FROM ghosts", GRAPH_SQL, TOUCH), once=True)
+@query("D3_watch_items", with_ledger("SELECT graph_id, 'risk ' || CAST(graph_id % 3 AS VARCHAR) AS text, CAST(NULL AS VARCHAR) AS node_id, 1 AS place FROM (SELECT DISTINCT graph_id FROM graph_nodes) UNION ALL SELECT graph_id, ghost_label, ghost, place + 1 FROM ghosts", GRAPH_SQL, TOUCH))
 def _(led):
     risks = led.graph_nodes.select("graph_id").distinct().select("graph_id", F.lit(0).alias("pos"), F.concat(F.lit("risk "), F.pmod("graph_id", F.lit(3)).cast("string")).alias("text"))
     return concentration.watch_items(led.graph_nodes, led.graph_edges, risks).select("graph_id", "text", "node_id", F.col("place").cast("long").alias("place"))
@@ -588,7 +588,7 @@ LEFT JOIN (SELECT graph_id, count(*) AS k FROM graph_edges GROUP BY 1) e USING (
 LEFT JOIN (SELECT doc_id AS graph_id, count(claim_id) FILTER (verification_tier = 'excluded') AS x FROM led_documents LEFT JOIN claims USING (doc_id) GROUP BY 1) q USING (graph_id)"""
 
 
-@query("D4_dependency_read", with_ledger(READ, GRAPH_SQL, TOUCH), once=True)
+@query("D4_dependency_read", with_ledger(READ, GRAPH_SQL, TOUCH))
 def _(led):
     excluded = facts.excluded_claim_count(led.claims, led.documents).withColumnRenamed("doc_id", "graph_id")
     rows = concentration.dependency_read(led.graph_nodes, led.graph_edges, excluded=excluded)
@@ -600,6 +600,6 @@ def _(led):
   WHEN k > 0 THEN 'Material revenue dependency across ' || CAST(k AS VARCHAR) || ' named' || CASE WHEN k = 1 THEN ' customer' ELSE ' customers' END
   WHEN h > 0 THEN CAST(h AS VARCHAR) || ' high-risk counterparty relationships detected' WHEN m > 0 THEN 'Moderate dependency signals found in the report' ELSE 'No explicit high-risk counterparty concentration detected' END AS label
 FROM (SELECT DISTINCT graph_id FROM graph_nodes) n LEFT JOIN (SELECT graph_id, count(*) FILTER (risk_flag = 'high' AND c) AS k, count(*) FILTER (risk_flag = 'high' AND c AND exposure_bp IS NOT NULL) AS q, sum(exposure_bp) FILTER (risk_flag = 'high' AND c) AS bp,
-  count(*) FILTER (risk_flag = 'high') AS h, count(*) FILTER (risk_flag = 'medium') AS m FROM (SELECT *, coalesce(CASE WHEN source = 'T' THEN target_type ELSE source_type END = 'customer', false) AS c FROM ends) GROUP BY 1) USING (graph_id)""", GRAPH_SQL), once=True)
+  count(*) FILTER (risk_flag = 'high') AS h, count(*) FILTER (risk_flag = 'medium') AS m FROM (SELECT *, coalesce(CASE WHEN source = 'T' THEN target_type ELSE source_type END = 'customer', false) AS c FROM ends) GROUP BY 1) USING (graph_id)""", GRAPH_SQL))
 def _(led):
     return concentration.risk_verdict(led.graph_nodes, led.graph_edges)
