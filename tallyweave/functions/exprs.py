@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -56,17 +60,34 @@ def _fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not 0x300 <= ord(c) <= 0x36F).lower()
 
 
-def _words(text: str | None) -> list[dict]:
-    out, page, last = [], None, None
-    for found in PAGE_OR_WORD.finditer(text or ""):
-        if found[1] is not None:
-            page = int(found[1])
-            continue
+#: Characters of texts whose words are held at once.
+WORDS_OF_CHARS = 1 << 19
+
+
+def _words(texts: list[str | None]) -> pa.ListArray:
+    """Words of texts as flat columns, and where each text's begin."""
+    tokens, words, gaps, pages, starts = [], [], [], [], [0]
+    for text in texts:
+        page, last = None, None
+        for found in PAGE_OR_WORD.finditer(text or ""):
+            if found[1] is not None:
+                page = int(found[1])
+                continue
+            if last is not None:
+                gaps.append(text[last : found.start()])
+            word, last = found[0], found.end()
+            tokens.append(word.lower() if word.isascii() else _fold(word))
+            words.append(word)
+            pages.append(page)
         if last is not None:
-            out[-1]["gap"] = text[last : found.start()]
-        token, last = _fold(found[0]), found.end()
-        out.append({"token": token, "word": found[0], "gap": "", "page": page})
-    return [w for w in out if w["token"]]
+            gaps.append("")
+        starts.append(len(words))
+    if not all(tokens):
+        held = np.fromiter(map(bool, tokens), bool, len(tokens))
+        starts = np.concatenate(([0], np.cumsum(held)))[starts]
+        tokens, words, gaps, pages = ([v for v, t in zip(column, held) if t] for column in (tokens, words, gaps, pages))
+    columns = [pa.array(tokens, pa.string()), pa.array(words, pa.string()), pa.array(gaps, pa.string()), pa.array(pages, pa.int32())]
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays(columns, names=WORD.names))
 
 
 PAGE_OR_WORD = re.compile(r"\[\[\s*page\s+([0-9]+)\s*\]\]|[^\W_]+", re.IGNORECASE)
@@ -75,10 +96,18 @@ PAGE_OR_WORD = re.compile(r"\[\[\s*page\s+([0-9]+)\s*\]\]|[^\W_]+", re.IGNORECAS
 WORD = StructType([StructField("token", StringType()), StructField("word", StringType()), StructField("gap", StringType()), StructField("page", IntegerType())])
 
 
-@F.pandas_udf(ArrayType(WORD))
-def text_words(text: pd.Series) -> pd.Series:
-    """Words of a text: folded, as they stand, what follows up to the next one, and the page of the last marker before."""
-    return text.map(_words)
+@F.arrow_udf(ArrayType(WORD))
+def text_words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Words of a text: folded, as they stand, what follows up to the next one, and the page of the last marker before.
+    A batch's texts are taken some at a time, as their words take a hundred times their room."""
+    for texts in batches:
+        sizes = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < len(texts):
+            before = sizes[first - 1] if first else 0
+            end = max(first + 1, int(np.searchsorted(sizes, before + WORDS_OF_CHARS, "right")))
+            yield _words(texts.slice(first, end - first).to_pylist())
+            first = end
 
 
 def reference_form(text: Column) -> Column:

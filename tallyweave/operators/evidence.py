@@ -128,9 +128,10 @@ def _windows(quoted: DataFrame, texts: DataFrame) -> DataFrame:
     m = F.col("m")
     sizes = [F.floor(m * 0.7), F.floor(m * 0.85), m - 1, m, m + 1, F.ceil(m * 1.15), F.ceil(m * 1.3)]
     lengths = F.filter(F.array_distinct(F.array(*[s.cast("int") for s in sizes])), lambda n: (n > 0) & (n <= F.col("d")))
-    each = shared.select("quote_id", "doc_id", "m", "d", "k", "places", lengths.alias("lengths"), F.posexplode("places").alias("i", "p")).withColumn("len", F.explode("lengths"))
-    since = F.coalesce(F.when(F.col("i") >= F.col("k"), F.try_element_at("places", F.col("i") - F.col("k") + 1)), F.lit(-1))
-    each = each.withColumns({"lo": F.greatest(F.col("p") - F.col("len"), since, F.lit(-1)) + 1, "hi": F.least(F.col("p"), F.col("d") - F.col("len"))}).filter("lo <= hi")
+    # places are cut to rows of their own before lengths multiply them: no row carries the list
+    since = lambda i: F.coalesce(F.when(i >= F.col("k"), F.try_element_at("places", i - F.col("k") + 1)), F.lit(-1))
+    each = shared.select("quote_id", "doc_id", "m", "d", lengths.alias("lengths"), F.inline(F.transform("places", lambda p, i: F.struct(p.alias("p"), since(i).alias("since"))))).withColumn("len", F.explode("lengths"))
+    each = each.withColumns({"lo": F.greatest(F.col("p") - F.col("len"), "since", F.lit(-1)) + 1, "hi": F.least(F.col("p"), F.col("d") - F.col("len"))}).filter("lo <= hi")
     steps = each.select("quote_id", "doc_id", "m", "len", F.inline(F.array(F.struct(F.col("lo").alias("start"), F.lit(1).alias("step")), F.struct((F.col("hi") + 1).alias("start"), F.lit(-1).alias("step")))))
     steps = steps.groupBy("quote_id", "doc_id", "m", "len", "start").agg(F.sum("step").alias("step"))
     overlap = F.sum("step").over(Window.partitionBy("quote_id", "doc_id", "m", "len").orderBy("start").rowsBetween(Window.unboundedPreceding, 0))

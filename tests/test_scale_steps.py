@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+from tallyweave.functions import exprs
 from tallyweave.operators import audit
 from tallyweave.plans.project import Ledger
 
@@ -31,3 +32,17 @@ def test_multiset_difference_reads_each_side_once(spark):
     got = audit.multiset_difference(a, b)
     assert Counter(map(tuple, got.collect())) == Counter([(1, "x", "left"), (3, "y", "left"), (2, None, "right"), (2, None, "right"), (4, "y", "right")])
     assert scans(got, "LogicalRDD") + scans(got, "LocalRelation") == 2
+
+
+def test_words_of_many_texts_are_held_some_at_a_time(spark):
+    import pyarrow as pa
+
+    texts = ["Wörd two[[PAGE 2]] x\u0301 " * 3000, None, "", "a b", "\u0301"] * 100
+    parts = list(exprs.text_words.func(iter([pa.array(texts)])))
+    assert sum(map(len, parts)) == len(texts)
+    assert max(len(p.flatten()) for p in parts) <= exprs.WORDS_OF_CHARS
+    rows = [r for p in parts[-2:] for r in p.to_pylist()][-5:]
+    assert len(rows[0]) == 9000 and rows[1:] == [[], [], [{"token": "a", "word": "a", "gap": " ", "page": None}, {"token": "b", "word": "b", "gap": "", "page": None}], []]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").coalesce(1)
+    got = df.selectExpr("id", "text").select("id", exprs.text_words("text")["token"].alias("w")).collect()
+    assert [len(r.w) for r in sorted(got)] == [9000, 0, 0, 2, 0] * 100
