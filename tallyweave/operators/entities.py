@@ -185,11 +185,12 @@ def seed_alias_groups(alias_map: DataFrame, entities: DataFrame) -> DataFrame:
     lengths = [r[0] for r in keyed.select(F.length("prefix").alias("n")).distinct().orderBy("n").collect()]
     rows = entities.select("id", "name", "claims", "key")
     fits = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("key"))
-    by_key = rows.withColumn("prefix", F.explode(F.transform(fits, lambda n: F.substring("key", F.lit(1), n)))).join(keyed, "prefix")
-    by_name = rows.join(alias_map.select("canonical").distinct().withColumn("name", F.col("canonical")), "name")
+    # people curate the names, so these go to the tasks that read entities, and not the other way round
+    by_key = rows.withColumn("prefix", F.explode(F.transform(fits, lambda n: F.substring("key", F.lit(1), n)))).join(F.broadcast(keyed), "prefix")
+    by_name = rows.join(F.broadcast(alias_map.select("canonical").distinct().withColumn("name", F.col("canonical"))), "name")
     group = by_key.select("canonical", "id", "name", "claims").unionByName(by_name.select("canonical", "id", "name", "claims")).distinct()
     best = group.groupBy("canonical").agg(F.max_by("id", F.struct((F.col("name") == F.col("canonical")).cast("int"), "claims", -F.col("id"))).alias("into_id"))
-    return group.join(best, "canonical").filter("id != into_id").select("canonical", F.col("id").alias("from_id"), "into_id")
+    return group.join(F.broadcast(best), "canonical").filter("id != into_id").select("canonical", F.col("id").alias("from_id"), "into_id")
 
 
 def seed_rejections(names: DataFrame, entities: DataFrame, known: DataFrame) -> DataFrame:

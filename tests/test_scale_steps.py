@@ -3,7 +3,7 @@
 from collections import Counter
 
 from tallyweave.functions import exprs
-from tallyweave.operators import audit
+from tallyweave.operators import audit, entities
 from tallyweave.plans.project import Ledger
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +46,11 @@ def test_words_of_many_texts_are_held_some_at_a_time(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").coalesce(1)
     got = df.selectExpr("id", "text").select("id", exprs.text_words("text")["token"].alias("w")).collect()
     assert [len(r.w) for r in sorted(got)] == [9000, 0, 0, 2, 0] * 100
+
+
+def test_entities_are_not_sent_to_curated_names(spark):
+    groups = spark.createDataFrame([("red widget inc", "Red Widget")], "raw string, canonical string")
+    rows = spark.range(1000).selectExpr("id", "concat('Red Widget ', id) AS name", "1L AS claims", "concat('red widget ', id) AS key")
+    plan = entities.seed_alias_groups(groups, rows)._jdf.queryExecution().optimizedPlan().toString()
+    hints = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert hints and all("strategy=broadcast" in line and "rightHint" in line for line in hints)
