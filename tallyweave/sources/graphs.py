@@ -20,6 +20,17 @@ def read_graphs(spark: SparkSession, folder: str) -> DataFrame:
     return reader.json(folder).select(F.coalesce(named, F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")).alias("graph_id"), "*")
 
 
+def write_graph_lines(graphs: DataFrame, folder: str) -> None:
+    """Graphs as JSON lines, many to a file: a folder and a file for each of a million graphs would take the driver longer
+    to move and to list than the graphs take to write."""
+    graphs.write.json(folder)
+
+
+def read_graph_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The graphs of such files, one a line, as ``read_graphs`` gives them."""
+    return spark.read.schema(f"graph_id string, {GRAPH}").option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).json(folder)
+
+
 def validate_graphs(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good graphs, and graph_id with the reasons of the others."""
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""

@@ -4,7 +4,9 @@ from collections import Counter
 
 from tallyweave.functions import exprs
 from tallyweave.operators import audit, entities
+from tallyweave.plans import evidence_queries
 from tallyweave.plans.project import Ledger
+from tallyweave.sources import graphs as graph_files
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,6 +50,21 @@ def test_words_of_many_texts_are_held_some_at_a_time(spark):
     assert [len(r.w) for r in sorted(got)] == [9000, 0, 0, 2, 0] * 100
 
 
+def test_many_graphs_share_a_file(spark, tmp_path):
+    graphs = evidence_queries._nested(Ledger(spark, SF)).drop("_corrupt_record")
+    graph_files.write_graph_lines(graphs.coalesce(2), str(tmp_path / "lines"))
+    files = list((tmp_path / "lines").rglob("*.json"))
+    (tmp_path / "lines" / "broken.json").write_text('{"graph_id": "x", "nodes": [\n')
+    back = graph_files.read_graph_lines(spark, str(tmp_path / "lines"))
+    got = {r.graph_id: r for r in back.collect()}
+    want = graphs.collect()
+    assert len(files) <= 2 < len(want) == len(got) - 1
+    assert [r.graph_id for r in got.values() if r._corrupt_record is not None] == [g for g in got if g not in {str(w.graph_id) for w in want}]
+    assert all(got[str(w.graph_id)][c] == w[c] for w in want for c in ("target_company", "report_date", "nodes", "key_risks")) and all(len(got[str(w.graph_id)].edges) == len(w.edges) for w in want)
+    read = evidence_queries.QUERIES["S1_read_graphs"](spark, SF)
+    assert len(read.inputFiles()) < read.count()
+
+
 def test_entities_are_not_sent_to_curated_names(spark):
     groups = spark.createDataFrame([("red widget inc", "Red Widget")], "raw string, canonical string")
     rows = spark.range(1000).selectExpr("id", "concat('Red Widget ', id) AS name", "1L AS claims", "concat('red widget ', id) AS key")
