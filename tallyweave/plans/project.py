@@ -38,9 +38,10 @@ class Ledger:
     def ranked(self) -> DataFrame:
         """The six best customers of each supplier and year; a year lies in one partition from its sums on."""
         cents, day = F.round(F.col("l_extendedprice") * 100).cast("long"), F.col("l_shipdate").cast("date")
-        lines = self.table("lineitem").select("l_orderkey", F.col("l_suppkey").alias("company_id"), F.year("l_shipdate").alias("yr"), cents.alias("cents"), day.alias("ship"))
-        sold = lines.join(self.table("orders").select("o_orderkey", F.col("o_custkey").alias("cust")), F.col("l_orderkey") == F.col("o_orderkey")).select("company_id", "yr", "cust", "cents", "ship")
-        by_year = sold.repartition("company_id", "yr").groupBy("company_id", "yr", "cust").agg(F.sum("cents").alias("cents"), F.max("ship").alias("last_ship"))
+        lines = self.table("lineitem").select("l_orderkey", F.col("l_suppkey").alias("company_id"), cents.alias("cents"), day.alias("ship"))
+        sold = lines.join(self.table("orders").select("o_orderkey", F.col("o_custkey").alias("cust")), F.col("l_orderkey") == F.col("o_orderkey")).select("company_id", "cust", "cents", "ship")
+        # neither shuffle carries the year, which the day gives
+        by_year = sold.repartition("company_id", F.year("ship")).withColumn("yr", F.year("ship")).groupBy("company_id", "yr", "cust").agg(F.sum("cents").alias("cents"), F.max("ship").alias("last_ship"))
         year = Window.partitionBy("company_id", "yr")
         rows = by_year.withColumn("rn", F.row_number().over(year.orderBy(F.desc("cents"), "cust"))).withColumn("total", F.sum("cents").over(year)).withColumn("last_of_year", F.max("last_ship").over(year)).filter("rn <= 6")
         return written(rows, "sales") if self.once else rows

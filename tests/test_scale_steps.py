@@ -28,6 +28,12 @@ def test_sums_and_places_of_a_year_share_one_shuffle(spark):
     assert len(keyed) == 1
 
 
+def test_no_shuffle_of_sales_carries_the_year(spark):
+    plan = Ledger(spark, SF, once=False).claims._jdf.queryExecution().optimizedPlan().toString()
+    head, below = plan.split("RepartitionByExpression", 1)
+    assert "AS yr" in head and "AS yr" not in below
+
+
 def test_multiset_difference_reads_each_side_once(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "y")], "id long, name string")
     b = spark.createDataFrame([(1, "x"), (2, None), (2, None), (2, None), (4, "y")], "id long, name string")
