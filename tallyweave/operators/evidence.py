@@ -87,11 +87,17 @@ def relationship_phrases(claims: DataFrame) -> DataFrame:
 
 def sentence_context(claims: DataFrame, pages: DataFrame) -> DataFrame:
     """Claims (claim_id, doc_id, page, quote) with the sentence around the start of the quote and one either side, else
-    260 characters around it, else null. ``pages``: doc_id, page, text; a claim without a page sees the whole text."""
-    whole = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), "").alias("_all"))
-    own = pages.filter("page IS NOT NULL").select("doc_id", "page", F.col("text").alias("_page"))
-    rows = claims.join(whole, "doc_id", "left").join(own, ["doc_id", "page"], "left")
-    scope = F.trim(F.coalesce("_page", "_all"))
+    260 characters around it, else null. ``pages``: doc_id, position, page, text; a claim without a page that is there sees
+    the whole text. No text is carried along with the claims of its pages."""
+    own = pages.filter("page IS NOT NULL AND text IS NOT NULL").select("doc_id", "page", F.col("text").alias("_text"))
+    # texts are merged, never broadcast: their files may be a tenth of their size
+    on_page = claims.join(own.hint("merge"), ["doc_id", "page"])
+    # written, so that its size is known: of few claims only their documents are put together
+    others = written(claims.join(own.select("doc_id", "page"), ["doc_id", "page"], "left_anti"), "claims")
+    wanted = pages.join(others.select("doc_id").distinct(), "doc_id", "left_semi")
+    whole = wanted.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), "").alias("_text"))
+    rows = on_page.unionByName(others.join(whole.hint("merge"), "doc_id", "left"))
+    scope = F.trim("_text")
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     rows = rows.withColumns({"_scope": scope, "_probe": F.lower(F.substring(flat(F.col("quote")), 1, 72))})
     sentences = F.filter(F.transform(F.regexp_extract_all(F.regexp_replace("_scope", r"\s+", " "), F.lit(r"([^.!?]+[.!?]+|[^.!?]+$)"), F.lit(1)), lambda s: F.trim(s)), lambda s: s != "")
@@ -102,7 +108,7 @@ def sentence_context(claims: DataFrame, pages: DataFrame) -> DataFrame:
     near = F.array_join(F.slice("_sentences", F.greatest(F.col("_hit") - 1, F.lit(1)), F.when(F.col("_hit") == 1, 2).otherwise(3)), " ")
     begin = F.greatest(F.col("_at") - 260, F.lit(1))
     window = flat(F.substring("_scope", begin, F.col("_at") + F.length("quote") + 260 - begin))
-    return rows.withColumn("context", F.when(F.col("_hit") > 0, near).when(F.col("_at") > 0, window)).drop("_all", "_page", "_scope", "_probe", "_sentences", "_hit", "_at")
+    return rows.withColumn("context", F.when(F.col("_hit") > 0, near).when(F.col("_at") > 0, window)).drop("_text", "_scope", "_probe", "_sentences", "_hit", "_at")
 
 
 def best_windows(rejected: DataFrame, docs: DataFrame) -> DataFrame:

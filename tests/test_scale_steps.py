@@ -3,7 +3,7 @@
 from collections import Counter
 
 from tallyweave.functions import exprs
-from tallyweave.operators import audit, entities
+from tallyweave.operators import audit, entities, evidence
 from tallyweave.plans import evidence_queries
 from tallyweave.plans.project import Ledger
 from tallyweave.sources import graphs as graph_files
@@ -34,6 +34,15 @@ def test_no_shuffle_of_sales_carries_the_year(spark):
     assert "AS yr" in head and "AS yr" not in below
 
 
+def test_pages_of_a_text_are_cut_where_it_lies_and_not_broadcast(spark):
+    assert "Exchange" not in evidence_queries.QUERIES["T1_split_pages"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    pages = spark.createDataFrame([(1, 0, None, "Zero. "), (1, 1, 1, "One. Two. Three. Four. "), (2, 0, 7, "Seven. Two.")], "doc_id long, position int, page int, text string")
+    claims = spark.createDataFrame([(1, 1, 1, "Two."), (2, 1, 9, "One."), (3, 1, None, "Zero."), (4, 2, 7, "absent"), (5, 3, 1, "Two.")], "claim_id long, doc_id long, page int, quote string")
+    got = evidence.sentence_context(claims, pages)
+    assert {r.claim_id: r.context for r in got.collect()} == {1: "One. Two. Three.", 2: "Zero. One. Two.", 3: "Zero. One.", 4: None, 5: None}
+    assert not any("BroadcastExchange" in line and "text" in line for line in got._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
 def test_multiset_difference_reads_each_side_once(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "y")], "id long, name string")
     b = spark.createDataFrame([(1, "x"), (2, None), (2, None), (2, None), (4, "y")], "id long, name string")
