@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import concentration, corpus, entities, facts, graph
+from ..storage import written
 from .project import GRAPH_SQL, RESOLVED_SQL, Ledger, with_ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -536,7 +537,8 @@ def _(led):
 
 @query("L7_rank_by_specificity", with_ledger("SELECT claim_id, side, place FROM (SELECT claim_id, side, row_number() OVER (PARTITION BY rel.entity_id ORDER BY b.report_count, published_date DESC, counterparty_label, relation_type, claim_id, side) AS place FROM rel JOIN scored b ON b.entity_id = counterparty_id)", *CORPUS))
 def _(led):
-    rel = _relationships(led)
+    # read twice, by few of its columns
+    rel = written(_relationships(led).select("entity_id", "counterparty_id", "doc_id", "published_date", "counterparty_label", "relation_type", "claim_id", "side"), "relationships")
     rows = corpus.rank_by_specificity(corpus.relationship_specificity(rel, corpus.corpus_entities(rel, led.entities)))
     return rows.select("claim_id", "side", F.col("place").cast("long").alias("place"))
 

@@ -4,7 +4,7 @@ from collections import Counter
 
 from tallyweave.functions import exprs
 from tallyweave.operators import audit, entities, evidence
-from tallyweave.plans import evidence_queries
+from tallyweave.plans import evidence_queries, ledger_queries
 from tallyweave.plans.project import Ledger
 from tallyweave.sources import graphs as graph_files
 
@@ -43,6 +43,12 @@ def test_pages_of_a_text_are_cut_where_it_lies_and_not_broadcast(spark):
     assert not any("BroadcastExchange" in line and "text" in line for line in got._jdf.queryExecution().executedPlan().toString().splitlines())
 
 
+def test_ranks_hold_only_what_orders_them(spark):
+    df = ledger_queries.QUERIES["L7_rank_by_specificity"](spark, SF)
+    names = {c for f in df.inputFiles() for c in spark.read.parquet(f).columns}
+    assert "counterparty_specificity" in names and not names & {"quote", "company", "agency", "entity_label"}
+
+
 def test_multiset_difference_reads_each_side_once(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "y")], "id long, name string")
     b = spark.createDataFrame([(1, "x"), (2, None), (2, None), (2, None), (4, "y")], "id long, name string")
