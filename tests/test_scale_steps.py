@@ -2,9 +2,12 @@
 
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from tallyweave.functions import exprs
 from tallyweave.operators import audit, entities, evidence
-from tallyweave.plans import evidence_queries, ledger_queries
+from tallyweave.plans import evidence_queries, ledger_queries, project
 from tallyweave.plans.project import Ledger
 from tallyweave.sources import graphs as graph_files
 
@@ -34,6 +37,18 @@ def test_no_shuffle_of_sales_carries_the_year(spark):
     assert "AS yr" in head and "AS yr" not in below
 
 
+def test_shuffles_of_sales_carry_supplier_and_day_as_one_number(spark):
+    plan = Ledger(spark, SF, once=False).claims._jdf.queryExecution().optimizedPlan().toString()
+    shuffled = plan.split("RepartitionByExpression", 1)[1].splitlines()[1]
+    assert shuffled.split("Project [")[1].split("]")[0].count(",") == 2  # both, cust, cents
+    rows = [(7, "1999-12-31"), (0, "0001-01-01"), (-3, "9999-12-31"), ((1 << 41) - 1, "1970-01-01"), (5, None), (None, "1969-12-31"), (None, None)]
+    df = spark.createDataFrame(rows, "supplier long, day string").withColumn("day", F.col("day").cast("date"))
+    back = df.select(project.supplier_day(F.col("supplier"), F.col("day")).alias("both")).select(project.supplier_of(F.col("both")), project.day_of(F.col("both")).cast("string"))
+    assert [tuple(r) for r in back.collect()] == rows
+    with pytest.raises(Exception, match="do not fit"):
+        spark.range(1).select(project.supplier_day(F.lit(1 << 41), F.current_date())).collect()
+
+
 def test_pages_of_a_text_are_cut_where_it_lies_and_not_broadcast(spark):
     assert "Exchange" not in evidence_queries.QUERIES["T1_split_pages"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     pages = spark.createDataFrame([(1, 0, None, "Zero. "), (1, 1, 1, "One. Two. Three. Four. "), (2, 0, 7, "Seven. Two.")], "doc_id long, position int, page int, text string")
