@@ -3,8 +3,9 @@
 Every document is a set of word 4-grams. Documents with equal sets form one class. A class is listed under the
 rarest part of its set (the prefix that any partner must share), and each list is searched with a signature tree:
 leaves hold one class's token bitmap and size, inner nodes hold OR-combined bitmaps and size ranges. Pairs of nodes
-are walked from the root down and dropped where even the largest possible overlap is too small. What survives is
-compared exactly, and links give components.
+are walked from the root down and dropped where even the largest possible overlap is too small. Those bitmaps are full
+for long sets, so what survives is held against bitmaps that grow with the set. The rest is compared exactly, and links
+give components.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, as_bytes, discard, distinct, materialize, mixed, plain, shingle_hashes, starts_of, tidy, whole_groups
@@ -43,6 +44,23 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits)
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """A bitmap of 8 to 16 bits a token, by the first bits of the tokens: that of half as many bits is its pairs' OR."""
+    bits = max(3, (8 * len(s) - 1).bit_length())
+    marks = np.zeros(1 << bits, np.uint8)
+    marks[(s >> np.uint64(64 - bits)).astype(np.int64)] = 1
+    return np.packbits(marks)
+
+
+def _may_share(n: int, x: np.ndarray, m: int, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether sets of ``n`` and ``m`` tokens with these sketches can overlap enough."""
+    x, y = np.unpackbits(x), np.unpackbits(y)
+    size = min(len(x), len(y))
+    x, y = x.reshape(size, -1).max(1), y.reshape(size, -1).max(1)
+    shared = min(n - int((x > y).sum()), m - int((y > x).sum()))
+    return shared * (num + den) >= num * (n + m)
+
+
 def _prints(width: int, bits: int):
     """Size, two fingerprints and the bitmap of each document's set, and at the end of a task how often each counter was met."""
 
@@ -126,6 +144,19 @@ def _sets(width: int):
     return tidy(run)
 
 
+def _sketches(width: int):
+    """Size and sketch of the set of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            sets = [_set_of(text, words, width) for text in as_bytes(batch.column("text"))]
+            columns = pa.array(map(len, sets), pa.int64()), pa.array([_sketch(s).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc", "n", "sketch"])
+
+    return tidy(run)
+
+
 def signature_tree_pairs(n: np.ndarray, maps: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows whose overlap may reach ``num``/``den`` of their union, by a walk of two signature trees.
 
@@ -288,25 +319,44 @@ def _compare(num: int, den: int):
     return tidy(run)
 
 
+def _not_refuted(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, x, m, y = (batch.column(c).to_pylist() for c in ("n", "x", "m", "y"))
+            keep = [_may_share(a, np.frombuffer(b, np.uint8), c, np.frombuffer(d, np.uint8), num, den) for a, b, c, d in zip(n, x, m, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return tidy(run)
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` with these doc_ids: the ids are broadcast if they are few enough, else both are shuffled."""
     few = ids.count() <= MOST_BROADCAST
     return docs.join(ids.hint("broadcast" if few else "shuffle_hash"), "doc_id", "left_semi")
 
 
-def linked(lists: DataFrame, described: DataFrame, sets_of, num: int, den: int, one_in: int = 8) -> tuple[DataFrame, DataFrame]:
+def linked(lists: DataFrame, described: DataFrame, sets_of, num: int, den: int, one_in: int = 8, sketches_of=None) -> tuple[DataFrame, DataFrame]:
     """Two tables of links (a, b: long), materialized, that join all pairs of ``lists`` with similar sets, and no others.
 
     ``lists`` (token, doc), ``described`` (doc, n, bitmap), both materialized; ``sets_of(ids)`` gives (doc, tokens) for
-    the column ``doc`` of ids. First a forest of likely links of one list in ``one_in`` is verified. Then all lists that
+    the column ``doc`` of ids, ``sketches_of(ids)`` (doc, n, sketch) where sets can be long. First a forest of likely links of one list in ``one_in`` is verified. Then all lists that
     still hold several components are searched, for pairs across components only. So what is verified is about as
     many pairs as members for groups of near copies, while every pair of a list is linked, or refuted, or already
     joined by links.
     """
 
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("doc")).unionAll(pairs.select(F.col("b").alias("doc"))).distinct()
+
+    def not_refuted(pairs: DataFrame) -> DataFrame:
+        own = materialize(sketches_of(ends(pairs)), "sketches")
+        both = pairs.join(own.toDF("a", "n", "x"), "a").join(own.toDF("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
+        left = materialize(both.mapInArrow(_not_refuted(num, den), "a long, b long"), "left")
+        discard(own, pairs)
+        return left
+
     def verified(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc")).unionAll(pairs.select(F.col("b").alias("doc"))).distinct()
-        sets = materialize(sets_of(ids), "sets")
+        sets = materialize(sets_of(ends(pairs)), "sets")
         x = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x"))
         y = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y"))
         found = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(num, den), "a long, b long"), "links")
@@ -317,9 +367,9 @@ def linked(lists: DataFrame, described: DataFrame, sets_of, num: int, den: int,
     first = verified(materialize(_lists(sample, described, False).mapInArrow(_search(num, den, True), "a long, b long").distinct(), "likely"))
     early = connected_components(first)
     known = materialize(lists.join(early.select(F.col("node").alias("doc"), "component"), "doc", "left").select("token", "doc", F.coalesce("component", "doc").alias("comp")), "known")
-    second = verified(materialize(_lists(known, described, True).mapInArrow(_search(num, den, False), "a long, b long").distinct(), "rest"))
+    rest = materialize(_lists(known, described, True).mapInArrow(_search(num, den, False), "a long, b long").distinct(), "rest")
     discard(known)
-    return first, second
+    return first, verified(not_refuted(rest) if sketches_of else rest)
 
 
 def ngram_jaccard_components(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -345,14 +395,18 @@ def ngram_jaccard_components(documents: DataFrame, width: int = 4, num: int = 85
     copies = classes.filter("members > 1")
     described = classes.select(F.col("rep").alias("doc"), F.col("n").cast("int").alias("n"), "bitmap")
     entries = materialize(docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(ranks, width, num, den), "token long, f1 long"), "entries")
-    shared = entries.groupBy("token").agg(F.min("f1").alias("least"), F.max("f1").alias("most")).filter("least < most").select("token")
-    listed = entries.join(shared, "token").distinct()
+    # one shuffle finds the tokens of several sets and lists these
+    whole = Window.partitionBy("token")
+    listed = entries.withColumns({"least": F.min("f1").over(whole), "most": F.max("f1").over(whole)}).filter("least < most").select("token", "f1").distinct()
     lists = materialize(listed.join(classes.select("f1", "rep"), "f1").select("token", F.col("rep").alias("doc")), "lists")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         return _only(docs, ids.select(F.col("doc").alias("doc_id"))).mapInArrow(_sets(width), "doc long, tokens binary")
 
-    links = linked(lists, described, sets_of, num, den)
+    def sketches_of(ids: DataFrame) -> DataFrame:
+        return _only(docs, ids.select(F.col("doc").alias("doc_id"))).mapInArrow(_sketches(width), "doc long, n long, sketch binary")
+
+    links = linked(lists, described, sets_of, num, den, sketches_of=sketches_of)
     discard(entries, lists)
 
     member = sets.join(copies.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))

@@ -114,6 +114,31 @@ def test_ngram_join_of_many_near_copies(spark):
     assert sorted(map(tuple, got)) == brute_components(rows, 4, 85, 100)
 
 
+def test_ngram_join_moves_no_long_sets_of_unlike_documents(spark, monkeypatch):
+    # each text shares half of its words with six others, so that a bitmap of 512 bits says nothing
+    blocks = [" ".join(f"b{k}w{i}" for i in range(1500)) for k in range(8)]
+    rows = [(4 * i + j, f"{blocks[i]} {blocks[4 + j]}") for i in range(4) for j in range(4)]
+    wrote, plain_one = {}, ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: wrote.setdefault(name, []).append(plain_one(df, name)) or wrote[name][-1])
+    monkeypatch.setattr(ngram_join, "discard", lambda *tables: None)
+    got = ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(r.doc_id == r.component_id for r in got.collect())
+    assert wrote["rest"][0].count() > 0 and wrote["sets"][-1].count() == 0
+
+
+def test_sketches_lose_no_pair():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 40, 900, 3000):
+        for m in (n, n + 1, int(n * 1.17)):
+            for shared in {0, n // 2, int(0.85 * n), -(-92 * n // 100), n}:
+                pool = ngram_join.mixed(rng.integers(0, 1 << 63, n + m, dtype=np.uint64))
+                x, y = pool[:n], np.concatenate((pool[:shared], pool[n : n + m - shared]))
+                linked = shared * 185 >= 85 * (n + m)
+                may = ngram_join._may_share(n, ngram_join._sketch(x), m, ngram_join._sketch(y), 85, 100)
+                assert may or not linked
+                assert not may or shared > n // 2 or n < 40
+
+
 def test_ngram_join_of_no_rows(none, odd):
     assert ngram_join.ngram_jaccard_components(none).count() == 0
     null = ngram_join.ngram_jaccard_components(odd).filter("doc_id IS NULL").collect()
