@@ -1,5 +1,6 @@
 """Steps that many queries share: what they read, and how often."""
 
+import re
 from collections import Counter
 
 import pytest
@@ -86,6 +87,37 @@ def test_words_of_many_texts_are_held_some_at_a_time(spark):
     assert [len(r.w) for r in sorted(got)] == [9000, 0, 0, 2, 0] * 100
 
 
+@pytest.mark.parametrize("name", ["T4_long_quotes", "T4_diagnose_rejected_quotes", "A8_mismatch_bucket_counts"])
+def test_rejected_quotes_shuffle_texts_once_and_no_words(spark, name):
+    df = evidence_queries.QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert 2 <= len(shuffles) <= 5 and all(re.match(r"doc_id#\d+L?(, bucket#\d+)?, \d+\)", s) for s in shuffles)
+    assert "Window" not in plan and all(f.endswith("/documents.parquet") for f in df.inputFiles())
+
+
+def test_windows_of_many_quotes_are_held_some_at_a_time(spark):
+    import pyarrow as pa
+
+    texts = ["[[page 1]] one two three four. " * 10_000 + "Fünf six[[page 2]]", None, "", "\u0301", "a b"] * 20
+    quotes = ["six fuenf FÜNF", "x", "x", "x", None] * 20
+    parts = list(exprs.best_window.func(iter([(pa.array(quotes), pa.array(texts))])))
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert len(parts) >= 10 and len(rows) == 100 and rows == rows[:5] * 20
+    assert (rows[0]["len"], rows[0]["start"], rows[0]["first"], rows[0]["quote"]) == (2, 40_000, 39_994, ["six", "fuenf", "funf"])
+    assert [(w["token"], w["word"], w["gap"], w["page"]) for w in rows[0]["words"][-3:]] == [("four", "four", ". ", 1), ("funf", "Fünf", " ", 1), ("six", "six", "", 1)]
+    assert [(r["score"], r["words"]) for r in rows[1:5]] == [(None, [])] * 4
+
+
+def test_every_rejected_quote_has_one_diagnosis(spark):
+    docs = spark.createDataFrame([(1, "We sell engines to many customers in the region"), (2, None), (3, "")], "doc_id long, text string")
+    quotes = [(1, 1, "sell engines to many customers"), (1, 1, "sell engines to many customers"), (2, 1, None), (3, 1, "..."), (4, 2, "sell"), (5, 3, "sell"), (6, 9, "sell"), (7, None, "sell"), (8, 1, "many sold pumps")]
+    rows = spark.createDataFrame(quotes, "quote_id long, doc_id long, quote string")
+    got = sorted((r.quote_id, r.bucket, r.score) for r in evidence.diagnose_rejected_quotes(rows, docs).collect())
+    assert got == [(1, "paraphrase", 1.0)] * 2 + [(k, "not_found", 0.0) for k in range(2, 8)] + [(8, "paraphrase", 0.4)]
+    assert evidence.best_windows(rows, docs).count() == 3
+
+
 def test_many_graphs_share_a_file(spark, tmp_path):
     graphs = evidence_queries._nested(Ledger(spark, SF)).drop("_corrupt_record")
     graph_files.write_graph_lines(graphs.coalesce(2), str(tmp_path / "lines"))
